@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,7 +13,10 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def local_session(cores: int = 8, partitions: int = 8, app: str = "attestra") -> SparkSession:
-    """A local session with adaptive execution and UTC time, for tests and benches."""
+    """A local session with adaptive execution and UTC time, for tests and benches. Its Python workers find this package."""
+    root = str(Path(__file__).resolve().parent.parent)
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [root, os.environ.get("PYTHONPATH", "")]))
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
