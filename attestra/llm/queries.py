@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attestra.llm import chat_format, decontaminate, exact_dedup, packing, simhash, token_counts
+from attestra.llm import chat_format, decontaminate, exact_dedup, line_dedup, packing, quality, simhash, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +20,24 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    out = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train=fold != 0)
+    return out.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"), F.col("source"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,7 +53,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_packing, op4_token_counts, op8_simhash, op9_chat_format, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_packing, op3_toxicity, op4_token_counts, op6_quality, op7_line_dedup, op8_simhash, op9_chat_format, op10_exact_dedup)}
 
 def _escaped(text: str) -> str:
     """SQL for a text whose control strings have become codes of two characters, backslashes first."""
@@ -49,6 +63,18 @@ def _escaped(text: str) -> str:
 
 
 ORACLE_SQL = {
+    "op7_line_dedup": f"""
+        WITH l AS (
+          SELECT doc_id, coalesce(source, '') AS host, xs, i, xs[i] AS line, trim(xs[i], ' ') AS t
+          FROM (SELECT doc_id, source, xs, unnest(range(1, len(xs) + 1)) AS i
+                FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS xs FROM documents))),
+        totals AS (SELECT coalesce(source, '') AS host, count(*) AS total FROM documents GROUP BY 1),
+        bad AS (SELECT host, t, count(DISTINCT doc_id) AS n FROM l WHERE t <> '' GROUP BY host, t),
+        flagged AS (SELECT b.host, b.t FROM bad b JOIN totals USING (host) WHERE n >= {line_dedup.PAGES} AND n > total * CAST({line_dedup.RATIO} AS DOUBLE)),
+        k AS (SELECT l.*, f.t IS NULL AS stays FROM l LEFT JOIN flagged f ON l.host = f.host AND l.t = f.t),
+        joined AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped,
+                     coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE stays), '') AS kept FROM k GROUP BY doc_id)
+        SELECT doc_id, n_lines, n_dropped, CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256 FROM joined""",
     "op9_chat_format": f"""
         WITH t AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
