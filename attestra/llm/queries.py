@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attestra.llm import chat_format, decontaminate, exact_dedup, line_dedup, packing, quality, simhash, token_counts, toxicity
+from attestra.llm import chat_format, decontaminate, exact_dedup, line_dedup, packing, pii, quality, simhash, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_packing, op3_toxicity, op4_token_counts, op6_quality, op7_line_dedup, op8_simhash, op9_chat_format, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_packing, op3_toxicity, op4_token_counts, op5_pii, op6_quality, op7_line_dedup, op8_simhash, op9_chat_format, op10_exact_dedup)}
 
 def _escaped(text: str) -> str:
     """SQL for a text whose control strings have become codes of two characters, backslashes first."""
