@@ -20,11 +20,11 @@ def best_pattern(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
-def column_generation(demand: np.ndarray, capacity: int, rounds: int = 4000) -> list[tuple[np.ndarray, float]]:
+def column_generation(demand: np.ndarray, capacity: int, rounds: int = 2500) -> list[tuple[np.ndarray, float]]:
     """Patterns with their (fractional) numbers of sequences, fewest in all, that give exactly the demand of each size.
 
     The master program is solved by the revised simplex method; its prices go to the knapsack, whose best pattern enters the basis until
-    none is worth more than the one sequence it costs.
+    none is worth more than the one sequence it costs, or for ``rounds`` rounds: the patterns always meet the demand.
     """
     sizes = np.flatnonzero(demand)
     sizes = sizes[sizes > 0]
