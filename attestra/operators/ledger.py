@@ -83,12 +83,18 @@ def evidence(findings: DataFrame, values: DataFrame, most: int = 25) -> DataFram
     rows = values.withColumn("cell", bucket(F.col("value")))
     close = F.abs(F.col("value") - F.col("want")) <= 1e-6 * F.greatest(F.abs("want"), F.lit(1.0))
     hits = rows.join(want, ["column", "cell"]).filter(close)
+    matched = hits.groupBy("finding_id").agg(F.count(F.lit(1)).alias("matched"))
     order = Window.partitionBy("finding_id").orderBy("row_id")
-    hits = hits.withColumn("k", F.row_number().over(order)).withColumn("matched", F.count(F.lit(1)).over(Window.partitionBy("finding_id")))
-    return hits.filter(F.col("k") <= most).select("finding_id", "column", "row_id", "value", "matched", (F.col("matched") > most).alias("truncated"))
+    first = hits.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most)
+    return first.join(matched, "finding_id").select("finding_id", "column", "row_id", "value", "matched", (F.col("matched") > most).alias("truncated"))
 
 
 def case_export(artifacts: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Each artifact with its findings as one list, for a JSON export."""
-    found = by_artifact(ledger).groupBy("artifact_id").agg(F.array_sort(F.collect_list(F.struct("finding_id", "kind", "severity", "status"))).alias("findings"))
-    return artifacts.join(found, "artifact_id", "left").withColumn("findings", F.coalesce("findings", F.array().cast(found.schema["findings"].dataType)))
+    """Each artifact with its findings, a row a finding (one without, if it has none), to be written partitioned by artifact."""
+    found = by_artifact(ledger).select("artifact_id", "finding_id", "kind", "severity", "status")
+    return artifacts.join(found, "artifact_id", "left")
+
+
+def export_cases(cases: DataFrame, path: str) -> None:
+    """Write a case export as JSON, a folder for each artifact."""
+    cases.write.mode("errorifexists").partitionBy("artifact_id").json(path)

@@ -107,10 +107,11 @@ def pii_hints(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     counts = counts if counts is not None else value_counts(df, sorted({c for c, _, _ in signals}))
     hit = F.array(*[F.when((F.col("column") == c) & F.col("value").rlike(shape), F.lit(kind)) for c, kind, shape in signals])
     rows = counts.select("column", "value", "n", F.explode(F.filter(hit, lambda k: k.isNotNull())).alias("hint_type"))
+    totals = rows.groupBy("column", "hint_type").agg(F.sum("n").alias("matched_values"))
     first = Window.partitionBy("column", "hint_type").orderBy("value")
-    rows = rows.withColumn("rank", F.row_number().over(first))
-    samples = F.array_join(F.array_sort(F.collect_list(F.when(F.col("rank") <= 3, F.col("value")))), ",")
-    return rows.groupBy("column", "hint_type").agg(F.sum("n").alias("matched_values"), samples.alias("samples"))
+    few = rows.withColumn("rank", F.row_number().over(first)).filter("rank <= 3")  # each task ranks its own rows first
+    samples = few.groupBy("column", "hint_type").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("samples"))
+    return totals.join(samples, ["column", "hint_type"])
 
 
 def fitness(df: DataFrame) -> DataFrame:

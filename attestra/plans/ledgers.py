@@ -70,7 +70,7 @@ BRIDGE = f"(SELECT *, unnest(artifact_ids) AS artifact_id FROM {FINDINGS})"
 @query(f"SELECT a.artifact_id, n_rows, count(f.finding_id) AS n_findings, count(*) FILTER (WHERE f.severity = 'high') AS n_high FROM {ARTIFACTS} a LEFT JOIN {BRIDGE} f ON a.artifact_id = f.artifact_id GROUP BY ALL")
 def case_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ledger.case_export(artifacts(spark, sf_dir), findings(spark, sf_dir))
-    return out.select("artifact_id", "n_rows", F.size("findings").cast("long").alias("n_findings"), F.size(F.filter("findings", lambda f: f["severity"] == "high")).cast("long").alias("n_high"))
+    return out.groupBy("artifact_id", "n_rows").agg(F.count("finding_id").alias("n_findings"), F.count_if(F.col("severity") == "high").alias("n_high"))
 
 
 @query(f"SELECT finding_id, severity, created_at FROM {FINDINGS} WHERE severity = 'high' AND contains(lower(title || ' ' || summary), 'value') ORDER BY created_at DESC, finding_id LIMIT 25 OFFSET 5")
@@ -142,10 +142,16 @@ def finding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(spark, sf_dir).select("finding_id", F.concat("kind", F.lit(": "), "title", urgent).alias("headline"), F.format_string("%.2f", "observed").alias("observed_text"))
 
 
-@query("SELECT source, substr(sha256(string_agg(sha, '|' ORDER BY sha)), 1, 16) AS input_hash, count(*) AS n FROM (SELECT source, sha256(coalesce(text, '')) AS sha FROM documents) GROUP BY source")
+@query("""
+  WITH b AS (SELECT source, substr(sha, 1, 4) AS bucket, sha256(string_agg(sha, '|' ORDER BY sha)) AS h, count(*) AS k FROM (SELECT source, sha256(coalesce(text, '')) AS sha FROM documents) GROUP BY ALL)
+  SELECT source, substr(sha256(string_agg(h, '|' ORDER BY bucket)), 1, 16) AS input_hash, CAST(sum(k) AS BIGINT) AS n FROM b GROUP BY source""")
 def corpus_input_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hash of each source's content that doesn't depend on order: hashes in 65,536 buckets, then one over the buckets' hashes."""
     sha = table(spark, sf_dir, "documents").select("source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    return sha.groupBy("source").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("sha")), "|"), 256), 1, 16).alias("input_hash"), F.count(F.lit(1)).alias("n"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "|"), 256)
+    buckets = sha.groupBy("source", F.substring("sha", 1, 4).alias("bucket")).agg(joined("sha").alias("h"), F.count(F.lit(1)).alias("k"))
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda b: b["h"]), "|")
+    return buckets.groupBy("source").agg(F.substring(F.sha2(ordered, 256), 1, 16).alias("input_hash"), F.sum("k").alias("n"))
 
 
 @query("SELECT page_id, sha256(html) AS sha256, CAST(octet_length(encode(html)) AS BIGINT) AS byte_size FROM pages")

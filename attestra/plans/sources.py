@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attestra.plans.base import query, table
-from attestra.session import shared_folder
+from attestra.session import scratch
 from attestra.sources import tables
 from attestra.streaming import ingest
 
@@ -15,7 +15,7 @@ from attestra.streaming import ingest
 @query("SELECT c_custkey, c_name, c_nationkey, c_mktsegment, CAST(round(c_acctbal, 2) AS DOUBLE) AS c_acctbal FROM customer")
 def src_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", F.round("c_acctbal", 2).alias("c_acctbal"))
-    path = f"{shared_folder(spark)}/attestra/csv-{uuid.uuid4().hex}.csv"
+    path = f"{scratch(spark)}/csv-{uuid.uuid4().hex}.csv"
     rows.write.csv(path, header=True)
     return tables.read_table(spark, path, schema=rows.schema)
 
@@ -23,7 +23,7 @@ def src_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, p_name, p_size FROM part")
 def src_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    path = f"{shared_folder(spark)}/attestra/json-{uuid.uuid4().hex}.json"
+    path = f"{scratch(spark)}/json-{uuid.uuid4().hex}.json"
     rows.write.json(path)
     return tables.read_table(spark, path, schema=rows.schema)
 
@@ -31,7 +31,7 @@ def src_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey, s_name, round(s_acctbal, 2) AS s_acctbal FROM supplier")
 def src_tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.round("s_acctbal", 2).alias("s_acctbal"))
-    path = f"{shared_folder(spark)}/attestra/tsv-{uuid.uuid4().hex}.tsv"
+    path = f"{scratch(spark)}/tsv-{uuid.uuid4().hex}.tsv"
     rows.write.csv(path, header=True, sep="\t")
     return tables.read_table(spark, path, schema=rows.schema)
 
@@ -43,7 +43,7 @@ def src_tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
       WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) GROUP BY ALL""")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stream events into a ledger twice; the second run adds nothing."""
-    base = f"{shared_folder(spark)}/attestra/stream-{uuid.uuid4().hex}"
+    base = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "events").select("event_id", "value")
     rows.write.parquet(f"{base}/in")
     for k in range(2):

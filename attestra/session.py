@@ -41,12 +41,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{shared_folder(spark)}/attestra/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application materialized, once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df to the shared folder and read it back.
 
     It cuts the lineage, survives lost executors, and gives later joins a plain scan that adaptive execution can split.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/attestra/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
