@@ -26,23 +26,30 @@ FINDINGS = f"""(SELECT method || '-' || row_id AS finding_id, method AS kind, se
   'Found by ' || method AS summary, row_id AS created_at, ['events', 'type-' || entity] AS artifact_ids, row_id, observed FROM ({ZSCORE} UNION ALL {IQR}))"""
 
 
-@query(f"SELECT finding_id, kind FROM {FINDINGS} WHERE row_id % 3 <> 0")
+@query(f"SELECT finding_id FROM (SELECT DISTINCT 'value-' || row_id AS finding_id FROM {FINDINGS} WHERE kind = 'iqr') WHERE finding_id NOT IN (SELECT 'value-' || row_id FROM {FINDINGS} WHERE kind = 'zscore')")
 def ledger_new_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = findings(spark, sf_dir)
-    return ledger.new_findings(found.filter("row_id % 3 = 0"), found.unionByName(found)).select("finding_id", "kind")
+    """A ledger of the rows found by z-score takes all findings twice: only the rows that IQR alone found are new."""
+    found = findings(spark, sf_dir).withColumn("finding_id", F.concat(F.lit("value-"), F.col("row_id").cast("string")))
+    return ledger.new_findings(found.filter("kind = 'zscore'"), found.unionByName(found)).select("finding_id")
 
 
-@query("SELECT c_custkey, round(c_acctbal + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END, 2) AS c_acctbal FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+@query("""
+  WITH n AS (SELECT o_custkey, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE), 2) AS total FROM orders GROUP BY 1)
+  SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM n) UNION ALL SELECT o_custkey, total FROM n""")
 def artifact_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    return ledger.upsert(rows.filter("c_custkey % 2 = 0"), rows.filter("c_custkey % 3 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1), "c_custkey").withColumn("c_acctbal", F.round("c_acctbal", 2))
+    """Customers' balances, replaced by the order totals of those who ordered."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
+    total = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
+    incoming = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(total, 2).alias("c_acctbal"))
+    return ledger.upsert(rows, incoming, "c_custkey")
 
 
-@query("""WITH i AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)
-  SELECT l_orderkey, 'exists' AS reason FROM i WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0) UNION ALL SELECT l_orderkey, 'repeated' FROM i WHERE n > 1""")
+@query("""WITH i AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
+  SELECT l_orderkey, 'exists' AS reason FROM i WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT l_orderkey, 'repeated' FROM i WHERE n > 1""")
 def ingest_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    existing = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
-    return ledger.ingest_conflicts(existing, table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").select("l_orderkey"), "l_orderkey")
+    """The line items' order keys come in as ids; those of finished orders are taken."""
+    existing = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return ledger.ingest_conflicts(existing, table(spark, sf_dir, "lineitem").select("l_orderkey"), "l_orderkey")
 
 
 @query("""
@@ -99,12 +106,12 @@ def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.evidence(want, values).select("finding_id", "row_id", "matched", "truncated")
 
 
-@query(f"""
-  SELECT finding_id, CASE WHEN row_id % 7 = 0 THEN 'resolved' ELSE status END AS status, CASE WHEN row_id % 14 = 0 THEN 'checked' END AS note FROM {FINDINGS}""")
+@query(f"SELECT finding_id, CASE WHEN severity = 'high' THEN 'resolved' ELSE status END AS status, CASE WHEN severity = 'high' AND kind = 'zscore' THEN 'checked' END AS note FROM {FINDINGS}")
 def apply_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A review of every finding: high ones are resolved, the others' status does not exist and is refused."""
     rows = findings(spark, sf_dir)
-    status = F.when(F.col("row_id") % 7 == 0, "resolved").otherwise("nonsense")
-    reviews = rows.filter("row_id % 7 = 0 OR row_id % 6 = 0").select("finding_id", status.alias("status"), F.when(F.col("row_id") % 14 == 0, "checked").alias("note"))
+    status = F.when(F.col("severity") == "high", "resolved").otherwise("nonsense")
+    reviews = rows.select("finding_id", status.alias("status"), F.when(F.col("kind") == "zscore", "checked").alias("note"))
     return ledger.apply_reviews(rows, reviews)[0].select("finding_id", "status", "note")
 
 
@@ -200,12 +207,12 @@ def lineage_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A case for each user of events: the types of its first events, and a label that blind runs don't see."""
-    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("case_id")).agg(F.array_sort(F.collect_set(F.when(F.col("event_id") % 4 == 0, F.col("event_type")))).alias("linked_source_ids"))
+    """A case for each user of events: the types of its events of value over 10, and a label that blind runs don't see."""
+    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("case_id")).agg(F.array_sort(F.collect_set(F.when(F.col("value") > 10, F.col("event_type")))).alias("linked_source_ids"))
     return rows.withColumn("label", F.concat(F.lit("case "), F.col("case_id").cast("string")))
 
 
-CASES = "(SELECT user_id AS case_id, list_sort(list_distinct(coalesce(list(event_type) FILTER (WHERE event_id % 4 = 0), []))) AS linked FROM events GROUP BY 1)"
+CASES = "(SELECT user_id AS case_id, list_sort(list_distinct(coalesce(list(event_type) FILTER (WHERE value > 10), []))) AS linked FROM events GROUP BY 1)"
 
 
 @query(f"SELECT case_id, array_to_string(linked, ';') AS linked FROM {CASES}")
@@ -225,15 +232,15 @@ def case_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A decision for every third event: its case is the user, its findings by the id, some of them unknown to the run."""
+    """A decision for every event: its case is the user, its findings by the id, most of them unknown to the run."""
     k = F.col("event_id")
     what = F.element_at(F.array(*map(F.lit, [*evaluation.DECISIONS, "maybe"])), (k % 5 + 1).cast("int"))
     ids = F.when(k % 2 == 0, F.array(F.concat(F.lit("iqr-"), k.cast("string")))).otherwise(F.array().cast("array<string>"))
-    return table(spark, sf_dir, "events").filter(k % 3 == 0).select(k.alias("decision_id"), F.col("user_id").alias("case_id"), what.alias("decision"), ids.alias("finding_ids"), F.col("ts").alias("decided_at"))
+    return table(spark, sf_dir, "events").select(k.alias("decision_id"), F.col("user_id").alias("case_id"), what.alias("decision"), ids.alias("finding_ids"), F.col("ts").alias("decided_at"))
 
 
 @query(f"""
-  WITH d AS (SELECT event_id AS decision_id, event_id % 5 AS w FROM events WHERE event_id % 3 = 0)
+  WITH d AS (SELECT event_id AS decision_id, event_id % 5 AS w FROM events)
   SELECT decision_id, 'unknown_decision' AS reason FROM d WHERE w = 4 UNION ALL SELECT decision_id, 'no_findings' FROM d WHERE w IN (0, 1) AND decision_id % 2 = 1
   UNION ALL SELECT decision_id, 'foreign_finding' FROM d WHERE decision_id % 2 = 0 AND 'iqr-' || decision_id NOT IN (SELECT finding_id FROM {FINDINGS})""")
 def adjudication_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +249,7 @@ def adjudication_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
   WITH c AS (SELECT case_id, len(linked) AS n FROM {CASES}),
-  d AS (SELECT user_id AS case_id, event_id % 5 AS w, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_id % 3 = 0),
+  d AS (SELECT user_id AS case_id, event_id % 5 AS w, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events),
   r AS (SELECT c.*, d.w FROM c LEFT JOIN d ON c.case_id = d.case_id AND k = 1)
   SELECT count(*) AS n_cases, count(w) AS n_adjudicated, count(*) - count(w) AS n_pending, round(count(*) FILTER (WHERE n > 0) / nullif(count(*), 0), 4) AS coverage, round(count(*) FILTER (WHERE w IN (0, 1)) / nullif(count(w), 0), 4) AS detectability FROM r""")
 def adjudication_report(spark: SparkSession, sf_dir: str) -> DataFrame:
