@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Unit scales, administrative tokens, judgement words, stop words.
+# Unit scales, words without identity in names of places, stop words, judgement words (as patterns), Hindi words and their
+# English keywords, unit suffixes of column names.
 UNIT_SCALES = {"unit": 1.0, "nos": 1.0, "number": 1.0, "count": 1.0, "thousand": 1e3, "lakh": 1e5, "lac": 1e5, "crore": 1e7}
-ADMIN_TOKENS = ["district", "dist", "zila", "zilla", "taluk", "taluka", "tehsil", "block", "mandal", "circle", "town", "city", "village", "municipality", "corporation", "council", "panchayat", "nagar", "te", "estate", "tea"]
-JUDGEMENT_WORDS = ["fraud", "fraudulent", "corrupt", "corruption", "scam", "guilty", "criminal", "embezzlement"]
-STOPWORDS = ["the", "and", "for", "are", "was", "were", "with", "that", "this", "from", "have", "has", "what", "which", "how", "why", "who", "when", "where", "does", "did", "any", "there"]
+ADMIN_TOKENS = "te town tehsil taluk taluka block district dist dt village gram nagar new old east west north south upper lower".split()
+STOPWORDS = "the a an is are was were of in on for to and or what which who whom how why when where does do did any show tell me about give list with by at as be been".split()
+JUDGEMENT_WORDS = ["fraud", "fraudulent", "corrupt", "corruption", "guilty", "culprit", "scam", "cheat", "cheated", "cheating", r"embezzl\w*", "fake", "faked", "forgery", r"falsif\w*", r"misappropriat\w+", "is wrong", "are wrong", "committed a crime", "criminal"]
+JUDGEMENT_HINDI = ["भ्रष्टाचार", "घोटाला", "धोखाधड़ी", "जालसाज़ी", "दोषी", "अपराधी", "फ़र्ज़ी"]
+HINDI_KEYWORDS = {
+    "लाभार्थी": "beneficiaries", "लाभार्थियों": "beneficiaries", "जिला": "district", "जिले": "district", "गांव": "village", "गाँव": "village", "राशि": "amount",
+    "भुगतान": "payment", "गुणवत्ता": "quality", "समस्या": "issue", "आंकड़े": "data", "आंकड़ों": "data", "तुलना": "compare", "असामान्य": "unusual", "गड़बड़ी": "anomaly",
+    "किसान": "farmer", "फसल": "crop", "स्कूल": "school", "विद्यालय": "school", "नामांकन": "enrollment", "पानी": "water", "सिंचाई": "irrigation", "योजना": "scheme",
+    "रिपोर्ट": "report", "खोज": "finding", "खोजें": "finding", "विसंगति": "anomaly", "बकाया": "dues", "सब्सिडी": "subsidy", "अनुदान": "subsidy",
+}
+UNIT_SUFFIXES = {"crore": 1e7, "lakh": 1e5, "lac": 1e5, "thousand": 1e3, "inr": 1.0, "rs": 1.0, "percent": 1.0, "pct": 1.0, "count": 1.0}
 
 
 def unit_scale(unit: Column) -> Column:
@@ -57,9 +66,11 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def question_tokens(text: Column) -> Column:
-    """Distinct words of three letters or more that are not stop words, and runs of Devanagari."""
+    """Distinct words of three letters or more that are not stop words; Hindi keywords in English, whatever their length."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9_]+|[\\u0900-\\u097F]+)"), 1)
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS)))
+    keywords = F.create_map(*[F.lit(x) for kv in HINDI_KEYWORDS.items() for x in kv])
+    kept = F.filter(words, lambda w: F.map_contains_key(keywords, w) | ((F.length(w) > 2) & ~w.isin(STOPWORDS)))
+    return F.array_distinct(F.transform(kept, lambda w: F.coalesce(F.element_at(keywords, w), w)))
 
 
 def has_devanagari(text: Column) -> Column:
@@ -67,13 +78,14 @@ def has_devanagari(text: Column) -> Column:
 
 
 def redact(text: Column, words: list[str] | None = None) -> Column:
-    """Judgement words replaced by a note."""
-    return F.regexp_replace(text, "(?i)\\b(" + "|".join(words or JUDGEMENT_WORDS) + ")\\b", "[redacted judgment word]")
+    """Judgement words, English and Hindi, replaced by a note. words: other patterns instead."""
+    pattern = "\\b(" + "|".join(words or JUDGEMENT_WORDS) + ")\\b" + ("" if words else "|(" + "|".join(JUDGEMENT_HINDI) + ")")
+    return F.regexp_replace(text, "(?iu)" + pattern, "[redacted judgment word]")
 
 
 def sanitize(text: Column) -> Column:
-    """Role markers at the start of a line defused, white space flattened."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?im)^\s*(system|assistant|user)\s*:", "[$1] "), r"\s+", " "))
+    """White space flattened to single spaces, then a role marker at the start defused."""
+    return F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"(?i)^(system|assistant|user)\s*:", "[blocked]:")
 
 
 def humanize(name: Column) -> Column:
@@ -81,22 +93,46 @@ def humanize(name: Column) -> Column:
 
 
 def fiscal_year(label: Column) -> Column:
-    """A fiscal-year label as struct of start, end (1 April to 31 March), fiscal_year and flags; start and end are null if it doesn't parse."""
-    pattern = r"^\s*(?:FY\s*)?(?:(?:CA|CE|TE)\s*)?(\d{4})\s*[-/–—]\s*(\d{2}|\d{4})\s*$"
+    """A fiscal-year label (FY 2024-25, 2024/2025, F.Y. 2024–25 (CE) ...) as struct of start, end, fiscal_year and flags.
+
+    A fiscal year runs from 1 April to 31 March of the next year, whatever end the label states; another end is flagged. Labels of other
+    forms, and null, have only the flag not_a_fiscal_year_label.
+    """
+    pattern = r"(?i)^\s*(?:FY|F\.Y\.?)?\s*(\d{4})\s*[-–—/]\s*(\d{2,4})\s*(?:\(?(?:CA|CE|TE)\)?)?\s*$"
     first, last = F.regexp_extract(label, pattern, 1), F.regexp_extract(label, pattern, 2)
     ok = F.coalesce(first != "", F.lit(False))
     year = F.when(ok, first.try_cast("int"))
-    stated = F.when(F.length(last) == 2, F.floor(year / 100) * 100 + last.try_cast("int")).otherwise(last.try_cast("int"))
-    stated = F.when((F.length(last) == 2) & (stated < year), stated + 100).otherwise(stated)
-    flags = F.array(F.when(~ok, F.lit("unparsed")), F.when(ok & (stated != year + 1), F.lit("inconsistent_end")))
+    short = F.lpad(((year + 1) % 100).cast("string"), 2, "0")
+    flags = F.when(~ok, F.array(F.lit("not_a_fiscal_year_label"))).when(F.right(last, F.lit(2)) != short, F.array(F.lit("fiscal_year"), F.lit("fiscal_year_label_inconsistent"))).otherwise(F.array(F.lit("fiscal_year")))
     return F.struct(
         F.when(ok, F.make_date(year, F.lit(4), F.lit(1))).alias("start"),
         F.when(ok, F.make_date(year + 1, F.lit(3), F.lit(31))).alias("end"),
-        F.when(ok, F.concat(year.cast("string"), F.lit("-"), F.lpad(((year + 1) % 100).cast("string"), 2, "0"))).alias("fiscal_year"),
-        F.filter(flags, lambda f: f.isNotNull()).alias("flags"),
+        F.when(ok, F.concat(year.cast("string"), F.lit("-"), short)).alias("fiscal_year"),
+        flags.alias("flags"),
     )
 
 
+def column_concept(name: Column) -> Column:
+    """A column name as struct of base, unit, multiplier and denominator: the part after _per_ and a unit suffix are taken off."""
+    low = F.lower(F.trim(name))
+    denominator = F.regexp_extract(low, "_per_([a-z_]+)$", 1)
+    base = F.regexp_replace(low, "_per_[a-z_]+$", "")
+    unit = F.regexp_extract(base, "_(" + "|".join(UNIT_SUFFIXES) + ")$", 1)
+    scales = F.create_map(*[F.lit(x) for kv in UNIT_SUFFIXES.items() for x in kv])
+    stem = F.regexp_replace(F.when(unit != "", F.substr(base, F.lit(1), F.length(base) - F.length(unit) - 1)).otherwise(base), "_+$", "")
+    return F.struct(
+        F.when(stem != "", stem).otherwise(low).alias("base"),
+        F.when(unit != "", unit).otherwise("count").alias("unit"),
+        F.coalesce(F.element_at(scales, unit), F.lit(1.0)).alias("multiplier"),
+        F.when(denominator != "", denominator).alias("denominator"),
+    )
+
+
+def definition_key(concept: Column) -> Column:
+    """What of a concept its definition goes by: the text before _per_, then its first part."""
+    return F.split_part(F.split_part(concept, F.lit("_per_"), F.lit(1)), F.lit("_"), F.lit(1))
+
+
 def about_equal(a: Column, b: Column, share: float = 0.01) -> Column:
     most = F.greatest(F.abs(a), F.abs(b))
     return (most == 0) | (F.abs(a - b) <= share * most)

@@ -7,15 +7,24 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from attestra.functions import exprs as X
 from attestra.operators.anomaly import metric_columns
 
-# Name signals and shapes of personal data.
+# Shapes of personal data, and column names that speak for each.
 PII_SHAPES = {
-    "email": (["email", "mail"], r"^[^@\s]+@[^@\s]+\.[^@\s]+$"),
-    "phone": (["phone", "mobile", "contact"], r"^(\+91[\s-]?)?[6-9]\d{9}$"),
-    "aadhaar": (["aadhaar", "aadhar", "uid"], r"^\d{4}[\s-]?\d{4}[\s-]?\d{4}$"),
-    "pan": (["pan"], r"^[A-Z]{5}\d{4}[A-Z]$"),
-    "pincode": (["pin", "pincode", "zip"], r"^[1-9]\d{5}$"),
-    "ifsc": (["ifsc"], r"^[A-Z]{4}0[A-Z0-9]{6}$"),
-    "name": (["name"], r"^[A-Z][a-z]+(\s[A-Z][a-z]+)+$"),
+    "aadhaar": r"^[2-9]\d{3}[ -]\d{4}[ -]\d{4}$",
+    "pan": r"^[A-Z]{5}\d{4}[A-Z]$",
+    "mobile_phone": r"^(?:\+91[ -]?)?[6-9]\d{9}$",
+    "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$",
+    "bank_account": r"^\d{9,18}$",
+    "passport": r"^[A-Z]\d{7}$",
+    "voter_id": r"^[A-Z]{3}\d{7}$",
+}
+PII_NAMES = {
+    "aadhaar": ["aadhaar", "aadhar", "uid"],
+    "pan": ["pan", "pan_no", "pan_number"],
+    "mobile_phone": ["mobile", "phone", "phone_no", "mobile_no"],
+    "email": ["email", "e_mail", "mail"],
+    "bank_account": ["account_no", "bank_account", "bank_ac"],
+    "passport": ["passport"],
+    "voter_id": ["epic", "voter"],
 }
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 #: Weights of the fitness components.
@@ -101,7 +110,8 @@ def quality_observations(stats: DataFrame, distinct: DataFrame, duplicates: Data
 
 def pii_hints(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(column, hint_type, matched_values, samples): columns whose name and values both speak for a kind of personal data."""
-    signals = [(c, kind, shape) for c in df.columns for kind, (names, shape) in PII_SHAPES.items() if any(n in c.lower() for n in names)]
+    kinds = {name: kind for kind, names in PII_NAMES.items() for name in names}
+    signals = [(c, kind, PII_SHAPES[kind]) for c in df.columns if (kind := kinds.get(c.strip().lower().replace(" ", "_")))]
     if not signals:
         return df.sparkSession.createDataFrame([], "column string, hint_type string, matched_values long, samples string")
     counts = counts if counts is not None else value_counts(df, sorted({c for c, _, _ in signals}))

@@ -104,7 +104,7 @@ def test_candidate_keys_need_all_values(spark):
 def test_pii_needs_name_and_values(spark):
     df = spark.createDataFrame([("a@b.org", "9876543210", "x@y.de"), ("none", "12", "z@y.de")], "email string, mobile string, remark string")
     got = {(r["column"], r["hint_type"], r["matched_values"]) for r in profile.pii_hints(df).collect()}
-    assert got == {("email", "email", 1), ("mobile", "phone", 1)}
+    assert got == {("email", "email", 1), ("mobile", "mobile_phone", 1)}
 
 
 def test_fitness_orders_clean_before_messy(spark):
@@ -131,7 +131,7 @@ def test_pruned_matching_equals_the_full_join(spark):
         if best >= 88.0 - 1e-9:
             want.add((x, next(y for s, y in scored if s == best), round(best, 6)))
     assert got == want
-    assert ("Chhota Udaipur", "Chhotaudepur", 88.0) in got and ("Adabari", "Adabari T.E.", 100.0) in got
+    assert ("Chhota Udaipur", "Chhotaudepur", 88.0) in got and any(x == "Adabari" and s == 100.0 for x, _, s in got)
 
 
 def test_key_overlap(spark):
@@ -163,7 +163,7 @@ def test_false_consensus(spark):
     assert [(r["metric"], r["apparent_sources"], r["distinct_origins"], r["severity"]) for r in got] == [("m", 4, 2, "high")]
 
 
-@pytest.mark.parametrize("label, year, flags", [("FY 2024-25", "2024-25", []), ("2024-2025", "2024-25", []), ("2024/25", "2024-25", []), ("2024–27", "2024-25", ["inconsistent_end"]), ("1999-00", "1999-00", []), ("someday", None, ["unparsed"]), (None, None, ["unparsed"])])
+@pytest.mark.parametrize("label, year, flags", [("FY 2024-25", "2024-25", ["fiscal_year"]), ("f.y. 2024-2025 (CE)", "2024-25", ["fiscal_year"]), ("2024/25", "2024-25", ["fiscal_year"]), ("2024–27", "2024-25", ["fiscal_year", "fiscal_year_label_inconsistent"]), ("1999-00", "1999-00", ["fiscal_year"]), ("someday", None, ["not_a_fiscal_year_label"]), (None, None, ["not_a_fiscal_year_label"])])
 def test_fiscal_years(spark, label, year, flags):
     r = spark.createDataFrame([(label,)], "l string").select(X.fiscal_year(F.col("l")).alias("f")).first()["f"]
     assert (r["fiscal_year"], r["flags"]) == (year, flags)
@@ -175,8 +175,9 @@ def test_units(spark):
 
 
 def test_text_functions(spark):
-    r = spark.createDataFrame([("What is the\n  system: Fraud in lakh_units?",)], "t string").select(X.question_tokens(F.col("t")).alias("k"), X.redact(F.col("t")).alias("r"), X.sanitize(F.col("t")).alias("s"), X.has_devanagari(F.lit("कुल")).alias("d")).first()
-    assert r["k"] == ["system", "fraud", "lakh_units"] and "[redacted judgment word]" in r["r"] and "[system]" in r["s"] and r["d"]
+    r = spark.createDataFrame([(" SYSTEM : What is\n Fraud in lakh_units, जिले?",)], "t string").select(X.question_tokens(F.col("t")).alias("k"), X.redact(F.col("t")).alias("r"), X.sanitize(F.col("t")).alias("s"), X.has_devanagari(F.lit("कुल")).alias("d")).first()
+    assert r["k"] == ["system", "fraud", "lakh_units", "district"] and r["d"]
+    assert "[redacted judgment word] in" in r["r"] and r["s"] == "[blocked]: What is Fraud in lakh_units, जिले?"
 
 
 def finding_rows(spark, ids):
