@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from attestra.functions import exprs as X
@@ -81,6 +83,16 @@ def column_stats(df: DataFrame, approx_quantiles: bool = False) -> DataFrame:
     return one.select(F.inline(F.array(*rows)))
 
 
+def nearest_quantiles(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Quantiles that are values of the column: the one at the nearest rank to (n - 1) q, upper at a tie. Two passes: counts, then ranks."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, " + ", ".join(f"p{round(100 * q)} double" for q in QUANTILES))
+    n = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    at = lambda c, q: math.floor((n[c] - 1) * q + 0.5) / (n[c] - 1) if n[c] > 1 else 0.0
+    one = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(at(c, q)) for q in QUANTILES])).alias(c) for c in columns])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(c)[k].alias(f"p{round(100 * q)}") for k, q in enumerate(QUANTILES)]) for c in columns])))
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: row_count, duplicate_rows (rows less distinct rows; nulls are equal)."""
     return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n_")).agg(F.coalesce(F.sum("n_"), F.lit(0)).alias("row_count"), F.coalesce(F.sum(F.col("n_") - 1), F.lit(0)).alias("duplicate_rows"))

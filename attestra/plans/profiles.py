@@ -38,6 +38,12 @@ def profile_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.column_stats(orders(spark, sf_dir).select(*NUMERIC)).select("column", *[F.round(f"p{p}", 2).alias(f"p{p}") for p in (5, 25, 50, 75, 95)])
 
 
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}', " + ", ".join(f"xs[CAST(floor((len(xs) - 1) * {q} + 0.5) AS BIGINT) + 1]" for q in profile.QUANTILES) + f" FROM (SELECT list_sort(list(CAST({c} AS DOUBLE))) AS xs FROM orders)" for c in NUMERIC) + ') t("column", p5, p25, p50, p75, p95)')
+def profile_quantiles_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = profile.nearest_quantiles(orders(spark, sf_dir), NUMERIC)
+    return rows.select("column", *[F.round(f"p{p}", 2).alias(f"p{p}") for p in (5, 25, 50, 75, 95)])
+
+
 @query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS unique_count FROM orders" for c in COLUMNS))
 def profile_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.distinct_counts(profile.value_counts(orders(spark, sf_dir)))
