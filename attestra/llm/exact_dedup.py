@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from attestra.session import materialize
+
 RUNS, FANOUT = 256, 16
 KEY = ["_digest", "_check", "_size"]
 
@@ -35,8 +37,9 @@ def merge_tree(rows: DataFrame, keep: str, runs: int, fanout: int) -> list[DataF
 
 
 def run_rows(docs: DataFrame, id_col: str, text_col: str, runs: int) -> DataFrame:
+    """_id, _run and KEY of every row, dealt by _run and KEY. Texts are read once; every level works on this narrow table."""
     rows = docs.select(F.col(id_col).alias("_id"), *digest_columns(F.col(text_col)))
-    return rows.withColumn("_run", F.pmod(F.xxhash64("_id"), F.lit(runs))).repartition("_run", *KEY)
+    return materialize(rows.withColumn("_run", F.pmod(F.xxhash64("_id"), F.lit(runs))), "digests").repartition("_run", *KEY)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", runs: int = RUNS, fanout: int = FANOUT) -> DataFrame:
