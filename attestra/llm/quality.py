@@ -2,7 +2,7 @@
 labels train a linear scorer over hashed word shapes.
 
 Votes of all documents are counted by pattern (3 to the number of labellers at most), so only a bounded table reaches the driver. The
-scorer learns from at most ``sample`` documents; a document's features are the shares of its words' shapes ("Aa", "a", "a*", "A!" ...)
+scorer learns from about ``sample`` documents; a document's features are the shares of its words' shapes ("Aa", "a", "a*", "A!" ...)
 and steps of a few ratios, hashed to ``SIZE`` places.
 """
 
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from attestra.llm.weak_labels import LabelModel, Rows, fit_linear, sigmoid
+from attestra.llm.weak_labels import LabelModel, Rows, fit_linear, hashed_sample, sigmoid
 from attestra.session import materialize
 
 SIZE, SAMPLE, LEAST_WORDS = 1024, 20_000, 8
@@ -120,7 +120,8 @@ class Quality:
     def __init__(self, measured: DataFrame, sample: int = SAMPLE):
         patterns = [(r["votes"], r["count"]) for r in measured.groupBy("votes").count().collect()]  # at most 3 ** len(LABELLERS) rows
         self.labels = LabelModel([p for p, _ in patterns], [n for _, n in patterns], prior=0.8)
-        rows = measured.orderBy(F.xxhash64("id", "votes"), "id").limit(sample).select("votes", "features", "values").collect()
+        chosen = hashed_sample(measured, ["id", "votes"], sum(n for _, n in patterns), sample)
+        rows = sorted(chosen.select("votes", "features", "values").collect())
         target = self.labels.posterior([r["votes"] for r in rows])
         spoken = np.array([any(v != "0" for v in r["votes"]) for r in rows], float)
         self.weights, self.bias = fit_linear(Rows([r["features"] for r in rows], [r["values"] for r in rows]), target, SIZE, weight=spoken + 1e-3)

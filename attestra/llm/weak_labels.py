@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+from pyspark.sql import DataFrame, functions as F
 
 #: A labeller's votes: against, for, none.
 VOTES = "-+0"
 
 
+def hashed_sample(rows: DataFrame, keys: list[str], total: int, most: int) -> DataFrame:
+    """About ``most`` of ``total`` rows (all, if there are no more), by a hash of keys. Each task filters its own rows; none are sorted."""
+    if total <= most:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(1_000_000)) < math.ceil(1_000_000 * most / total))
+
+
 def vote_matrix(patterns: list[str]) -> np.ndarray:
-    return np.array([[VOTES.index(v) for v in p] for p in patterns], np.int64).reshape(len(patterns), -1)
+    return np.array([[VOTES.index(v) for v in p] for p in patterns], np.int64).reshape(len(patterns), len(patterns[0]) if patterns else 0)
 
 
 class LabelModel:
