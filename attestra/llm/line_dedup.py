@@ -44,7 +44,7 @@ def drop_boilerplate(docs: DataFrame, host: Column, id_col: str = "doc_id", text
     own = F.struct(*docs.columns).alias("_doc")
     rows = docs.select(own, F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     hashes = F.filter(F.array_distinct(F.transform(lines_of(F.col("text")), hashed)), lambda x: x.isNotNull())
-    pages = rows.select("host", "id", "h", hashes.alias("lines"))
+    pages = materialize(rows.select("host", "id", "h", hashes.alias("lines")), "lines")
     bad = materialize(boilerplate(pages, ratio, least), "boilerplate")
     hits = pages.select("host", "id", "h", F.explode("lines").alias("line")).join(bad, ["host", "line"])
     hits = hits.groupBy("host", "id", "h").agg(F.collect_set("line").alias("bad")).withColumnsRenamed({"host": "_host", "id": "_id", "h": "_h"})
