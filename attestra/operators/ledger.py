@@ -68,8 +68,8 @@ def facets(ledger: DataFrame, most_files: int = 6) -> DataFrame:
 
 def dashboard(ledger: DataFrame) -> DataFrame:
     """Counts by severity, by kind and in all, with the open ones, in one pass by grouping sets."""
-    ledger.createOrReplaceTempView("attestra_ledger")
-    return ledger.sparkSession.sql("SELECT severity, kind, count(*) AS n, count_if(status = 'open') AS n_open FROM attestra_ledger GROUP BY GROUPING SETS ((severity), (kind), ())")
+    severity, kind = F.col("severity"), F.col("kind")
+    return ledger.groupingSets([[severity], [kind], []], severity, kind).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "open").alias("n_open"))
 
 
 def evidence(findings: DataFrame, values: DataFrame, most: int = 25) -> DataFrame:

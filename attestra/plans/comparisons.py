@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attestra.functions import exprs as X
 from attestra.operators import compare
 from attestra.plans.base import query, table
 
