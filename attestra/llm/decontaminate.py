@@ -11,7 +11,6 @@ are merged from pass to pass in the row itself, so no shuffle is needed and docu
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
