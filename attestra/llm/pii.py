@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from attestra.llm.weak_labels import LabelModel, Rows, fit_linear, sigmoid
+from attestra.llm.weak_labels import LabelModel, Rows, fit_linear, hashed_sample, sigmoid
 from attestra.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -187,7 +187,8 @@ class SpanModel:
         for kind in {r["kind"] for r in counted}:
             own = sorted((r["votes"], r["count"]) for r in counted if r["kind"] == kind)
             self.labels[kind] = LabelModel([v for v, _ in own], [n for _, n in own], prior=0.3)
-        rows = spans.orderBy(F.xxhash64("id", "kind", "b"), "id", "b").limit(sample).collect()
+        chosen = hashed_sample(spans, ["id", "kind", "b"], sum(r["count"] for r in counted), sample)
+        rows = sorted(chosen.select("kind", "votes", "x").collect())
         target = np.array([float(self.labels[r["kind"]].posterior([r["votes"]])[0]) for r in rows])
         self.weights, self.bias = fit_linear(Rows([r["x"] for r in rows]), target, SIZE, l2=1e-3, rounds=300)
 
@@ -203,7 +204,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     """One row per input row: id and ``found``, an array of (kind, b, e, base): all spans by kind as in KINDS (then other kinds), then start.
 
     Positions count code points, ends are exclusive. Null texts count as empty and have no spans. Texts of any length are searched whole.
-    The span classifier learns from at most ``sample`` spans. Other columns of docs are not read. An empty table gives no rows.
+    The span classifier learns from about ``sample`` spans. Other columns of docs are not read. An empty table gives no rows.
     """
     examined = materialize(examine(docs, id_col, text_col), "pii")
     model = docs.sparkSession.sparkContext.broadcast(SpanModel(examined, sample))
