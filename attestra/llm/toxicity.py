@@ -1,7 +1,7 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A logistic model over the words of a text learns from at most ``sample`` labelled documents. Each of them that names a group gives a second
-text in which the term is swapped for another of the same kind; the squared change of the score is penalised. So a mention of a group
+A logistic model over the words of a text learns from about ``sample`` labelled documents. Each of them that names a group gives further
+texts in which the term is swapped, for another of the same kind and for a neutral word; the squared change of the score is penalised. So a mention of a group
 moves the score little by itself, and neutral mentions are not taken for toxic ones.
 """
 
@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from attestra.llm.decontaminate import words_of
-from attestra.llm.weak_labels import Rows, fit_linear, sigmoid
+from attestra.llm.weak_labels import Rows, fit_linear, hashed_sample, sigmoid
 
 SAMPLE, VOCABULARY, LEAST_DOCS = 20_000, 512, 5
-L2, TIE = 1e-4, 5.0
+L2, TIE = 2e-5, 5.0
 #: Identity terms, by kind; terms of a line are swapped for one another.
 IDENTITY = [line.split() for line in """
 muslim christian jewish hindu buddhist atheist catholic sikh
@@ -42,20 +42,25 @@ mujeres hombres niñas niños
 """.split("\n") if line]
 
 
-def swap_terms(words: set[bytes]) -> set[bytes] | None:
-    """The words with every identity term replaced by the next of its kind; None if there is no term."""
+#: What stands for a group without naming one.
+NEUTRAL = "people"
+
+
+def swap_terms(words: set[bytes]) -> list[set[bytes]]:
+    """The words with every identity term replaced, once by the next of its kind, once by a neutral word; nothing if there is no term."""
     swaps = {}
     for kind in IDENTITY:
         for a, b in zip(kind, kind[1:] + kind[:1]):
             if a.encode() in words:
                 swaps[a.encode()] = b.encode()
-    return (words - set(swaps)) | set(swaps.values()) if swaps else None
+    rest = words - set(swaps)
+    return [rest | set(swaps.values()), rest | {NEUTRAL.encode()}] if swaps else []
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, train: Column, sample: int) -> DataFrame:
     """words (distinct) and toxic of the sampled labelled documents. The sample is bounded, so it is broadcast to the documents."""
     chosen = labels.filter("toxic IS NOT NULL").filter(train).select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("toxic"))
-    chosen = chosen.groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    chosen = hashed_sample(chosen, ["_id"], chosen.count(), sample).groupBy("_id").agg(F.max("toxic").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,15 +82,15 @@ class Toxicity:
         score = (F.col("p") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1)
         words = words.filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc(F.abs(score)), "word").limit(vocabulary)
         known = [r["word"].encode() for r in words.select("word").collect()]
-        known += sorted({t.encode() for kind in IDENTITY for t in kind} - set(known))
+        known += sorted({t.encode() for kind in [*IDENTITY, [NEUTRAL]] for t in kind} - set(known))
         place = {w: i for i, w in enumerate(known)}
         named = F.broadcast(rows.sparkSession.createDataFrame([(w.decode(), i) for w, i in place.items()], "word string, i int"))
         sparse = rows.withColumn("_r", F.monotonically_increasing_id()).select("_r", "toxic", F.explode_outer("words").alias("word")).join(named, "word", "left")
-        found = sparse.groupBy("_r").agg(F.max("toxic").alias("toxic"), F.collect_list("i").alias("x")).select("toxic", "x").collect()  # at most ``sample`` rows
+        found = sparse.groupBy("_r").agg(F.max("toxic").alias("toxic"), F.collect_list("i").alias("x")).select("toxic", "x").collect()  # about ``sample`` rows
         rows.unpersist()
         found.sort(key=lambda r: (r["toxic"], sorted(r["x"])))
         x = [sorted(r["x"]) for r in found]
-        pairs = [(a, sorted(place[w] for w in b if w in place)) for a in x if (b := swap_terms({known[i] for i in a}))]
+        pairs = [(a, sorted(place[w] for w in b if w in place)) for a in x for b in swap_terms({known[i] for i in a})]
         y = np.array([r["toxic"] for r in found], float)
         both = (Rows([a for a, _ in pairs]), Rows([b for _, b in pairs])) if pairs else None
         rare = np.where(y == 1, np.sqrt(max(1.0, (len(y) - y.sum()) / max(1.0, y.sum()))), 1.0)  # toxic texts are few
@@ -99,7 +104,7 @@ class Toxicity:
 def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, vocabulary: int = VOCABULARY, tie: float = TIE) -> DataFrame:
     """One row per input row: id, score (0 to 1; higher: more likely toxic) and predicted (1 from 0.5 on).
 
-    labels: id, toxic; learned from where ``train`` holds, at most ``sample`` rows (documents labelled twice count once, toxic if either
+    labels: id, toxic; learned from where ``train`` holds, about ``sample`` rows (documents labelled twice count once, toxic if either
     is). A score depends on the text alone: null and empty texts have the score of a text without known words. Without labels all score 0.5.
     """
     model = docs.sparkSession.sparkContext.broadcast(Toxicity(training_rows(docs, labels, id_col, text_col, train, sample), vocabulary, tie))
