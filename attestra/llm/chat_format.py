@@ -63,16 +63,15 @@ def format_conversations(turns: DataFrame, template: dict = TEMPLATE) -> DataFra
     empty = F.lit("")
     turns = turns.select("conv_id", "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
     trained = [r for r, (_, loss) in template["roles"].items() if loss]
-    turns = turns.withColumn("open", opening(F.col("role"), template)).withColumn("body", escape(F.col("text"), template))
-    turns = turns.withColumn("segments", F.array(
-        F.struct(F.col("open").alias("text"), F.lit(False).alias("loss")),
-        F.struct(F.col("body").alias("text"), F.col("role").isin(trained).alias("loss")),
-        F.struct(F.lit(template["end"]).alias("text"), F.lit(False).alias("loss")),
-    ))
-    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "segments"))).alias("t"))
+    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+
+    def segments(t: Column) -> Column:
+        own = ((opening(t["role"], template), F.lit(False)), (escape(t["text"], template), t["role"].isin(trained)), (F.lit(template["end"]), F.lit(False)))
+        return F.array(*[F.struct(text.alias("text"), loss.alias("loss")) for text, loss in own])
+
     rows = rows.select(
         "conv_id",
-        F.flatten(F.transform("t", lambda t: t["segments"])).alias("segments"),
+        F.flatten(F.transform("t", segments)).alias("segments"),
         F.aggregate(F.transform("t", lambda t: t["role"]), F.lit("start"), lambda s, r: next_state(s, r, template)).isin(template["last"]).alias("valid"),
     )
     return rows.select("conv_id", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "valid")
