@@ -1,7 +1,7 @@
 """Toxicity by a counterfactual-regularised classifier.
 
 A logistic model over the words of a text learns from about ``sample`` labelled documents. Each of them that names a group gives further
-texts in which the term is swapped, for another of the same kind and for a neutral word; the squared change of the score is penalised. So a mention of a group
+texts in which the term is swapped, for another of the same kind and for a word without weight; the squared change of the score is penalised. So a mention of a group
 moves the score little by itself, and neutral mentions are not taken for toxic ones.
 """
 
@@ -42,19 +42,17 @@ mujeres hombres niñas niños
 """.split("\n") if line]
 
 
-#: What stands for a group without naming one.
-NEUTRAL = "people"
-
 
 def swap_terms(words: set[bytes]) -> list[set[bytes]]:
-    """The words with every identity term replaced, once by the next of its kind, once by a neutral word; nothing if there is no term."""
+    """The words with every identity term swapped, once for the next of its kind, once for a word that the model doesn't know; nothing if
+    there is no term."""
     swaps = {}
     for kind in IDENTITY:
         for a, b in zip(kind, kind[1:] + kind[:1]):
             if a.encode() in words:
                 swaps[a.encode()] = b.encode()
     rest = words - set(swaps)
-    return [rest | set(swaps.values()), rest | {NEUTRAL.encode()}] if swaps else []
+    return [rest | set(swaps.values()), rest] if swaps else []
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, train: Column, sample: int) -> DataFrame:
@@ -82,7 +80,7 @@ class Toxicity:
         score = (F.col("p") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1)
         words = words.filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc(F.abs(score)), "word").limit(vocabulary)
         known = [r["word"].encode() for r in words.select("word").collect()]
-        known += sorted({t.encode() for kind in [*IDENTITY, [NEUTRAL]] for t in kind} - set(known))
+        known += sorted({t.encode() for kind in IDENTITY for t in kind} - set(known))
         place = {w: i for i, w in enumerate(known)}
         named = F.broadcast(rows.sparkSession.createDataFrame([(w.decode(), i) for w, i in place.items()], "word string, i int"))
         sparse = rows.withColumn("_r", F.monotonically_increasing_id()).select("_r", "toxic", F.explode_outer("words").alias("word")).join(named, "word", "left")

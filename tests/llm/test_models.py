@@ -54,7 +54,7 @@ def labelled(spark):
             words.insert(9, rng.choice(["women", "muslims", "immigrants"]))
         docs.append((i, " ".join(words)))
         labels.append((i, int(toxic)))
-    docs.append((1000, "women river bridge market town valley street garden house men"))
+    docs += [(1000, "women river bridge market town valley street garden house men"), (1001, "women river bridge market town")]
     return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
 
 
@@ -64,7 +64,7 @@ def test_toxicity_spares_neutral_mentions(labelled):
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
     held = [i for i in truth if i % 5 == 0]
     assert np.mean([(scores[5.0][i] >= 0.5) == truth[i] for i in held]) > 0.95
-    assert scores[5.0][1000] < 0.5
+    assert scores[5.0][1000] < 0.5 and scores[5.0][1001] < 0.5 * scores[0.0][1001]
 
 
 def test_toxicity_of_odd_rows(labelled, odd, empty):
