@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from attestra.llm.batches import slices
 from attestra.llm.cutting_stock import whole_patterns
 from attestra.llm.word_ids import encoder_for
 from attestra.session import materialize
@@ -40,7 +41,7 @@ def measured(docs: DataFrame, spec, length: int, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(spec.value)
-        for batch in batches:
+        for batch in slices(batches):
             ns, crcs = [], []
             for text in batch.column(3).to_pylist():
                 ids = encoder.encode(text) + end
@@ -58,7 +59,7 @@ def encoded(docs: DataFrame, spec, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(spec.value)
-        for batch in batches:
+        for batch in slices(batches):
             ids = pa.array([encoder.encode(t) + end for t in batch.column(3).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], ids], ["id", "h", "ids"])
 

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from attestra.llm.batches import slices
 from attestra.llm.weak_labels import LabelModel, Rows, fit_linear, hashed_sample, sigmoid
 from attestra.session import materialize
 
@@ -101,7 +102,7 @@ def measure(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, votes, features, values of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for text in batch.column(1).to_pylist():
                 values = ratios(text or "")
@@ -163,7 +164,7 @@ def drop_low_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = model.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             values = [ratios(t) for t in texts]
             found = [features(t, v) for t, v in zip(texts, values)]
