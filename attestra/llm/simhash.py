@@ -131,9 +131,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4, size: int = 4) -> DataFrame:
-    """docs with one row of each component (the smallest id, of equal ids one row), all columns as they were."""
-    stay = near_duplicates(docs, id_col, text_col, most, size).select(F.col(id_col).alias("_id"), "component_id")
+def keep_smallest(docs: DataFrame, components: DataFrame, id_col: str) -> DataFrame:
+    """components: id_col, component_id of every row. docs with one row of each component (the smallest id, of equal ids one row)."""
+    stay = components.select(F.col(id_col).alias("_id"), "component_id")
     stay = stay.filter(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct()
     keyed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).alias("_id"))
     return keyed.join(stay, keyed["_id"].eqNullSafe(stay["_id"]), "left_semi").dropDuplicates(["_id"]).select("_doc.*")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4, size: int = 4) -> DataFrame:
+    """docs with one row of each component (the smallest id, of equal ids one row), all columns as they were."""
+    return keep_smallest(docs, near_duplicates(docs, id_col, text_col, most, size), id_col)
