@@ -2,46 +2,46 @@
 
 A fingerprint's 64 bits are cut into 32 segments of two bits. Its embedding is the vector of the segments' bit counts (0, 1 or 2); the
 Manhattan distance of two embeddings never exceeds the Hamming distance of the fingerprints. Counts are written in unary (00, 01, 11),
-so that this distance is the number of differing bits of two 64-bit words. The segments form three bands: of at most four differing bits
-some band has at most one, so two fingerprints that link are, in some band, in the same grid cell or in cells one step apart. The join
-meets each cell with itself and with the cells one step up; what it finds is held against the Manhattan bound, then against the bits.
+so that this distance is the number of differing bits of two 64-bit words.
+
+The segments form blocks. Of at most ``most`` differing bits at most ``most`` blocks have other counts, so two fingerprints that link
+agree in all counts of some choice of blocks: every choice is a grid, and a fingerprint's counts in its blocks are its cell. What shares a cell
+is held against the Manhattan bound, then against the bits. Any number of blocks above ``most`` finds all links; more blocks make smaller
+cells and more of them, so their number follows the number of fingerprints (``blocks_for``).
 
 A first pass links fingerprints that sit side by side in a narrow cell and contracts them; the grid join then only returns links between
 different contracted groups, so a large group of near copies does not turn into all its pairs.
+
+With ``similarity`` texts link by the Jaccard similarity of their shingle sets instead (attestra.llm.similarity).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from attestra.llm.batches import bounded
 from attestra.llm.components import connected_components
-from attestra.llm.xxh64 import hash_ranges
+from attestra.llm.rows import first_row, keep_first, text_hash
+from attestra.llm.similarity import Similar
+from attestra.llm.xxh64 import shingle_hashes
 from attestra.session import materialize
 
 SEED, BITS = 42, 64
-#: First and last segment of each band.
+#: First and last segment of each band of the first pass.
 BANDS = ((0, 10), (11, 21), (22, 31))
-#: Shingles hashed at once, a bound on memory.
-BLOCK = 1 << 16
 
 
 def bit_sums(words: list[bytes], size: int) -> tuple[np.ndarray, int]:
     """How often each bit (most significant first) is set among the hashes of the words' shingles, and the number of shingles."""
-    sums, total = np.zeros(BITS, np.int64), max(1, len(words) - size + 1)
-    for first in range(0, total, BLOCK):
-        part = words[first : first + BLOCK + size - 1]
-        joined = b" ".join(part)
-        lengths = np.fromiter(map(len, part), np.int64, len(part))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
-        k = max(1, len(part) - size + 1)
-        ends = ends[len(part) - k :]
-        hashes = hash_ranges(joined + bytes(8), starts[:k], ends - starts[:k], SEED)
+    sums, total = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(words, size, SEED):
         sums += np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
+        total += len(hashes)
     return sums, total
 
 
@@ -55,15 +55,16 @@ def fingerprint(text: str | None, size: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """(id, fp): the fingerprint of every whole text. Null texts have no words, so fingerprint zero."""
+    """(id, h, fp): the hash and the fingerprint of every whole text. Null texts have no words, so fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([fingerprint(t, size) for t in batch.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["id", "fp"])
+            fps = pa.array([fingerprint(t, size) for t in batch.column(2).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], ["id", "h", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    return bounded(rows).mapInArrow(run, f"id {kind}, h long, fp long")
 
 
 def unary(fp: Column) -> Column:
@@ -74,21 +75,6 @@ def unary(fp: Column) -> Column:
     return low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
-def cells(nodes: DataFrame, step: bool) -> DataFrame:
-    """Each fingerprint's cell in each band; with step also the cells one step up. The band's number is in the cell's low bits."""
-
-    def of(emb: str, band: int) -> str:
-        low, high = BANDS[band]
-        own = f"(shiftrightunsigned({emb}, {2 * low}) & {(1 << (2 * (high - low + 1))) - 1}L)"
-        if not step:
-            return f"array({own} * 4 + {band})"
-        up = f"transform(sequence(0, {high - low}), s -> {own} | shiftleft(((shiftrightunsigned({own}, 2 * s) & 3L) * 2 + 1) & 3L, 2 * s))"
-        return f"transform(concat(array({own}), filter({up}, c -> c <> {own})), c -> c * 4 + {band})"
-
-    rows = nodes.withColumn("cell", F.explode(F.expr(f"concat({', '.join(of('emb', b) for b in range(len(BANDS)))})")))
-    return rows
-
-
 def side_by_side(nodes: DataFrame, most: int) -> DataFrame:
     """Links between neighbours in the order of fingerprints within a cell of two bands (cheap; not all links)."""
     out = None
@@ -100,45 +86,69 @@ def side_by_side(nodes: DataFrame, most: int) -> DataFrame:
     return out
 
 
-def links(nodes: DataFrame, most: int = 4) -> DataFrame:
-    """nodes: (fp, emb, grp). Links (a, b) at ``most`` or fewer differing bits between fingerprints of different grp, each at least once."""
-    if most >= 2 * len(BANDS):
-        raise ValueError(f"{len(BANDS)} bands find links of fewer than {2 * len(BANDS)} differing bits")
-    left = cells(nodes, step=False).selectExpr("cell", "fp AS a", "emb AS ea", "grp AS ga")
-    right = cells(nodes, step=True).selectExpr("cell", "fp AS b", "emb AS eb", "grp AS gb")
-    near = F.expr(f"ga <> gb AND bit_count(ea ^ eb) <= {most} AND bit_count(a ^ b) <= {most}")
-    return left.join(right, (left["cell"] == right["cell"]) & near).select("a", "b")
+def grid(blocks: int, most: int) -> list[int]:
+    """A mask over the embedding for each choice of ``blocks - most`` of the blocks."""
+    edges = [32 * i // blocks for i in range(blocks + 1)]
+    parts = [((1 << 2 * (high - low)) - 1) << 2 * low for low, high in zip(edges, edges[1:])]
+    return [sum(parts[i] for i in chosen) for chosen in combinations(range(blocks), blocks - most)]
+
+
+def blocks_for(n: int, most: int) -> int:
+    """The fewest blocks with which a fingerprint of ``n`` shares its cells with about as many others as it has cells, or fewer.
+
+    Two random bits have counts 0, 1, 2 in shares 1/4, 1/2, 1/4, so two segments agree with a chance of 3/8.
+    """
+    for blocks in range(most + 1, 2 * most + 5):
+        masks = grid(blocks, most)
+        if n / 2 * sum(0.375 ** (m.bit_count() // 2) for m in masks) <= len(masks):
+            break
+    return blocks
+
+
+def links(nodes: DataFrame, most: int = 4, blocks: int | None = None) -> DataFrame:
+    """nodes: (fp, grp). Links (a, b) at ``most`` or fewer differing bits between fingerprints of different grp, each at least once."""
+    masks = [m - 2**64 if m >= 2**63 else m for m in grid(blocks or blocks_for(nodes.count(), most), most)]
+    cells = nodes.select("fp", "grp", F.posexplode(F.array(*map(F.lit, masks))).alias("choice", "mask"))
+    cells = cells.select("choice", unary(F.col("fp")).bitwiseAND(F.col("mask")).alias("cell"), "fp", "grp")
+    a, b = (cells.select("choice", "cell", F.col("fp").alias(x), F.col("grp").alias(f"g{x}")) for x in "ab")
+    bound = F.bit_count(unary(F.col("a")).bitwiseXOR(unary(F.col("b")))) <= most
+    near = F.expr("a < b AND ga <> gb") & bound & F.expr(f"bit_count(a ^ b) <= {most}")
+    return a.join(b, ["choice", "cell"]).filter(near).select("a", "b")
+
+
+class Linked:
+    """rows: id, h and fp of every row; names: fp and ``first``, the row that stands for its component."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, most: int, size: int):
+        self.rows = materialize(fingerprints(docs, id_col, text_col, size), "fingerprints")
+        nodes = materialize(self.rows.groupBy("fp").agg(F.min(first_row()).alias("least")), "nodes")
+        chained = connected_components(side_by_side(nodes.select("fp", unary(F.col("fp")).alias("emb")), most))
+        grouped = nodes.join(chained.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("grp"))
+        grouped = materialize(grouped, "grouped")
+        found = connected_components(grouped.filter("fp <> grp").selectExpr("fp AS a", "grp AS b").union(links(grouped, most)))
+        named = nodes.join(found.withColumnRenamed("node", "fp"), "fp").select("fp", "component", "least")
+        names = named.groupBy("component").agg(F.min("least").alias("first"))
+        names = named.select("fp", "component").join(names, "component").select("fp", "first")
+        self.names = materialize(nodes.join(names, "fp", "left").select("fp", F.coalesce("first", "least").alias("first")), "names")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4, size: int = 4) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable over links, its own included).
 
-    Fingerprints link at ``most`` or fewer differing bits (up to 5). Null and empty texts have fingerprint zero and link like any other.
-    Null ids never name a component that has another id. Rows that repeat an id are rows of their own. Other columns of docs are not read.
+    Fingerprints link at ``most`` or fewer differing bits. Null and empty texts have fingerprint zero and link like any other. Null ids never
+    name a component that has another id. Rows that repeat an id are rows of their own. Other columns of docs are not read. An empty table
+    gives no rows.
+    """
+    found = Linked(docs, id_col, text_col, most, size)
+    out = found.rows.join(found.names, "fp")
+    return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4, size: int = 4, similarity: float | None = None) -> DataFrame:
+    """docs with one row of each component, all columns as they were: the row of the smallest id, of equal ids one by the hash of its text.
+
+    Rows link as in ``near_duplicates``, or, with ``similarity``, at that Jaccard similarity of their sets of ``size``-word shingles. Rows of
+    equal (also null) ids and different texts are told apart; rows that repeat an id and text leave one row.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("least")).withColumn("emb", unary(F.col("fp")))
-    nodes = materialize(nodes, "nodes")
-    chained = connected_components(side_by_side(nodes, most))
-    grouped = materialize(nodes.join(chained.withColumnRenamed("node", "fp"), "fp", "left").selectExpr("fp", "emb", "coalesce(component, fp) AS grp"), "grouped")
-    joined = grouped.filter("fp <> grp").selectExpr("fp AS a", "grp AS b").union(links(grouped, most))
-    found = connected_components(joined)
-    named = nodes.join(found.withColumnRenamed("node", "fp"), "fp").select("fp", "component", "least")
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = named.select("fp", "component").join(names, "component").select("fp", "component_id")
-    names = nodes.join(names, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    out = rows.join(materialize(names, "names"), "fp")
-    return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_smallest(docs: DataFrame, components: DataFrame, id_col: str) -> DataFrame:
-    """components: id_col, component_id of every row. docs with one row of each component (the smallest id, of equal ids one row)."""
-    stay = components.select(F.col(id_col).alias("_id"), "component_id")
-    stay = stay.filter(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct()
-    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).alias("_id"))
-    return keyed.join(stay, keyed["_id"].eqNullSafe(stay["_id"]), "left_semi").dropDuplicates(["_id"]).select("_doc.*")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4, size: int = 4) -> DataFrame:
-    """docs with one row of each component (the smallest id, of equal ids one row), all columns as they were."""
-    return keep_smallest(docs, near_duplicates(docs, id_col, text_col, most, size), id_col)
+    found = Linked(docs, id_col, text_col, most, size) if similarity is None else Similar(docs, id_col, text_col, similarity, size)
+    return keep_first(docs, found.rows, found.names, id_col, text_col)

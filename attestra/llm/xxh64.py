@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 
+#: Shingles hashed at once, a bound on memory.
+BLOCK = 1 << 16
+
 # Fixed values of the XXH64 specification.
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
 #: Ranges longer than this are hashed one by one.
@@ -66,3 +71,15 @@ def hash_ranges(buffer: bytes, start: np.ndarray, size: np.ndarray, seed: int) -
     for i in np.flatnonzero(size > LONG):
         out[i] = xxhash.xxh64_intdigest(buffer[start[i] : start[i] + size[i]], seed)
     return out
+
+
+def shingle_hashes(words: list[bytes], size: int, seed: int) -> Iterator[np.ndarray]:
+    """The hashes of all shingles of ``size`` words, space-joined, a block at a time; fewer words are one shingle, none give nothing."""
+    total = max(1, len(words) - size + 1) if words else 0
+    for first in range(0, total, BLOCK):
+        part = words[first : first + BLOCK + size - 1]
+        lengths = np.fromiter(map(len, part), np.int64, len(part))
+        ends = np.cumsum(lengths + 1) - 1
+        starts = ends - lengths
+        k = max(1, len(part) - size + 1)
+        yield hash_ranges(b" ".join(part) + bytes(8), starts[:k], ends[len(part) - k :] - starts[:k], seed)

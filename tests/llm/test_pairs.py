@@ -80,8 +80,8 @@ def union(pairs, nodes):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("most", [0, 1, 4, 5])
-def test_links_lose_nothing(spark, most):
+@pytest.mark.parametrize("most, blocks", [(0, None), (1, None), (4, None), (4, 7), (4, 8), (5, None)])
+def test_links_lose_nothing(spark, most, blocks):
     rng = random.Random(most)
     fps = set()
     for _ in range(25):
@@ -92,8 +92,8 @@ def test_links_lose_nothing(spark, most):
                 base ^= 1 << rng.randrange(64)
     fps |= {0, 2**64 - 1, 2**63}
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    nodes = spark.createDataFrame([(f, f) for f in signed], "fp long, grp long").withColumn("emb", simhash.unary(simhash.F.col("fp")))
-    got = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in simhash.links(nodes, most).collect()}
+    nodes = spark.createDataFrame([(f, f) for f in signed], "fp long, grp long")
+    got = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in simhash.links(nodes, most, blocks).collect()}
     want = {(min(a, b), max(a, b)) for a in signed for b in signed if a != b and ((a ^ b) % 2**64).bit_count() <= most}
     assert got == want
 
@@ -134,6 +134,19 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"similarity": 0.8, "size": 5}])
+def test_rows_of_equal_ids_are_told_apart(spark, options):
+    text = lambda seed: " ".join(random.Random(seed).choices("abcdefghijklmnop", k=60))
+    docs = [(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (7, text(4)), (8, text(4)), (None, text(4))]
+    left = simhash.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), **options)
+    assert sorted(map(str, left.collect())) == sorted(map(str, left.sparkSession.createDataFrame(docs[:4], left.schema).collect()))
+
+
+def test_more_fingerprints_get_more_blocks():
+    assert [simhash.blocks_for(n, 4) for n in (0, 10**5, 10**6, 10**8)] == sorted(simhash.blocks_for(n, 4) for n in (0, 10**5, 10**6, 10**8))
+    assert simhash.blocks_for(10, 4) == 5 and simhash.blocks_for(10**9, 4) > 8
+
+
 def test_fm_index_finds_all_occurrences():
     rng = np.random.default_rng(5)
     text = np.concatenate(([0], rng.integers(0, 5, 400), [0], rng.integers(1, 3, 300)))

@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from attestra.llm import similarity
+from attestra.llm import similarity, simhash
 from tests.llm.test_pairs import union
 
 
@@ -52,9 +54,28 @@ def test_a_large_group_and_a_common_passage(spark):
     assert {r["doc_id"]: r["component_id"] for r in out} == slow_components(docs)
 
 
+def test_keys_of_many_sets_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_SETS", 8)
+    monkeypatch.setattr(similarity, "SORTED_SETS", 16)
+    rng = random.Random(13)
+    vocabulary = ["w%d" % i for i in range(500)]
+    base = [rng.choice(vocabulary) for _ in range(100)]
+    docs = [(i, " ".join(edited(rng, vocabulary, base, rng.randrange(1, 6)))) for i in range(120)]
+    out = similarity.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == slow_components(docs)
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = random.Random(14)
+    for size in (1, 30, 2000, 9000):
+        a, b = (np.unique(np.array([rng.randrange(2 * size) for _ in range(size)], np.uint64)) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2))
+        bits = [np.frombuffer(similarity.sketch(x), np.uint64) for x in (a, b)]
+        assert int(np.bitwise_count(bits[0] ^ bits[1]).sum()) <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 def test_similar_of_odd_rows(odd, empty):
     out = {(r["doc_id"], r["component_id"]) for r in similarity.similar(odd).collect()}
     assert out == {(1, 1), (4, 1), (2, 2), (3, 2), (6, 2), (5, 5), (None, None)}
-    left = similarity.drop_similar(odd)
+    left = simhash.drop_near_duplicates(odd, similarity=0.8, size=5)
     assert left.columns == odd.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "2", "5", "None"]
-    assert similarity.similar(empty).count() == 0 and similarity.drop_similar(empty).columns == empty.columns
+    assert similarity.similar(empty).count() == 0 and simhash.drop_near_duplicates(empty, similarity=0.8).columns == empty.columns
