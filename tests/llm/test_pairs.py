@@ -23,11 +23,11 @@ def ascii_lower(t):
 
 
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
-@pytest.mark.parametrize("runs, fanout", [(1, 2), (8, 2), (256, 16)])
-def test_exact_duplicates(spark, keep, runs, fanout):
+@pytest.mark.parametrize("runs, fanin", [(1, 2), (8, 2), (32, 4)])
+def test_exact_duplicates(spark, keep, runs, fanin):
     rng = random.Random(1)
     docs = [(i, rng.choice(["", None, "a", "b", "B", "a "])) for i in range(80)]
-    out = exact_dedup.exact_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), keep=keep, runs=runs, fanout=fanout).collect()
+    out = exact_dedup.exact_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), keep=keep, runs=runs, fanin=fanin).collect()
     groups = defaultdict(list)
     for i, t in docs:
         groups[t or ""].append(i)
@@ -36,6 +36,21 @@ def test_exact_duplicates(spark, keep, runs, fanout):
     assert {tuple(r) for r in out} == want and len(out) == len(docs)
 
 
+def test_runs_merge_in_sorted_order_and_stay_native(spark):
+    docs = spark.createDataFrame([(i, f"t{i % 7}") for i in range(50)], "doc_id long, text string").repartition(5)
+    tree = exact_dedup.Tree(docs, "doc_id", "text", "smallest", 8, 2)
+    plan = tree.merged(tree.rows.withColumn("row", exact_dedup.first_row()).withColumn("rows", exact_dedup.F.lit(1)))._jdf.queryExecution().toString()
+    assert "SortAggregate" in plan and "Python" not in plan and "Arrow" not in plan
+    assert [level.count() for level in tree.levels] == sorted((level.count() for level in tree.levels), reverse=True) and tree.levels[-1].count() == 7
+    assert exact_dedup.rounds(64, 4) == [range(0, 2), range(2, 4), range(4, 6)]
+
+
+def test_a_digest_of_two_texts_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "digest_columns", lambda text: [exact_dedup.F.lit(b"x").alias("digest"), exact_dedup.F.lit(1).cast("long").alias("h"), exact_dedup.F.lit(1).alias("size")])
+    with pytest.raises(Exception, match="two texts have one digest"):
+        exact_dedup.exact_duplicates(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"))
+
+
 def test_exact_duplicates_of_odd_rows(odd, empty):
     out = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(odd, keep="largest").collect()}
     assert {(1, 4, 3, False), (4, 4, 3, True), (2, 3, 2, False), (3, 3, 2, True), (None, None, 1, True)} <= out
@@ -200,3 +215,4 @@ def test_leaks_of_odd_rows(spark, odd, empty):
     assert decontaminate.leak_report(odd, bench.limit(0)).filter("contaminated").count() == 0
     cut = {r["doc_id"]: r["text"] for r in decontaminate.cut_leaks(odd, bench).collect()}
     assert cut[1] == "a b  e" and cut[2] is None
+    assert decontaminate.find_leaks(odd, bench).columns == [*odd.columns, "__leaks"]
