@@ -2,24 +2,28 @@
 reliable each is, and the posterior labels train a final span classifier.
 
 Spans of the base patterns always stand. The method adds spans that the patterns miss: numbers written like phone or card numbers without
-passing the base rules, spelled-out addresses ("name [at] host [dot] org"), and names after a title. A candidate is added only if the
-classifier is sure (``ADD_FROM``). Votes are counted over all documents; the counts by kind and pattern of votes are a bounded table.
+passing the base rules, spelled-out addresses ("name [at] host [dot] org"), names after a title, and secrets (keys and tokens: long mixed
+strings, or what is assigned to a name such as password). No labeler knows whether a span is a base span. A candidate is added only
+if votes and classifier are sure (``ADD_FROM``). Votes are counted over all documents; the counts by kind and pattern of votes are a bounded table.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from attestra.llm.batches import bounded
 from attestra.llm.weak_labels import LabelModel, Rows, fit_linear, hashed_sample, sigmoid
 from attestra.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
+ADDED = ("name", "secret")
 SIZE, SAMPLE, ADD_FROM = 1024, 20_000, 0.9
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -30,14 +34,17 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 NUMBER = re.compile(r"(?<![\w+.-])\(?[0-9][\x20().0-9-]{5,}[0-9](?![\w])")
-SPELLED = re.compile(r"(?<!\S)([A-Za-z0-9._%+-]{1,64}) ?[\[(]at[\])] ?([A-Za-z0-9-]{1,63}) ?[\[(]dot[\])] ?([A-Za-z]{2,10})\b", re.I)
+SPELLED = re.compile(r"(?<!\S)([A-Za-z0-9._%+-]+) ?[\[(]at[\])] ?([A-Za-z0-9-]+) ?[\[(]dot[\])] ?([A-Za-z]{2,})\b", re.I)
+LONG = re.compile(r"(?<![\w+/=-])[A-Za-z0-9_+/-]{20,}=*(?![\w+/=-])")
+ASSIGNED = re.compile(r"(?<![^\W_])(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]*[=:][ \t]*[\"']?([^\s\"']{4,})", re.I)
+WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
 #: Titles before a name, frequent given names, and words that speak for or against a kind when they stand before a span.
 TITLES = "Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Señor Señora"
-TITLED = re.compile(rf"\b(?:{TITLES.replace(' ', '|')})\.? ([A-ZÀ-Þ][\w'-]{{1,30}}(?: [A-ZÀ-Þ][\w'-]{{1,30}})?)")
+TITLED = re.compile(rf"\b(?:{TITLES.replace(' ', '|')})\.? ([A-ZÀ-Þ][\w'-]+(?: [A-ZÀ-Þ][\w'-]+)?)")
 GIVEN = frozenset("james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah anna maria jean pierre marie hans peter klaus sabine jose juan carmen ana luis laura paul emma".split())
 CALLING_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 61 62 63 64 65 66 81 82 86 90 91 92 351 352 353 358 380 420".split())
-WORDS_FOR = {"phone": "call phone tel telephone mobile fax cell téléphone telefon teléfono".split(), "card": "card visa mastercard credit karte carte tarjeta".split(), "email": "mail email e-mail contact write correo".split(), "name": "dear contact ask meet from by".split()}
-WORDS_AGAINST = "version isbn order invoice token id page chapter figure volume no nr".split()
+WORDS_FOR = {"phone": "call phone tel telephone mobile fax cell téléphone telefon teléfono".split(), "card": "card visa mastercard credit karte carte tarjeta".split(), "email": "mail email e-mail contact write correo".split(), "name": "dear contact ask meet from by".split(), "secret": "token secret password passwd pwd key apikey auth bearer credential credentials".split()}
+WORDS_AGAINST = {"secret": "commit hash sha md5 digest checksum revision etag".split()} | dict.fromkeys(("email", "ip", "card", "phone", "name"), "version isbn order invoice token id page chapter figure volume no nr".split())
 
 
 def passes_luhn(digits: str) -> bool:
@@ -83,20 +90,28 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def words_before(text: str, start: int) -> list[str]:
-    return re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)?", text[max(0, start - 40) : start].lower())[-3:]
+def words_before(words: list[tuple[int, str]], start: int) -> list[str]:
+    """The last three words that end before a span, lower-case. words: (end, word) in order."""
+    k = bisect_right(words, (start, chr(0x10FFFF)))
+    return [w.lower() for _, w in words[max(0, k - 3) : k]]
 
 
-def regex_vote(kind: str, span: str, base: bool) -> str:
-    d = digits_of(span)
+def regex_vote(kind: str, span: str) -> str:
+    """By the form of the span alone."""
+    n = len(digits_of(span))
     if kind == "phone":
-        return "+" if base or re.fullmatch(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", span) else "-" if not 7 <= len(d) <= 15 else "0"
+        return "+" if re.fullmatch(r"\+[0-9][\x20().0-9-]+[0-9]|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", span) and 8 <= n <= 15 else "-" if not 7 <= n <= 15 else "0"
     if kind == "card":
-        return "+" if base or re.fullmatch(r"[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}", span) else "-"
-    return "+" if base or kind == "name" and " " in span or kind == "email" else "0"
+        return "+" if re.fullmatch(r"[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4,7}", span) else "-"
+    if kind == "secret":
+        return "+" if re.fullmatch(r"[0-9a-f]{32,}|[0-9A-F]{32,}", span) else "-" if span.isalpha() else "0"
+    if kind == "email":
+        return "+" if re.search(r"[.\s)\]][A-Za-z]{2,}$", span) else "-"
+    return "+" if kind == "name" and " " in span else "0"
 
 
-def gazetteer_vote(kind: str, span: str) -> str:
+def gazetteer_vote(kind: str, span: str, before: list[str]) -> str:
+    """By lists of what is given out: calling codes, first digits of cards, given names, top-level domains, names of secrets."""
     d = digits_of(span)
     if kind == "phone":
         return "+" if span.startswith("+") and any(d[:k] in CALLING_CODES for k in (1, 2, 3)) else "-" if span.startswith("+") else "0"
@@ -106,17 +121,28 @@ def gazetteer_vote(kind: str, span: str) -> str:
         return "+" if span.split(" ")[0].lower() in GIVEN else "0"
     if kind == "email":
         return "+" if re.split(r"[.\s)\]]", span.lower())[-1] in ("com", "org", "net", "edu", "de", "fr", "es", "eu", "info") else "0"
+    if kind == "secret":
+        return "+" if before and before[-1] in WORDS_FOR["secret"] else "0"
     return "+" if not span.startswith("0.") else "-"
 
 
-def context_vote(kind: str, before: list[str]) -> str:
+def context_vote(kind: str, before: list[str], left: str) -> str:
+    """By the words before; of secrets by a sign of assignment, too."""
+    if kind == "secret" and re.search("[=:] *[\"']?$", left):
+        return "+"
     if any(w in WORDS_FOR.get(kind, ()) for w in before):
         return "+"
-    return "-" if any(w in WORDS_AGAINST for w in before) else "0"
+    return "-" if any(w in WORDS_AGAINST[kind] for w in before) else "0"
 
 
 def shape_vote(kind: str, span: str) -> str:
-    """Even groups of digits speak for a number that people read; a bare run of digits speaks against it."""
+    """Even groups of digits speak for a number that people read, a bare run of digits against it; letters and digits at random for a secret; an
+    all-capital word or a digit against a name."""
+    if kind == "secret":
+        n = len(digits_of(span))
+        return "+" if n and 0.1 <= n / len(span) <= 0.95 and len(set(span)) >= 8 else "-"
+    if kind == "name":
+        return "-" if span.isupper() or any(c.isdigit() for c in span) else "0"
     if kind not in ("phone", "card"):
         return "0"
     groups = re.findall("[0-9]+", span)
@@ -135,6 +161,8 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     if "[at]" in low or "(at)" in low:
         found += [("email", *m.span()) for m in SPELLED.finditer(text)]
     found += [("name", *m.span(1)) for m in TITLED.finditer(text)]
+    found += [("secret", *m.span()) for m in LONG.finditer(text)]
+    found += [("secret", *m.span(1)) for m in ASSIGNED.finditer(text)]
     out, k, past = [], 0, 0
     for kind, b, e in sorted(found, key=lambda s: s[1:]):
         while k < len(taken) and taken[k][1] <= b:
@@ -147,9 +175,12 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
 
 def span_features(text: str, kind: str, b: int, e: int, before: list[str]) -> list[int]:
     """Hashed features of a span: its shape, size, neighbours and the words before it, each with the kind."""
-    shape = re.sub(r"(.)\1+", r"\1", "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in text[b:e]))[:24]
-    named = [f"shape {shape}", f"digits {len(digits_of(text[b:e]))}", f"groups {len(re.findall('[0-9]+', text[b:e]))}", f"left {text[b - 1 : b]}", f"right {text[e : e + 1]}"]
-    named += [f"word {w}" for w in before if any(w in x for x in (*WORDS_FOR.values(), WORDS_AGAINST))]
+    shape = re.sub(r"(.)\1+", r"\1", "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in text[b:e]))
+    if kind == "secret":  # mixed at random; what is mixed says more than how
+        shape = "".join(sorted(set(shape)))
+    known = WORDS_FOR.get(kind, ()), WORDS_AGAINST[kind]
+    named = [f"shape {shape}", f"digits {len(digits_of(text[b:e]))}", f"groups {len(re.findall('[0-9]+', text[b:e]))}", f"left {text[b - 1 : b]}", f"right {text[e : e + 1]}", f"size {(e - b).bit_length()}"]
+    named += [f"word {w}" for w in before if any(w in x for x in known)]
     return sorted({zlib.crc32(f"{kind} {x}".encode("utf-8", "surrogatepass")) % SIZE for x in named})
 
 
@@ -159,11 +190,12 @@ def examine(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def of(text: str) -> list[dict]:
         base = base_spans(text)
-        out = []
-        for known, spans in ((True, base), (False, candidates(text, base))):
+        more, out = candidates(text, base), []
+        words = [(m.end(), m.group()) for m in WORD.finditer(text)] if base or more else []
+        for known, spans in ((True, base), (False, more)):
             for kind, b, e in spans:
-                before, span = words_before(text, b), text[b:e]
-                cast = regex_vote(kind, span, known) + gazetteer_vote(kind, span) + context_vote(kind, before) + shape_vote(kind, span)
+                before, span = words_before(words, b), text[b:e]
+                cast = regex_vote(kind, span) + gazetteer_vote(kind, span, before) + context_vote(kind, before, text[max(0, b - 4) : b]) + shape_vote(kind, span)
                 out.append({"kind": kind, "b": b, "e": e, "base": known, "votes": cast, "x": span_features(text, kind, b, e, before)})
         return out
 
@@ -174,7 +206,7 @@ def examine(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, spans array<struct<kind: string, b: int, e: int, base: boolean, votes: string, x: array<int>>>"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return bounded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, schema)
 
 
 class SpanModel:
@@ -201,14 +233,14 @@ class SpanModel:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, add_from: float = ADD_FROM) -> DataFrame:
-    """One row per input row: id and ``found``, an array of (kind, b, e, base): all spans by kind as in KINDS (then other kinds), then start.
+    """One row per input row: id and ``found``, an array of (kind, b, e, base): all spans by kind as in KINDS, then ADDED, then start.
 
     Positions count code points, ends are exclusive. Null texts count as empty and have no spans. Texts of any length are searched whole.
     The span classifier learns from about ``sample`` spans. Other columns of docs are not read. An empty table gives no rows.
     """
     examined = materialize(examine(docs, id_col, text_col), "pii")
     model = docs.sparkSession.sparkContext.broadcast(SpanModel(examined, sample))
-    order = {k: i for i, k in enumerate(KINDS)}
+    order = {k: i for i, k in enumerate((*KINDS, *ADDED))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = model.value
