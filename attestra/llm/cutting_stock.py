@@ -20,29 +20,41 @@ def best_pattern(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
-def column_generation(demand: np.ndarray, capacity: int, rounds: int = 2500) -> list[tuple[np.ndarray, float]]:
-    """Patterns with their (fractional) numbers of sequences, fewest in all, that give exactly the demand of each size.
+def column_generation(demand: np.ndarray, capacity: int, gap: float = 1e-4, smooth: float = 0.9) -> list[tuple[np.ndarray, float]]:
+    """Patterns with their (fractional) numbers of sequences that give exactly the demand of each size, as few in all as ``gap`` allows.
 
-    The master program is solved by the revised simplex method; its prices go to the knapsack, whose best pattern enters the basis until
-    none is worth more than the one sequence it costs, or for ``rounds`` rounds: the patterns always meet the demand.
+    The master program is solved by the revised simplex method; its prices go to the knapsack, whose best pattern enters the basis. No
+    pattern is worth more than ``worth`` sequences at some prices, so the fewest sequences are at least the demand's value at these prices
+    divided by worth: it ends when the present number is within ``gap`` of the best such bound. Prices are drawn towards those of the best
+    bound (``smooth``), which keeps them from swinging; where the pattern found with them gains nothing at the true prices, those are used.
     """
     sizes = np.flatnonzero(demand)
     sizes = sizes[sizes > 0]
     if not len(sizes):
         return []
+    need = demand[sizes].astype(float)
     columns = [np.bincount([s] * (capacity // s), minlength=capacity + 1) for s in sizes]
     inverse = np.diag([1.0 / (capacity // s) for s in sizes])
-    x = inverse @ demand[sizes].astype(float)
-    for _ in range(rounds):
-        prices = np.zeros(capacity + 1)
-        prices[sizes] = inverse.sum(0)
-        worth, pattern = best_pattern(prices, capacity)
-        if worth <= 1 + 1e-7:
+    x, bound, centre = inverse @ need, 0.0, None
+    while True:
+        true = inverse.sum(0)
+        for prices in ([true] if centre is None else [smooth * centre + (1 - smooth) * true, true]):
+            value = np.zeros(capacity + 1)
+            value[sizes] = np.maximum(prices, 0)
+            worth, pattern = best_pattern(value, capacity)
+            lower = float(value[sizes] @ need) / max(worth, 1e-12)
+            if lower > bound:
+                bound, centre = lower, value[sizes] / max(worth, 1e-12)
+            if float(true @ pattern[sizes]) > 1 + 1e-9:
+                break
+        else:
+            break
+        if x.sum() <= bound * (1 + gap):
             break
         d = inverse @ pattern[sizes]
         up = d > 1e-9
         ratio = np.full(len(d), np.inf)
-        ratio[up] = x[up] / d[up]
+        ratio[up] = np.maximum(x[up], 0) / d[up]
         r = int(np.argmin(ratio))
         step = ratio[r]
         x -= step * d
@@ -54,10 +66,11 @@ def column_generation(demand: np.ndarray, capacity: int, rounds: int = 2500) ->
     return [(c, max(0.0, float(v))) for c, v in zip(columns, x)]
 
 
-def whole_patterns(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Patterns with whole numbers of sequences that give exactly the demand: rounded down, the small rest by first fit from the largest."""
+def whole_patterns(demand: np.ndarray, capacity: int, patterns: list[tuple[np.ndarray, float]] | None = None) -> list[tuple[np.ndarray, int]]:
+    """Patterns with whole numbers of sequences that give exactly the demand: the given ones (else those of column generation) rounded down, the small
+    rest by first fit from the largest."""
     left, out = demand.astype(np.int64).copy(), []
-    for pattern, x in column_generation(demand, capacity):
+    for pattern, x in column_generation(demand, capacity) if patterns is None else patterns:
         used = np.flatnonzero(pattern)
         n = min(int(x + 1e-6), *(int(left[s] // pattern[s]) for s in used)) if len(used) else 0
         if n > 0:

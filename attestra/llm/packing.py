@@ -1,10 +1,10 @@
 """Packing documents into token sequences by cutting-stock column generation.
 
 A document's full sequences are cut off first; its rest is an item. Items fall into length classes (``grain`` tokens wide), whose histogram,
-a few hundred numbers whatever the corpus, goes to the driver. Column generation finds the patterns of classes that need the fewest
-sequences; items of a class are ranked, and ranks decide pattern, sequence and slot. As documents may be cut freely, a small share of them,
-chosen by a hash of the id and only as large as the patterns' leftover room requires, is cut to fill that room exactly; what is left of the
-share fills sequences of its own, the last of them of a power of two tokens. So nothing is padded.
+a bounded table whatever the corpus, goes to the driver. Column generation, run once over all items, finds the patterns of classes that need
+the fewest sequences; items of a class are ranked, and ranks decide pattern, sequence and slot. As documents may be cut freely, some of them,
+chosen by a hash of the id in 256ths of the corpus and only as many as it takes to fill the room that the patterns leave, are cut to fill
+it exactly; what is left of them fills sequences of its own, the last of them of a power of two tokens. So nothing is padded.
 
 Ids are made twice for that small share and once for the rest: checksums of every possible uncut piece come with the lengths.
 """
@@ -18,21 +18,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from attestra.llm.batches import slices
-from attestra.llm.cutting_stock import whole_patterns
+from attestra.llm.batches import bounded, slices
+from attestra.llm.cutting_stock import column_generation, whole_patterns
 from attestra.llm.word_ids import encoder_for
 from attestra.session import materialize
 
 LENGTH, GRAIN, END_ID = 4096, 16, 2
-#: Shares of documents that can be set aside for cutting, in 64ths, and buckets of running totals and ranks.
-SHARES, BUCKETS = (1, 2, 4, 8, 16, 32, 64), 64
+#: Parts of the documents that can be set aside for cutting, and buckets of running totals and ranks.
+SHARES, BUCKETS = 256, 64
 KEY = ["id", "h"]
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, h (hash of the text), share (0..63, by the id) and text. Equal rows are interchangeable, so id and h are key enough."""
+    """id, h (hash of the text), share (which of SHARES parts, by the id) and text. Equal rows are interchangeable, so id and h are key enough."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.pmod(F.xxhash64(F.lit("share"), F.col(id_col)), F.lit(64)).alias("share"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.pmod(F.xxhash64(F.lit("share"), F.col(id_col)), F.lit(SHARES)).alias("share"), text.alias("text"))
 
 
 def measured(docs: DataFrame, spec, length: int, end_id: int) -> DataFrame:
@@ -50,7 +50,7 @@ def measured(docs: DataFrame, spec, length: int, end_id: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ns, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["id", "h", "share", "n", "crcs"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, h long, share long, n long, crcs array<long>")
+    return bounded(docs).mapInArrow(run, f"id {kind}, h long, share long, n long, crcs array<long>")
 
 
 def encoded(docs: DataFrame, spec, end_id: int) -> DataFrame:
@@ -64,7 +64,7 @@ def encoded(docs: DataFrame, spec, end_id: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], ids], ["id", "h", "ids"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, h long, ids binary")
+    return bounded(docs).mapInArrow(run, f"id {kind}, h long, ids binary")
 
 
 def running_total(df: DataFrame, value: str, key: list[str]) -> DataFrame:
@@ -98,6 +98,29 @@ def layout_rows(patterns: list[tuple[np.ndarray, int]]) -> list[tuple[int, int,
     return rows
 
 
+class Plan:
+    """Which documents are cut, and the patterns for the rests of the others.
+
+    counts: items by share and class; rests and tokens: tokens of the items, and of the documents, by share. Patterns for all items are found once.
+    Setting a share aside scales them down; the first shares that together have as many tokens as the rest's patterns leave room are cut.
+    """
+
+    def __init__(self, counts: np.ndarray, rests: np.ndarray, tokens: np.ndarray, length: int, classes: int):
+        whole = column_generation(counts.sum(0), classes)
+        room = sum(x for _, x in whole) * length - int(rests.sum())
+        items = max(1, int(counts[:, 1:].sum()))
+        first = int(len(counts) * room / max(1.0, tokens.sum() + room))
+        for self.share in range(first, len(counts) + 1):
+            left = counts[self.share :].sum(0)
+            scale = left[1:].sum() / items
+            self.patterns = whole_patterns(left, classes, [(p, x * scale) for p, x in whole])
+            self.sequences = sum(n for _, n in self.patterns)
+            #: Tokens that the patterns leave free, which would be padding if nothing were cut.
+            self.room = self.sequences * length - int(rests[self.share :].sum())
+            if tokens[: self.share].sum() >= self.room:
+                break
+
+
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, grain: int = GRAIN, end_id: int = END_ID) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Every token of every row is in exactly one piece.
 
@@ -111,20 +134,16 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     sizes = materialize(measured(texts, spec, length, end_id).withColumn("q", F.ceil((F.col("n") % length) / grain).cast("int")), "sizes")
 
     classes = length // grain
-    counts = np.zeros((64, classes + 1), np.int64)
-    rests, tokens, full = np.zeros(64, np.int64), np.zeros(64, np.int64), np.zeros(64, np.int64)
+    counts = np.zeros((SHARES, classes + 1), np.int64)
+    rests, tokens, full = np.zeros(SHARES, np.int64), np.zeros(SHARES, np.int64), np.zeros(SHARES, np.int64)
     rows = sizes.groupBy("share", "q").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n") % length).alias("r"), F.sum("n").alias("n"), F.sum(F.expr(f"n div {length}")).alias("f"))
-    for row in rows.collect():  # at most 64 * (classes + 1) rows
+    for row in rows.collect():  # at most SHARES * (classes + 1) rows
         counts[row["share"], row["q"]] = row["c"]
         rests[row["share"]] += row["r"]
         tokens[row["share"]] += row["n"]
         full[row["share"]] += row["f"]
-    for share in SHARES:
-        patterns = whole_patterns(counts[share:].sum(0), classes)
-        sequences = sum(n for _, n in patterns)
-        room = sequences * length - int(rests[share:].sum())
-        if tokens[:share].sum() >= room:
-            break
+    plan = Plan(counts, rests, tokens, length, classes)
+    share, patterns, sequences, room = plan.share, plan.patterns, plan.sequences, plan.room
     full_sequences = int(full[share:].sum())
 
     whole = sizes.filter(F.col("share") >= share)
