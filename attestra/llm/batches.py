@@ -23,3 +23,11 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
     for batch in batches:
         for first in range(0, batch.num_rows, rows):
             yield batch.slice(first, rows)
+
+
+def free_name(wanted: str, columns: list[str]) -> str:
+    """``wanted``, or with as many underscores before it as it takes to be none of the columns (Spark's names have no case)."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted

@@ -16,8 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
+from attestra.llm.batches import bounded, free_name
 from attestra.llm.fm_index import FMIndex
 
 WIDTH = 10
@@ -143,34 +144,48 @@ def one_pass(docs: DataFrame, items: list[tuple[str, str]], text_at: int, width:
             new = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(ids, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *new], names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = WIDTH, block_chars: int = BLOCK_CHARS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """docs with a column ``_leaks``: struct of n_words, spans (merged [first, past last) word numbers) and items (sorted item ids).
-
-    benchmark: item_id, text. Null texts have no words; items without words, or with a null id, match nothing; repeated items count once.
-    A document of any length is searched whole. Empty tables give no rows, or no leaks.
-    """
+def searched(docs: DataFrame, benchmark: DataFrame, text_col: str, width: int = WIDTH, block_chars: int = BLOCK_CHARS, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """docs under the names _c0, _c1 and so on, and the columns of FOUND. No name of docs can clash with these."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")).filter("item IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.length("text") + F.length("item")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-int(total) // block_chars))
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    docs_schema, text_at = docs.schema, docs.columns.index(text_col)
+    names = inner_names(docs)
     out = docs.toDF(*names).selectExpr(*names, "0L AS _n_words", "CAST(NULL AS array<array<int>>) AS _spans", "CAST(NULL AS array<string>) AS _items")
     for k in range(blocks):
         block = [(r["item"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).toLocalIterator()]
-        out = one_pass(out, block, text_at, width, shard_words)
-    leaks = F.struct(F.col("_n_words").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items")).alias("_leaks")
-    return out.select(*[F.col(n).alias(f.name) for n, f in zip(names, docs_schema)], leaks)
+        out = one_pass(out, block, docs.columns.index(text_col), width, shard_words)
+    return out
+
+
+def inner_names(docs: DataFrame) -> list[str]:
+    return [f"_c{i}" for i in range(len(docs.columns))]
+
+
+def outer(docs: DataFrame) -> list:
+    """The columns of docs, out of a frame with their inner names."""
+    return [F.col(n).alias(c) for n, c in zip(inner_names(docs), docs.columns)]
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """docs with a column ``_leaks``: struct of n_words, spans (merged [first, past last) word numbers) and items (sorted item ids). Where docs has a
+    column of that name, the new one gets more underscores.
+
+    benchmark: item_id, text. Null texts have no words; items without words, or with a null id, match nothing; repeated items count once.
+    A document of any length is searched whole. Empty tables give no rows, or no leaks.
+    """
+    leaks = F.struct(F.col("_n_words").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"))
+    return searched(docs, benchmark, text_col, **options).select(*outer(docs), leaks.alias(free_name("_leaks", docs.columns)))
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256 and contaminated. Other columns of docs are not read."""
-    out = find_leaks(docs.select(id_col, text_col), benchmark, text_col, **options)
+    out = find_leaks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), benchmark, "text", **options)
     hits = F.aggregate("_leaks.spans", F.lit(0), lambda s, x: s + x[1] - x[0]).cast("long")
     return out.select(
-        id_col,
+        F.col("id").alias(id_col),
         F.col("_leaks.n_words").alias("n_words"),
         hits.alias("n_hit"),
         F.size("_leaks.items").cast("long").alias("n_items"),
@@ -181,8 +196,7 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents without any occurrence, all columns as they were."""
-    out = find_leaks(docs, benchmark, text_col, **options)
-    return out.filter(F.size("_leaks.items") == 0).drop("_leaks")
+    return searched(docs, benchmark, text_col, **options).filter(F.size("_items") == 0).select(*outer(docs))
 
 
 def cut_spans(text: str, spans: list[list[int]]) -> str:
@@ -201,6 +215,13 @@ def cut_spans(text: str, spans: list[list[int]]) -> str:
 
 def cut_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """docs with the removal spans cut out of the texts; other columns as they were."""
-    out = find_leaks(docs, benchmark, text_col, **options)
-    cut = F.udf(lambda t, s: cut_spans(t, s) if t and s else t, T.StringType())
-    return out.withColumn(text_col, F.when(F.size("_leaks.items") > 0, cut(F.col(text_col), F.col("_leaks.spans"))).otherwise(F.col(text_col))).drop("_leaks")
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(batch.num_columns - 2).to_pylist()
+            texts = [cut_spans(t, s) if t and s else t for t, s in zip(batch.column(at).to_pylist(), spans)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, batch.schema.field(at).type), *batch.columns[at + 1 :]], names=batch.schema.names)
+
+    found = searched(docs, benchmark, text_col, **options)
+    return found.mapInArrow(run, found.schema).select(*outer(docs))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from attestra.llm.batches import free_name
 from attestra.session import materialize
 
 RATIO, PAGES = 0.05, 3
@@ -36,7 +37,8 @@ def boilerplate(pages: DataFrame, ratio: float, least: int) -> DataFrame:
 
 
 def drop_boilerplate(docs: DataFrame, host: Column, id_col: str = "doc_id", text_col: str = "text", ratio: float = RATIO, least: int = PAGES) -> DataFrame:
-    """docs with boilerplate lines dropped from the texts, and a column ``_lines``: struct of n_lines and n_dropped.
+    """docs with boilerplate lines dropped from the texts, and a column ``_lines``: struct of n_lines and n_dropped (with more underscores where docs
+    has that name).
 
     Null hosts are one host. Null texts stay null. Blank lines are never dropped. Lines are compared without the spaces around them; a line
     repeated in one page counts once, and all its repeats go with it. Rows that repeat an id and text get the same answer.
@@ -53,12 +55,13 @@ def drop_boilerplate(docs: DataFrame, host: Column, id_col: str = "doc_id", text
     kept = F.when(F.col("bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("bad"), hashed(x)), F.lit(False))))
     found = found.select("_doc", "text", F.size(lines).alias("n_lines"), kept.alias("kept"))
     text = F.when(F.col("text").isNotNull(), F.array_join("kept", "\n")).alias(text_col)
-    counts = F.struct(F.col("n_lines").cast("long").alias("n_lines"), (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped")).alias("_lines")
+    counts = F.struct(F.col("n_lines").cast("long").alias("n_lines"), (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped")).alias(free_name("_lines", docs.columns))
     return found.select(*[text if c == text_col else F.col("_doc").getField(c).alias(c) for c in docs.columns], counts)
 
 
 def line_report(docs: DataFrame, host: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per row of docs: id, n_lines, n_dropped, kept_chars and kept_sha256 (of the text that is left; null counts as empty)."""
-    out = drop_boilerplate(docs, host, id_col, text_col, **options)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return out.select(id_col, "_lines.n_lines", "_lines.n_dropped", F.length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), host.cast("string").alias("host"))
+    out = drop_boilerplate(rows, F.col("host"), "id", "text", **options)
+    text = F.coalesce("text", F.lit(""))
+    return out.select(F.col("id").alias(id_col), "_lines.n_lines", "_lines.n_dropped", F.length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))

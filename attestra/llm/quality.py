@@ -16,12 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from attestra.llm.batches import slices
+from attestra.llm.batches import bounded, slices
 from attestra.llm.weak_labels import LabelModel, Rows, fit_linear, hashed_sample, sigmoid
 from attestra.session import materialize
 
-SIZE, SAMPLE, LEAST_WORDS = 1024, 20_000, 8
-#: Shorter texts are not judged by their frequent words and sentence ends.
+SIZE, SAMPLE = 1024, 20_000
+#: The labellers of frequent words and sentence ends have nothing to say about texts of fewer words; the others judge every text that has any.
 PROSE_WORDS = 24
 #: Bytes as shapes: letters (and all bytes of letters beyond ASCII) as a or A, digits as 0, white space as one space.
 SHAPES = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else 32 if b in b" \t\n\r\v\f" else b for b in range(256))
@@ -30,10 +30,10 @@ COMMON = frozenset(b"the of and to in a is that it for as was on with by this fr
 
 
 def ratios(text: str) -> dict[str, float] | None:
-    """What the labellers look at, each a share between 0 and 1; None for texts of fewer than LEAST_WORDS words."""
+    """What the labellers look at, each a share between 0 and 1; None for texts without words."""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.lower().split()
-    if len(words) < LEAST_WORDS:
+    if not words:
         return None
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     upper, lower = int(counts[65:91].sum()), int(counts[97:123].sum())
@@ -75,7 +75,7 @@ LABELLERS = (
 
 
 def votes(values: dict[str, float] | None) -> str:
-    """One vote for each labeller: + good, - bad, 0 none. Short texts get no votes."""
+    """One vote for each labeller: + good, - bad, 0 none. Texts without words get no votes."""
     if values is None:
         return "0" * len(LABELLERS)
     out = []
@@ -91,10 +91,10 @@ def features(text: str, values: dict[str, float] | None) -> dict[int, float]:
     shapes = Counter(flat[np.concatenate(([True], flat[1:] != flat[:-1]))].tobytes().split())
     total, out = max(1, shapes.total()), Counter()
     for shape, n in shapes.items():
-        out[zlib.crc32(shape[:12]) % SIZE] += n / total
+        out[zlib.crc32(shape) % SIZE] += n / total
     if values is not None:
         for name, x in values.items():
-            out[zlib.crc32(f"{name} {min(9, int(x * 20))}".encode()) % SIZE] += 1.0
+            out[zlib.crc32(f"{name} {int(x * 20)}".encode()) % SIZE] += 1.0
     return out
 
 
@@ -112,7 +112,7 @@ def measure(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v, pa.string()), pa.array(f, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], ["id", "votes", "features", "values"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, votes string, features array<int>, values array<float>")
+    return bounded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, f"id {kind}, votes string, features array<int>, values array<float>")
 
 
 class Quality:
@@ -134,8 +134,7 @@ class Quality:
 def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, keep_from: float = 0.5) -> DataFrame:
     """One row per input row: id, votes, weak_label (posterior of good), quality (the scorer's probability of good) and keep.
 
-    Null texts count as empty; texts of fewer than LEAST_WORDS words get no votes and are kept unless the scorer is sure (below
-    ``keep_from`` / 2). Other columns of docs are not read. An empty table gives no rows.
+    Null texts count as empty. Texts on which no labeller has a say are kept unless the scorer is sure (below ``keep_from`` / 2). Other columns of docs are not read. An empty table gives no rows.
     """
     measured = materialize(measure(docs, id_col, text_col), "quality")
     model = docs.sparkSession.sparkContext.broadcast(Quality(measured, sample))
@@ -174,5 +173,5 @@ def drop_low_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     names = [f"_c{i}" for i in range(len(docs.columns))]
     out = docs.toDF(*names)
-    out = out.mapInArrow(run, out.schema)
+    out = bounded(out).mapInArrow(run, out.schema)
     return out.toDF(*docs.columns)

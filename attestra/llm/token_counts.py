@@ -15,13 +15,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from attestra.llm.batches import bounded
+
 # Fixed value: how the byte-level vocabulary cuts a text into words before merging.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts of these characters are cut by the pattern above; for others the tokenizer library cuts, as Unicode versions differ.
 PLAIN = re.compile(r"[\n\x20-\x7E\xA1-ɏ]*")
 TWO_SPACES = re.compile(r"[ \n]{2}")
-#: Words whose count a task remembers, a bound on its memory.
-REMEMBERED = 400_000
+#: Words whose count a task remembers, and how long they are at most: bounds on its memory.
+REMEMBERED, SHORT = 400_000, 64
 
 
 def byte_symbols() -> list[str]:
@@ -87,7 +89,7 @@ class Counter:
         n = self.words.get(word)
         if n is None:
             n = self.merger.count(word)
-            if len(word) <= 64:
+            if len(word) <= SHORT:
                 if len(self.words) >= REMEMBERED:
                     self.words.clear()
                 self.words[word] = n
@@ -97,12 +99,15 @@ class Counter:
         """Tokens of pieces of plain text, each with the space before it."""
         known = self.pieces
         new = set(pieces).difference(known)
+        once = {p: self.piece(p) for p in new}
+        total = sum(n if (n := known.get(p)) is not None else once[p] for p in pieces)
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = set(pieces)
-        for p in new:
-            known[p] = sum(self.word(w.encode()) for w in self.find(" " + p))
-        return sum(map(known.__getitem__, pieces))
+        known.update((p, n) for p, n in once.items() if len(p) <= SHORT)
+        return total
+
+    def piece(self, piece: str) -> int:
+        return sum(self.word(w.encode()) for w in self.find(" " + piece))
 
     def stretch(self, text: str) -> int:
         """Tokens of a text without special strings."""
@@ -150,5 +155,5 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    rows = rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
+    rows = bounded(rows).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
     return rows.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -8,8 +8,8 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces whose ids a task remembers, a bound on its memory.
-REMEMBERED = 300_000
+#: Pieces whose ids a task remembers, and how long they are at most: bounds on its memory.
+REMEMBERED, SHORT = 300_000, 64
 #: Letters that need no normalisation beyond lower-casing, and marks that the vocabulary cuts from a word before them.
 LETTERS, MARKS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+"), ".,!?;:*$%#&()\"-"
 
@@ -39,7 +39,7 @@ class WordEncoder:
                 self.cores.clear()
             symbols = word if word.isascii() else "".join(map(self.symbols.__getitem__, word.encode()))
             ids = np.array([t.id for t in self.model.tokenize(symbols)], "<u4").tobytes()
-            if len(word) <= 64:
+            if len(word) <= SHORT:
                 self.cores[word] = ids
         return ids
 
@@ -55,12 +55,13 @@ class WordEncoder:
             return self.whole(text)
         pieces = text.encode("utf-8", "surrogatepass").split()
         new = set(pieces).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set(pieces)
-        for p in new:
-            self.known[p] = self.piece(p)
-        return b"".join(map(self.known.__getitem__, pieces))
+        once = {p: self.piece(p) for p in new}
+        known = self.known
+        out = b"".join([ids if (ids := known.get(p)) is not None else once[p] for p in pieces])
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+        known.update((p, ids) for p, ids in once.items() if len(p) <= SHORT)
+        return out
 
 
 _encoders: dict[int, WordEncoder] = {}

@@ -165,7 +165,7 @@ def test_boilerplate_lines(spark):
 
 def test_lines_of_odd_rows(odd, empty):
     left = line_dedup.drop_boilerplate(odd, F.col("fp"), ratio=0.1, least=2)
-    assert left.columns == [*odd.columns, "_lines"] and left.count() == len(ODD)
+    assert left.columns == [*odd.columns, "__lines"] and left.count() == len(ODD)
     assert {r["text"] for r in left.filter("doc_id IN (1, 4)").collect()} == {""}
     assert [r["text"] for r in left.filter("doc_id = 2").collect()] == [None]
     assert line_dedup.line_report(empty, F.lit("h")).count() == 0
