@@ -1,6 +1,7 @@
 """Anomaly detectors over a long frame (row_id, entity, period, metric, value): z-score, IQR, change from period to period, rolling baseline.
 
-Statistics are aggregates per metric that are joined back by broadcast (one row a metric); nothing is computed over an unpartitioned window.
+Statistics are aggregates per metric (and per artifact, where the frame has that column) that are joined back to the rows; nothing is
+computed over an unpartitioned window.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from attestra.functions import exprs as X
+from attestra.session import materialize
 
 CALENDAR = {"day", "month", "year", "fy"}
 MOST = 12
@@ -27,42 +29,74 @@ def find_column(columns: list[str], tokens: list[str]) -> str | None:
     return next((c for t in tokens for c in columns if t in c.lower()), None)
 
 
-def long_frame(df: DataFrame, metrics: list[str], row_id: Column, entity: Column | None = None, period: Column | None = None) -> DataFrame:
-    """One row for each row and metric; values that aren't numbers become null."""
+def long_frame(df: DataFrame, metrics: list[str], row_id: Column, entity: Column | None = None, period: Column | None = None, artifact: Column | None = None) -> DataFrame:
+    """One row for each row and metric; values that aren't numbers become null. With ``artifact`` each artifact's values are judged by themselves."""
     none = F.lit(None).cast("string")
     values = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).try_cast("double").alias("value")) for m in metrics])
-    return df.select(row_id.alias("row_id"), (entity if entity is not None else none).alias("entity"), (period if period is not None else none).alias("period"), F.inline(values))
+    own = [] if artifact is None else [artifact.alias("artifact")]
+    return df.select(*own, row_id.alias("row_id"), (entity if entity is not None else none).alias("entity"), (period if period is not None else none).alias("period"), F.inline(values))
+
+
+def keys_of(rows: DataFrame) -> list[str]:
+    return [c for c in ("artifact", "metric") if c in rows.columns]
 
 
 def findings(rows: DataFrame, method: str, expected: Column, score: Column, severity: Column) -> DataFrame:
-    return rows.select("metric", "row_id", "entity", "period", F.lit(method).alias("method"), F.col("value").alias("observed"), expected.alias("expected"), score.alias("score"), severity.alias("severity"))
+    return rows.select(*keys_of(rows), "row_id", "entity", "period", F.lit(method).alias("method"), F.col("value").alias("observed"), expected.alias("expected"), score.alias("score"), severity.alias("severity"))
 
 
 def detect_zscore(rows: DataFrame, threshold: float = 3.0) -> DataFrame:
     """Values more than threshold standard deviations from the mean; silent below three values or without spread."""
-    stats = rows.groupBy("metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")).filter("n >= 3 AND sd > 0")
+    keys = keys_of(rows)
+    stats = rows.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")).filter("n >= 3 AND sd > 0")
     z = (F.col("value") - F.col("mean")) / F.col("sd")
-    out = rows.join(F.broadcast(stats), "metric").withColumn("z", z).filter(F.abs("z") > threshold)
+    out = rows.join(stats, keys).withColumn("z", z).filter(F.abs("z") > threshold)
     return findings(out, "zscore", F.col("mean"), F.col("z"), X.z_severity(F.col("z")))
 
 
-def detect_iqr(rows: DataFrame, factor: float = 1.5, exact: bool = True) -> DataFrame:
-    """Values beyond factor interquartile ranges; silent below four values. The score counts ranges from the upper quartile on both sides.
-
-    exact=False takes quartiles from percentile_approx, for metrics with too many distinct values for one aggregate's memory.
-    """
-    quartiles = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))) if exact else F.percentile_approx("value", [0.25, 0.75], 100_000)
-    stats = rows.groupBy("metric").agg(F.count("value").alias("n"), quartiles.alias("q")).filter("n >= 4").select("metric", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
-    iqr = F.col("q3") - F.col("q1")
-    out = rows.join(F.broadcast(stats), "metric").withColumn("iqr", iqr)
+#: Rows up to which quartiles come from one aggregate, which holds a metric's different values in a task.
+AT_ONCE = 2_000_000
+
+
+def quartiles(rows: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """(keys, n, q1, q3) of each metric, exactly. Frames of more than ``at_once`` rows rank their values in buckets between approximate quantiles,
+    so that no task holds a metric; the bounds of the buckets are a small table."""
+    keys = keys_of(rows)
+    ends = F.array(F.lit(0.25), F.lit(0.75))
+    if rows.count() <= at_once:
+        return rows.groupBy(*keys).agg(F.count("value").alias("n"), F.percentile("value", ends).alias("q")).select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    known = rows.filter("value IS NOT NULL").groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("k"))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("value", [i / 256 for i in range(1, 256)], 4096).alias("cuts"))
+    bucket = F.size(F.filter("cuts", lambda c: c <= F.col("value")))
+    known = materialize(known.join(cuts, keys).select(*keys, "value", "k", bucket.alias("bucket")), "ranked")
+    sums = known.groupBy(*keys, "bucket").agg(F.sum("k").alias("s"))
+    before = F.coalesce(F.sum("s").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*keys, "bucket", "s", before.alias("before"), F.sum("s").over(Window.partitionBy(*keys)).alias("n"))
+    places = F.transform(ends, lambda q: (F.col("n") - 1) * q)
+    ranks = F.array_distinct(F.flatten(F.transform(places, lambda x: F.array(F.floor(x), F.ceil(x)))))
+    sums = sums.withColumn("ranks", F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("s")))).filter(F.size("ranks") > 0)
+    inside = known.join(sums, [*keys, "bucket"])
+    past = F.col("before") + F.sum("k").over(Window.partitionBy(*keys, "bucket").orderBy("value"))
+    inside = inside.withColumn("past", past).select(*keys, "n", "value", "past", "k", F.explode("ranks").alias("rank")).filter((F.col("rank") < F.col("past")) & (F.col("rank") >= F.col("past") - F.col("k")))
+    at = lambda r: F.max(F.when(F.col("rank") == r, F.col("value")))
+    quartile = lambda q: at(F.floor((F.col("n") - 1) * q)) + (at(F.ceil((F.col("n") - 1) * q)) - at(F.floor((F.col("n") - 1) * q))) * F.first((F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q))
+    return inside.groupBy(*keys).agg(F.max("n").alias("n"), quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
+
+
+def detect_iqr(rows: DataFrame, factor: float = 1.5, at_once: int = AT_ONCE) -> DataFrame:
+    """Values beyond factor interquartile ranges; silent below four values. The upper quartile is what is expected; the score counts ranges from
+    it on both sides."""
+    keys = keys_of(rows)
+    stats = quartiles(rows, at_once).filter("n >= 4").select(*keys, "q1", "q3")
+    out = rows.join(stats, keys).withColumn("iqr", F.col("q3") - F.col("q1"))
     out = out.filter((F.col("value") < F.col("q1") - factor * F.col("iqr")) | (F.col("value") > F.col("q3") + factor * F.col("iqr")))
     score = F.when(F.col("iqr") > 0, (F.col("value") - F.col("q3")) / F.col("iqr"))
-    return findings(out, "iqr", (F.col("q1") + F.col("q3")) / 2, score, F.when(score.isNull(), "medium").otherwise(X.z_severity(score)))
+    return findings(out, "iqr", F.col("q3"), score, F.when(score.isNull(), "medium").otherwise(X.z_severity(score)))
 
 
 def detect_change(rows: DataFrame, most_percent: float = 200.0, high_percent: float = 500.0) -> DataFrame:
     """Changes of more than most_percent from the entity's previous period; a rise from zero has no percentage and is high."""
-    window = Window.partitionBy("metric", "entity").orderBy("period", "row_id")
+    window = Window.partitionBy(*keys_of(rows), "entity").orderBy("period", "row_id")
     out = rows.withColumn("before", F.lag("value").over(window))
     percent = F.when(F.col("before") != 0, (F.col("value") - F.col("before")) / F.abs("before") * 100)
     out = out.withColumn("percent", percent).filter((F.abs("percent") > most_percent) | ((F.col("before") == 0) & (F.col("value") != 0)))
@@ -78,7 +112,7 @@ def middle(values: Column) -> Column:
 def detect_rolling(rows: DataFrame, width: int = 3, threshold: float = 3.0) -> DataFrame:
     """Values far from the median of the ``width`` rows before, in units of 1.4826 median absolute deviations; without deviation any
     departure counts, unscored. Rows with a null among those before are skipped."""
-    window = Window.partitionBy("metric", "entity").orderBy("period", "row_id").rowsBetween(-width, -1)
+    window = Window.partitionBy(*keys_of(rows), "entity").orderBy("period", "row_id").rowsBetween(-width, -1)
     out = rows.withColumn("past", F.collect_list("value").over(window)).filter((F.size("past") == width) & F.col("value").isNotNull())
     out = out.withColumn("median", middle(F.col("past")))
     out = out.withColumn("mad", middle(F.transform("past", lambda x: F.abs(x - F.col("median")))) * 1.4826)
@@ -92,3 +126,11 @@ def strongest(found: DataFrame, by: list[str], most: int = MOST) -> DataFrame:
     window = Window.partitionBy(*by).orderBy(F.coalesce(F.abs("score"), F.lit(float("inf"))).desc(), "metric", "method", "row_id")
     ranked = found.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= most)
     return ranked.withColumn("finding_id", F.format_string("%s-%s-%03d", "method", "metric", F.col("rank") - 1))
+
+
+def query_text(found: DataFrame) -> DataFrame:
+    """found with ``slice`` (the entity, or *) and ``evidence_query``, which says what was asked of which rows."""
+    key = F.coalesce(F.nullif(F.col("entity"), F.lit("")), F.lit("*"))
+    method = F.when(F.col("method") == "yoy", "yoy_change").when(F.col("method") == "rolling", "rolling_baseline").otherwise(F.col("method"))
+    place = F.when(F.col("method") == "rolling", F.concat(F.lit("index="), F.col("row_id").cast("string"))).otherwise(key)
+    return found.withColumn("slice", key).withColumn("evidence_query", F.concat(method, F.lit(" over "), F.col("metric"), F.lit(" slice="), place))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from attestra.functions import exprs as X
 
 THRESHOLD = 88.0
+#: From this share of common words on, two definitions say the same in other words.
+REWORDED = 0.8
 
 
 def key_overlap(left: DataFrame, right: DataFrame, left_col: str, right_col: str) -> DataFrame:
@@ -26,13 +26,16 @@ def key_overlap(left: DataFrame, right: DataFrame, left_col: str, right_col: str
 
 
 def common_subsequence(a: str, b: str) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = above = 0
-        for j, y in enumerate(b, 1):
-            above, corner = row[j], above
-            row[j] = left = corner + 1 if x == y else max(above, left)
-    return row[-1]
+    """Length of the longest common subsequence: one bit for each letter of a, all of them moved on at once for each letter of b."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    all_bits = (1 << len(a)) - 1
+    open_bits = all_bits
+    for y in b:
+        met = open_bits & places.get(y, 0)
+        open_bits = (open_bits + met | open_bits - met) & all_bits
+    return len(a) - open_bits.bit_count()
 
 
 def ratio(a: str, b: str) -> float:
@@ -62,45 +65,120 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([name_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf(T.DoubleType())
-def letters_bound(a: pd.Series, b: pd.Series) -> pd.Series:
-    """An upper bound of the scores that don't rest on shared words: letters in common, in any order."""
-    return pd.Series([200.0 * (Counter(x) & Counter(y)).total() / max(1, len(x) + len(y)) for x, y in zip(a, b)], dtype="float64")
+def pairs_of_letters(names: DataFrame) -> DataFrame:
+    """names: norm. (norm, family, gram) of the letter pairs, word ends included, of the words, of the different words if any repeats, and of the
+    name without spaces as one word."""
+    words = F.split("norm", " ")
+    forms = F.array(
+        F.struct(F.lit("words").alias("family"), words.alias("w"), F.lit(0).alias("form")),
+        F.when(F.size(F.array_distinct(words)) < F.size(words), F.struct(F.lit("words").alias("family"), F.array_distinct(words).alias("w"), F.lit(1).alias("form"))),
+        F.struct(F.lit("whole").alias("family"), F.array(F.replace("norm", F.lit(" "), F.lit(""))).alias("w"), F.lit(2).alias("form")),
+    )
+    grams = F.flatten(F.transform("w", lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("^"), w, F.lit("$")), i, F.lit(2)))))
+    return names.select("norm", F.inline(F.filter(forms, lambda f: f.isNotNull()))).select("norm", "family", "form", F.explode(grams).alias("gram"))
+
+
+def rarest_pairs(names: DataFrame, grams: DataFrame, counts: DataFrame, share: float) -> DataFrame:
+    """(norm, key): of each name as many of its rarest letter pairs as two names within the allowed edits can't all differ in.
+
+    An edit (a letter in or out) changes two pairs at most, so names that are ``share`` of their joint length apart agree in one of these.
+    """
+    edits = F.floor(share * (1 + (1 + share) / (1 - share)) * F.length("norm")).cast("int")
+    order = Window.partitionBy("norm", "form").orderBy("n", "gram")
+    rows = grams.join(counts, ["family", "gram"]).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= 2 * edits + 1)
+    return rows.select("norm", F.concat_ws(":", "family", "gram").alias("key")).distinct()
+
+
+def covering_words(words: DataFrame, share: float) -> DataFrame:
+    """words: (norm, word, n), n names having it. (norm, word): the rarest words of a name, until the rest is too short to be what it shares
+    with a name that scores by common words."""
+    order = Window.partitionBy("norm").orderBy("n", "word")
+    left_out = F.coalesce(F.sum(F.length("word") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return words.withColumn("left_out", left_out).filter(F.col("left_out") <= share * (F.length("norm") + 1)).select("norm", "word")
+
+
+def candidate_pairs(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """a, b: norm, each different. (la, rb) that can score ``threshold`` or more; all other pairs score less.
+
+    Letters in order: names agree in one of their rarest letter pairs. Common words: the name that they make up has one of its rarest words
+    in common with the other, whose words all count. Frequent words and letter pairs are keys only for names that have no rarer ones.
+    """
+    share = 1 - threshold / 100
+    sides = [(a, "la"), (b, "rb")]
+    grams = [pairs_of_letters(df) for df, _ in sides]
+    counts = grams[0].unionByName(grams[1]).groupBy("family", "gram").agg(F.count(F.lit(1)).alias("n"))
+    keys = [rarest_pairs(df, g, counts, share).withColumnRenamed("norm", name) for (df, name), g in zip(sides, grams)]
+    lengths = [lambda c: F.length(c), lambda c: F.length(F.replace(c, F.lit(" "), F.lit(""))), lambda c: F.length(F.array_join(F.array_distinct(F.split(c, " ")), " "))]
+    near = F.lit(False)
+    for n in lengths:
+        x, y = n(F.col("la")), n(F.col("rb"))
+        near = near | (F.least(x, y) >= F.greatest(x, y) * (1 - share) / (1 + share) - 1e-9)
+    by_letters = keys[0].join(keys[1], "key").filter(near).select("la", "rb").distinct()
+    # What passes is held against all letter pairs: of a name's different ones two for each edit at most can be missing in the other.
+    for df, g, name in zip((a, b), grams, ("la", "rb")):
+        sets = g.groupBy("norm").agg(*[F.collect_set(F.when(F.col("family") == f, F.col("gram"))).alias(f"{name}_{f}") for f in ("words", "whole")])
+        by_letters = by_letters.join(sets.withColumnRenamed("norm", name), name)
+    edits = F.floor(share * (F.length("la") + F.length("rb")))
+    missing = lambda f: F.greatest(*[F.size(F.array_except(f"{x}_{f}", f"{y}_{f}")) for x, y in (("la", "rb"), ("rb", "la"))])
+    by_letters = by_letters.filter((missing("words") <= 2 * edits) | (missing("whole") <= 2 * edits)).select("la", "rb")
+    words = [df.select("norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("word")) for df, _ in sides]
+    common = words[0].unionByName(words[1]).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = [w.join(common, "word") for w in words]
+    uncovered = 2 * share / (1 + share)  # what a name may have beside the common words
+    rare = [covering_words(w, uncovered) for w in words]
+    named = lambda df, name: df.select("word", F.col("norm").alias(name))
+    by_words = named(rare[0], "la").join(named(words[1], "rb"), "word").unionByName(named(words[0], "la").join(named(rare[1], "rb"), "word"))
+    return by_letters.unionByName(by_words.select("la", "rb")).distinct()
 
 
 def match_entities(left: DataFrame, right: DataFrame, left_col: str, right_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """For each distinct left name the right name of the highest score at or above the threshold, the smallest of equals.
 
-    Only pairs that can reach the threshold are scored: names that share a word, and names whose lengths (without spaces) and letters allow it.
+    Names that normalize alike are matched once. Only pairs that can reach the threshold are scored (``candidate_pairs``).
     """
-    a = left.select(F.col(left_col).alias("left_name")).filter("left_name IS NOT NULL").distinct().withColumn("la", X.entity_name(F.col("left_name")))
-    b = right.select(F.col(right_col).alias("right_name")).filter("right_name IS NOT NULL").distinct().withColumn("rb", X.entity_name(F.col("right_name")))
-    words = a.withColumn("w", F.explode(F.split("la", " "))).join(b.withColumn("w", F.explode(F.split("rb", " "))), "w").drop("w")
-    share = (200 - threshold) / threshold
-    size = lambda c: F.length(F.replace(F.col(c), F.lit(" "), F.lit("")))
-    sized = a.withColumn("n", F.explode(F.sequence(F.floor(size("la") / share), F.ceil(size("la") * share)))).join(b.withColumn("n", size("rb").cast("long")), "n").drop("n")
-    sized = sized.filter(letters_bound(F.replace("la", F.lit(" "), F.lit("")), F.replace("rb", F.lit(" "), F.lit(""))) >= threshold - 12)
-    pairs = words.unionByName(sized).distinct().withColumn("score", similarity("la", "rb")).filter(F.col("score") >= threshold - 1e-9)
-    best = Window.partitionBy("left_name").orderBy(F.desc("score"), "right_name")
-    return pairs.withColumn("k", F.row_number().over(best)).filter("k = 1").select("left_name", "right_name", "score")
+    name = lambda df, c, out: df.select(F.col(c).cast("string").alias(out)).filter(F.col(out).isNotNull()).distinct().withColumn("norm", X.entity_name(F.col(out)))
+    a, b = name(left, left_col, "left_name"), name(right, right_col, "right_name")
+    pairs = candidate_pairs(a.select("norm").distinct(), b.select("norm").distinct(), threshold)
+    scored = pairs.withColumn("score", similarity("la", "rb")).filter(F.col("score") >= threshold - 1e-9)
+    firsts = b.groupBy(F.col("norm").alias("rb")).agg(F.min("right_name").alias("right_name"))
+    best = scored.join(firsts, "rb").groupBy(F.col("la").alias("norm")).agg(F.min(F.struct((-F.col("score")).alias("s"), "right_name")).alias("best"))
+    return a.join(best, "norm").select("left_name", F.col("best.right_name").alias("right_name"), (-F.col("best.s")).alias("score"))
 
 
 def fuzzy_gate(left: DataFrame, right: DataFrame, left_col: str, right_col: str, threshold: float = THRESHOLD) -> DataFrame:
-    """One row: matched pairs, names left without a match on either side, the gate's state and up to three spelling variants."""
-    matches = match_entities(left, right, left_col, right_col, threshold)
-    l = left.select(F.col(left_col).alias("left_name")).filter("left_name IS NOT NULL").distinct()  # noqa: E741
-    r = right.select(F.col(right_col).alias("right_name")).filter("right_name IS NOT NULL").distinct()
-    rows = matches.select(F.lit("m").alias("side"), "left_name", "right_name").unionByName(l.join(matches, "left_name", "left_anti").select(F.lit("l").alias("side"), "left_name", F.lit(None).cast("string").alias("right_name")))
-    rows = rows.unionByName(r.join(matches, "right_name", "left_anti").select(F.lit("r").alias("side"), F.lit(None).cast("string").alias("left_name"), "right_name"))
-    variant = F.when((F.col("side") == "m") & (F.col("left_name") != F.col("right_name")), F.concat_ws(" = ", "left_name", "right_name"))
-    out = rows.agg(F.count_if(F.col("side") == "m").alias("matched"), F.count_if(F.col("side") == "l").alias("left_only"), F.count_if(F.col("side") == "r").alias("right_only"), F.array_join(F.slice(F.array_sort(F.collect_set(variant)), 1, 3), "; ").alias("variants"))
-    state = F.when(F.col("matched") == 0, "not_comparable").when((F.col("left_only") == 0) & (F.col("right_only") == 0), "comparable").otherwise("partial")
-    return out.withColumn("state", state)
+    """One row: matched pairs, names left without a match on either side, the gate's state and the spelling variants among the first three pairs.
+
+    Names are trimmed and blank ones left out; a side without names gives the state unknown.
+    """
+    names = lambda df, c, out: df.select(F.trim(F.col(c).cast("string")).alias(out)).filter(F.col(out) != "").distinct()
+    l, r = names(left, left_col, "left_name"), names(right, right_col, "right_name")  # noqa: E741
+    matches = match_entities(l, r, "left_name", "right_name", threshold)
+    side = lambda df, s: df.select(F.lit(s).alias("side"))
+    rows = side(matches, "m").unionByName(side(l, "a")).unionByName(side(r, "b")).unionByName(side(l.join(matches, "left_name", "left_anti"), "l")).unionByName(side(r.join(matches, "right_name", "left_anti"), "r"))
+    count = lambda s, out: F.count_if(F.col("side") == s).alias(out)
+    out = rows.agg(count("m", "matched"), count("l", "left_only"), count("r", "right_only"), count("a", "n_left"), count("b", "n_right"))
+    first = matches.select("left_name", "right_name").orderBy("left_name", "right_name").limit(3)
+    variant = F.when(F.col("left_name") != F.col("right_name"), F.concat_ws(" ~ ", "left_name", "right_name"))
+    out = out.withColumn("variants", first.agg(F.array_join(F.array_sort(F.collect_list(variant)), "; ").alias("v")).scalar())
+    state = F.when((F.col("n_left") == 0) | (F.col("n_right") == 0), "unknown").when(F.col("matched") == 0, "not_comparable").when((F.col("left_only") == 0) & (F.col("right_only") == 0), "comparable").otherwise("partial")
+    return out.select("matched", "left_only", "right_only", "variants", state.alias("state"))
+
+
+def period_gate(a: Column, b: Column) -> Column:
+    """Fiscal years: equal ones are comparable, different ones not; one missing is partial, both are unknown."""
+    return F.when(a.isNull() & b.isNull(), "unknown").when(a.isNull() | b.isNull(), "partial").when(a == b, "comparable").otherwise("not_comparable")
 
 
-def label_gate(a: Column, b: Column) -> Column:
-    """Equal labels are comparable, different ones not, a missing one unknown."""
-    return F.when(a.isNull() | b.isNull(), "unknown").when(F.lower(F.trim(a)) == F.lower(F.trim(b)), "comparable").otherwise("not_comparable")
+def unit_gate(a: Column, b: Column, scale_a: Column | None = None, scale_b: Column | None = None) -> Column:
+    """Units, case aside: equal ones of equal scale are comparable, of different scale partial; different ones not; a missing one is unknown."""
+    x, y = (F.lit(1.0) if s is None else F.coalesce(s, F.lit(1.0)) for s in (scale_a, scale_b))
+    same = F.lower(a) == F.lower(b)
+    return F.when(a.isNull() | b.isNull(), "unknown").when(same & (x == y), "comparable").when(same, "partial").otherwise("not_comparable")
+
+
+def definition_gate(a: Column, b: Column) -> Column:
+    """Definitions, case aside: equal ones are comparable, reworded ones partial, others not; a missing one is unknown."""
+    return F.when(a.isNull() | b.isNull(), "unknown").when(F.lower(a) == F.lower(b), "comparable").when(X.jaccard(a, b) >= REWORDED, "partial").otherwise("not_comparable")
 
 
 def overall_gate(*gates: Column) -> Column:
@@ -119,53 +197,135 @@ def reconcile(pairs: DataFrame, a: str, b: str, overall: str) -> DataFrame:
 
 
 def unit_base(unit: Column) -> Column:
-    low = F.lower(unit)
+    """INR or count by a unit's label; null if it says neither."""
+    low = X.plain(unit)
     money = low.contains("inr") | low.contains("rupee") | low.contains("rs") | low.contains("₹")
-    return F.when(money, "INR").when(X.unit_scale(unit).isNotNull(), "count").otherwise("unknown")
+    return F.when(money, "INR").when(X.unit_scale(unit).isNotNull(), "count")
 
 
-def definition_drift(before: DataFrame, after: DataFrame) -> DataFrame:
+def definition_drift(before: DataFrame, after: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Cards (card_id, concept_id, definition, scope, denominator, unit) of two releases paired by concept: one row for each dimension that
-    changed, with decision, impact and severity. Of several cards of a concept before, the last by card_id counts; equal cards are skipped."""
-    last = Window.partitionBy("concept_id").orderBy(F.desc("card_id"))
-    old = before.withColumn("k", F.row_number().over(last)).filter("k = 1").drop("k")
-    old = old.select("concept_id", *[F.col(c).alias(f"b_{c}") for c in ("card_id", "definition", "scope", "denominator", "unit")])
-    pairs = after.join(old, "concept_id").filter("card_id <> b_card_id")
+    changed, with decision, impact and severity. Of several cards of a concept before, the last by card_id counts; equal cards are skipped.
+
+    Texts are compared without case and the spaces around them. Units of known scales are compared by scale; only two known bases can make
+    units not comparable. by: further columns that both tables pair by, such as an id of the pair of tables.
+    """
+    keys = [*(by or []), "concept_id"]
+    last = Window.partitionBy(*keys).orderBy(F.desc("card_id"))
+    old = before.withColumn("k", F.row_number().over(last)).filter("k = 1")
+    old = old.select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("card_id", "definition", "scope", "denominator", "unit")])
+    pairs = after.join(old, keys).filter("card_id <> b_card_id")
+    verdict = lambda kind, decision, impact: F.struct(F.lit(kind).alias("drift_type"), F.lit(decision).alias("decision"), F.lit(impact).alias("impact"))
 
     def change(kind: str, one_sided: float, changed: Column) -> Column:
         b, a = F.col(f"b_{kind}"), F.col(kind)
-        side = F.struct(F.lit(kind).alias("drift_type"), F.lit("partial").alias("decision"), F.lit(one_sided).alias("impact"))
-        return F.when(b.isNull() & a.isNull(), None).when(b.isNull() | a.isNull(), side).when(b != a, changed)
+        side = F.when(b.isNotNull() | a.isNotNull(), verdict(kind, "partial", one_sided))
+        return F.when(b.isNull() | a.isNull(), side).when(X.plain(b) != X.plain(a), changed)
 
-    verdict = lambda kind, decision, impact: F.struct(F.lit(kind).alias("drift_type"), F.lit(decision).alias("decision"), F.lit(impact).alias("impact"))
     b_scale, a_scale = X.unit_scale(F.col("b_unit")), X.unit_scale(F.col("unit"))
-    b_base, a_base = unit_base(F.col("b_unit")), unit_base(F.col("unit"))
-    unit = F.when((b_base != a_base), verdict("unit", "not_comparable", 0.9)).when(b_scale == a_scale, None).when(b_scale.isNotNull() & a_scale.isNotNull(), verdict("unit", "partial", 0.55)).otherwise(verdict("unit", "partial", 0.5))
-    text = F.when(X.jaccard(F.col("b_definition"), F.col("definition")) >= 0.8, verdict("definition", "partial", 0.3)).otherwise(verdict("definition", "not_comparable", 0.7))
+    unit = F.when(b_scale != a_scale, verdict("unit", "partial", 0.55)).when(b_scale == a_scale, None)
+    unit = unit.when(unit_base(F.col("b_unit")) != unit_base(F.col("unit")), verdict("unit", "not_comparable", 0.9)).otherwise(verdict("unit", "partial", 0.5))
+    text = F.when(X.jaccard(F.col("b_definition"), F.col("definition")) >= REWORDED, verdict("definition", "partial", 0.3)).otherwise(verdict("definition", "not_comparable", 0.7))
     drifts = F.array(
         change("denominator", 0.3, verdict("denominator", "not_comparable", 0.9)),
         change("unit", 0.2, unit),
-        F.when(F.col("b_definition") != F.col("definition"), text),
+        F.when(X.plain(F.coalesce("b_definition", F.lit(""))) != X.plain(F.coalesce("definition", F.lit(""))), text),
         change("scope", 0.2, verdict("scope", "partial", 0.4)),
     )
-    rows = pairs.select("concept_id", F.col("b_card_id").alias("before_card"), F.col("card_id").alias("after_card"), F.inline(F.filter(drifts, lambda d: d.isNotNull())))
+    rows = pairs.select(*keys, F.col("b_card_id").alias("before_card"), F.col("card_id").alias("after_card"), F.inline(F.filter(drifts, lambda d: d.isNotNull())))
     return rows.withColumn("severity", F.when(F.col("decision") == "not_comparable", "high").when(F.col("impact") >= 0.5, "medium").otherwise("low"))
 
 
+def infer_cards(columns: DataFrame) -> DataFrame:
+    """columns: (artifact_id, column, is_metric, null_ratio) of profiles. A definition card for each metric column, read out of its name:
+    concept, unit, denominator and what is ambiguous; all of them are proposals."""
+    low = F.lower(F.col("column"))
+    rows = columns.filter("is_metric").dropDuplicates(["artifact_id", "column"]).withColumn("x", X.column_concept(F.col("column")))
+    denominator = F.regexp_extract(low, X.DENOMINATOR, 1)
+    denominator = F.when(denominator != "", F.replace(denominator, F.lit("_"), F.lit(" ")))
+    flags = F.array(*[F.when(low.contains(t), f"name_contains_{t}") for t in X.AMBIGUOUS], F.when(F.col("null_ratio") > 0.5, "majority_null"))
+    place = F.concat_ws(":", "artifact_id", "column")
+    said = F.concat(F.col("column"), F.lit(" as reported in this artifact; inferred unit '"), F.col("x.unit"), F.lit("'"), F.coalesce(F.concat(F.lit("; rate per "), denominator), F.lit("")))
+    return rows.select(
+        "artifact_id", "column", F.concat(F.lit("dc:"), place).alias("card_id"), F.col("x.base").alias("concept_id"), said.alias("definition"),
+        F.concat(F.lit("column '"), F.col("column"), F.lit("'")).alias("scope"), denominator.alias("denominator"), F.col("x.unit").alias("unit"),
+        F.concat_ws("#column=", "artifact_id", "column").alias("span"), F.array_join(F.filter(flags, lambda f: f.isNotNull()), ",").alias("flags"), F.lit("proposed").alias("status"))
+
+
+def compare_pairs(pairs: DataFrame, totals: DataFrame, keys: DataFrame, releases: DataFrame) -> DataFrame:
+    """pairs (pair_id, artifact_a, column_a, artifact_b, column_b), each with totals, the four gates, the verdict and its severity, in one job.
+
+    totals: (artifact_id, column, n, total); a column that is not there, or has no value, is an error and named in ``error``. keys: (artifact_id,
+    key), the names of each artifact's places; they are counted, never gathered. releases: (artifact_id, fiscal_year).
+    """
+    rows = pairs
+    for x in "ab":
+        own = totals.select(F.col("artifact_id").alias(f"artifact_{x}"), F.col("column").alias(f"column_{x}"), F.col("n").alias(f"n_{x}"), F.col("total").alias(f"total_{x}"))
+        year = releases.select(F.col("artifact_id").alias(f"artifact_{x}"), F.nullif(F.trim("fiscal_year"), F.lit("")).alias(f"year_{x}"))
+        rows = rows.join(own, [f"artifact_{x}", f"column_{x}"], "left").join(year, f"artifact_{x}", "left")
+    held = None
+    for x in "ab":
+        own = keys.distinct().withColumnRenamed("artifact_id", f"artifact_{x}")
+        side = pairs.select("pair_id", f"artifact_{x}").join(own, f"artifact_{x}").select("pair_id", "key", F.lit(x == "a").alias("a"), F.lit(x == "b").alias("b"))
+        held = side if held is None else held.unionByName(side)
+    held = held.groupBy("pair_id", "key").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    held = held.groupBy("pair_id").agg(F.count_if("a").alias("keys_a"), F.count_if("b").alias("keys_b"), F.count_if(F.col("a") & F.col("b")).alias("keys_both"))
+    rows = rows.join(held, "pair_id", "left").fillna(0, ["keys_a", "keys_b", "keys_both"])
+    both = F.col("keys_both")
+    geography = F.when((F.col("keys_a") == 0) | (F.col("keys_b") == 0), "unknown").when(both == 0, "not_comparable").when((both == F.col("keys_a")) & (both == F.col("keys_b")), "comparable").otherwise("partial")
+    concept = [X.column_concept(F.col(f"column_{x}")) for x in "ab"]
+    unit, base = [c["unit"] for c in concept], [X.definition_key(c["base"]) for c in concept]
+    gates = {"geography": geography, "period": period_gate(F.col("year_a"), F.col("year_b")), "unit": unit_gate(*unit, *map(X.unit_scale, unit)), "definition": definition_gate(*base)}
+    rows = rows.withColumns(gates)
+    rows = reconcile(rows.withColumn("overall", overall_gate(*map(F.col, gates))), "total_a", "total_b", "overall")
+    wrong = lambda x: F.when(F.col(f"n_{x}").isNull(), F.concat(F.lit("column_not_found:"), F.col(f"column_{x}"))).when(F.col(f"n_{x}") == 0, F.concat(F.lit("empty_column:"), F.col(f"column_{x}")))
+    rows = rows.withColumn("error", F.coalesce(wrong("a"), wrong("b"))).withColumn("severity", F.when(F.col("status") == "conflict", "medium").otherwise("info"))
+    for c in ("status", "delta", "percent_gap", "severity"):
+        rows = rows.withColumn(c, F.when(F.col("error").isNull(), F.col(c)))
+    return rows.select("pair_id", "total_a", "total_b", *gates, "overall", "status", "delta", "severity", "error")
+
+
+def column_totals(values: DataFrame) -> DataFrame:
+    """values: (artifact_id, column, value as text or number). (artifact_id, column, n, total): numbers are summed, what is no number is left out."""
+    number = F.col("value").try_cast("double")
+    return values.groupBy("artifact_id", "column").agg(F.count("value").alias("n"), F.sum(number).alias("total"))
+
+
 def overall_decision(drifts: DataFrame) -> DataFrame:
     """The worst decision of each concept."""
     rank = F.when(F.col("decision") == "not_comparable", 2).when(F.col("decision") == "partial", 1).otherwise(0)
     return drifts.groupBy("concept_id").agg(F.max(rank).alias("r")).select("concept_id", F.when(F.col("r") == 2, "not_comparable").when(F.col("r") == 1, "partial").otherwise("comparable").alias("decision"))
 
 
+def origin_of(derived: str = "derived_from", artifact: str = "artifact_id") -> Column:
+    """What a claim was copied from, if that is known and not blank, else the artifact it was read in."""
+    return F.coalesce(F.nullif(F.col(derived), F.lit("")), F.col(artifact))
+
+
+def origin_groups(claims: DataFrame) -> DataFrame:
+    """(metric, origin, claim_id): which claims stand on which origin, a row a claim; a group is never gathered."""
+    return claims.select("metric", origin_of().alias("origin"), "claim_id")
+
+
 def false_consensus(claims: DataFrame) -> DataFrame:
     """claims (metric, claim_id, artifact_id, derived_from): how many origins stand behind the apparent sources of each metric.
 
-    Origins are counted from groups (metric, origin), so a metric with very many claims is pre-aggregated before it meets in one row.
+    Origins are counted from groups (metric, origin), so a metric with very many claims is pre-aggregated before it meets in one row. Metrics
+    of a single claim have nothing to compare and no row.
     """
-    origins = claims.groupBy("metric", F.coalesce("derived_from", "artifact_id").alias("origin")).agg(F.count(F.lit(1)).alias("members"))
+    origins = claims.groupBy("metric", origin_of().alias("origin")).agg(F.count(F.lit(1)).alias("members"))
     out = origins.groupBy("metric").agg(F.sum("members").alias("apparent_sources"), F.count(F.lit(1)).alias("distinct_origins"), F.max("members").alias("largest_group")).filter("apparent_sources >= 2")
     r = F.col("distinct_origins") / F.col("apparent_sources")
-    severity = F.when(r >= 0.999, "info").when(r <= 0.6, F.when(F.col("apparent_sources") <= 3, "medium").otherwise("high")).otherwise("low")
-    verdict = F.when(r >= 0.999, "independent").otherwise("shared_origin")
-    return out.select("metric", "apparent_sources", "distinct_origins", "largest_group", F.round(r, 4).alias("diversity_ratio"), verdict.alias("verdict"), severity.alias("severity"))
+    alone = r >= 0.999
+    severity = F.when(alone, "info").when(r <= 0.6, F.when(F.col("apparent_sources") <= 3, "medium").otherwise("high")).otherwise("low")
+    verdict, confidence = F.when(alone, "independent_corroboration").otherwise("shared_origin_suspected"), F.when(alone, "high").otherwise("moderate")
+    return out.select("metric", "apparent_sources", "distinct_origins", "largest_group", F.round(r, 4).alias("diversity_ratio"), verdict.alias("verdict"), severity.alias("severity"), confidence.alias("confidence"))
+
+
+def consensus_ids(claims: DataFrame) -> DataFrame:
+    """(metric, consensus_id): an id over a metric's claims that does not depend on their order: hashes of the sorted claim ids in 4,096 buckets,
+    then one over the buckets, so that no metric's claims meet in one row. A claim that is there twice counts twice."""
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "|"), 256)
+    counted = claims.groupBy("metric", F.col("claim_id").cast("string").alias("claim_id")).agg(F.count(F.lit(1)).alias("n"))
+    parts = counted.groupBy("metric", F.substring(F.md5("claim_id"), 1, 3).alias("bucket")).agg(joined(F.concat_ws(":", "claim_id", F.col("n").cast("string"))).alias("h"))
+    return parts.groupBy("metric").agg(F.concat(F.lit("cons-"), F.substring(joined("h"), 1, 12)).alias("consensus_id"))

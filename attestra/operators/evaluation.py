@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Callable
 
-DECISIONS = ["detected", "partially_detected", "missed", "not_testable"]
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from attestra.session import materialize
+
+# The decisions on a case.
+DECISIONS = ["detected", "partially_detected", "not_detected", "not_detectable"]
 
 
 def blind(cases: DataFrame) -> DataFrame:
@@ -16,49 +21,95 @@ def coverage(cases: DataFrame, artifacts: DataFrame) -> DataFrame:
     """(case_id, n_artifacts, status): artifacts (artifact_id, source_id) by the case's source ids; a case with none is an access gap."""
     links = blind(cases).select("case_id", F.explode_outer("linked_source_ids").alias("source_id")).distinct()
     out = links.join(artifacts, "source_id", "left").groupBy("case_id").agg(F.count_distinct("artifact_id").alias("n_artifacts"))
-    return out.withColumn("status", F.when(F.col("n_artifacts") == 0, "unmapped_access_gap").otherwise("covered"))
+    return out.withColumn("status", F.when(F.col("n_artifacts") == 0, "unmapped_access_gap").otherwise("mapped"))
 
 
 def case_findings(cases: DataFrame, artifacts: DataFrame, findings: DataFrame) -> DataFrame:
-    """(case_id, finding_id): findings on any of the case's artifacts, each once."""
+    """(case_id, finding_id, complete): findings on any of the case's artifacts, each once. A finding is complete if it has an evidence query, spans or
+    evidence (``evidence_query`` text, ``evidence_spans`` and ``evidence`` lists, as far as the table has them)."""
+    held = [F.col(c) != "" for c in ("evidence_query",) if c in findings.columns] + [F.size(c) > 0 for c in ("evidence_spans", "evidence") if c in findings.columns]
+    complete = F.lit(False)
+    for one in held:
+        complete = complete | F.coalesce(one, F.lit(False))
     links = blind(cases).select("case_id", F.explode("linked_source_ids").alias("source_id")).join(artifacts, "source_id").select("case_id", "artifact_id").distinct()
-    return links.join(findings.select("finding_id", F.explode("artifact_ids").alias("artifact_id")), "artifact_id").select("case_id", "finding_id").distinct()
+    rows = findings.select("finding_id", complete.alias("complete"), F.explode("artifact_ids").alias("artifact_id"))
+    return links.join(rows, "artifact_id").select("case_id", "finding_id", "complete").distinct()
+
+
+def case_results(cases: DataFrame, artifacts: DataFrame, findings: DataFrame) -> DataFrame:
+    """coverage of every case, with n_findings and n_complete."""
+    counts = case_findings(cases, artifacts, findings).groupBy("case_id").agg(F.count(F.lit(1)).alias("n_findings"), F.count_if("complete").alias("n_complete"))
+    return coverage(cases, artifacts).join(counts, "case_id", "left").fillna(0, ["n_findings", "n_complete"])
 
 
 def rejects(decisions: DataFrame, run_findings: DataFrame) -> DataFrame:
-    """(decision_id, reason): unknown decisions, detections without findings, and findings that aren't in the run."""
-    unknown = decisions.filter(~F.col("decision").isin(DECISIONS)).select("decision_id", F.lit("unknown_decision").alias("reason"))
-    none = decisions.filter(F.col("decision").isin("detected", "partially_detected") & (F.size("finding_ids") == 0)).select("decision_id", F.lit("no_findings").alias("reason"))
-    ids = decisions.select("decision_id", F.explode("finding_ids").alias("finding_id"))
-    foreign = ids.join(run_findings.select("finding_id"), "finding_id", "left_anti").select("decision_id", F.lit("foreign_finding").alias("reason")).distinct()
-    return unknown.unionByName(none).unionByName(foreign)
+    """(decision_id, reason): unknown decisions, cases that aren't in the run, detections without findings, and findings that aren't among the run's
+    findings of that case. run_findings: (case_id, finding_id) of every case of the run, finding_id null for a case without any."""
+    told = lambda df, reason: df.select("decision_id", F.lit(reason).alias("reason"))
+    unknown = told(decisions.filter(~F.coalesce(F.col("decision").isin(DECISIONS), F.lit(False))), "unknown_decision")
+    lost = told(decisions.join(run_findings.select("case_id").distinct(), "case_id", "left_anti"), "foreign_case")
+    none = told(decisions.filter(F.col("decision").isin("detected", "partially_detected") & (F.coalesce(F.size("finding_ids"), F.lit(0)) == 0)), "no_findings")
+    ids = decisions.select("decision_id", "case_id", F.explode("finding_ids").alias("finding_id"))
+    foreign = told(ids.join(run_findings.select("case_id", "finding_id"), ["case_id", "finding_id"], "left_anti"), "foreign_finding").distinct()
+    return unknown.unionByName(lost).unionByName(none).unionByName(foreign)
 
 
 def report(run_cases: DataFrame, decisions: DataFrame) -> DataFrame:
-    """One row of rates over the latest decision of each case; a rate without a denominator is null."""
-    latest = Window.partitionBy("case_id").orderBy(F.desc("decided_at"), F.desc("decision_id"))
-    last = decisions.withColumn("k", F.row_number().over(latest)).filter("k = 1").select("case_id", "decision")
+    """One row of counts and rates over the latest decision of each case; a rate without a denominator is null.
+
+    run_cases: ``case_results``. Detectability is over the adjudicated cases, evidence completeness over the findings of all cases.
+    """
+    newest = Window.partitionBy("case_id").orderBy(F.desc("decided_at"), F.desc("decision_id"))
+    last = decisions.withColumn("k", F.row_number().over(newest)).filter("k = 1").select("case_id", "decision")
     rows = run_cases.join(last, "case_id", "left")
-    is_in = lambda *x: F.count_if(F.col("decision").isin(*x))
-    out = rows.agg(F.count(F.lit(1)).alias("n_cases"), F.count("decision").alias("n_adjudicated"), is_in("detected", "partially_detected").alias("n_detected"), F.count_if(F.col("n_artifacts") > 0).alias("n_covered"))
-    return out.select("n_cases", "n_adjudicated", (F.col("n_cases") - F.col("n_adjudicated")).alias("n_pending"), F.round(F.try_divide("n_covered", "n_cases"), 4).alias("coverage"), F.round(F.try_divide("n_detected", "n_adjudicated"), 4).alias("detectability"))
+    out = rows.agg(
+        F.count(F.lit(1)).alias("n_cases"), F.count("decision").alias("n_adjudicated"), *[F.count_if(F.col("decision") == d).alias(f"n_{d}") for d in DECISIONS],
+        F.count_if(F.col("n_artifacts") > 0).alias("n_mapped"), F.sum("n_findings").alias("n_findings"), F.sum("n_complete").alias("n_complete"))
+    rate = lambda a, b, name: F.round(F.try_divide(a, b), 4).alias(name)
+    return out.select(
+        "n_cases", "n_adjudicated", (F.col("n_cases") - F.col("n_adjudicated")).alias("n_pending"), "n_mapped", (F.col("n_cases") - F.col("n_mapped")).alias("n_unmapped"), *[f"n_{d}" for d in DECISIONS],
+        rate(F.col("n_mapped"), F.col("n_cases"), "coverage"), rate(F.col("n_detected") + F.col("n_partially_detected"), F.col("n_adjudicated"), "detectability"), rate(F.col("n_complete"), F.col("n_findings"), "evidence_completeness"))
+
+
+def words_of(text_col: str) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def runs_of(words: str, size: int, of: Callable[[Column], Column]) -> Column:
+    """``of`` each run of ``size`` words, each result once."""
+    none = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(1)), lambda i: of(F.slice(words, i, size))))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: of(F.slice(words, i, size))))
+    return F.when(F.size(words) >= size, runs).otherwise(F.slice(none, 1, 0))
 
 
 def grams(df: DataFrame, id_col: str, text_col: str, size: int = 5, least_chars: int = 20) -> DataFrame:
     """(id, gram): distinct runs of ``size`` lower-case words of at least ``least_chars`` characters."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
-    runs = F.when(F.size("w") >= size, F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.array_join(F.slice("w", i, size), " "))).otherwise(F.array().cast("array<string>"))
-    rows = df.select(F.col(id_col).alias("id"), words.alias("w")).select("id", F.explode(F.array_distinct(runs)).alias("gram"))
-    return rows.filter(F.length("gram") >= least_chars)
+    rows = df.select(F.col(id_col).alias("id"), words_of(text_col).alias("w"))
+    return rows.select("id", F.explode(runs_of("w", size, lambda r: F.array_join(r, " "))).alias("gram")).filter(F.length("gram") >= least_chars)
+
 
+def label_leaks(texts: DataFrame, labels: DataFrame, text_id: str, label_id: str, text_col: str = "text", size: int = 5) -> DataFrame:
+    """(text_id, label_id, n_grams): texts that share word runs with restricted labels.
 
-def label_leaks(texts: DataFrame, labels: DataFrame, text_id: str, label_id: str, text_col: str = "text") -> DataFrame:
-    """(text_id, label_id, n_grams): texts that share word runs with restricted labels, by an equality join on the runs."""
-    a = grams(texts, text_id, text_col).withColumnRenamed("id", "text_id")
-    b = grams(labels, label_id, text_col).withColumnRenamed("id", "label_id")
+    Runs of the texts are hashed in place and met with the labels' hashes, so a text's runs never become rows of strings; runs are compared as
+    text only for the texts that any hash hits. Spark broadcasts the labels' hashes where they are small and shuffles both sides by the hash
+    where they aren't.
+    """
+    b = materialize(grams(labels, label_id, text_col, size).withColumnRenamed("id", "label_id"), "grams")
+    hashes = b.select(F.xxhash64(F.split("gram", " ")).alias("h")).distinct()
+    rows = texts.select(F.col(text_id).alias("text_id"), words_of(text_col).alias("w")).select("text_id", F.explode(runs_of("w", size, F.xxhash64)).alias("h"))
+    hit = materialize(rows.join(hashes, "h", "left_semi").select("text_id").distinct(), "hits")
+    a = grams(texts.join(hit, texts[text_id].eqNullSafe(hit["text_id"]), "left_semi"), text_id, text_col, size).withColumnRenamed("id", "text_id")
     return a.join(b, "gram").groupBy("text_id", "label_id").agg(F.count(F.lit(1)).alias("n_grams"))
 
 
+def id_leaks(texts: DataFrame, ids: DataFrame, text_id: str, id_col: str, text_col: str = "text") -> DataFrame:
+    """(text_id, case_id): texts that name a case by its id, as a whole run of letters, digits, hyphens and underscores; case counts."""
+    tokens = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"([\p{L}\p{N}_-]+)"), F.lit(1)))
+    named = texts.select(F.col(text_id).alias("text_id"), F.explode(tokens).alias("case_id"))
+    return named.join(ids.select(F.col(id_col).cast("string").alias("case_id")).distinct(), "case_id", "left_semi").select("text_id", "case_id")
+
+
 def prefix_guard(texts: DataFrame, labels: DataFrame, text_id: str, text_col: str = "text", prefix: int = 40, least: int = 12) -> DataFrame:
     """Ids of texts that contain the first ``prefix`` characters of a label (of ``least`` at least).
 

@@ -1,4 +1,4 @@
-"""Lineage graphs as two tables: nodes (id, kind, label) and edges (source, target, relation)."""
+"""Lineage graphs as two tables: nodes (id, kind, label, detail) and edges (source, target, relation)."""
 
 from __future__ import annotations
 
@@ -8,26 +8,30 @@ from attestra.session import materialize
 
 
 def build(artifacts: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """artifacts (artifact_id, has_profile), findings (finding_id, artifact_id, rule): raw, parser, profile, rule and finding nodes of all
-    artifacts at once. Repeated finding ids get #n in order of artifact; rules and findings exist only below a profile."""
-    profiled = artifacts.filter("has_profile").select("artifact_id")
-    found = findings.join(profiled, "artifact_id", "left_semi")
-    again = F.row_number().over(Window.partitionBy("finding_id").orderBy("artifact_id", "rule"))
-    found = found.withColumn("again", again).withColumn("node", F.when(F.col("again") > 1, F.concat_ws("#", "finding_id", "again")).otherwise(F.col("finding_id")))
+    """artifacts (artifact_id, has_profile; of them detail, parser and profile_detail, where the table has them), findings (finding_id, artifact_id,
+    rule, severity if known): raw, parser, profile, rule and finding nodes of all artifacts at once, each with a label and a detail.
+
+    A finding id that comes again in an artifact gets #1, #2 and so on in order of the rule; rules and findings exist only below a profile.
+    Ids hold the artifact, so graphs of many artifacts stand side by side.
+    """
+    text = lambda df, c, other: F.coalesce(F.col(c).cast("string"), F.lit(other)) if c in df.columns else F.lit(other)
+    profiled = artifacts.filter("has_profile")
+    found = findings.join(profiled.select("artifact_id"), "artifact_id", "left_semi")
+    again = F.row_number().over(Window.partitionBy("artifact_id", "finding_id").orderBy("rule")) - 1
+    found = found.withColumn("again", again).withColumn("node", F.when(F.col("again") > 0, F.concat_ws("#", "finding_id", "again")).otherwise(F.col("finding_id")))
     rules = found.select("artifact_id", "rule").distinct()
     name = lambda kind: F.concat(F.lit(kind + ":"), F.col("artifact_id"))
     rule = F.concat(F.lit("rule:"), F.col("artifact_id"), F.lit(":"), F.col("rule"))
-    finding = F.concat(F.lit("finding:"), F.col("node"))
-    nodes = artifacts.select(name("raw").alias("id"), F.lit("raw").alias("kind"), F.col("artifact_id").alias("label"))
-    nodes = nodes.unionByName(artifacts.select(name("parser").alias("id"), F.lit("parser").alias("kind"), F.col("artifact_id").alias("label")))
-    nodes = nodes.unionByName(profiled.select(name("profile").alias("id"), F.lit("profile").alias("kind"), F.col("artifact_id").alias("label")))
-    nodes = nodes.unionByName(rules.select(rule.alias("id"), F.lit("rule").alias("kind"), F.col("rule").alias("label")))
-    nodes = nodes.unionByName(found.select(finding.alias("id"), F.lit("finding").alias("kind"), F.col("finding_id").alias("label")))
-    edges = artifacts.select(name("raw").alias("source"), name("parser").alias("target"), F.lit("parsed_by").alias("relation"))
-    edges = edges.unionByName(profiled.select(name("parser").alias("source"), name("profile").alias("target"), F.lit("profiled_as").alias("relation")))
-    edges = edges.unionByName(rules.select(name("profile").alias("source"), rule.alias("target"), F.lit("checked_by").alias("relation")))
-    edges = edges.unionByName(found.select(rule.alias("source"), finding.alias("target"), F.lit("produced").alias("relation")))
-    return nodes, edges
+    finding = F.concat(F.lit("finding:"), F.col("artifact_id"), F.lit(":"), F.col("node"))
+    node = lambda df, i, kind, label, detail: df.select(i.alias("id"), F.lit(kind).alias("kind"), label.alias("label"), detail.alias("detail"))
+    nodes = node(artifacts, name("raw"), "raw_artifact", F.col("artifact_id"), text(artifacts, "detail", ""))
+    nodes = nodes.unionByName(node(artifacts, name("parser"), "parser", text(artifacts, "parser", "parser"), F.lit("")))
+    nodes = nodes.unionByName(node(profiled, name("profile"), "profile", F.lit("profile"), text(profiled, "profile_detail", "")))
+    nodes = nodes.unionByName(node(rules, rule, "rule", F.col("rule"), F.lit("deterministic engine; rerun reproducible from pinned inputs")))
+    nodes = nodes.unionByName(node(found, finding, "finding", F.col("finding_id"), F.concat(F.lit("severity="), text(found, "severity", "n/a"))))
+    edge = lambda df, a, b, relation: df.select(a.alias("source"), b.alias("target"), F.lit(relation).alias("relation"))
+    edges = edge(artifacts, name("raw"), name("parser"), "parsed_by").unionByName(edge(profiled, name("parser"), name("profile"), "profiled_by"))
+    return nodes, edges.unionByName(edge(rules, name("profile"), rule, "executed_over")).unionByName(edge(found, rule, finding, "produced"))
 
 
 def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -49,13 +53,21 @@ def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.unionByName(cyclic) if cyclic is not None else out
 
 
-def paths_to_raw(edges: DataFrame, most: int = 32) -> DataFrame:
-    """(id, path): the chain from each node up to its root, by the smallest predecessor at each step."""
-    up = materialize(edges.groupBy(F.col("target").alias("id")).agg(F.min("source").alias("up")), "up")
-    at = up.select("id", F.col("up").alias("top"), F.array("id", "up").alias("path"))
-    for _ in range(most):
-        at = materialize(at.join(up.select(F.col("id").alias("top"), F.col("up").alias("next")), "top", "left"), "paths")
-        if at.filter("next IS NOT NULL").isEmpty():
-            break
-        at = at.select("id", F.coalesce("next", "top").alias("top"), F.when(F.col("next").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("next"))).alias("path"))
-    return at.select("id", F.array_join("path", " < ").alias("path"), F.size("path").alias("depth"))
+def paths_to_raw(edges: DataFrame) -> DataFrame:
+    """(id, path, depth): the chain from each node up to its root, by the smallest predecessor at each step, however long it is.
+
+    Each round doubles what every chain knows: it appends the chain of its last node. A cycle, which has no root, is an error.
+    """
+    up = edges.groupBy(F.col("target").alias("id")).agg(F.min("source").alias("top"))
+    at = materialize(up.select("id", "top", F.array("id", "top").alias("path")), "paths")
+    nodes = at.count()
+    reach = 1
+    while True:
+        ahead = at.select(F.col("id").alias("top"), F.col("top").alias("next"), F.slice("path", F.lit(2), F.size("path")).alias("rest"))
+        grown = at.join(ahead, "top", "left").select("id", F.coalesce("next", "top").alias("top"), F.when(F.col("rest").isNull(), F.col("path")).otherwise(F.concat("path", "rest")).alias("path"), F.col("next").isNotNull().alias("moved"))
+        at, reach = materialize(grown, "paths"), 2 * reach
+        if at.filter("moved").isEmpty():
+            return at.select("id", F.array_join("path", " < ").alias("path"), F.size("path").alias("depth"))
+        if reach > 2 * nodes:
+            raise ValueError("the graph has a cycle; validate() names its nodes")
+        at = at.select("id", "top", "path")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from attestra.functions import exprs as X
 from attestra.operators.anomaly import metric_columns
+from attestra.session import materialize
 
 # Shapes of personal data, and column names that speak for each.
 PII_SHAPES = {
@@ -20,17 +21,20 @@ PII_SHAPES = {
     "voter_id": r"^[A-Z]{3}\d{7}$",
 }
 PII_NAMES = {
-    "aadhaar": ["aadhaar", "aadhar", "uid"],
-    "pan": ["pan", "pan_no", "pan_number"],
-    "mobile_phone": ["mobile", "phone", "phone_no", "mobile_no"],
-    "email": ["email", "e_mail", "mail"],
-    "bank_account": ["account_no", "bank_account", "bank_ac"],
-    "passport": ["passport"],
-    "voter_id": ["epic", "voter"],
-}
+    "aadhaar": "aadhaar", "aadhar": "aadhaar", "uid": "aadhaar",
+    "pan": "pan", "pan_no": "pan", "pan_number": "pan",
+    "mobile": "mobile_phone", "phone": "mobile_phone", "phone_no": "mobile_phone", "mobile_no": "mobile_phone",
+    "email": "email", "e_mail": "email", "mail": "email",
+    "account_no": "bank_account", "bank_account": "bank_account", "bank_ac": "bank_account",
+    "passport": "passport",
+    "epic": "voter_id", "voter": "voter_id",
+}
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
-#: Weights of the fitness components.
+#: Rows up to which quantiles come from one aggregate, which holds a column's different values in a task; more rows go through buckets.
+AT_ONCE = 2_000_000
+# Weights of the fitness components, and what an observation costs.
 WEIGHTS = {"completeness": 0.30, "duplication": 0.15, "validity": 0.20, "consistency": 0.15, "identifier_exposure": 0.10, "distribution_health": 0.10}
+PENALTY = {"high": 30.0, "medium": 12.0, "low": 4.0}
 
 
 def is_numeric(kind: T.DataType) -> bool:
@@ -58,17 +62,72 @@ def sample_values(counts: DataFrame, most: int = 5) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= most).select("column", "value", "rank")
 
 
-def column_stats(df: DataFrame, approx_quantiles: bool = False) -> DataFrame:
-    """One row per column: nulls, and for numbers min, max, mean, stddev, skewness (population) and five quantiles; one pass over the rows."""
+def values_at(df: DataFrame, wanted: list[tuple[str, int]], buckets: int = 1024) -> dict[tuple[str, int], float]:
+    """The value of each wanted rank (column, rank from 0) among the column's non-null numbers, exactly.
+
+    Approximate quantiles cut each column into buckets; the buckets' counts, a bounded table, say which bucket holds a rank. Only the
+    different values of those buckets are ranked, each bucket in a task of its own, so no task holds a column.
+    """
+    columns = sorted({c for c, _ in wanted})
+    edges = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [k / buckets for k in range(1, buckets)], 8 * buckets).alias(c) for c in columns]).first()
+    cuts = df.sparkSession.createDataFrame([(c, sorted(set(edges[c]))) for c in columns if edges[c]], "column string, edges array<double>")
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
+    values = df.select(F.inline(F.array(*pairs))).filter("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    # How many edges a value has passed, by halving.
+    middle = "CAST((s.lo + s.hi) div 2 AS int)"
+    halves = f"IF(edges[{middle}] <= value, struct({middle} + 1 AS lo, s.hi AS hi), struct(s.lo AS lo, {middle} AS hi))"
+    low = F.expr(f"aggregate(sequence(1, {buckets.bit_length()}), struct(0 AS lo, size(edges) AS hi), (s, i) -> IF(s.lo < s.hi, {halves}, s), s -> s.lo)")
+    values = materialize(values.join(F.broadcast(cuts), "column").select("column", "value", "n", low.cast("int").alias("bucket")), "values")
+    counts: dict[str, list[tuple[int, int]]] = {c: [] for c in columns}
+    for r in values.groupBy("column", "bucket").agg(F.sum("n").alias("n")).orderBy("column", "bucket").collect():  # at most ``buckets`` rows a column
+        counts[r["column"]].append((r["bucket"], r["n"]))
+    inside = []
+    for c, rank in wanted:
+        before = 0
+        for bucket, n in counts[c]:
+            if rank < before + n:
+                inside.append((c, bucket, rank, rank - before))
+                break
+            before += n
+    places = df.sparkSession.createDataFrame(inside, "column string, bucket int, rank long, place long")
+    order = Window.partitionBy("column", "bucket").orderBy("value")
+    here = values.join(F.broadcast(places.select("column", "bucket").distinct()), ["column", "bucket"])
+    here = here.withColumn("past", F.sum("n").over(order))
+    rows = here.join(F.broadcast(places), ["column", "bucket"]).filter((F.col("place") < F.col("past")) & (F.col("place") >= F.col("past") - F.col("n")))
+    return {(r["column"], r["rank"]): r["value"] for r in rows.select("column", "rank", "value").collect()}  # one row a wanted rank
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], quantiles: tuple[float, ...] = QUANTILES, nearest: bool = False) -> dict[str, list[float | None]]:
+    """The quantiles of each column's non-null numbers: between two neighbouring values in proportion, or the value of the nearest rank, upper at
+    a tie. For tables of any size: see ``values_at``."""
+    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    at = {c: [(counts[c] - 1) * q for q in quantiles] for c in columns if counts[c]}
+    if nearest:
+        at = {c: [float(math.floor(x + 0.5)) for x in xs] for c, xs in at.items()}
+    found = values_at(df, sorted({(c, k) for c, xs in at.items() for x in xs for k in (math.floor(x), math.ceil(x))})) if at else {}
+
+    def between(c: str, x: float) -> float:
+        a, b = found[c, math.floor(x)], found[c, math.ceil(x)]
+        return a + (b - a) * (x - math.floor(x))
+
+    return {c: [between(c, x) for x in at[c]] if c in at else [None] * len(quantiles) for c in columns}
+
+
+def column_stats(df: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """One row per column: nulls, and for numbers min, max, mean, stddev, skewness (population) and five quantiles. One pass over the rows; beyond
+    ``at_once`` of them the quantiles take passes of their own (``exact_quantiles``) with the same results."""
+    numbers = [f.name for f in df.schema if is_numeric(f.dataType)]
+    apart = exact_quantiles(df, numbers) if numbers and df.count() > at_once else None
     aggregates: list[Column] = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(df.schema):
         aggregates.append(F.count(f.name).alias(f"n{i}"))
         if is_numeric(f.dataType):
             x = F.col(f.name).cast("double")
-            q = F.percentile_approx(x, list(QUANTILES), 10_000) if approx_quantiles else F.percentile(x, F.array(*map(F.lit, QUANTILES)))
+            q = F.percentile(x, F.array(*map(F.lit, QUANTILES))) if apart is None else F.array(*[F.lit(v).cast("double") for v in apart[f.name]])
             aggregates += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"sd{i}"), F.skewness(x).alias(f"sk{i}"), q.alias(f"q{i}")]
     one = df.agg(*aggregates)
     none = F.lit(None).cast("double")
+    metrics = metric_columns(df)
     rows = []
     for i, f in enumerate(df.schema):
         numeric = is_numeric(f.dataType)
@@ -76,21 +135,25 @@ def column_stats(df: DataFrame, approx_quantiles: bool = False) -> DataFrame:
         quantiles = [(F.col(f"q{i}")[k] if numeric else none).alias(f"p{round(100 * p)}") for k, p in enumerate(QUANTILES)]
         nulls = F.col("rows") - F.col(f"n{i}")
         rows.append(F.struct(
-            F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), F.lit(numeric).alias("is_numeric"), F.col("rows").alias("row_count"),
-            nulls.alias("null_count"), F.round(nulls / F.greatest("rows", F.lit(1)), 4).alias("null_ratio"),
+            F.lit(f.name).alias("column"), F.lit(i).alias("position"), F.lit(f.dataType.simpleString()).alias("dtype"), F.lit(numeric).alias("is_numeric"), F.lit(f.name in metrics).alias("is_metric"),
+            F.col("rows").alias("row_count"), nulls.alias("null_count"), F.round(nulls / F.greatest("rows", F.lit(1)), 4).alias("null_ratio"),
             get("lo").alias("min"), get("hi").alias("max"), get("mean").alias("mean"), get("sd").alias("stddev"), get("sk").alias("skewness"), *quantiles,
         ))
     return one.select(F.inline(F.array(*rows)))
 
 
-def nearest_quantiles(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Quantiles that are values of the column: the one at the nearest rank to (n - 1) q, upper at a tie. Two passes: counts, then ranks."""
+def nearest_quantiles(df: DataFrame, columns: list[str], at_once: int = AT_ONCE) -> DataFrame:
+    """Quantiles that are values of the column: the one at the nearest rank to (n - 1) q, upper at a tie."""
+    names = [f"p{round(100 * q)}" for q in QUANTILES]
+    schema = "column string, " + ", ".join(f"{n} double" for n in names)
     if not columns:
-        return df.sparkSession.createDataFrame([], "column string, " + ", ".join(f"p{round(100 * q)} double" for q in QUANTILES))
+        return df.sparkSession.createDataFrame([], schema)
+    if df.count() > at_once:
+        return df.sparkSession.createDataFrame([(c, *q) for c, q in exact_quantiles(df, columns, nearest=True).items()], schema)
     n = df.agg(*[F.count(c).alias(c) for c in columns]).first()
     at = lambda c, q: math.floor((n[c] - 1) * q + 0.5) / (n[c] - 1) if n[c] > 1 else 0.0
     one = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(at(c, q)) for q in QUANTILES])).alias(c) for c in columns])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(c)[k].alias(f"p{round(100 * q)}") for k, q in enumerate(QUANTILES)]) for c in columns])))
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(c)[k].alias(name) for k, name in enumerate(names)]) for c in columns])))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -99,31 +162,30 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def candidate_keys(stats: DataFrame, distinct: DataFrame, most: int = 10) -> DataFrame:
-    """Columns without nulls whose values are all different, of tables of more than one row."""
+    """Columns without nulls whose values are all different, of tables of more than one row: the first ``most`` in the order of the columns."""
     keys = stats.join(distinct, "column").filter("null_count = 0 AND unique_count = row_count AND row_count > 1")
-    return keys.select("column", "row_count").orderBy("column").limit(most)
+    return keys.orderBy("position").limit(most).select("column", "row_count")
 
 
 def quality_observations(stats: DataFrame, distinct: DataFrame, duplicates: DataFrame) -> DataFrame:
-    """(code, severity, column): duplicate rows, all-null, mostly null and constant columns, zero minima."""
+    """(code, severity, column): duplicate rows, all-null, mostly null and constant columns (without any null), zeros as the least of values that
+    go above it."""
     full = stats.join(distinct, "column", "left").withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
-    all_null = (F.col("row_count") > 0) & (F.col("null_count") == F.col("row_count"))
+    told = lambda code, severity: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))
     rules = F.array(
-        F.when(all_null, F.struct(F.lit("all_null").alias("code"), F.lit("high").alias("severity"))),
-        F.when(~all_null & (F.col("null_count") * 2 > F.col("row_count")), F.struct(F.lit("high_null").alias("code"), F.lit("medium").alias("severity"))),
-        F.when((F.col("unique_count") == 1) & (F.col("row_count") > 1), F.struct(F.lit("constant").alias("code"), F.lit("low").alias("severity"))),
-        F.when(F.col("is_numeric") & (F.col("min") == 0), F.struct(F.lit("zero_minimum").alias("code"), F.lit("info").alias("severity"))),
+        F.when(F.col("null_ratio") == 1, told("COLUMN_ALL_NULL", "high")).when(F.col("null_ratio") > 0.5, told("COLUMN_HIGH_NULL_RATIO", "medium")),
+        F.when((F.col("unique_count") == 1) & (F.col("null_count") == 0), told("COLUMN_CONSTANT", "low")),
+        F.when(F.col("is_numeric") & (F.col("min") == 0) & (F.col("max") > 0), told("ZERO_MIN_NUMERIC", "info")),
     )
     by_column = full.select("column", F.inline(F.filter(rules, lambda r: r.isNotNull()))).select("code", "severity", "column")
     severity = F.when(F.col("duplicate_rows") * 100 > F.col("row_count"), "medium").otherwise("low")
-    whole = duplicates.filter("duplicate_rows > 0").select(F.lit("duplicate_rows").alias("code"), severity.alias("severity"), F.lit(None).cast("string").alias("column"))
+    whole = duplicates.filter("duplicate_rows > 0").select(F.lit("DUPLICATE_ROWS").alias("code"), severity.alias("severity"), F.lit(None).cast("string").alias("column"))
     return by_column.unionByName(whole)
 
 
 def pii_hints(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(column, hint_type, matched_values, samples): columns whose name and values both speak for a kind of personal data."""
-    kinds = {name: kind for kind, names in PII_NAMES.items() for name in names}
-    signals = [(c, kind, PII_SHAPES[kind]) for c in df.columns if (kind := kinds.get(c.strip().lower().replace(" ", "_")))]
+    signals = [(c, kind, PII_SHAPES[kind]) for c in df.columns if (kind := PII_NAMES.get(c.strip().lower().replace(" ", "_")))]
     if not signals:
         return df.sparkSession.createDataFrame([], "column string, hint_type string, matched_values long, samples string")
     counts = counts if counts is not None else value_counts(df, sorted({c for c, _, _ in signals}))
@@ -136,27 +198,44 @@ def pii_hints(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     return totals.join(samples, ["column", "hint_type"])
 
 
+class Profile:
+    """The narrow tables of a table's profile, each computed once and written to the shared folder."""
+
+    def __init__(self, df: DataFrame):
+        self.columns = materialize(column_stats(df), "stats")
+        self.values = materialize(value_counts(df), "values")
+        self.distinct = materialize(distinct_counts(self.values), "distinct")
+        self.duplicates = materialize(duplicate_rows(df), "duplicates")
+        self.observations = quality_observations(self.columns, self.distinct, self.duplicates)
+        self.pii = pii_hints(df, self.values)
+
+
 def fitness(df: DataFrame) -> DataFrame:
-    """Components (component, score, weight) of a table's fitness, and the weighted whole as component ``overall`` with its grade."""
-    stats = column_stats(df)
-    counts = value_counts(df)
-    duplicates = duplicate_rows(df)
-    observed = quality_observations(stats, distinct_counts(counts), duplicates)
-    penalty = {"high": 30, "medium": 12, "low": 4}
-    cost = F.create_map(*[F.lit(x) for kv in penalty.items() for x in kv])
-    of = lambda codes: F.greatest(F.lit(0.0), 100.0 - F.coalesce(F.sum(F.when(F.col("code").isin(codes), F.coalesce(F.element_at(cost, F.col("severity")), F.lit(0)))), F.lit(0)))
-    rules = observed.agg(of(["all_null", "high_null"]).alias("validity"), of(["constant", "duplicate_rows", "zero_minimum"]).alias("consistency"))
-    metrics = metric_columns(df)
-    flagged = F.count_if(F.col("column").isin(metrics) & ((F.col("stddev") == 0) | (F.abs("skewness") > 5)))
-    columns = stats.agg(
-        (100 * (1 - F.avg("null_ratio"))).alias("completeness"),
-        (F.lit(80.0) if not metrics else F.greatest(F.lit(0.0), 100.0 - 20.0 * flagged)).alias("distribution_health"),
+    """Components (component, score, weight) of a table's fitness, and the weighted whole as component ``overall`` with its grade.
+
+    Validity pays for observations of high severity, consistency for medium and low ones; distribution health pays 20 for a whole table of
+    metric columns without spread or with a skewness beyond 5, in proportion.
+    """
+    return fitness_of(Profile(df))
+
+
+def fitness_of(profile: Profile) -> DataFrame:
+    paid = lambda severities: F.greatest(F.lit(0.0), 100.0 - sum((F.count_if(F.col("severity") == s) * PENALTY[s] for s in severities), F.lit(0.0)))
+    rules = profile.observations.agg(paid(["high"]).alias("validity"), paid(["medium", "low"]).alias("consistency"))
+    flagged = F.count_if(F.col("is_metric") & ((F.col("stddev") == 0) | (F.abs("skewness") > 5)))
+    columns = profile.columns.agg(
+        F.greatest(F.lit(0.0), 100 * (1 - F.avg("null_ratio"))).alias("completeness"),
+        F.when(F.count_if("is_metric") == 0, 80.0).otherwise(100.0 - 20.0 * F.try_divide(flagged, F.count_if("is_metric"))).alias("distribution_health"),
     )
-    exposed = pii_hints(df, counts).agg(F.count_distinct("column").alias("k")).select(F.when(F.col("k") == 0, 100.0).otherwise(F.greatest(F.lit(40.0), 100.0 - 15.0 * F.col("k"))).alias("identifier_exposure"))
-    repeated = duplicates.select((100 * (1 - F.least(5 * F.col("duplicate_rows") / F.greatest("row_count", F.lit(1)), F.lit(1.0)))).alias("duplication"))
+    exposed = profile.pii.agg(F.count_distinct("column").alias("k")).select(F.when(F.col("k") == 0, 100.0).otherwise(F.greatest(F.lit(40.0), 100.0 - 15.0 * F.col("k"))).alias("identifier_exposure"))
+    repeated = profile.duplicates.select((100 * (1 - F.least(5 * F.col("duplicate_rows") / F.greatest("row_count", F.lit(1)), F.lit(1.0)))).alias("duplication"))
     parts = None
     for one in (columns, rules, exposed, repeated):
-        rows = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("component"), F.col(c).cast("double").alias("score"), F.lit(WEIGHTS[c]).alias("weight")) for c in one.columns])))
+        rows = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("component"), F.round(F.col(c).cast("double"), 2).alias("score"), F.lit(WEIGHTS[c]).alias("weight")) for c in one.columns])))
         parts = rows if parts is None else parts.unionByName(rows)
-    whole = parts.agg((F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).alias("score")).select(F.lit("overall").alias("component"), "score", F.lit(1.0).alias("weight"))
-    return parts.unionByName(whole).select("component", F.round("score", 2).alias("score"), "weight", F.when(F.col("component") == "overall", X.grade(F.col("score"))).alias("grade"))
+    overall = F.round(F.sum(F.col("score") * F.col("weight")) / F.sum("weight"), 10)
+    whole = F.col("component").isNull()
+    out = parts.groupingSets([[F.col("component"), F.col("score"), F.col("weight")], []], F.col("component"), F.col("score"), F.col("weight")).agg(overall.alias("overall"))
+    return out.select(
+        F.coalesce("component", F.lit("overall")).alias("component"), F.round(F.when(whole, F.col("overall")).otherwise(F.col("score")), 2).alias("score"),
+        F.coalesce("weight", F.lit(1.0)).alias("weight"), F.when(whole, X.grade(F.col("overall"))).alias("grade"))

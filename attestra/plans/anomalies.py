@@ -32,7 +32,7 @@ ZSCORE = f"""
     {SEVERITY.format(z='((value - mean) / sd)')} AS severity
   FROM events, (SELECT avg(value) AS mean, stddev_samp(value) AS sd, count(value) AS n FROM events) WHERE n >= 3 AND sd > 0 AND abs((value - mean) / sd) > 3"""
 IQR = f"""
-  SELECT 'value' AS metric, event_id AS row_id, event_type AS entity, 'iqr' AS method, value AS observed, (q1 + q3) / 2 AS expected,
+  SELECT 'value' AS metric, event_id AS row_id, event_type AS entity, 'iqr' AS method, value AS observed, q3 AS expected,
     CASE WHEN q3 > q1 THEN (value - q3) / (q3 - q1) END AS score,
     CASE WHEN q3 > q1 THEN {SEVERITY.format(z='((value - q3) / (q3 - q1))')} ELSE 'medium' END AS severity
   FROM events, (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, count(value) AS n FROM events)
@@ -160,3 +160,11 @@ def benford_evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = screened(spark, sf_dir)
     rows = benford.evidence_rows(values, benford.digit_table(values))
     return rows.groupBy("column", "worst").agg(F.count(F.lit(1)).alias("n"), F.sum("row_id").alias("id_sum"))
+
+
+@query(f"""
+  SELECT row_id, method, entity AS slice, method || ' over value slice=' || entity AS evidence_query FROM ({ZSCORE} UNION ALL {IQR})""")
+def anomaly_query_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = event_values(spark, sf_dir)
+    found = anomaly.query_text(anomaly.detect_zscore(events).unionByName(anomaly.detect_iqr(events)))
+    return found.select("row_id", "method", "slice", "evidence_query")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attestra.operators import compare
+from attestra.functions import exprs as X
+from attestra.operators import compare, profile
 from attestra.plans.base import query, table
 
 OVERLAP = """
@@ -31,8 +32,8 @@ def geo_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Distinct part names, and a spelling of each: a word more, no space, or a letter less, by the length of the name."""
-    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    """Different names of parts with type and brand, which grow with the table, and a spelling of each: a word more, no space, or a letter less."""
+    names = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("p_name")).distinct()
     k = F.length("p_name") % 3
     variant = F.when(k == 0, F.concat(F.upper("p_name"), F.lit(" District"))).when(k == 1, F.replace("p_name", F.lit(" "), F.lit(""))).otherwise(F.expr("substr(p_name, 1, length(p_name) - 1)"))
     return names, names.select(variant.alias("v_name"))
@@ -73,15 +74,16 @@ def compare_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The totals with the four gates: keys, period, unit and definition labels differ by nation."""
+    """The totals with the four gates; years, units with their scales and definitions differ by nation, in case, in scale or in words."""
     k = F.col("c_nationkey")
     rows = nation_totals(spark, sf_dir)
     geography = F.when(F.col("keys_a") == F.col("keys_b"), "comparable").otherwise("partial")
+    words = "order total of all customers in the nation before tax"
     gates = {
         "geography": F.when(k % 2 == 0, "comparable").otherwise(geography),
-        "period": compare.label_gate(F.lit("FY 2024-25"), F.when(k % 7 == 0, F.lit("FY 2023-24")).when(k % 7 != 1, F.lit("fy 2024-25"))),
-        "unit": compare.label_gate(F.lit("inr"), F.when(k % 11 == 0, F.lit("lakh")).otherwise(F.lit("INR "))),
-        "definition": compare.label_gate(F.lit("total"), F.when(k % 5 != 0, F.lit("total"))),
+        "period": compare.period_gate(F.when(k % 7 != 2, "2024-25"), F.when(k % 7 == 0, "2023-24").when(k % 7 > 2, "2024-25")),
+        "unit": compare.unit_gate(F.lit("inr"), F.when(k % 11 == 0, "lakh").when(k % 11 != 1, "INR"), F.lit(1.0), F.when(k % 11 == 2, 1e5).otherwise(1.0)),
+        "definition": compare.definition_gate(F.lit(words), F.when(k % 5 == 1, words.title()).when(k % 5 == 2, words + " or duty").when(k % 5 == 3, "line total").when(k % 5 == 4, words)),
     }
     rows = rows.withColumns(gates)
     return rows.withColumn("overall", compare.overall_gate(*map(F.col, gates)))
@@ -90,8 +92,9 @@ def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
 GATES = f"""
   WITH {TOTALS},
   g AS (SELECT *, CASE WHEN c_nationkey % 2 = 0 OR keys_a = keys_b THEN 'comparable' ELSE 'partial' END AS geography,
-      CASE c_nationkey % 7 WHEN 0 THEN 'not_comparable' WHEN 1 THEN 'unknown' ELSE 'comparable' END AS period,
-      CASE WHEN c_nationkey % 11 = 0 THEN 'not_comparable' ELSE 'comparable' END AS unit, CASE WHEN c_nationkey % 5 <> 0 THEN 'comparable' ELSE 'unknown' END AS definition FROM t),
+      CASE c_nationkey % 7 WHEN 0 THEN 'not_comparable' WHEN 1 THEN 'partial' WHEN 2 THEN 'unknown' ELSE 'comparable' END AS period,
+      CASE c_nationkey % 11 WHEN 0 THEN 'not_comparable' WHEN 1 THEN 'unknown' WHEN 2 THEN 'partial' ELSE 'comparable' END AS unit,
+      CASE c_nationkey % 5 WHEN 0 THEN 'unknown' WHEN 2 THEN 'partial' WHEN 3 THEN 'not_comparable' ELSE 'comparable' END AS definition FROM t),
   v AS (SELECT *, CASE WHEN 'not_comparable' IN (geography, period, unit, definition) THEN 'not_comparable' WHEN 'partial' IN (geography, period, unit, definition) THEN 'partial' ELSE 'comparable' END AS overall FROM g)"""
 
 
@@ -107,25 +110,64 @@ def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.reconcile(gated(spark, sf_dir), "total_a", "total_b", "overall").select("c_nationkey", "overall", "status", "delta", "percent_gap")
 
 
+UNITS = ["lakh", "crore", "INR lakh", None, "acres", " Lakh ", "lac", "hectares", "number"]
+
+
 def cards(spark: SparkSession, sf_dir: str, release: int) -> DataFrame:
-    """Definition cards of parts: one a part, of release 0 or 1 by its key; the concept joins neighbouring parts."""
+    """Definition cards of parts: one a part, of release 0 or 1 by its key; the concept joins neighbouring parts. Texts differ in case, too."""
     k = F.col("p_partkey")
     part = table(spark, sf_dir, "part").filter(k % 2 == release)
-    unit = F.element_at(F.array(F.lit("lakh"), F.lit("crore"), F.lit("INR lakh"), F.lit(None).cast("string"), F.lit("acres")), ((k.cast("int") % 5) + 1))
+    unit = F.element_at(F.array(*[F.lit(u).cast("string") for u in UNITS]), ((k % len(UNITS)).cast("int") + 1))
+    base = F.expr("p_partkey div 2").cast("string")
+    same = F.expr("p_partkey div 2") % 4 == 0
+    text = F.when(same, F.concat(F.lit("Parts of kind "), base, F.lit(" in stock at the end of the year"))).otherwise(F.concat_ws(" ", "p_name", "p_type"))
+    loud = lambda c: F.when(k % 2 == 1, F.upper(c)).otherwise(c)
     return part.select(
-        F.format_string("card-%06d", k).alias("card_id"), F.expr("p_partkey div 2").cast("string").alias("concept_id"), F.concat_ws(" ", "p_name", "p_type").alias("definition"),
-        F.when(k % 3 != 0, F.col("p_brand")).alias("scope"), F.when(k % 4 != 0, F.col("p_size").cast("string")).alias("denominator"), unit.alias("unit"))
+        F.format_string("card-%06d", k).alias("card_id"), base.alias("concept_id"), loud(F.when(k % 16 == 1, F.concat(text, F.lit(" or sold"))).otherwise(text)).alias("definition"),
+        F.when(k % 3 != 0, F.when(same, F.concat(F.lit("household "), (k % 2).cast("string"))).otherwise("Household")).alias("scope"), F.when(k % 4 != 0, F.concat((F.col("p_size") % 2).cast("string"), F.lit(" "))).alias("denominator"), unit.alias("unit"))
 
 
 def sql_cards(release: int) -> str:
-    return f"""(SELECT 'card-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS card_id, CAST(p_partkey // 2 AS VARCHAR) AS concept_id, p_name || ' ' || p_type AS definition,
-      CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS scope, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_size AS VARCHAR) END AS denominator,
-      ['lakh', 'crore', 'INR lakh', NULL, 'acres'][p_partkey % 5 + 1] AS unit FROM part WHERE p_partkey % 2 = {release})"""
-
-
-@query(f"SELECT concept_id, card_id, definition, scope, denominator, unit FROM {sql_cards(0)} UNION ALL SELECT concept_id, card_id, definition, scope, denominator, unit FROM {sql_cards(1)}")
+    unit = "[" + ", ".join("NULL" if u is None else f"'{u}'" for u in UNITS) + f"][p_partkey % {len(UNITS)} + 1]"
+    return f"""(SELECT card_id, concept_id, CASE WHEN {release} = 1 THEN upper(d) ELSE d END AS definition, scope, denominator, unit FROM (
+      SELECT 'card-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS card_id, CAST(p_partkey // 2 AS VARCHAR) AS concept_id,
+      CASE WHEN (p_partkey // 2) % 4 = 0 THEN 'Parts of kind ' || (p_partkey // 2) || ' in stock at the end of the year' ELSE p_name || ' ' || p_type END || CASE WHEN p_partkey % 16 = 1 THEN ' or sold' ELSE '' END AS d,
+      CASE WHEN p_partkey % 3 <> 0 THEN CASE WHEN (p_partkey // 2) % 4 = 0 THEN 'household ' || (p_partkey % 2) ELSE 'Household' END END AS scope, CASE WHEN p_partkey % 4 <> 0 THEN (p_size % 2) || ' ' END AS denominator,
+      {unit} AS unit FROM part WHERE p_partkey % 2 = {release}))"""
+
+
+METRICS = {
+    "orders": {"o_totalprice": "o_totalprice_inr_lakh", "o_orderkey": "o_orderkey_id"}, "lineitem": {"l_quantity": "l_quantity_per_order_line", "l_tax": "l_tax_pct"},
+    "customer": {"c_acctbal": "Estimated_balance_rs"}, "part": {"p_retailprice": "approx_price", "p_size": "crore"}, "events": {"value": "value"},
+}
+
+
+def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(artifact_id, column, is_metric, null_ratio) of columns of five tables under names that say units and denominators; half of the values of
+    value are left out."""
+    out = None
+    for t, names in METRICS.items():
+        columns = [(F.when(F.col(c) > 100, F.col(c)) if t == "events" else F.col(c)).alias(n) for c, n in names.items()]
+        rows = profile.column_stats(table(spark, sf_dir, t).select(*columns)).select(F.lit(t).alias("artifact_id"), "column", "is_metric", "null_ratio")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def sql_card(t: str, c: str, name: str, concept: str, unit: str, denominator: str | None, flags: str) -> str:
+    rate = f"; rate per {denominator}" if denominator else ""
+    more = f"array_to_string(list_filter(['{flags}', CASE WHEN 2 * (count(*) - count({c})) > count(*) THEN 'majority_null' END], lambda x: x <> ''), ',')"
+    source = f"(SELECT CASE WHEN {c} > 100 THEN {c} END AS {c} FROM {t})" if t == "events" else t
+    return f"""SELECT '{t}' AS artifact_id, '{name}' AS "column", 'dc:{t}:{name}' AS card_id, '{concept}' AS concept_id, '{name} as reported in this artifact; inferred unit ''{unit}''{rate}' AS definition,
+      'column ''{name}''' AS scope, {f"'{denominator}'" if denominator else "NULL"} AS denominator, '{unit}' AS unit, '{t}#column={name}' AS span, {more} AS flags, 'proposed' AS status FROM {source}"""
+
+
+@query(" UNION ALL ".join(sql_card(*c) for c in (
+    ("orders", "o_totalprice", "o_totalprice_inr_lakh", "o_totalprice_inr", "lakh", None, ""), ("lineitem", "l_quantity", "l_quantity_per_order_line", "l_quantity", "count", "order line", ""),
+    ("lineitem", "l_tax", "l_tax_pct", "l_tax", "pct", None, ""), ("customer", "c_acctbal", "Estimated_balance_rs", "estimated_balance", "rs", None, "name_contains_estimated"),
+    ("part", "p_retailprice", "approx_price", "approx_price", "count", None, "name_contains_approx"), ("part", "p_size", "crore", "crore", "count", None, ""), ("events", "value", "value", "value", "count", None, ""))))
 def definition_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cards(spark, sf_dir, 0).unionByName(cards(spark, sf_dir, 1)).select("concept_id", "card_id", "definition", "scope", "denominator", "unit")
+    """Cards read out of the names of profiled metric columns; ids are no metrics and get none."""
+    return compare.infer_cards(profiled(spark, sf_dir))
 
 
 @query(f"SELECT a.concept_id, b.card_id AS before_card, a.card_id AS after_card FROM {sql_cards(1)} a JOIN (SELECT concept_id, max(card_id) AS card_id FROM {sql_cards(0)} GROUP BY 1) b USING (concept_id) WHERE a.card_id <> b.card_id")
@@ -135,16 +177,19 @@ def drift_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda w: w <> ''))"
+SCALES = " ".join(f"WHEN '{u}' THEN {k}" for u, k in X.UNIT_SCALES.items())
 DRIFT = f"""(
-  WITH p AS (SELECT a.concept_id, b.card_id AS before_card, a.card_id AS after_card, a.definition AS d2, b.definition AS d1, a.scope AS s2, b.scope AS s1, a.denominator AS n2, b.denominator AS n1, a.unit AS u2, b.unit AS u1,
+  WITH p AS (SELECT a.concept_id, b.card_id AS before_card, a.card_id AS after_card, lower(trim(a.definition)) AS d2, lower(trim(b.definition)) AS d1, lower(trim(a.scope)) AS s2, lower(trim(b.scope)) AS s1,
+      lower(trim(a.denominator)) AS n2, lower(trim(b.denominator)) AS n1, lower(trim(a.unit)) AS u2, lower(trim(b.unit)) AS u1,
       {WORDS.format(x='a.definition')} AS w2, {WORDS.format(x='b.definition')} AS w1 FROM {sql_cards(1)} a JOIN {sql_cards(0)} b USING (concept_id) WHERE a.card_id <> b.card_id),
-  x AS (SELECT *, CASE WHEN u1 LIKE '%INR%' THEN 'INR' WHEN u1 IN ('lakh', 'crore') THEN 'count' ELSE 'unknown' END AS base1, CASE WHEN u2 LIKE '%INR%' THEN 'INR' WHEN u2 IN ('lakh', 'crore') THEN 'count' ELSE 'unknown' END AS base2,
-      CASE u1 WHEN 'lakh' THEN 1e5 WHEN 'crore' THEN 1e7 END AS k1, CASE u2 WHEN 'lakh' THEN 1e5 WHEN 'crore' THEN 1e7 END AS k2, len(list_intersect(w1, w2)) / len(list_distinct(list_concat(w1, w2))) AS j FROM p),
+  k AS (SELECT *, CASE u1 {SCALES} END AS k1, CASE u2 {SCALES} END AS k2, len(list_intersect(w1, w2)) / len(list_distinct(list_concat(w1, w2))) AS j FROM p),
+  x AS (SELECT *, CASE WHEN u1 LIKE '%inr%' OR u1 LIKE '%rs%' OR u1 LIKE '%rupee%' THEN 'INR' WHEN k1 IS NOT NULL THEN 'count' END AS base1,
+      CASE WHEN u2 LIKE '%inr%' OR u2 LIKE '%rs%' OR u2 LIKE '%rupee%' THEN 'INR' WHEN k2 IS NOT NULL THEN 'count' END AS base2 FROM k),
   d AS (
     SELECT concept_id, before_card, after_card, 'denominator' AS drift_type, CASE WHEN n1 IS NULL OR n2 IS NULL THEN 'partial' ELSE 'not_comparable' END AS decision, CASE WHEN n1 IS NULL OR n2 IS NULL THEN 0.3 ELSE 0.9 END AS impact
       FROM x WHERE n1 IS DISTINCT FROM n2
-    UNION ALL SELECT concept_id, before_card, after_card, 'unit', CASE WHEN u1 IS NULL OR u2 IS NULL OR base1 = base2 THEN 'partial' ELSE 'not_comparable' END,
-      CASE WHEN u1 IS NULL OR u2 IS NULL THEN 0.2 WHEN base1 <> base2 THEN 0.9 WHEN k1 IS NOT NULL AND k2 IS NOT NULL THEN 0.55 ELSE 0.5 END FROM x WHERE u1 IS DISTINCT FROM u2 AND NOT coalesce(k1 = k2, false)
+    UNION ALL SELECT concept_id, before_card, after_card, 'unit', CASE WHEN u1 IS NOT NULL AND u2 IS NOT NULL AND (k1 IS NULL OR k2 IS NULL) AND base1 <> base2 THEN 'not_comparable' ELSE 'partial' END,
+      CASE WHEN u1 IS NULL OR u2 IS NULL THEN 0.2 WHEN k1 <> k2 THEN 0.55 WHEN base1 <> base2 THEN 0.9 ELSE 0.5 END FROM x WHERE u1 IS DISTINCT FROM u2 AND NOT coalesce(k1 = k2, false)
     UNION ALL SELECT concept_id, before_card, after_card, 'definition', CASE WHEN j >= 0.8 THEN 'partial' ELSE 'not_comparable' END, CASE WHEN j >= 0.8 THEN 0.3 ELSE 0.7 END FROM x WHERE d1 <> d2
     UNION ALL SELECT concept_id, before_card, after_card, 'scope', 'partial', CASE WHEN s1 IS NULL OR s2 IS NULL THEN 0.2 ELSE 0.4 END FROM x WHERE s1 IS DISTINCT FROM s2)
   SELECT concept_id, before_card, after_card, drift_type, decision, CAST(impact AS DOUBLE) AS impact, CASE WHEN decision = 'not_comparable' THEN 'high' WHEN impact >= 0.5 THEN 'medium' ELSE 'low' END AS severity FROM d)"""
@@ -160,12 +205,71 @@ def drift_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.overall_decision(definition_drift(spark, sf_dir))
 
 
-@query("""
-  WITH o AS (SELECT lang, md5(coalesce(text, '')) AS origin, count(*) AS members FROM documents GROUP BY ALL),
+CONSENSUS = """(
+  WITH o AS (SELECT lang, CASE WHEN doc_id % 3 = 0 THEN 'doc-' || doc_id ELSE md5(coalesce(text, '')) END AS origin, count(*) AS members FROM documents GROUP BY ALL),
   m AS (SELECT lang AS metric, CAST(sum(members) AS BIGINT) AS apparent_sources, count(*) AS distinct_origins, max(members) AS largest_group FROM o GROUP BY 1 HAVING sum(members) >= 2)
   SELECT metric, apparent_sources, distinct_origins, largest_group, round(distinct_origins / apparent_sources, 4) AS diversity_ratio,
-    CASE WHEN distinct_origins / apparent_sources >= 0.999 THEN 'independent' ELSE 'shared_origin' END AS verdict,
-    CASE WHEN distinct_origins / apparent_sources >= 0.999 THEN 'info' WHEN distinct_origins / apparent_sources <= 0.6 THEN CASE WHEN apparent_sources <= 3 THEN 'medium' ELSE 'high' END ELSE 'low' END AS severity FROM m""")
+    CASE WHEN distinct_origins / apparent_sources >= 0.999 THEN 'independent_corroboration' ELSE 'shared_origin_suspected' END AS verdict,
+    CASE WHEN distinct_origins / apparent_sources >= 0.999 THEN 'info' WHEN distinct_origins / apparent_sources <= 0.6 THEN CASE WHEN apparent_sources <= 3 THEN 'medium' ELSE 'high' END ELSE 'low' END AS severity,
+    CASE WHEN distinct_origins / apparent_sources >= 0.999 THEN 'high' ELSE 'moderate' END AS confidence FROM m)"""
+
+
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document claims something of its language; what it was copied from is its text, and unknown (blank) for every third."""
+    origin = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.md5(F.coalesce("text", F.lit(""))))
+    return table(spark, sf_dir, "documents").select(F.col("lang").alias("metric"), F.col("doc_id").alias("claim_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("artifact_id"), origin.alias("derived_from"))
+
+
+@query(f"SELECT * FROM {CONSENSUS}")
 def false_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = table(spark, sf_dir, "documents").select(F.col("lang").alias("metric"), F.col("doc_id").alias("claim_id"), F.col("doc_id").cast("string").alias("artifact_id"), F.md5(F.coalesce("text", F.lit(""))).alias("derived_from"))
-    return compare.false_consensus(claims)
+    return compare.false_consensus(claims(spark, sf_dir))
+
+
+@query("SELECT lang AS metric, CASE WHEN doc_id % 3 = 0 THEN 'doc-' || doc_id ELSE md5(coalesce(text, '')) END AS origin, doc_id AS claim_id FROM documents")
+def origin_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.origin_groups(claims(spark, sf_dir))
+
+
+@query("""
+  WITH c AS (SELECT lang, CAST(doc_id AS VARCHAR) AS claim, count(*) AS n FROM documents GROUP BY ALL),
+  b AS (SELECT lang, substr(md5(claim), 1, 3) AS bucket, sha256(string_agg(claim || ':' || n, '|' ORDER BY claim || ':' || n)) AS h FROM c GROUP BY ALL)
+  SELECT lang AS metric, 'cons-' || substr(sha256(string_agg(h, '|' ORDER BY h)), 1, 12) AS consensus_id FROM b GROUP BY 1""")
+def consensus_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.consensus_ids(claims(spark, sf_dir))
+
+
+def yearly_values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Orders as an artifact for each year: pairs of neighbouring years (one with a column that is not there), totals, nations, fiscal years (one unknown)."""
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    year = F.year("o_orderdate")
+    rows = orders.select(F.concat(F.lit("orders-"), year.cast("string")).alias("artifact_id"), year.alias("year"), "c_nationkey", F.col("o_totalprice").cast("decimal(18,2)").alias("total"))
+    name = F.when(F.col("year") % 3 == 0, "total_inr_lakh").otherwise("total_inr")
+    totals = compare.column_totals(rows.select("artifact_id", name.alias("column"), F.col("total").alias("value"))).withColumn("total", F.round("total", 2))
+    keys = rows.filter((F.col("year") % 4 != 0) | (F.col("c_nationkey") > 3)).select("artifact_id", F.col("c_nationkey").cast("string").alias("key")).distinct()
+    years = rows.select("year").distinct()
+    artifact = lambda y: F.concat(F.lit("orders-"), y.cast("string"))
+    column = lambda y: F.when(y % 3 == 0, "total_inr_lakh").otherwise("total_inr")
+    after = F.col("year") + 1
+    pairs = years.select(F.col("year").alias("pair_id"), artifact(F.col("year")).alias("artifact_a"), column(F.col("year")).alias("column_a"), artifact(after).alias("artifact_b"), F.when(after % 5 == 0, "lost").otherwise(column(after)).alias("column_b"))
+    releases = years.select(artifact(F.col("year")).alias("artifact_id"), F.when(F.col("year") % 2 == 0, " ").otherwise("2024-25").alias("fiscal_year"))
+    return pairs, totals, keys, releases
+
+
+@query("""
+  WITH r AS (SELECT year(o_orderdate) AS y, c_nationkey, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders JOIN customer ON o_custkey = c_custkey),
+  t AS (SELECT y, count(*) AS n, round(sum(CAST(v AS DOUBLE)), 2) AS total, CASE WHEN y % 3 = 0 THEN 'total_inr_lakh' ELSE 'total_inr' END AS col, CASE WHEN y % 2 = 1 THEN '2024-25' END AS fy FROM r GROUP BY y),
+  k AS (SELECT DISTINCT y, c_nationkey FROM r WHERE y % 4 <> 0 OR c_nationkey > 3),
+  j AS (SELECT a.y, a.n AS na, a.total AS ta, b.n AS nb, b.total AS tb, a.fy AS fa, b.fy AS fb, a.col AS ca, CASE WHEN (a.y + 1) % 5 = 0 THEN 'lost' WHEN (a.y + 1) % 3 = 0 THEN 'total_inr_lakh' ELSE 'total_inr' END AS cb,
+      (SELECT count(*) FROM k WHERE k.y = a.y) AS ka, (SELECT count(*) FROM k WHERE k.y = a.y + 1) AS kb, (SELECT count(*) FROM k x JOIN k z USING (c_nationkey) WHERE x.y = a.y AND z.y = a.y + 1) AS kk
+    FROM t a LEFT JOIN t b ON b.y = a.y + 1 AND (a.y + 1) % 5 <> 0),
+  g AS (SELECT *, CASE WHEN ka = 0 OR kb = 0 THEN 'unknown' WHEN kk = 0 THEN 'not_comparable' WHEN kk = ka AND kk = kb THEN 'comparable' ELSE 'partial' END AS geography,
+      CASE WHEN y % 2 = 1 AND EXISTS (SELECT 1 FROM t z WHERE z.y = j.y + 1 AND z.fy IS NOT NULL) THEN 'comparable' WHEN y % 2 = 1 OR EXISTS (SELECT 1 FROM t z WHERE z.y = j.y + 1 AND z.fy IS NOT NULL) THEN 'partial' ELSE 'unknown' END AS period,
+      CASE cb WHEN 'lost' THEN 'count' WHEN 'total_inr' THEN 'inr' ELSE 'lakh' END AS ub, CASE ca WHEN 'total_inr' THEN 'inr' ELSE 'lakh' END AS ua FROM j),
+  h AS (SELECT *, CASE WHEN ua = ub THEN 'comparable' ELSE 'not_comparable' END AS unit, CASE WHEN cb = 'lost' THEN 'not_comparable' ELSE 'comparable' END AS definition FROM g),
+  v AS (SELECT *, CASE WHEN 'not_comparable' IN (geography, period, unit, definition) THEN 'not_comparable' WHEN 'partial' IN (geography, period, unit, definition) THEN 'partial' ELSE 'comparable' END AS overall FROM h),
+  s AS (SELECT *, CASE WHEN nb IS NULL THEN NULL WHEN overall <> 'comparable' THEN 'not_comparable' WHEN abs(ta - tb) <= 0.01 * greatest(abs(ta), abs(tb)) THEN 'explainable' ELSE 'conflict' END AS status FROM v)
+  SELECT y AS pair_id, ta AS total_a, tb AS total_b, geography, period, unit, definition, overall, status, round(CASE status WHEN 'conflict' THEN (tb - ta) / greatest(abs(ta), abs(tb)) WHEN 'explainable' THEN abs(ta - tb) END, 4) AS delta,
+    CASE WHEN nb IS NULL THEN NULL WHEN status = 'conflict' THEN 'medium' ELSE 'info' END AS severity, CASE WHEN nb IS NULL THEN 'column_not_found:' || cb END AS error FROM s""")
+def compare_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order totals of each year held against the next year's, all pairs in one job."""
+    return compare.compare_pairs(*yearly_values(spark, sf_dir))

@@ -74,56 +74,61 @@ def candidate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flawed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem columns with derived flaws: an all-null, a mostly null and a constant column, a zero minimum, repeated rows."""
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_discount", F.lit(None).cast("int").alias("no_value"), F.when(F.col("l_linenumber") == 1, F.col("l_quantity")).alias("first_quantity"), F.lit("x").alias("same"))
-
-
-@query("""
-  WITH f AS (SELECT l_orderkey, l_discount, CASE WHEN l_linenumber = 1 THEN l_quantity END AS first_quantity FROM lineitem),
-  d AS (SELECT sum(n) AS total, sum(n - 1) AS dup FROM (SELECT count(*) AS n FROM f GROUP BY l_orderkey, l_discount, first_quantity))
-  SELECT 'all_null' AS code, 'high' AS severity, 'no_value' AS "column" FROM d WHERE total > 0
-  UNION ALL SELECT 'high_null', 'medium', 'first_quantity' FROM f HAVING count(first_quantity) > 0 AND (count(*) - count(first_quantity)) * 2 > count(*)
-  UNION ALL SELECT 'constant', 'low', 'same' FROM d WHERE total > 1
-  UNION ALL SELECT 'zero_minimum', 'info', 'l_discount' FROM f HAVING min(l_discount) = 0
-  UNION ALL SELECT 'zero_minimum', 'info', 'first_quantity' FROM f HAVING min(first_quantity) = 0
-  UNION ALL SELECT 'zero_minimum', 'info', 'l_orderkey' FROM f HAVING min(l_orderkey) = 0
-  UNION ALL SELECT 'duplicate_rows', CASE WHEN dup * 100 > total THEN 'medium' ELSE 'low' END, NULL FROM d WHERE dup > 0""")
+    """lineitem columns with derived flaws: an all-null and a mostly null column, constant ones with and without nulls, zeros as the least value with
+    and without values above, repeated rows."""
+    line = F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_discount", F.lit(None).cast("int").alias("no_value"), F.when(line == 1, F.col("l_quantity")).alias("first_quantity"), F.lit("x").alias("same"),
+        F.when(line > 1, "y").alias("partly"), (F.col("l_quantity") * 0).alias("nothing"))
+
+
+FLAWED = """f AS (SELECT l_orderkey, l_discount, CAST(NULL AS INT) AS no_value, CASE WHEN l_linenumber = 1 THEN l_quantity END AS first_quantity, 'x' AS same,
+    CASE WHEN l_linenumber > 1 THEN 'y' END AS partly, l_quantity * 0 AS nothing FROM lineitem),
+  d AS (SELECT CAST(sum(n) AS DOUBLE) AS total, CAST(sum(n - 1) AS DOUBLE) AS dup FROM (SELECT count(*) AS n FROM f GROUP BY ALL)),
+  c AS (""" + " UNION ALL ".join(f"""SELECT '{c}' AS col, {m} AS metric, count(*) - count({c}) AS nulls, round((count(*) - count({c})) / count(*), 4) AS share, count(DISTINCT {c}) AS different, {f"CAST(min({c}) AS DOUBLE)" if n else "NULL"} AS low, {f"CAST(max({c}) AS DOUBLE)" if n else "NULL"} AS high FROM f"""
+    for c, n, m in (("l_orderkey", True, "true"), ("l_discount", True, "true"), ("no_value", True, "true"), ("first_quantity", True, "true"), ("same", False, "false"), ("partly", False, "false"), ("nothing", True, "true"))) + """),
+  o AS (
+    SELECT 'COLUMN_ALL_NULL' AS code, 'high' AS severity, col FROM c WHERE share = 1 UNION ALL SELECT 'COLUMN_HIGH_NULL_RATIO', 'medium', col FROM c WHERE share > 0.5 AND share < 1
+    UNION ALL SELECT 'COLUMN_CONSTANT', 'low', col FROM c WHERE different = 1 AND nulls = 0 UNION ALL SELECT 'ZERO_MIN_NUMERIC', 'info', col FROM c WHERE low = 0 AND high > 0
+    UNION ALL SELECT 'DUPLICATE_ROWS', CASE WHEN dup > 0.01 * total THEN 'medium' ELSE 'low' END, NULL FROM d WHERE dup > 0)"""
+
+
+@query(f'WITH {FLAWED} SELECT code, severity, col AS "column" FROM o')
 def quality_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = flawed(spark, sf_dir)
-    return profile.quality_observations(profile.column_stats(df), profile.distinct_counts(profile.value_counts(df)), profile.duplicate_rows(df))
+    return profile.Profile(flawed(spark, sf_dir)).observations
 
 
 @query("""
-  WITH e AS (SELECT regexp_extract(text, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+') AS email FROM documents),
-  v AS (SELECT email, count(*) AS n FROM e WHERE email <> '' GROUP BY email)
+  WITH e AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+')) AS email FROM documents),
+  v AS (SELECT email, count(*) AS n FROM e GROUP BY email)
   SELECT 'email' AS "column", 'email' AS hint_type, CAST(sum(n) AS BIGINT) AS matched_values, array_to_string(list(email ORDER BY email)[1:3], ',') AS samples
   FROM v WHERE regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') HAVING count(*) > 0""")
 def pii_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    email = F.regexp_extract("text", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 0)
-    return profile.pii_hints(docs.select(F.when(email != "", email).alias("email"), F.col("lang").alias("language")))
-
-
-FITNESS_SQL = """
-  WITH f AS (SELECT l_orderkey, l_discount, CASE WHEN l_linenumber = 1 THEN l_quantity END AS first_quantity FROM lineitem),
-  d AS (SELECT CAST(sum(n) AS DOUBLE) AS total, CAST(sum(n - 1) AS DOUBLE) AS dup FROM (SELECT count(*) AS n FROM f GROUP BY l_orderkey, l_discount, first_quantity)),
-  s AS (SELECT round((count(*) - count(first_quantity)) / count(*), 4) AS q_null, (count(*) - count(first_quantity)) * 2 > count(*) AS q_most,
-      min(l_discount) = 0 AS z1, min(first_quantity) = 0 AS z2, min(l_orderkey) = 0 AS z3,
-      stddev_samp(l_discount) = 0 AS s1, stddev_samp(first_quantity) = 0 AS s2, stddev_samp(l_orderkey) = 0 AS s3 FROM f),
-  k AS (SELECT max(CASE WHEN abs(m3 / pow(m2, 1.5)) > 5 THEN 1 ELSE 0 END) AS skewed FROM (
-      SELECT avg(pow(x - m, 3)) AS m3, avg(pow(x - m, 2)) AS m2 FROM (SELECT l_discount AS x, avg(l_discount) OVER () AS m FROM f) UNION ALL
-      SELECT avg(pow(x - m, 3)), avg(pow(x - m, 2)) FROM (SELECT first_quantity AS x, avg(first_quantity) OVER () AS m FROM f) UNION ALL
-      SELECT avg(pow(x - m, 3)), avg(pow(x - m, 2)) FROM (SELECT l_orderkey AS x, avg(l_orderkey) OVER () AS m FROM f))),
+    """Every address in every text is a value of a column named email."""
+    found = F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9._-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"), F.lit(1))
+    return profile.pii_hints(table(spark, sf_dir, "documents").select(F.explode(found).alias("email")))
+
+
+SKEW = "(SELECT abs(avg(pow(x - m, 3)) / nullif(pow(avg(pow(x - m, 2)), 1.5), 0)) FROM (SELECT CAST({c} AS DOUBLE) AS x, avg(CAST({c} AS DOUBLE)) OVER () AS m FROM f) WHERE x IS NOT NULL)"
+
+
+def _flag(c: str) -> str:
+    return f"CASE WHEN (SELECT stddev_samp(CAST({c} AS DOUBLE)) FROM f) = 0 OR coalesce({SKEW.format(c=c)} > 5, false) THEN 1 ELSE 0 END"
+
+
+FITNESS_SQL = f"""
+  WITH {FLAWED},
+  cost AS (SELECT coalesce(sum(CASE WHEN severity = 'high' THEN 30 END), 0) AS high, coalesce(sum(CASE severity WHEN 'medium' THEN 12 WHEN 'low' THEN 4 END), 0) AS other FROM o),
   p AS (
-    SELECT 'completeness' AS component, 100 * (1 - (1 + q_null) / 5) AS score, 0.30 AS weight FROM s
-    UNION ALL SELECT 'duplication', 100 * (1 - least(5 * dup / total, 1.0)), 0.15 FROM d
-    UNION ALL SELECT 'validity', greatest(0.0, 100.0 - 30 - CASE WHEN q_most THEN 12 ELSE 0 END), 0.20 FROM s
-    UNION ALL SELECT 'consistency', greatest(0.0, 100.0 - 4 - CASE WHEN dup > 0 THEN CASE WHEN dup * 100 > total THEN 12 ELSE 4 END ELSE 0 END), 0.15 FROM d
+    SELECT 'completeness' AS component, round(greatest(0.0, 100 * (1 - (SELECT avg(share) FROM c))), 2) AS score, 0.30 AS weight
+    UNION ALL SELECT 'duplication', round(100 * (1 - least(5 * dup / total, 1.0)), 2), 0.15 FROM d
+    UNION ALL SELECT 'validity', greatest(0.0, 100.0 - high), 0.20 FROM cost
+    UNION ALL SELECT 'consistency', greatest(0.0, 100.0 - other), 0.15 FROM cost
     UNION ALL SELECT 'identifier_exposure', 100.0, 0.10
-    UNION ALL SELECT 'distribution_health', greatest(0.0, 100.0 - 20.0 * (CAST(s1 AS INT) + CAST(s2 AS INT) + CAST(s3 AS INT) + skewed)), 0.10 FROM s, k),
-  w AS (SELECT * FROM p UNION ALL SELECT 'overall', sum(score * weight) / sum(weight), 1.0 FROM p)
+    UNION ALL SELECT 'distribution_health', round(100.0 - 20.0 * ({" + ".join(map(_flag, ("l_orderkey", "l_discount", "no_value", "first_quantity", "nothing")))}) / 5, 2), 0.10),
+  w AS (SELECT *, false AS whole FROM p UNION ALL SELECT 'overall', sum(score * weight) / sum(weight), 1.0, true FROM p)
   SELECT component, round(CAST(score AS DOUBLE), 2) AS score, CAST(weight AS DOUBLE) AS weight,
-    CASE WHEN component = 'overall' THEN CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END END AS grade FROM w"""
+    CASE WHEN whole THEN CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END END AS grade FROM w"""
 
 
 @query(FITNESS_SQL)

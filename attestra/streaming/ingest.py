@@ -6,32 +6,39 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from attestra.operators import anomaly, ledger
+from attestra.operators import anomaly, ledger, profile
 
 
 def findings_of(batch: DataFrame, metrics: list[str], key: str) -> DataFrame:
-    """Findings of a batch of rows with ids that depend on the row, method and metric alone."""
-    rows = anomaly.long_frame(batch, metrics, F.col(key).cast("string"))
+    """Findings of rows with an ``artifact``, judged within their artifact, with ids that depend on artifact, row, method and metric alone."""
+    rows = anomaly.long_frame(batch, metrics, F.col(key).cast("string"), artifact=F.col("artifact"))
     found = anomaly.detect_zscore(rows).unionByName(anomaly.detect_iqr(rows))
-    identity = F.sha2(F.concat_ws("|", "method", "metric", "row_id"), 256)
-    return found.select(F.substring(identity, 1, 12).alias("finding_id"), "method", "metric", "row_id", "observed", "severity")
+    identity = F.sha2(F.concat_ws("|", "artifact", "method", "metric", "row_id"), 256)
+    return found.select(F.substring(identity, 1, 12).alias("finding_id"), "artifact", "method", "metric", "row_id", "observed", "severity")
 
 
-def start_ingest(spark: SparkSession, folder: str, schema: StructType, ledger_path: str, checkpoint: str, metrics: list[str], key: str, format: str = "parquet") -> StreamingQuery:
-    """Take what is in the folder and not yet taken, then stop. A batch that is run again adds nothing: the ledger is held against its ids.
+def start_ingest(spark: SparkSession, folder: str, schema: StructType, ledger_path: str, checkpoint: str, metrics: list[str], key: str, format: str = "parquet", profiles: str | None = None, files: int = 16) -> StreamingQuery:
+    """Take what is in the folder and not yet taken, ``files`` new files a batch, then stop. Each file is an artifact of its own: its values are judged
+    against its own statistics, whatever batch it comes in, and with ``profiles`` its column statistics and fitness are written there.
 
-    One writer at a time is assumed for a ledger.
+    A batch that is run again adds nothing: the ledger is held against its ids, and a file's profile replaces itself. One writer at a time is
+    assumed for a ledger.
     """
 
     def take(batch: DataFrame, _: int) -> None:
-        found = findings_of(batch, metrics, key)
         session = batch.sparkSession
-        empty = session.createDataFrame([], found.schema)
-        empty.write.mode("append").parquet(ledger_path)
+        named = batch.withColumn("artifact", F.element_at(F.split(F.input_file_name(), "/"), -1))
+        found = findings_of(named, metrics, key)
+        session.createDataFrame([], found.schema).write.mode("append").parquet(ledger_path)
         old = session.read.schema(found.schema).parquet(ledger_path)
         ledger.new_findings(old, found).write.mode("append").parquet(ledger_path)
+        if profiles:
+            for r in named.select("artifact").distinct().collect():  # ``files`` names at most
+                known = profile.Profile(named.filter(F.col("artifact") == r["artifact"]).drop("artifact"))
+                for table, rows in (("columns", known.columns), ("observations", known.observations), ("fitness", profile.fitness_of(known))):
+                    rows.write.mode("overwrite").parquet(f"{profiles.rstrip('/')}/{table}/artifact={r['artifact']}")
 
-    stream = spark.readStream.schema(schema).format(format).load(folder)
+    stream = spark.readStream.schema(schema).format(format).option("maxFilesPerTrigger", files).load(folder)
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

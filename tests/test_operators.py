@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import exprs as X
 from attestra.operators import anomaly, benford, compare, evaluation, ledger, lineage, profile, retrieval
+from attestra.sources import tables
 
 
 def longs(spark, values, entity=None, metric="m"):
@@ -85,7 +86,7 @@ def test_profile_of_a_mixed_table(spark):
     assert profile.duplicate_rows(df).first().asDict() == {"row_count": 6, "duplicate_rows": 1}
     distinct = profile.distinct_counts(profile.value_counts(df))
     codes = {(r["code"], r["column"]) for r in profile.quality_observations(profile.column_stats(df), distinct, profile.duplicate_rows(df)).collect()}
-    assert codes == {("duplicate_rows", None)}
+    assert codes == {("DUPLICATE_ROWS", None)}
 
 
 def test_profile_of_an_empty_table(spark):
@@ -95,6 +96,52 @@ def test_profile_of_an_empty_table(spark):
     assert profile.value_counts(df).count() == 0
 
 
+def test_observations_of_nulls_constants_and_zeros(spark):
+    rows = [(None, None, 7, "x", 0, 0), (None, None, 7, None, 0, 3), (None, 1, 7, "x", 0, None)]
+    df = spark.createDataFrame(rows, "a string, b int, c int, d string, e int, f int")
+    got = {(r["code"], r["column"], r["severity"]) for r in profile.Profile(df).observations.collect()}
+    assert got == {("COLUMN_ALL_NULL", "a", "high"), ("COLUMN_HIGH_NULL_RATIO", "b", "medium"), ("COLUMN_CONSTANT", "c", "low"), ("COLUMN_CONSTANT", "e", "low"), ("ZERO_MIN_NUMERIC", "f", "info")}
+
+
+def test_fitness_components(spark):
+    flat = [(i, 5.0, 1.0 if i < 199 else 1e9, i * 1.0) for i in range(200)]
+    df = spark.createDataFrame(flat, "row_id long, same double, skewed double, fine double")
+    got = {r["component"]: r["score"] for r in profile.fitness(df).collect()}
+    assert got["distribution_health"] == 86.67 and got["consistency"] == 96.0 and got["validity"] == 100.0  # two of three metric columns are flagged
+    half = spark.createDataFrame([(i, None if i % 3 else i) for i in range(30)], "k_id long, v long")
+    got = {r["component"]: r["score"] for r in profile.fitness(half).collect()}
+    assert (got["validity"], got["consistency"], got["completeness"]) == (100.0, 88.0, 66.66)
+    words = spark.createDataFrame([("a",), ("b",)], "name string")
+    assert {r["component"]: r["score"] for r in profile.fitness(words).collect()}["distribution_health"] == 80.0
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 1000])
+def test_quantiles_in_buckets_equal_those_at_once(spark, n):
+    rng = random.Random(n)
+    rows = [(rng.choice([1.0, 2.0, rng.random() * 100]), None if i % 3 == 0 else i) for i in range(n)] + [(None, None)]
+    df = spark.createDataFrame(rows, "a double, b long")
+    one, other = ({r["column"]: [r[f"p{p}"] for p in (5, 25, 50, 75, 95)] for r in profile.column_stats(df, at).collect()} for at in (10**9, 0))
+    assert all((x is None and y is None) or abs(x - y) < 1e-9 for c in one for x, y in zip(one[c], other[c]))
+    long = longs(spark, [a for a, _ in rows])
+    x, y = (anomaly.quartiles(long, at).first() for at in (10**9, 0))
+    assert (x["n"], round(x["q1"], 9), round(x["q3"], 9)) == (y["n"], round(y["q1"], 9), round(y["q3"], 9))
+
+
+def test_artifacts_are_judged_by_themselves(spark):
+    rows = [("a", i, 10.0 + i % 3) for i in range(30)] + [("b", 100 + i, 5000.0 + i % 3) for i in range(30)] + [("a", 99, 900.0)]
+    df = spark.createDataFrame(rows, "artifact string, k long, v double")
+    long = anomaly.long_frame(df, ["v"], F.col("k"), artifact=F.col("artifact"))
+    for at in (10**9, 0):
+        assert {(r["artifact"], r["row_id"]) for r in anomaly.detect_iqr(long, at_once=at).collect()} == {("a", 99)}
+    assert {(r["artifact"], r["row_id"]) for r in anomaly.detect_zscore(long).collect()} == {("a", 99)}
+
+
+def test_candidate_keys_follow_the_columns(spark):
+    df = spark.createDataFrame([(i, *[i] * 11) for i in range(3)], "z int, " + ", ".join(f"{c} int" for c in "abcdefghijk"))
+    known = profile.Profile(df)
+    assert [r["column"] for r in profile.candidate_keys(known.columns, known.distinct).collect()] == list("zabcdefghi")
+
+
 def test_candidate_keys_need_all_values(spark):
     df = spark.createDataFrame([(1, 1), (2, None), (3, 3)], "id int, v int")
     keys = profile.candidate_keys(profile.column_stats(df), profile.distinct_counts(profile.value_counts(df)))
@@ -142,6 +189,24 @@ def test_key_overlap(spark):
     assert state(["a"], ["b"])["state"] == "not_comparable" and state([], [])["state"] == "unknown"
 
 
+def test_gates(spark):
+    rows = [(None, None), ("a", None), ("a", "A"), ("a", "b"), ("one two three four five", "five four three two one six"), ("a", "a ")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select(compare.period_gate(df.a, df.b), compare.unit_gate(df.a, df.b), compare.definition_gate(df.a, df.b), compare.unit_gate(df.a, df.b, F.lit(1.0), F.lit(1e5))).collect()
+    assert [r[0] for r in got] == ["unknown", "partial", "not_comparable", "not_comparable", "not_comparable", "not_comparable"]
+    assert [r[1] for r in got] == ["unknown", "unknown", "comparable", "not_comparable", "not_comparable", "not_comparable"]
+    assert [r[2] for r in got] == ["unknown", "unknown", "comparable", "not_comparable", "partial", "partial"]
+    assert [r[3] for r in got][2] == "partial"
+
+
+def test_a_side_without_names_is_unknown(spark):
+    df = lambda xs: spark.createDataFrame([(x,) for x in xs], "k string")
+    assert compare.fuzzy_gate(df(["a b"]), df([" ", None]), "k", "k").first()["state"] == "unknown"
+    r = compare.fuzzy_gate(df([" Adabari ", "Sonitpur"]), df(["Adabari T.E.", "Sonitpur"]), "k", "k").first()
+    assert (r["state"], r["matched"], r["variants"]) == ("comparable", 2, "Adabari ~ Adabari T.E.")
+    assert compare.fuzzy_gate(df(["xyz"]), df(["Adabari"]), "k", "k").first()["state"] == "not_comparable"
+
+
 def test_reconcile_and_delta_sign(spark):
     rows = spark.createDataFrame([(100.0, 100.5, "comparable"), (100.0, 50.0, "comparable"), (1.0, 9.0, "partial"), (0.0, 0.0, "comparable")], "a double, b double, o string")
     got = [(r["status"], r["delta"]) for r in compare.reconcile(rows, "a", "b", "o").collect()]
@@ -157,10 +222,42 @@ def test_definition_drift_dimensions(spark):
     assert compare.definition_drift(old, old).count() == 0
 
 
+def test_definition_drift_in_case_units_and_bases(spark):
+    schema = "card_id string, concept_id string, definition string, scope string, denominator string, unit string"
+    card = lambda i, concept, *rest: (f"{i}-{concept}", concept, *rest)
+    plain = ("people served", "All", "household", "lakh")
+    cases = {
+        "case": (("People Served ", "all", "Household", " LAKH"), set()),
+        "alias": (("people served", "All", "household", "lac"), set()),
+        "unknown base": (("people served", "All", "household", "acres"), {("unit", "partial", 0.5)}),
+        "two bases": (("people served", "All", "household", "inr crore"), {("unit", "not_comparable", 0.9)}),
+        "no unit": (("people served", "All", "household", None), {("unit", "partial", 0.2)}),
+        "denominator": (("people served", "All", "person", "lakh"), {("denominator", "not_comparable", 0.9)}),
+        "other": (("something else entirely", "All", "household", "lakh"), {("definition", "not_comparable", 0.7)}),
+    }
+    old = spark.createDataFrame([card(1, c, *plain) for c in cases], schema)
+    new = spark.createDataFrame([card(2, c, *after) for c, (after, _) in cases.items()], schema)
+    got = compare.definition_drift(old, new).collect()
+    for c, (_, want) in cases.items():
+        assert {(r["drift_type"], r["decision"], r["impact"]) for r in got if r["concept_id"] == c} == want, c
+
+
+def test_cards_are_read_out_of_names(spark):
+    rows = [("a", "amount_inr_lakh", True, 0.0), ("a", "births_per_thousand_women", True, 0.6), ("a", "call_id", False, 0.0), ("a", "Approx_Count", True, 0.5)]
+    got = {r["column"]: r for r in compare.infer_cards(spark.createDataFrame(rows, "artifact_id string, column string, is_metric boolean, null_ratio double")).collect()}
+    assert set(got) == {"amount_inr_lakh", "births_per_thousand_women", "Approx_Count"}
+    assert (got["amount_inr_lakh"]["concept_id"], got["amount_inr_lakh"]["unit"], got["amount_inr_lakh"]["denominator"]) == ("amount_inr", "lakh", None)
+    r = got["births_per_thousand_women"]
+    assert (r["concept_id"], r["unit"], r["denominator"], r["flags"], r["card_id"], r["status"]) == ("births", "count", "thousand women", "majority_null", "dc:a:births_per_thousand_women", "proposed")
+    assert r["definition"].endswith("inferred unit 'count'; rate per thousand women") and got["Approx_Count"]["flags"] == "name_contains_approx"
+
+
 def test_false_consensus(spark):
     rows = [("m", str(i), f"art{i}", "press" if i < 3 else None) for i in range(4)] + [("n", "9", "a", None)]
     got = compare.false_consensus(spark.createDataFrame(rows, "metric string, claim_id string, artifact_id string, derived_from string")).collect()
     assert [(r["metric"], r["apparent_sources"], r["distinct_origins"], r["severity"]) for r in got] == [("m", 4, 2, "high")]
+    blank = spark.createDataFrame([("m", "1", "a", ""), ("m", "2", "b", "")], "metric string, claim_id string, artifact_id string, derived_from string")
+    assert [(r["distinct_origins"], r["verdict"], r["confidence"]) for r in compare.false_consensus(blank).collect()] == [(2, "independent_corroboration", "high")]
 
 
 @pytest.mark.parametrize("label, year, flags", [("FY 2024-25", "2024-25", ["fiscal_year"]), ("f.y. 2024-2025 (CE)", "2024-25", ["fiscal_year"]), ("2024/25", "2024-25", ["fiscal_year"]), ("2024–27", "2024-25", ["fiscal_year", "fiscal_year_label_inconsistent"]), ("1999-00", "1999-00", ["fiscal_year"]), ("someday", None, ["not_a_fiscal_year_label"]), (None, None, ["not_a_fiscal_year_label"])])
@@ -187,21 +284,64 @@ def finding_rows(spark, ids):
 def test_ledger_appends_once_and_reviews(spark):
     old, new = finding_rows(spark, ["a"]), finding_rows(spark, ["a", "b", "b"])
     assert [r["finding_id"] for r in ledger.new_findings(old, new).collect()] == ["b"]
-    reviews = spark.createDataFrame([("a", "confirmed", "ok"), ("b", "unheard", None)], "finding_id string, status string, note string")
-    after, bad = ledger.apply_reviews(finding_rows(spark, ["a", "b"]), reviews)
-    assert {(r["finding_id"], r["status"], r["note"]) for r in after.collect()} == {("a", "confirmed", "ok"), ("b", "open", None)}
-    assert [r["finding_id"] for r in bad.collect()] == ["b"]
-    assert [r["finding_id"] for r in ledger.queue(finding_rows(spark, "abc"), severity="high", limit=2).collect()] == ["c", "b"]
+    reviews = spark.createDataFrame([("a", "not_detectable", "early", 1), ("a", "resolved", "ok", 2), ("b", "unheard", None, 1), ("b", "confirmed", None, 2), ("c", "open", None, 1)], "finding_id string, status string, note string, at int")
+    after, bad = ledger.apply_reviews(finding_rows(spark, ["a", "b"]), reviews, "at")
+    assert sorted((r["finding_id"], r["status"], r["note"]) for r in after.collect()) == [("a", "resolved", "ok"), ("b", "open", None)]
+    assert [r["finding_id"] for r in bad.collect()] == ["b", "b"]
+    page = ledger.queue(finding_rows(spark, "abc"), severity="high", limit=2).collect()
+    assert [(r["finding_id"], r["total"]) for r in page] == [("c", 3), ("b", 3)]
+    assert ledger.queue(finding_rows(spark, "abc"), text="t s").count() == 0
+
+
+def test_upserts_take_the_last_of_repeated_keys(spark):
+    old = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k int, v string, at int")
+    new = spark.createDataFrame([(2, "z", 1), (2, "c", 2), (3, "d", 1), (3, "d", 1)], "k int, v string, at int")
+    assert sorted((r["k"], r["v"]) for r in ledger.upsert(old, new, "k", "at").collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    assert sorted((r["k"], r["v"]) for r in ledger.upsert(old, new.drop("at").withColumn("at", F.lit(5)), "k").collect()) == [(1, "a"), (2, "z"), (3, "d")]
 
 
 def test_evidence_counts_and_truncates(spark):
-    want = spark.createDataFrame([("f", "v", 5000.0)], "finding_id string, column string, want double")
-    values = spark.createDataFrame([("v", i, 5000.0 if i % 2 else 5000.0 + i) for i in range(60)], "column string, row_id long, value double")
-    rows = ledger.evidence(want, values, most=25).collect()
-    assert len(rows) == 25 and {r["matched"] for r in rows} == {31} and all(r["truncated"] for r in rows)
+    want = spark.createDataFrame([("f", "t", {"v": "5000"}), ("g", "t", {"v": "5000.0", "d": "E"}), ("h", "t", {"v": "x"}), ("i", "t", {"v": "-0.5"})], "finding_id string, artifact_id string, slice map<string,string>")
+    stored = spark.createDataFrame([(i, 5000.0 if i % 2 else 5000.0 + i, "E" if i % 10 == 1 else "F") for i in range(60)] + [(60, -0.5000001, "E"), (61, 0.5, "E")], "row_number long, v double, d string")
+    rows = ledger.evidence(want, tables.cells(stored).withColumn("artifact_id", F.lit("t")), most=25).collect()
+    got = {f: [r for r in rows if r["finding_id"] == f] for f in "fghi"}
+    assert len(got["f"]) == 25 and {r["matched"] for r in got["f"]} == {31} and all(r["truncated"] for r in got["f"])
+    assert sorted(r["row_number"] for r in got["g"]) == [1, 11, 21, 31, 41, 51] and not got["h"] and [r["row_number"] for r in got["i"]] == [60]
+
+
+def test_value_cells_are_neighbours(spark):
+    rng = random.Random(9)
+    near = []
+    for _ in range(400):
+        v = rng.choice([0.0, 1.0, -1.0, rng.uniform(-2, 2), rng.uniform(-1e9, 1e9), rng.uniform(-1e-6, 1e-6)])
+        near.append((v, v + rng.uniform(-1, 1) * 1e-6 * max(abs(v), 1.0)))
+    df = spark.createDataFrame(near, "a double, b double").select(F.abs(ledger.value_cell(F.col("a")) - ledger.value_cell(F.col("b"))).alias("d"), "a", "b")
+    assert df.filter("d > 1").collect() == []
+    assert spark.range(2000).select(ledger.value_cell(F.col("id") / 1000 - 1).alias("c")).distinct().count() == 2000
+
+
+def test_titles_and_summaries(spark):
+    rows = spark.createDataFrame([("anomaly", "ben", "district: E", 5000.0, 100.0), ("anomaly", "ben", None, 0.5, 0.0), ("anomaly", "m", "", 1234567.0, 12.5)], "kind string, metric string, slice string, observed double, expected double")
+    got = [r["summary"] for r in ledger.titles_and_summaries(rows).collect()]
+    assert got == ["We found 5000, but expected around 100 (4900% off) for district: E.", "We found 0.5, but expected close to 0 for overall.", "We found 1.23457e+06, but expected around 12.5 (9876436% off) for overall."]
+    r = ledger.titles_and_summaries(spark.createDataFrame([("benford", "amt", 300, "marginal")], "kind string, column string, n_values int, conformity string")).first()
+    assert r["title"] == "Unusual number pattern in 'amt'" and "somewhat unusual" in r["summary"]
+    r = ledger.titles_and_summaries(spark.createDataFrame([("drift", "new", "area", "partial", 0.4)], "kind string, drift_type string, concept_id string, decision string, impact double")).first()
+    assert (r["title"], r["summary"]) == ("How 'area' is measured changed", "Only partly comparable now, check before comparing directly. How big a change: 40%.")
+
+
+def test_numbers_as_people_write_them(spark):
+    values = [0.0, 1.0, -2.5, 100.0, 123456.0, 999999.5, 1234567.0, 1e-5, 0.000123456, 0.1 + 0.2, 5e20]
+    got = [r["g"] for r in spark.createDataFrame([(v,) for v in values], "v double").select(X.general(F.col("v")).alias("g")).collect()]
+    assert got == [f"{v:g}" for v in values]
 
 
 def test_lineage_problems_and_paths(spark):
+    chain = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(100)], "source string, target string")
+    deep = {r["id"]: (r["depth"], r["path"][-4:]) for r in lineage.paths_to_raw(chain).collect()}
+    assert deep["n100"] == (101, "n000") and deep["n041"] == (42, "n000") and len(deep) == 100
+    with pytest.raises(ValueError, match="cycle"):
+        lineage.paths_to_raw(spark.createDataFrame([("x", "y"), ("y", "x")], "source string, target string"))
     nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("c",), ("x",), ("y",)], "id string").withColumns({"kind": F.lit("k"), "label": F.lit("l")})
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("c", "lost")], "source string, target string").withColumn("relation", F.lit("r"))
     got = {(r["problem"], r["id"]) for r in lineage.validate(nodes, edges).collect()}
@@ -210,20 +350,60 @@ def test_lineage_problems_and_paths(spark):
     assert paths == {"b": "b < a", "c": "c < b < a", "lost": "lost < c < b < a"}
 
 
-def test_retrieval_ranks_and_refuses(spark):
-    asked = spark.createDataFrame([("q1", "total wheat yield"), ("q2", "zzz")], "question_id string, text string")
-    held = spark.createDataFrame([("e1", "wheat yield by district", 1.0), ("e2", "wheat", 3.0)], "evidence_id string, text string, weight double")
-    found = retrieval.retrieve(asked, held)
-    assert [(r["evidence_id"], r["rank"]) for r in found.orderBy("rank").collect()] == [("e2", 1), ("e1", 2)]
-    got = {r["question_id"]: (r["n_evidence"], r["confidence"]) for r in retrieval.answers(asked, found, held).collect()}
-    assert got == {"q1": (2, "low"), "q2": (0, "low")}
+def test_lineage_of_repeated_findings(spark):
+    artifacts = spark.createDataFrame([("a", True, "sha256:ab"), ("b", False, None)], "artifact_id string, has_profile boolean, detail string")
+    found = spark.createDataFrame([("f", "a", "iqr", "high"), ("f", "a", "zscore", "low"), ("g", "b", "iqr", "low")], "finding_id string, artifact_id string, rule string, severity string")
+    nodes, edges = lineage.build(artifacts, found)
+    ids = {r["id"]: r["kind"] for r in nodes.collect()}
+    assert {i for i, k in ids.items() if k == "finding"} == {"finding:a:f", "finding:a:f#1"} and ids["raw:a"] == "raw_artifact" and "profile:b" not in ids
+    assert {r["relation"] for r in edges.collect()} == {"parsed_by", "profiled_by", "executed_over", "produced"} and lineage.validate(nodes, edges).count() == 0
+
+
+def held_cards(spark):
+    artifacts = spark.createDataFrame([("wheat-data", "Wheat by district", "agri", "text/csv", 10, "ab" * 32)], "artifact_id string, title string, source_id string, media_type string, byte_size long, sha256 string")
+    columns = spark.createDataFrame([("wheat-data", "yield_per_acre", "double", 0.25, 9)], "artifact_id string, column string, dtype string, null_ratio double, unique_count long")
+    observed = spark.createDataFrame([("wheat-data", "DUPLICATE_ROWS", "low", None)], "artifact_id string, code string, severity string, column string")
+    found = spark.createDataFrame([("f1", ["wheat-data"], "anomaly", "high", "Unusual yield", "fraud in wheat"), ("f2", ["wheat-data"], "drift", "low", "Wheat", "changed")], "finding_id string, artifact_ids array<string>, kind string, severity string, title string, summary string")
+    return retrieval.evidence_cards(artifacts, columns, observed, found)
+
+
+def test_retrieval_weighs_fields_and_refuses(spark):
+    asked = spark.createDataFrame([("q1", "wheat yield"), ("q2", "zzz"), ("q3", "गड़बड़ी yield"), ("q4", "duplicate rows")], "question_id string, text string")
+    cards = held_cards(spark)
+    found = retrieval.retrieve(asked, cards)
+    got = {(r["question_id"], r["evidence_id"]): r["score"] for r in found.collect()}
+    assert got[("q1", "finding:f1")] == 6.5 and got[("q1", "finding:f2")] == 3.0 and got[("q1", "artifact:wheat-data")] == 2.0 and got[("q1", "wheat-data#column=yield_per_acre")] == 3.0
+    assert got[("q4", "wheat-data#DUPLICATE_ROWS")] == 5.0
+    titles = spark.createDataFrame([("wheat-data", "Wheat by district")], "artifact_id string, title string")
+    out = {r["question_id"]: r for r in retrieval.answers(asked, found, cards, titles).collect()}
+    assert out["q2"]["answer"] == retrieval.REFUSAL and not out["q2"]["cited"] and out["q2"]["confidence"] == "low"
+    lines = out["q1"]["answer"].split("\n")
+    assert lines[0] == 'Yes - 2 flagged problem(s) (changed definition, unusual number) across 1 file(s) relevant to "wheat yield".'
+    assert "  [E1] Unusual yield - [redacted judgment word] in wheat (in Wheat by district, high severity)" in lines and out["q1"]["confidence"] == "moderate" and out["q1"]["cited"]
+    assert out["q3"]["answer"].startswith(retrieval.HINDI_LEAD) and out["q4"]["answer"].startswith("No flagged problems match")
 
 
 def test_rates_without_denominator_are_null(spark):
-    cases = spark.createDataFrame([], "case_id string, n_artifacts long")
+    cases = spark.createDataFrame([], "case_id string, n_artifacts long, n_findings long, n_complete long")
     decisions = spark.createDataFrame([], "decision_id long, case_id string, decision string, decided_at long")
     r = evaluation.report(cases, decisions).first()
-    assert r["coverage"] is None and r["detectability"] is None and r["n_cases"] == 0
+    assert r["coverage"] is None and r["detectability"] is None and r["evidence_completeness"] is None and r["n_cases"] == 0
+
+
+def test_decisions_that_are_refused(spark):
+    run = spark.createDataFrame([("c1", "f1"), ("c2", "f2"), ("c3", None)], "case_id string, finding_id string")
+    rows = [(1, "c1", "detected", ["f1"]), (2, "c1", "detected", ["f2"]), (3, "c2", "partially_detected", []), (4, "c9", "not_detected", []), (5, "c3", "not_detectable", []), (6, "c1", "missed", []), (7, "c1", None, None)]
+    got = {(r["decision_id"], r["reason"]) for r in evaluation.rejects(spark.createDataFrame(rows, "decision_id int, case_id string, decision string, finding_ids array<string>"), run).collect()}
+    assert got == {(2, "foreign_finding"), (3, "no_findings"), (4, "foreign_case"), (6, "unknown_decision"), (7, "unknown_decision")}
+
+
+def test_leaks_of_labels_and_ids(spark):
+    labels = spark.createDataFrame([(1, "secret words of the case, never shown anywhere"), (2, "a b c d e f"), (3, None)], "item long, text string")
+    texts = spark.createDataFrame([(10, "x SECRET words, of the case y"), (11, "words of that case never seen"), (12, "a b c d e f"), (13, None)], "doc long, text string")
+    assert {tuple(r) for r in evaluation.label_leaks(texts, labels, "doc", "item").collect()} == {(10, 1, 1)}
+    ids = spark.createDataFrame([("CASE-7",), ("9",)], "case_id string")
+    named = spark.createDataFrame([(1, "see CASE-7."), (2, "case-7"), (3, "CASE-77 and 99"), (4, "item 9!"), (5, None)], "doc long, text string")
+    assert {tuple(r) for r in evaluation.id_leaks(named, ids, "doc", "case_id").collect()} == {(1, "CASE-7"), (4, "9")}
 
 
 def test_prefix_guard_finds_every_position(spark):

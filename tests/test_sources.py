@@ -31,8 +31,48 @@ def test_unknown_suffix(spark):
 
 def test_manifest(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"x\n1\n")
-    r = tables.manifest(spark, str(tmp_path)).first()
-    assert r["byte_size"] == 4 and r["media_type"] == "text/csv" and len(r["sha256"]) == 64 and r["is_utf8"]
+    r = tables.manifest(spark, str(tmp_path), {"header": True}).first()
+    assert r["byte_size"] == 4 and r["media_type"] == "text/csv" and len(r["sha256"]) == 64 and r["parser_version"] == spark.version
+    assert r["config_hash"] == tables.config_hash("spark", {"header": True}) != tables.config_hash("spark", {"header": False})
+
+
+def test_csv_files_of_two_encodings(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_bytes("name,n\nÄ,1\n".encode())
+    (tmp_path / "in" / "b.csv").write_bytes("name,n\nÖ,2\n".encode("latin-1"))
+    assert {(r["name"], r["n"]) for r in tables.read_table(spark, str(tmp_path / "in"), ".csv").collect()} == {("Ä", 1), ("Ö", 2)}
+    (tmp_path / "none.csv").write_text("")
+    assert tables.read_table(spark, str(tmp_path / "none.csv"), schema="a int").count() == 0
+
+
+def test_json_keeps_every_line(spark, tmp_path):
+    lines = [f'{{"x": {i}}}' for i in range(20)]
+    (tmp_path / "broken.jsonl").write_text("\n".join([*lines[:7], "not json {", *lines[7:]]) + "\n")
+    out = tables.read_table(spark, str(tmp_path / "broken.jsonl"))
+    rows = out.collect()
+    assert len(rows) == 21 and {r["x"] for r in rows} == {*range(20), None} and [r["_corrupt_record"] for r in rows if r["x"] is None] == ["not json {"]
+    kept = tables.read_json(spark, str(tmp_path / "broken.jsonl"), "x int", corrupt="bad").collect()
+    assert len(kept) == 21 and [r["bad"] for r in kept if r["bad"]] == ["not json {"]
+    with pytest.raises(Exception, match="MALFORMED|Malformed|malformed"):
+        tables.read_table(spark, str(tmp_path / "broken.jsonl"), schema="x int").collect()
+    (tmp_path / "array.json").write_text('[\n{"x": 1},\n{"x": 2}\n]')
+    assert sorted(r["x"] for r in tables.read_table(spark, str(tmp_path / "array.json"), schema="x int").collect()) == [1, 2]
+    (tmp_path / "object.json").write_text('{\n "x": [1, 2],\n "y": 3\n}')
+    assert tables.read_table(spark, str(tmp_path / "object.json")).first().asDict() == {"x": [1, 2], "y": 3}
+
+
+def test_rows_are_numbered_as_stored(spark, tmp_path):
+    spark.range(0, 100, 1, 4).write.parquet(str(tmp_path / "t"))
+    rows = tables.numbered(spark.read.parquet(str(tmp_path / "t"))).collect()
+    assert sorted(r["row_number"] for r in rows) == list(range(1, 101)) and all(r["row_number"] == r["id"] + 1 for r in rows)
+    cells = tables.cells(spark.createDataFrame([(1, "a", None), (2, None, 2.5)], "row_number long, s string, v double"))
+    assert {tuple(r) for r in cells.collect()} == {(1, "s", "a"), (2, "v", "2.5")}
+
+
+def test_register_without_columns(spark):
+    rows = spark.createDataFrame([("s1", "u", " tbd", "unverified_candidate"), ("s2", " ", "TBD", "open")], "source_id string, source_url string, sha256 string, access_status string")
+    got = {tuple(r) for r in tables.register_problems(rows).collect()}
+    assert got == {("s1", "access_status", "unverified_candidate"), ("s2", "source_url", "missing"), ("s2", "sha256", "missing"), (None, "retrieved_at", "missing_column")} | {(s, "retrieved_at", "missing") for s in ("s1", "s2")}
 
 
 def test_freeze_reuses_equal_content(spark, tmp_path):
@@ -52,6 +92,17 @@ def test_ingest_twice_adds_nothing(spark, tmp_path):
     assert counts == [2, 2]
 
 
+def test_files_are_judged_by_themselves_and_profiled(spark, tmp_path):
+    for k in range(3):
+        rows = [(100 * k + i, 10.0**k * (100.0 + i % 5)) for i in range(50)]
+        spark.createDataFrame(rows, "id long, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    ingest.start_ingest(spark, str(tmp_path / "in"), schema, str(tmp_path / "ledger"), str(tmp_path / "checkpoint"), ["v"], "id", profiles=str(tmp_path / "profiles"), files=2).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "ledger")).count() == 0
+    fitness = spark.read.parquet(str(tmp_path / "profiles" / "fitness")).filter("component = 'overall'").collect()
+    assert len({r["artifact"] for r in fitness}) == 3 and all(r["grade"] == "A" for r in fitness)
+
+
 def test_windowed_counts(spark, tmp_path):
     rows = [("2024-01-01 00:01:00", "a", 1.0), ("2024-01-01 00:02:00", "a", 2.0), ("2024-01-01 00:12:00", "a", 4.0)]
     spark.createDataFrame(rows, "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "in"))
