@@ -36,7 +36,7 @@ LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 NUMBER = re.compile(r"(?<![\w+.-])\(?[0-9][\x20().0-9-]{5,}[0-9](?![\w])")
 SPELLED = re.compile(r"(?<!\S)([A-Za-z0-9._%+-]+) ?[\[(]at[\])] ?([A-Za-z0-9-]+) ?[\[(]dot[\])] ?([A-Za-z]{2,})\b", re.I)
 LONG = re.compile(r"(?<![\w+/=-])[A-Za-z0-9_+/-]{20,}=*(?![\w+/=-])")
-ASSIGNED = re.compile(r"(?<![^\W_])(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]*[=:][ \t]*[\"']?([^\s\"']{4,})", re.I)
+ASSIGNED = re.compile(r"(?<![^\W_])(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]*[=:][ \t]*[\"']?([^\s\"']{3,}[^\s\"',.;:!?)])", re.I)
 WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
 #: Titles before a name, frequent given names, and words that speak for or against a kind when they stand before a span.
 TITLES = "Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Señor Señora"
@@ -150,7 +150,7 @@ def shape_vote(kind: str, span: str) -> str:
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans that may be personal data and overlap no base span and no other candidate."""
+    """Spans that may be personal data and overlap no base span and no other candidate; of those that start together the longest."""
     taken = sorted((b, e) for _, b, e in base)
     found = []
     for m in NUMBER.finditer(text):
@@ -164,7 +164,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     found += [("secret", *m.span()) for m in LONG.finditer(text)]
     found += [("secret", *m.span(1)) for m in ASSIGNED.finditer(text)]
     out, k, past = [], 0, 0
-    for kind, b, e in sorted(found, key=lambda s: s[1:]):
+    for kind, b, e in sorted(found, key=lambda s: (s[1], -s[2])):
         while k < len(taken) and taken[k][1] <= b:
             k += 1
         if b >= past and (k == len(taken) or taken[k][0] >= e):

@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.llm import line_dedup, pii, quality, toxicity
+from attestra.llm import line_dedup, pii, quality, queries, toxicity
 from attestra.llm.weak_labels import LabelModel, Rows, fit_linear, sigmoid
 from tests.llm.conftest import ODD
 
@@ -67,6 +68,72 @@ def test_toxicity_spares_neutral_mentions(labelled):
     assert scores[5.0][1000] < 0.5 and scores[5.0][1001] < 0.5 * scores[0.0][1001]
 
 
+def test_counterfactuals_hold_for_terms_that_were_put_in(labelled, spark):
+    """Clean documents with a neutral mention put in: with the price on counterfactuals none is taken for toxic, and scores move less."""
+    docs, labels = labelled
+    clean = [(2000 + k, f"river {t.decode()} bridge market town {t.decode()} valley street garden") for k, t in enumerate(toxicity.TERMS)] + [(1999, "river bridge market town valley street garden")]
+    both = docs.unionByName(spark.createDataFrame(clean, docs.schema))
+    moved, wrong = {}, {}
+    for tie in (0.0, 5.0):
+        out = {r["doc_id"]: r for r in toxicity.toxicity_scores(both, labels, F.col("doc_id") % 5 != 0, tie=tie).collect()}
+        moved[tie] = max(abs(out[i]["score"] - out[1999]["score"]) for i, _ in clean)
+        wrong[tie] = sum(out[i]["predicted"] for i, _ in clean)
+    assert wrong[5.0] == 0 and moved[5.0] <= 0.5 * moved[0.0] and moved[5.0] < 0.2
+
+
+def test_swaps_and_terms_put_in():
+    assert toxicity.counterfactuals({b"women", b"river"}, 0) == [{b"men", b"river"}, {b"river"}]
+    assert toxicity.counterfactuals({b"river"}, 3) == [{b"river", toxicity.TERMS[3]}]
+    assert toxicity.features_of({b"bridges", b"muslims", b"sea"}) == {b"bridges", b"brid-", b"bridge-", b"muslims", b"sea"}
+
+
+@pytest.mark.parametrize("folder, least", [("sf0.01", 0.5), ("sf0.1", 0.85)])
+def test_toxicity_on_held_out_labels(spark, folder, least):
+    path = f"/root/testdata/{folder}"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{path}/labels.parquet").filter("toxic IS NOT NULL").collect()}
+    rows = [r for r in queries.op3_toxicity(spark, path).collect() if r["held_out"] and r["doc_id"] in labels]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows) and rows
+    found = [labels[r["doc_id"]] for r in rows if r["predicted"]]
+    assert sum(found) >= least * sum(labels[r["doc_id"]] for r in rows) and len(found) - sum(found) <= 0.01 * len(rows)
+
+
+def test_quality_on_labels(spark):
+    """No label is read by the operator; its decisions are held against all of them."""
+    path = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{path}/labels.parquet").filter("quality IS NOT NULL").collect()}
+    rows = [r for r in queries.op6_quality(spark, path).collect() if r["doc_id"] in labels]
+    assert np.mean([r["keep"] == bool(labels[r["doc_id"]]) for r in rows]) > 0.99
+
+
+def slow_scores(docs):
+    """The quality scorer without Spark: the same labellers, posterior and linear model over every row."""
+    values = [quality.ratios(t or "") for _, t in docs]
+    cast = [quality.votes(v) for v in values]
+    counts = Counter(cast)
+    labels = LabelModel(list(counts), list(counts.values()), prior=0.8)
+    found = [quality.features(t or "", v) for (_, t), v in zip(docs, values)]
+    order = sorted(range(len(docs)), key=lambda i: (cast[i], list(found[i]), np.float32(list(found[i].values())).tolist()))
+    rows = Rows([list(found[i]) for i in order], [np.float32(list(found[i].values())) for i in order])
+    spoken = np.array([any(c != "0" for c in cast[i]) for i in order], float)
+    w, b = fit_linear(rows, labels.posterior([cast[i] for i in order]), quality.SIZE, weight=spoken + 1e-3)
+    score = sigmoid(rows.dot(w) + b)
+    return {docs[i][0]: (cast[i], s) for i, s in zip(order, score)}
+
+
+def test_quality_equals_brute_force(spark):
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice([*(GOOD + BAD).split(), "!!", "|", "42"]) for _ in range(rng.choice([0, 1, 3, 7, 30, 90])))) for i in range(120)]
+    out = quality.quality_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = slow_scores(docs)
+    assert {r["doc_id"]: r["votes"] for r in out} == {i: v for i, (v, _) in want.items()}
+    assert all(abs(r["quality"] - want[r["doc_id"]][1]) < 1e-3 for r in out)
+
+
+def test_short_texts_are_judged(spark):
+    assert quality.votes(quality.ratios("$$$ ### %%% &&& *** @@@ ~~~")).startswith("-")
+    assert quality.votes(quality.ratios("a short line of words")).count("-") == 0 and quality.ratios(" \n") is None
+
+
 def test_toxicity_of_odd_rows(labelled, odd, empty):
     _, labels = labelled
     out = toxicity.toxicity_scores(odd, labels, F.lit(True)).collect()
@@ -141,6 +208,45 @@ def test_report_and_added_spans(spark):
             assert r["spans"] == ""
 
 
+SECRET = re.compile(r'token = "([0-9a-fA-F]{32,})"', re.I)
+
+
+def test_added_spans_on_the_corpus(spark):
+    """Secrets are what the base patterns have no kind for: how many of those that stand in the corpus are added, and what else is."""
+    path = "/root/testdata/sf0.1"
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()}
+    truth, added, base = set(), set(), 0
+    for i, t in docs.items():
+        truth |= {(i, *m.span(1)) for m in SECRET.finditer(t)}
+    for r in queries.op5_pii(spark, path).collect():
+        own = {("%s:%d:%d" % s) for s in slow_spans(docs[r["doc_id"]])}
+        spans = set(filter(None, r["spans"].split(",")))
+        assert own <= spans
+        base += len(own)
+        added |= {(r["doc_id"], *map(int, s.split(":")[1:])) for s in spans - own}
+    assert len(truth) > 50 and len(added & truth) >= 0.95 * len(truth) and len(added & truth) >= 0.95 * len(added)
+
+
+def test_labelers_do_not_know_the_base_patterns():
+    hexed = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e"
+    text = f'the token = "{hexed}" and password: hunter2x, commit {hexed} of bletitionthtionbletionth'
+    spans = {text[b:e]: (kind, b) for kind, b, e in pii.candidates(text, [])}
+    assert spans[hexed][0] == "secret" and "hunter2x" in spans and "bletitionthtionbletionth" in spans
+    assert pii.regex_vote("secret", hexed) == "+" and pii.regex_vote("secret", "bletitionthtionbletionth") == "-"
+    assert pii.shape_vote("secret", hexed) == "+" and pii.shape_vote("secret", "bletitionthtionbletionth") == "-"
+    assert pii.gazetteer_vote("secret", hexed, ["my", "token"]) == "+" and pii.context_vote("secret", ["commit"], "mit ") == "-"
+    words = [(m.end(), m.group()) for m in pii.WORD.finditer("one two " + "x" * 500 + " three +1 234")]
+    assert pii.words_before(words, 519) == ["two", "x" * 500, "three"]
+
+
+def test_long_spans_are_found_whole():
+    name = "Dr. " + "A" + "b" * 80 + " C" + "d" * 40
+    mail = "n" * 100 + " [at] " + "h" * 90 + " [dot] museumsverein"
+    found = {(kind, text[b:e]) for text in (name, mail) for kind, b, e in pii.candidates(text, [])}
+    assert ("name", name[4:]) in found and ("email", mail) in found
+    assert pii.candidates("a" * 300000 + " [a" * 1000, []) is not None
+
+
 def test_pii_of_odd_rows(odd, empty):
     out = pii.pii_report(odd).collect()
     assert len(out) == len(ODD) and all(r["spans"] == "" and r["n_email"] == 0 for r in out)

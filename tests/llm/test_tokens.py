@@ -29,6 +29,15 @@ def test_counts_equal_the_library():
         assert own.count(t) == len(library.encode(t, add_special_tokens=False).ids), repr(t)
 
 
+def test_long_pieces_are_not_remembered():
+    spec = open(BYTES, encoding="utf-8").read()
+    own = token_counts.Counter(spec)
+    piece = "ab9" * 100000
+    assert own.count(f"x {piece} y {piece}") > 0 and max(map(len, own.pieces)) <= token_counts.SHORT and max(map(len, own.words)) <= token_counts.SHORT
+    words = WordEncoder(open(WORDS, encoding="utf-8").read())
+    assert words.encode("ab " + "c" * 1000) and max(map(len, words.known)) <= 64
+
+
 def test_counts_of_odd_rows(odd, empty):
     library = Tokenizer.from_file(BYTES)
     out = sorted(token_counts.token_counts(odd, BYTES).collect(), key=str)
