@@ -1,7 +1,7 @@
 """Exact dedup by a tree-merge of sorted digest runs, in DataFrame operations only.
 
-Rows are read into runs, one for each partition they are read in (modulo ``runs``). In each run they are sorted by digest, and neighbours of
-one digest collapse into one entry: best identifier, number of rows. Then runs meet in binomial rounds: a run's number has log2(runs) bits, and
+Rows belong to runs by a hash of their identifier. In each run they are sorted by digest, part by part where they are read, and neighbours of one
+digest collapse into one entry: best identifier, number of rows. Then runs meet in binomial rounds: a run's number has log2(runs) bits, and
 in a round the runs whose numbers differ in the round's bits alone exchange what they hold, so that these bits of an entry's new run are those of
 its digest. Each run merges the sorted parts that it gets, multiway (``fanin`` runs a round, so log2(fanin) bits), and collapses
 equal digests again. After the last round an entry's run is its digest's own, so all entries of a digest have met, while no run was ever
@@ -47,12 +47,13 @@ class Tree:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, keep: str, runs: int, fanin: int):
         self.docs, self.id_col, self.text_col, self.keep, self.steps = docs, id_col, text_col, keep, rounds(runs, fanin)
-        run = F.pmod(F.spark_partition_id(), F.lit(runs)).alias("run")
-        self.rows = materialize(docs.select(F.col(id_col).alias("id"), run, *digest_columns(F.col(text_col))), "digests")
+        self.own_run = F.pmod(F.xxhash64(F.col(id_col)), F.lit(runs)).cast("int").alias("run")
+        self.rows = materialize(docs.select(F.col(id_col).alias("id"), self.own_run, *digest_columns(F.col(text_col))), "digests")
         leaf = self.merged(self.rows.withColumn("row", first_row()).withColumn("rows", F.lit(1).cast("long")))
         self.levels = [materialize(leaf, "run")]
         for bits in self.steps:
             self.levels.append(materialize(self.merged(exchanged(self.levels[-1].withColumnRenamed("best", "row"), bits)), "run"))
+        self.known = materialize(self.answers(), "answers")
         self.verify()
 
     def merged(self, entries: DataFrame) -> DataFrame:
@@ -63,10 +64,9 @@ class Tree:
 
     def verify(self) -> None:
         """Texts of the digests that have several rows, walked up the same rounds; each level fails where one digest has two texts."""
-        several = self.levels[-1].filter("rows > 1").select(*KEY)
-        text = F.coalesce(F.col(self.text_col), F.lit("")).alias("text")
-        texts = self.docs.select(F.pmod(F.spark_partition_id(), F.lit(1 << sum(map(len, self.steps)))).alias("run"), text, *digest_columns(F.col(self.text_col)))
-        texts = texts.join(several, KEY, "left_semi")
+        several = self.known.filter("rows > 1").select("run", *KEY)
+        texts = self.docs.select(self.own_run, F.coalesce(F.col(self.text_col), F.lit("")).alias("text"), *digest_columns(F.col(self.text_col)))
+        texts = texts.join(several, ["run", *KEY], "left_semi")
         same = F.when(F.min("text") == F.max("text"), F.min("text")).otherwise(F.raise_error(F.lit("two texts have one digest")).cast("string"))
         for bits in [range(0), *self.steps]:
             texts = materialize(exchanged(texts, bits).groupBy("run", *KEY).agg(same.alias("text")), "texts")
@@ -88,7 +88,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     and share the answer (``drop_exact_duplicates`` leaves one of them). Other columns of docs are not read. An empty table gives no rows.
     """
     tree = Tree(docs, id_col, text_col, keep, runs, fanin)
-    found = tree.rows.join(tree.answers(), ["run", *KEY])
+    found = tree.rows.join(tree.known, ["run", *KEY])
     return found.select(
         F.col("id").alias(id_col),
         F.col("best.id").alias("keep_id"),
