@@ -31,7 +31,9 @@ def test_stages(spark):
         if name == "decontaminate":
             assert set(after) == {i for i, x in slow_leaks([(i, r["text"]) for i, r in before.items()], items).items() if not x[-1]}
         docs = out
-    check_packing([(r["doc_id"], r["text"]) for r in docs.collect()], corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).collect())
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).collect()
+    check_packing([(r["doc_id"], r["text"]) for r in docs.collect()], packed)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, FOLDER).collect())) == sorted(map(tuple, packed))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
