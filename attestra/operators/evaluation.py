@@ -113,14 +113,21 @@ def id_leaks(texts: DataFrame, ids: DataFrame, text_id: str, id_col: str, text_c
 def prefix_guard(texts: DataFrame, labels: DataFrame, text_id: str, text_col: str = "text", prefix: int = 40, least: int = 12) -> DataFrame:
     """Ids of texts that contain the first ``prefix`` characters of a label (of ``least`` at least).
 
-    A text is cut into blocks of half of ``least`` characters. Whatever position a label starts at, it covers a whole block, so the label's
-    blocks at every shift up to a block's size are the keys of an equality join; the whole prefix is checked at the position that follows.
+    A text is cut into blocks of half of ``least`` characters. Whatever position a label starts at, it covers whole blocks, so the label's
+    blocks at every shift up to a block's size are keys of an equality join. Of the blocks that a shift covers the one that is rarest in the
+    texts is the key, so a block that many texts share is one only for labels that have no other; the whole prefix is checked at the position
+    that follows.
     """
     size = least // 2
     heads = labels.select(F.substring(text_col, 1, prefix).alias("head")).filter(F.length("head") >= least).distinct()
-    keys = heads.select("head", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.substr(F.col("head"), i, F.lit(size)))).alias("shift", "key"))
+    starts = heads.select("head", F.explode(F.sequence(F.lit(1), F.length("head") - size + 1)).alias("at"))
+    keys = materialize(starts.select("head", ((F.col("at") - 1) % size).alias("shift"), "at", F.substr("head", F.col("at"), F.lit(size)).alias("key")), "keys")
     rows = texts.select(F.col(text_id).alias("text_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     blocks = F.regexp_extract_all("t", F.lit("(?s)(.{%d})" % size), F.lit(1))
-    rows = rows.select("text_id", "t", F.posexplode(blocks).alias("block", "key")).join(keys, "key")
-    start = F.col("block") * size - F.col("shift") + 1
-    return rows.filter((start >= 1) & (F.substr("t", start, F.length("head")) == F.col("head"))).select("text_id").distinct()
+    hits = materialize(rows.select("text_id", F.posexplode(blocks).alias("block", "key")).join(keys.select("key").distinct(), "key", "left_semi"), "blocks")
+    counts = hits.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rarest = keys.join(counts, "key", "left").groupBy("head", "shift").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "key")).alias("k")).filter("k.n > 0")
+    found = hits.join(rarest.select("head", F.col("k.at").alias("at"), F.col("k.key").alias("key")), "key")
+    found = found.select("text_id", "head", (F.col("block") * size - F.col("at") + 2).alias("start")).filter("start >= 1").distinct()
+    checked = rows.join(found, "text_id").filter(F.substr("t", F.col("start").cast("int"), F.length("head")) == F.col("head"))
+    return checked.select("text_id").distinct()

@@ -52,3 +52,26 @@ def test_entry_without_the_optional_subpackage(tmp_path):
     (tmp_path / "__spark_entry__.py").symlink_to(ROOT / "__spark_entry__.py")
     code = "import __spark_entry__ as e; q = e.queries(); assert 'anomaly_zscore' in q and 'pipeline' not in q and not any(k[:2] == 'op' and k[2].isdigit() for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
+
+
+def test_entry_without_a_library_of_the_optional_subpackage(tmp_path):
+    (tmp_path / "public_tokenizers.py").write_text("raise ModuleNotFoundError(\"No module named 'public_tokenizers'\", name='public_tokenizers')")
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'anomaly_zscore' in q and 'pipeline' not in q; e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": f"{tmp_path}{os.pathsep}{ROOT}"}, check=True)
+
+
+def test_session_names_the_missing_folder(spark, monkeypatch):
+    from attestra import session
+
+    class Lone:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Lone())
+    with session.scratch_scope(spark):
+        inner, outer = session.materialize(spark.range(3), "a"), session.materialize(spark.range(4), "b", outside=True)
+        assert inner.count() == 3
+    assert outer.count() == 4
+    with pytest.raises(Exception, match="not exist|PATH_NOT_FOUND|FILE_NOT_EXIST"):
+        inner.count()
