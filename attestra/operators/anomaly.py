@@ -94,10 +94,38 @@ def detect_iqr(rows: DataFrame, factor: float = 1.5, at_once: int = AT_ONCE) ->
     return findings(out, "iqr", F.col("q3"), score, F.when(score.isNull(), "medium").otherwise(X.z_severity(score)))
 
 
-def detect_change(rows: DataFrame, most_percent: float = 200.0, high_percent: float = 500.0) -> DataFrame:
-    """Changes of more than most_percent from the entity's previous period; a rise from zero has no percentage and is high."""
-    window = Window.partitionBy(*keys_of(rows), "entity").orderBy("period", "row_id")
-    out = rows.withColumn("before", F.lag("value").over(window))
+def with_past(rows: DataFrame, width: int, spread: bool) -> DataFrame:
+    """rows with ``past``: the values (as structs, so that nulls keep their places) of up to ``width`` rows before, of the same metric and entity.
+
+    ``spread`` is for entities (or frames without any) that are too large for one task: rows are dealt by ranges of their order, each range has
+    its own window, and the first rows of a range take what they lack from the last ``width`` rows of the ranges before.
+    """
+    keys, order, value = [*keys_of(rows), "entity"], ["period", "row_id"], F.struct("value")
+    if not spread:
+        return rows.withColumn("past", F.collect_list(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(-width, -1)))
+    dealt = materialize(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    window = Window.partitionBy(*keys, "_range").orderBy(*order)
+    dealt = dealt.withColumn("past", F.collect_list(value).over(window.rowsBetween(-width, -1)))
+    last = Window.partitionBy(*keys, "_range").orderBy(*[F.desc(c) for c in order])
+    tails = dealt.withColumn("_back", F.row_number().over(last)).filter(F.col("_back") <= width)
+    tails = tails.groupBy(*keys, "_range").agg(F.sort_array(F.collect_list(F.struct((-F.col("_back")).alias("at"), "value"))).alias("tail"))
+    tails = tails.withColumn("tail", F.transform("tail", lambda x: F.struct(x["value"].alias("value"))))
+    earlier = F.flatten(F.collect_list("tail").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(-width, -1)))  # of each range ``width`` rows at most
+    tails = tails.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_r"), earlier.alias("_earlier"))
+    same = dealt["_range"] == tails["_r"]
+    for k in keys:
+        same = same & dealt[k].eqNullSafe(tails[f"_{k}"])
+    whole = F.concat("_earlier", "past")
+    most = F.least(F.size(whole), F.lit(width))
+    return dealt.join(tails, same).withColumn("past", F.when(most > 0, F.slice(whole, F.size(whole) - most + 1, most)).otherwise(whole)).select(*rows.columns, "past")
+
+
+def detect_change(rows: DataFrame, most_percent: float = 200.0, high_percent: float = 500.0, spread: bool = False) -> DataFrame:
+    """Changes of more than most_percent from the entity's previous period; a rise from zero has no percentage and is high. spread: as in ``with_past``."""
+    if spread:
+        out = with_past(rows, 1, spread).withColumn("before", F.get("past", F.lit(0))["value"])
+    else:
+        out = rows.withColumn("before", F.lag("value").over(Window.partitionBy(*keys_of(rows), "entity").orderBy("period", "row_id")))
     percent = F.when(F.col("before") != 0, (F.col("value") - F.col("before")) / F.abs("before") * 100)
     out = out.withColumn("percent", percent).filter((F.abs("percent") > most_percent) | ((F.col("before") == 0) & (F.col("value") != 0)))
     return findings(out, "yoy", F.col("before"), F.col("percent"), F.when(F.col("percent").isNull() | (F.abs("percent") > high_percent), "high").otherwise("medium"))
@@ -109,11 +137,11 @@ def middle(values: Column) -> Column:
     return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
 
 
-def detect_rolling(rows: DataFrame, width: int = 3, threshold: float = 3.0) -> DataFrame:
+def detect_rolling(rows: DataFrame, width: int = 3, threshold: float = 3.0, spread: bool = False) -> DataFrame:
     """Values far from the median of the ``width`` rows before, in units of 1.4826 median absolute deviations; without deviation any
-    departure counts, unscored. Rows with a null among those before are skipped."""
-    window = Window.partitionBy(*keys_of(rows), "entity").orderBy("period", "row_id").rowsBetween(-width, -1)
-    out = rows.withColumn("past", F.collect_list("value").over(window)).filter((F.size("past") == width) & F.col("value").isNotNull())
+    departure counts, unscored. Rows with a null among those before are skipped. spread: as in ``with_past``."""
+    out = with_past(rows, width, spread).withColumn("past", F.transform(F.filter("past", lambda x: x["value"].isNotNull()), lambda x: x["value"]))
+    out = out.filter((F.size("past") == width) & F.col("value").isNotNull())
     out = out.withColumn("median", middle(F.col("past")))
     out = out.withColumn("mad", middle(F.transform("past", lambda x: F.abs(x - F.col("median")))) * 1.4826)
     z = F.when(F.col("mad") > 0, (F.col("value") - F.col("median")) / F.col("mad"))

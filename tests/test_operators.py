@@ -51,6 +51,19 @@ def test_rolling_baseline(spark):
     assert anomaly.detect_rolling(longs(spark, [1, 2], "A")).count() == 0
 
 
+def test_spread_windows_equal_whole_ones(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, "A"]), f"{rng.randrange(40):03d}", "m", rng.choice([None, 0.0, 1.0, 2.0, 3.0, 500.0])) for i in range(300)]
+    frame = spark.createDataFrame(rows, "row_id long, entity string, period string, metric string, value double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for detect in (anomaly.detect_change, anomaly.detect_rolling):
+            whole, parts = (sorted(map(str, detect(frame, spread=s).collect())) for s in (False, True))
+            assert whole == parts and whole
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_strongest_puts_unscored_first(spark):
     found = anomaly.detect_iqr(longs(spark, [10] * 8 + [50, 999])).withColumn("g", F.lit(1))
     top = anomaly.strongest(found, ["g"], most=1).collect()
