@@ -192,6 +192,18 @@ def evidence_label(findings: DataFrame) -> DataFrame:
     return findings.select("finding_id", label.alias("label"))
 
 
+def listing(artifacts: DataFrame, columns: DataFrame, observations: DataFrame, fitness: DataFrame, ledger: DataFrame) -> DataFrame:
+    """artifacts (artifact_id and what else they have) with row_count and column_count of their profile, n_observations, score and grade of their fitness, and
+    n_findings; what an artifact lacks is null, counts are zero. columns: artifact_id, column, row_count; fitness: artifact_id, component, score, grade."""
+    count = lambda df, name: df.groupBy("artifact_id").agg(F.count(F.lit(1)).alias(name))
+    held = columns.groupBy("artifact_id").agg(F.max("row_count").alias("row_count"), F.count(F.lit(1)).alias("column_count"))
+    whole = fitness.filter("component = 'overall'").select("artifact_id", "score", "grade")
+    out = artifacts.join(held, "artifact_id", "left").join(whole, "artifact_id", "left")
+    for df, name in ((observations, "n_observations"), (by_artifact(ledger).select("artifact_id"), "n_findings")):
+        out = out.join(count(df, name), "artifact_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+
+
 def case_bundle(manifests: DataFrame, columns: DataFrame, fitness: DataFrame, ledger: DataFrame) -> DataFrame:
     """(artifact_id, section, key, body): all that is known of each artifact, a row for its manifest, each profiled column, each component of its
     fitness and each finding, the body as JSON. Rows of an artifact are never gathered; ``export_cases`` writes them by artifact."""

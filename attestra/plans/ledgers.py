@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from attestra.functions import exprs as X
 from attestra.operators import anomaly, evaluation, ledger, lineage, runs
 from attestra.plans import comparisons
 from attestra.plans.anomalies import IQR, ZSCORE, event_values
@@ -93,10 +94,17 @@ def findings_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.queue(findings(spark, sf_dir), severity="high", text="Value", limit=25, offset=5).select("finding_id", "severity", "created_at", "total")
 
 
-@query(f"SELECT artifact_id, source_id, n_rows, n_values, n_users, coalesce(n, 0) AS n_findings FROM {ARTIFACTS} LEFT JOIN (SELECT artifact_id, count(*) AS n FROM {BRIDGE} GROUP BY 1) USING (artifact_id)")
+@query(f"""
+  SELECT artifact_id, source_id, n_rows AS row_count, CAST(1 AS BIGINT) AS column_count, CAST(n_values % 2 AS BIGINT) AS n_observations, round(100.0 * n_users / n_rows, 2)::DOUBLE AS score,
+    CASE WHEN 100.0 * n_users / n_rows >= 90 THEN 'A' WHEN 100.0 * n_users / n_rows >= 75 THEN 'B' WHEN 100.0 * n_users / n_rows >= 60 THEN 'C' WHEN 100.0 * n_users / n_rows >= 40 THEN 'D' ELSE 'F' END AS grade,
+    coalesce(n, 0) AS n_findings FROM {ARTIFACTS} LEFT JOIN (SELECT artifact_id, count(*) AS n FROM {BRIDGE} GROUP BY 1) USING (artifact_id)""")
 def artifact_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = ledger.by_artifact(findings(spark, sf_dir)).groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n_findings"))
-    return artifacts(spark, sf_dir).drop("has_profile").join(n, "artifact_id", "left").withColumn("n_findings", F.coalesce("n_findings", F.lit(0)))
+    """Types of events with what their profile says: an observation where the number of values is odd, a score by the share of users."""
+    held = artifacts(spark, sf_dir)
+    columns = held.select("artifact_id", F.lit("value").alias("column"), F.col("n_rows").alias("row_count"))
+    share = 100.0 * F.col("n_users") / F.col("n_rows")
+    fitness = held.select("artifact_id", F.lit("overall").alias("component"), F.round(share, 2).alias("score"), X.grade(share).alias("grade"))
+    return ledger.listing(held.select("artifact_id", "source_id"), columns, held.filter("n_values % 2 = 1"), fitness, findings(spark, sf_dir))
 
 
 @query(f"SELECT artifact_id, finding_id FROM {BRIDGE} WHERE artifact_id <> 'events'")
