@@ -21,6 +21,8 @@ from attestra.llm.weak_labels import Rows, fit_linear, hashed_sample, sigmoid
 SAMPLE, VOCABULARY, LEAST_DOCS = 20_000, 1024, 2
 #: Letters of a word's beginnings that are features of their own.
 BEGINNINGS = (4, 6)
+#: Words whose features a task remembers, and how long they are at most.
+REMEMBERED, SHORT = 300_000, 64
 #: Prices: of a weight's square, for all rows together, and of a counterfactual's squared change of the score.
 L2, TIE = 0.3, 5.0
 #: Identity terms, by kind; terms of a line are swapped for one another.
@@ -110,8 +112,24 @@ class Toxicity:
         weights, self.bias = fit_linear(Rows(x), y, len(known), weight=rare, l2=l2 / max(1, len(x)), rounds=500, rate=0.05, pairs=both, tie=tie)
         self.weights = {w: float(weights[i]) for w, i in place.items() if weights[i]}
 
+        #: Which features of the vocabulary a word has, for as many words as a task may remember.
+        self.hits: dict[bytes, tuple[bytes, ...]] = {}
+
+    def features_met(self, word: bytes) -> tuple[bytes, ...]:
+        found = self.hits.get(word)
+        if found is None:
+            found = tuple(f for f in features_of({word}) if f in self.weights)
+            if len(self.hits) >= REMEMBERED:
+                self.hits.clear()
+            if len(word) <= SHORT:
+                self.hits[word] = found
+        return found
+
     def score(self, text: str | None) -> float:
-        met = self.weights.keys() & features_of(set(words_of(text)))
+        met: set[bytes] = set()
+        for word in set(words_of(text)):
+            if found := self.features_met(word):
+                met.update(found)
         return float(sigmoid(np.array(self.bias + sum(map(self.weights.__getitem__, sorted(met))))))
 
 
