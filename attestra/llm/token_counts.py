@@ -99,11 +99,15 @@ class Counter:
         """Tokens of pieces of plain text, each with the space before it."""
         known = self.pieces
         new = set(pieces).difference(known)
-        once = {p: self.piece(p) for p in new}
-        total = sum(n if (n := known.get(p)) is not None else once[p] for p in pieces)
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-        known.update((p, n) for p, n in once.items() if len(p) <= SHORT)
+            new = set(pieces)
+        for p in new:
+            known[p] = self.piece(p)
+        total = sum(map(known.__getitem__, pieces))
+        for p in new:
+            if len(p) > SHORT:
+                del known[p]
         return total
 
     def piece(self, piece: str) -> int:

@@ -54,13 +54,17 @@ class WordEncoder:
         if self.special is not None and self.special.search(text):
             return self.whole(text)
         pieces = text.encode("utf-8", "surrogatepass").split()
-        new = set(pieces).difference(self.known)
-        once = {p: self.piece(p) for p in new}
         known = self.known
-        out = b"".join([ids if (ids := known.get(p)) is not None else once[p] for p in pieces])
+        new = set(pieces).difference(known)
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-        known.update((p, ids) for p, ids in once.items() if len(p) <= SHORT)
+            new = set(pieces)
+        for p in new:
+            known[p] = self.piece(p)
+        out = b"".join(map(known.__getitem__, pieces))
+        for p in new:
+            if len(p) > SHORT:
+                del known[p]
         return out
 
 
