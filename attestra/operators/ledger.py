@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from attestra.functions import exprs as X
+from attestra.session import materialize
 
 # What a review can set, titles of drift findings, what a decision means, and what a verdict on two totals is called.
 STATUSES = ["open", "needs_source_clarification", "resolved", "not_detectable", "false_positive_after_review"]
@@ -162,21 +163,31 @@ def evidence(findings: DataFrame, cells: DataFrame, most: int = 25) -> DataFrame
     """findings (finding_id, artifact_id, slice: a map of columns to wanted values, as text) with the stored rows that match every entry.
 
     cells: (artifact_id, row_number, column, value as text), one row for each stored value. A wanted number matches numbers within a millionth,
-    any other text the equal text. Entries meet stored values by an equality join on cells of values, and a row must meet all entries of a
-    slice. Returned are the first ``most`` rows of a finding by row number, with how many match; a finding without a match has no rows.
+    any other text the equal text. Only the entry of a slice that the fewest stored values may meet is looked up, by an equality join on cells
+    of values; the rows that it finds are held against the other entries, so an entry that a third of all rows meet costs nothing beside a
+    rarer one. Returned are the first ``most`` rows of a finding by row number, with how many match; a finding without a match has no rows.
     """
-    want = findings.select("finding_id", "artifact_id", F.size("slice").alias("entries"), F.explode("slice").alias("column", "want"))
-    number = F.col("want").try_cast("double")
-    own = F.when(number.isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: value_cell(number) + k))
-    want = want.withColumn("number", number).withColumn("cell", F.explode(own))
-    held = cells.withColumn("have", F.col("value").try_cast("double"))
-    numbers = held.filter("have IS NOT NULL").withColumn("cell", value_cell(F.col("have")))
-    close = F.abs(F.col("have") - F.col("number")) <= 1e-6 * F.greatest(F.abs("number"), F.lit(1.0))
-    keys = ["artifact_id", "column"]
-    hits = numbers.join(want.filter("number IS NOT NULL"), [*keys, "cell"]).filter(close).select("finding_id", "artifact_id", "row_number", "entries")
-    texts = want.filter("number IS NULL").select(*keys, F.col("want").alias("value"), "finding_id", "entries")
-    hits = hits.unionByName(held.join(texts, [*keys, "value"]).select("finding_id", "artifact_id", "row_number", "entries"))
-    rows = hits.groupBy("finding_id", "artifact_id", "row_number", "entries").agg(F.count(F.lit(1)).alias("met")).filter("met = entries").drop("met", "entries")
+    want = findings.select("finding_id", "artifact_id", F.explode("slice").alias("column", "want")).withColumn("number", F.col("want").try_cast("double"))
+    cell = lambda number: F.concat(F.lit("#"), value_cell(number).cast("string"))
+    near = F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.concat(F.lit("#"), (value_cell(F.col("number")) + k).cast("string")))
+    text = F.concat(F.lit("="), F.col("want"))
+    want = materialize(want.withColumn("key", F.explode(F.when(F.col("number").isNull(), F.array(text)).otherwise(near))), "want")
+    at = ["artifact_id", "column", "key"]
+    have = F.col("value").try_cast("double")
+    held = cells.select("artifact_id", "row_number", "column", "value", F.inline(F.filter(F.array(
+        F.struct(F.concat(F.lit("="), F.col("value")).alias("key")), F.when(have.isNotNull(), F.struct(cell(have).alias("key")))), lambda x: x.isNotNull())))
+    held = materialize(held.join(want.select(*at).distinct(), at, "left_semi"), "held")
+    counts = held.groupBy(*at).agg(F.count(F.lit(1)).alias("n"))
+    sizes = want.join(counts, at, "left").groupBy("finding_id", "column").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    rarest = sizes.groupBy("finding_id").agg(F.min(F.struct("n", "column"))["column"].alias("rarest"), F.count(F.lit(1)).alias("entries"))
+    want = materialize(want.join(rarest, "finding_id"), "entries")
+    number = F.col("value").try_cast("double")
+    meets = F.when(F.col("number").isNull(), F.col("value") == F.col("want")).otherwise(F.abs(number - F.col("number")) <= 1e-6 * F.greatest(F.abs("number"), F.lit(1.0)))
+    hits = held.join(want.filter("column = rarest"), at).filter(meets).select("finding_id", "artifact_id", "row_number", "entries").distinct()
+    rest = want.filter("column <> rarest").select("finding_id", "column", "want", "number").distinct()
+    others = hits.filter("entries > 1").join(rest, "finding_id").join(cells, ["artifact_id", "row_number", "column"]).filter(meets)
+    others = others.groupBy("finding_id", "artifact_id", "row_number", "entries").agg(F.count(F.lit(1)).alias("met")).filter("met = entries - 1").drop("met")
+    rows = hits.filter("entries = 1").unionByName(others)
     matched = rows.groupBy("finding_id").agg(F.count(F.lit(1)).alias("matched"))
     first = rows.withColumn("k", F.row_number().over(Window.partitionBy("finding_id").orderBy("row_number"))).filter(F.col("k") <= most)
     return first.join(matched, "finding_id").select("finding_id", "artifact_id", "row_number", "matched", (F.col("matched") > most).alias("truncated"))
