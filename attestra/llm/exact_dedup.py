@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from attestra.llm.rows import first_row, keep_first
-from attestra.session import materialize
+from attestra.session import materialize, scratch_scope
 
 RUNS, FANIN = 64, 4
 #: SHA-256, an independent hash (the same as rows.text_hash) and the length stand for a text.
@@ -100,5 +100,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", runs: int = RUNS, fanin: int = FANIN) -> DataFrame:
     """docs with one row of each text, all its columns as they were. Rows that repeat identifier and text leave one row."""
-    tree = Tree(docs, id_col, text_col, keep, runs, fanin)
-    return keep_first(docs, tree.rows, tree.levels[-1].select(F.col("best").alias("first")), id_col, text_col)
+    with scratch_scope(docs.sparkSession):  # only the names of the rows that stay outlive it
+        tree = Tree(docs, id_col, text_col, keep, runs, fanin)
+        names = materialize(tree.levels[-1].select(F.col("best").alias("first")), "names", outside=True)
+        return keep_first(docs, tree.rows, names, id_col, text_col)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from attestra.llm.batches import bounded, slices
 from attestra.llm.weak_labels import LabelModel, Rows, fit_linear, hashed_sample, sigmoid
-from attestra.session import materialize
+from attestra.session import materialize, scratch_scope
 
 SIZE, SAMPLE = 1024, 20_000
 #: The labellers of frequent words and sentence ends have nothing to say about texts of fewer words; the others judge every text that has any.
@@ -158,7 +158,8 @@ def keeps(keep_from: float):
 
 def drop_low_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, keep_from: float = 0.5) -> DataFrame:
     """docs without the rows that the scorer rejects, all columns as they were. Rows are scored in place, without a join."""
-    model = docs.sparkSession.sparkContext.broadcast(Quality(materialize(measure(docs, id_col, text_col), "quality"), sample))
+    with scratch_scope(docs.sparkSession):  # what was measured goes when the model is there
+        model = docs.sparkSession.sparkContext.broadcast(Quality(materialize(measure(docs, id_col, text_col), "quality"), sample))
     at, low = docs.columns.index(text_col), keep_from
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,8 @@ def first_row(id_col: str = "id", h: str = "h") -> Column:
 def keep_first(docs: DataFrame, rows: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs with one row of each group, all columns as they were.
 
-    rows: id and h of every row; names: ``first`` (first_row) of each group, repeats allowed. Rows that repeat an id and text leave one row.
+    rows: id and h of every row, read at once; names: ``first`` (first_row) of each group, repeats allowed. Rows that repeat an id and text leave one
+    row.
     """
     stay = names.select(F.col("first.id").alias("_id"), F.col("first.h").alias("_h")).distinct()
     keyed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).alias("_id"), text_hash(F.col(text_col)).alias("_h"))

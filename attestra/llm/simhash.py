@@ -29,7 +29,7 @@ from attestra.llm.components import connected_components
 from attestra.llm.rows import first_row, keep_first, text_hash
 from attestra.llm.similarity import Similar
 from attestra.llm.xxh64 import shingle_hashes
-from attestra.session import materialize
+from attestra.session import materialize, scratch_scope
 
 SEED, BITS = 42, 64
 #: First and last segment of each band of the first pass.
@@ -150,5 +150,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows link as in ``near_duplicates``, or, with ``similarity``, at that Jaccard similarity of their sets of ``size``-word shingles. Rows of
     equal (also null) ids and different texts are told apart; rows that repeat an id and text leave one row.
     """
-    found = Linked(docs, id_col, text_col, most, size) if similarity is None else Similar(docs, id_col, text_col, similarity, size)
-    return keep_first(docs, found.rows, found.names, id_col, text_col)
+    with scratch_scope(docs.sparkSession):  # only the names of the rows that stay outlive it
+        found = Linked(docs, id_col, text_col, most, size) if similarity is None else Similar(docs, id_col, text_col, similarity, size)
+        names = materialize(found.names.select("first").distinct(), "stay", outside=True)
+        return keep_first(docs, found.rows, names, id_col, text_col)
