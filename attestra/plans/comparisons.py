@@ -32,8 +32,8 @@ def geo_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Different names of parts with type and brand, which grow with the table, and a spelling of each: a word more, no space, or a letter less."""
-    names = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("p_name")).distinct()
+    """Different names of parts with their type, and a spelling of each: a word more, no space, or a letter less."""
+    names = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("p_name")).distinct()
     k = F.length("p_name") % 3
     variant = F.when(k == 0, F.concat(F.upper("p_name"), F.lit(" District"))).when(k == 1, F.replace("p_name", F.lit(" "), F.lit(""))).otherwise(F.expr("substr(p_name, 1, length(p_name) - 1)"))
     return names, names.select(variant.alias("v_name"))
