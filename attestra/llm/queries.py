@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attestra.llm import chat_format, decontaminate, exact_dedup, line_dedup, packing, pii, quality, simhash, token_counts, toxicity
+from attestra.llm import chat_format, decontaminate, exact_dedup, hard_negatives, line_dedup, packing, pii, quality, simhash, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +57,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_packing, op3_toxicity, op4_token_counts, op5_pii, op6_quality, op7_line_dedup, op8_simhash, op9_chat_format, op10_exact_dedup)}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_packing, op3_toxicity, op4_token_counts, op5_pii, op6_quality, op7_line_dedup, op8_simhash, op9_chat_format, op10_exact_dedup,
+        op12_hard_negatives,
+    )
+}
+
 
 def _escaped(text: str) -> str:
     """SQL for a text whose control strings have become codes of two characters, backslashes first."""
@@ -97,4 +109,20 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
           sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op12_hard_negatives": """
+        WITH v AS (
+          SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS vec
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF NOT coalesce(isfinite(x), false)]) = 0),
+        s AS (
+          SELECT a.id AS anchor_id, b.id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.vec, b.vec) AS BIGINT) AS score
+          FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
+        p AS (
+          SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY rank <= 5""",
 }
