@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attestra.llm import chat_format, decontaminate, exact_dedup, hard_negatives, line_dedup, packing, pii, quality, simhash, token_counts, toxicity
+from attestra.llm import chat_format, collocations, decontaminate, exact_dedup, hard_negatives, line_dedup, packing, pii, quality, simhash, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,11 +62,15 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_packing, op3_toxicity, op4_token_counts, op5_pii, op6_quality, op7_line_dedup, op8_simhash, op9_chat_format, op10_exact_dedup,
-        op12_hard_negatives,
+        op12_hard_negatives, op13_collocations,
     )
 }
 
@@ -125,4 +129,30 @@ ORACLE_SQL = {
         FROM p JOIN s USING (anchor_id)
         WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
         WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY rank <= 5""",
+    "op13_collocations": r"""
+        WITH pieces AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+          FROM documents),
+        w AS (SELECT lang, [x FOR x IN string_split_regex(piece, '[ \t]') IF x <> ''] AS ws FROM pieces),
+        g AS (
+          SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase
+          FROM (SELECT lang, size, ws, unnest(range(1, len(ws) - size + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS size) WHERE len(ws) >= size)),
+        f AS (SELECT lang, size, phrase, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 100),
+        totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+        c AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1),
+        cuts AS (
+          SELECT c.lang, c.phrase, c.a, cut, x.n AS l, y.n AS r, t.n,
+            CAST((CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(x.n AS HUGEINT) * y.n) AS BIGINT) AS score
+          FROM (SELECT *, unnest(range(1, size)) AS cut FROM c) c
+          JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:cut], ' ')
+          JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[cut + 1:], ' ')
+          JOIN totals t ON t.lang = c.lang),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        inner_parts AS (
+          SELECT lang, array_to_string(ws[i:i + k - 1], ' ') AS phrase, max(a) AS longer
+          FROM (SELECT *, unnest(range(1, size - k + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS k FROM c WHERE size > 2))
+          GROUP BY ALL)
+        SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score
+        FROM best LEFT JOIN inner_parts USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+        WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY rank <= 2000""",
 }
