@@ -20,14 +20,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from attestra.llm.batches import bounded, slices
+from attestra.llm.bit_filter import Filter, mixed
 from attestra.llm.hat_trie import ID, HatTrie
 from attestra.session import materialize
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bounds of a task: words counted before they are handed on, and their bytes; words whose ids it remembers, and their length; entries of its tries.
 WORDS, WORD_BYTES, REMEMBERED, SHORT, ENTRIES = 300_000, 64 << 20, 300_000, 64, 600_000
-#: The largest filter in bits (32 MB).
-FILTER_BITS = 1 << 28
 #: A-Z as a-z, separators of pieces as full stops, tabs as spaces; all other bytes stay. What is left of white space are spaces.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 COUNTED = "lang string, key binary, n long"
@@ -76,43 +75,6 @@ def word_id(salt: str) -> Column:
     return F.xxhash64(F.concat(F.lit(salt), F.col("word")))
 
 
-def mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """One number for a pair of ids."""
-    x = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-class Filter:
-    """Two bits of ``bits`` for each entry. It never denies an entry."""
-
-    def __init__(self, entries: DataFrame):
-        """entries: key (bytes of one id, or of a pair)."""
-        self.bits = 1 << min(FILTER_BITS.bit_length() - 1, max(10, (16 * entries.count()).bit_length()))
-        bits = self.bits
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">i8").astype(np.int64).reshape(batch.num_rows, -1)
-                at = np.unique(np.concatenate(Filter.probes(ids[:, 0] if ids.shape[1] == 1 else mixed(ids[:, 0], ids[:, 1]), bits)))
-                yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int64)), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["slot", "mask"])
-
-        slots = entries.select("key").mapInArrow(run, "slot long, mask long").groupBy("slot").agg(F.expr("bit_or(mask)").alias("mask")).toPandas()
-        self.words = np.zeros(bits >> 6, np.uint64)
-        self.words[slots["slot"].to_numpy(np.int64)] = slots["mask"].to_numpy(np.int64).view(np.uint64)
-
-    @staticmethod
-    def probes(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        ids, mask = ids.astype(np.uint64), np.uint64(bits - 1)
-        return (ids & mask).astype(np.int64), ((ids >> np.uint64(32)) & mask).astype(np.int64)
-
-    def has(self, ids: np.ndarray) -> np.ndarray:
-        out = np.ones(len(ids), bool)
-        for at in self.probes(ids, self.bits):
-            out &= ((self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
-        return out
-
-
 def id_rows(docs: DataFrame, words: Filter, salt: str) -> DataFrame:
     """lang and ids of every row: words that may be frequent by their ids, one zero for what stands between them."""
     sent = docs.sparkSession.sparkContext.broadcast(words)

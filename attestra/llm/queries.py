@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attestra.llm import chat_format, collocations, decontaminate, exact_dedup, hard_negatives, line_dedup, packing, pii, quality, simhash, token_counts, toxicity
+from attestra.llm import chat_format, collocations, decontaminate, exact_dedup, hard_negatives, line_dedup, packing, pii, quality, repeats, simhash, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
@@ -70,7 +74,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_packing, op3_toxicity, op4_token_counts, op5_pii, op6_quality, op7_line_dedup, op8_simhash, op9_chat_format, op10_exact_dedup,
-        op12_hard_negatives, op13_collocations,
+        op11_suffix_dedup, op12_hard_negatives, op13_collocations,
     )
 }
 

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from attestra.llm import collocations, hat_trie
+from attestra.llm import bit_filter, collocations, hat_trie
 from tests.llm.conftest import ODD
 
 
@@ -54,7 +54,7 @@ def test_equals_brute_force(spark, seed, monkeypatch):
         assert mined(spark, rows, least=2, longest=2) == brute(rows, 2, longest=2)
         for name in ("WORDS", "REMEMBERED", "ENTRIES"):
             monkeypatch.setattr(collocations, name, 12)
-        monkeypatch.setattr(collocations, "FILTER_BITS", 1 << 10)
+        monkeypatch.setattr(bit_filter, "FILTER_BITS", 1 << 10)
         assert mined(spark, rows, least=8) == want
 
 
