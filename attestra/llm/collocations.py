@@ -1,10 +1,10 @@
 """Phrase collocation mining: phrases of frequent words, counted in tries, scored by their weakest cut.
 
-A word of a language stands for a 64-bit id, a hash of it that is checked to be no other word's. Levels prune each other: a phrase that
-occurs often enough has only words and neighbouring pairs that do. What is frequent travels to the tasks as a filter of bounded size (two bits of
-a bit set for each entry); what it lets through wrongly is counted exactly as well and falls short of the least count.
+A word of a language stands for a 64-bit id, a hash of it that is checked to be no other word's. A phrase that occurs often enough has only words and
+neighbouring pairs that do. What is frequent travels to the tasks as a filter of bounded size (two bits of a bit set for each entry); what it lets
+through wrongly is counted exactly as well and falls short of the least count.
 
-Counting: each task puts its sequences into a trie (see hat_trie), batch by batch, repeats of a batch as one. When it is full, whole subtrees leave it as
+First pairs are counted by codes of a few bytes (see likely_pairs), which leaves out nearly all that are rare; what is left is counted exactly. Each task puts its sequences into a trie (see hat_trie), batch by batch, repeats of a batch as one. When it is full, whole subtrees leave it as
 sorted runs, which Spark exchanges by language and prefix (the first two words) and merges. A hot phrase is one row of a run, and runs of a hot
 word are spread over its second words.
 """
@@ -27,6 +27,8 @@ from attestra.session import materialize
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bounds of a task: words counted before they are handed on, and their bytes; words whose ids it remembers, and their length; entries of its tries.
 WORDS, WORD_BYTES, REMEMBERED, SHORT, ENTRIES = 300_000, 64 << 20, 300_000, 64, 600_000
+#: Of a first count of pairs: how many of them make a part, and the largest count that is told apart.
+PART, COUNTED_TO = 4_000_000, 60_000
 #: A-Z as a-z, separators of pieces as full stops, tabs as spaces; all other bytes stay. What is left of white space are spaces.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 COUNTED = "lang string, key binary, n long"
@@ -101,7 +103,7 @@ def id_rows(docs: DataFrame, words: Filter, salt: str) -> DataFrame:
                         del memo[w]
                 stays = np.ones(len(row), bool)
                 stays[1:] = (row[1:] != 0) | (row[:-1] != 0)
-                ids.append(row[stays])
+                ids.append(np.append(row[stays], 0))
             ends = np.cumsum([0, *map(len, ids)])
             cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), cells], names=["lang", "ids"])
@@ -109,30 +111,88 @@ def id_rows(docs: DataFrame, words: Filter, salt: str) -> DataFrame:
     return docs.mapInArrow(run, "lang string, ids array<long>")
 
 
-def sequences(ids: np.ndarray, sizes: range, pairs: Filter | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+class Hints:
+    """The codes of pairs that may be frequent. A code has the upper half of a pair's mixed number, and of the lower half the part that it was counted in."""
+
+    def __init__(self, pairs: DataFrame, parts: int):
+        self.parts, self.filter = parts, Filter(pairs)
+
+    @staticmethod
+    def code(numbers: np.ndarray, parts: int) -> np.ndarray:
+        return numbers & (np.uint64(0xFFFFFFFF) << np.uint64(32) | np.uint64(parts - 1))
+
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        return self.filter.has(self.code(numbers, self.parts))
+
+
+def likely_pairs(rows: DataFrame, tokens: int, least: int) -> Hints:
+    """Which pairs of neighbours may occur ``least`` times: a first count of their codes, packed, in as many parts as keep one small.
+
+    Most pairs are rare, and as codes of four bytes with a saturated count they cost little to exchange; the exact count then has few pairs left.
+    """
+    parts = 1 << max(4, (tokens // PART).bit_length())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts, held = [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            own, at = np.unique(np.concatenate(codes), return_inverse=True)
+            n = np.minimum(np.bincount(at, np.concatenate(counts)), COUNTED_TO).astype("<u2")
+            order = np.argsort((own & np.uint64(parts - 1)).astype(np.uint32), kind="stable")
+            part, upper, n = (own & np.uint64(parts - 1)).astype(np.int32)[order], (own >> np.uint64(32)).astype("<u4")[order], n[order]
+            edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+            cells = [[x[a:z].tobytes() for a, z in zip(edges[:-1], edges[1:])] for x in (upper, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]]), *(pa.array(c, pa.binary()) for c in cells)], names=["part", "upper", "counts"])
+
+        for batch in batches:
+            ids = batch.column(1).flatten().to_numpy()  # rows begin and end with what is no word
+            linked = np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0))
+            own, n = np.unique(Hints.code(mixed(ids[linked], ids[linked + 1]), parts), return_counts=True)
+            codes, counts, held = [*codes, own], [*counts, n], held + len(own)
+            if held > PART:
+                yield from out()
+                codes, counts, held = [], [], 0
+        if held:
+            yield from out()
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        upper = np.frombuffer(b"".join(table["upper"].to_pylist()), "<u4")
+        n = np.frombuffer(b"".join(table["counts"].to_pylist()), "<u2")
+        own, at = np.unique(upper, return_inverse=True)
+        some = own[np.bincount(at, n) >= min(least, COUNTED_TO)].astype(np.uint64) << np.uint64(32) | np.uint64(table["part"][0].as_py())
+        keys = some.astype(">u8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([keys[i : i + ID] for i in range(0, len(keys), ID)], pa.binary())], names=["key"])
+
+    packed = bounded(rows).mapInArrow(run, "part int, upper binary, counts binary")
+    return Hints(materialize(packed.groupBy("part").applyInArrow(frequent, "key binary"), "hints"), parts)
+
+
+def sequences(ids: np.ndarray, sizes: range, pairs: Hints) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(keys, counts) of the distinct sequences of each size, sorted by their first id. pairs: which neighbours a sequence may have."""
     linked = (ids[:-1] != 0) & (ids[1:] != 0)
-    if pairs is not None:
-        at = np.flatnonzero(linked)
-        linked[at] = pairs.has(mixed(ids[at], ids[at + 1]))
-    own, code = np.unique(ids, return_inverse=True)
-    start, number, held = np.flatnonzero(linked), code, len(own)
+    at = np.flatnonzero(linked)
+    linked[at] = pairs.has(mixed(ids[at], ids[at + 1]))
+    start = np.flatnonzero(linked)
+    touched = np.unique(np.concatenate((start, start + 1)))
+    own, codes = np.unique(ids[touched], return_inverse=True)
+    code = np.zeros(len(ids), np.int64)
+    code[touched] = codes
+    number = code.copy()
     for size in range(2, sizes.stop):
         if size > 2:
             start = start[start + size - 1 < len(ids)]
             start = start[linked[start + size - 2]]
         if not len(start):
             return
-        found, first, number_at, counts = np.unique(number[start] * len(own) + code[start + size - 1], return_index=True, return_inverse=True, return_counts=True)
-        if size in sizes:
-            where = start[first]
-            order = np.argsort(ids[where], kind="stable")
-            yield np.stack([ids[where[order] + j] for j in range(size)], axis=1), counts[order]
-        number = np.zeros(len(ids), np.int64)
+        _, first, number_at, counts = np.unique(number[start] * len(own) + code[start + size - 1], return_index=True, return_inverse=True, return_counts=True)
+        where = start[first]
+        order = np.argsort(ids[where], kind="stable")
+        yield np.stack([ids[where[order] + j] for j in range(size)], axis=1), counts[order]
         number[start] = number_at
 
 
-def counted(rows: DataFrame, sizes: range, pairs: Filter | None, least: int) -> DataFrame:
+def counted(rows: DataFrame, sizes: range, pairs: Hints, least: int) -> DataFrame:
     """lang, key and n of all sequences of these sizes that occur ``least`` times or more."""
     sent = rows.sparkSession.sparkContext.broadcast(pairs)
 
@@ -150,13 +210,13 @@ def counted(rows: DataFrame, sizes: range, pairs: Filter | None, least: int) ->
             for keys, counts in sequences(np.concatenate(parts), sizes, sent.value):
                 trie.add(keys, counts)
 
-        gap, waiting = np.zeros(1, np.int64), {}
+        waiting: dict[str, list[np.ndarray]] = {}
         for batch in batches:
             cells = batch.column(1)
             values, ends = cells.flatten().to_numpy(), np.concatenate(([0], np.cumsum(cells.value_lengths().to_numpy())))
             for i, lang in enumerate(batch.column(0).to_pylist()):
                 own = waiting.setdefault(lang, [])
-                own += [values[ends[i] : ends[i + 1]], gap]
+                own.append(values[ends[i] : ends[i + 1]])
             for lang in list(waiting):
                 put(lang, waiting.pop(lang))
             if sum(t.entries for t in tries.values()) > ENTRIES:
@@ -165,8 +225,7 @@ def counted(rows: DataFrame, sizes: range, pairs: Filter | None, least: int) ->
 
     prefix = F.substring("key", 1, 2 * ID)
     found = bounded(rows).mapInArrow(run, COUNTED)
-    found = found.repartition("lang", prefix) if sizes.start > 2 else found.repartition("lang", "key")
-    return found.groupBy("lang", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return found.repartition("lang", prefix).groupBy("lang", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
 def scored(phrases: DataFrame, parts: DataFrame, totals: DataFrame) -> DataFrame:
@@ -221,10 +280,8 @@ def collocations(
     key = F.unhex(F.lpad(F.hex(word_id(salt)), 16, "0"))
     frequent = materialize(words.filter(F.col("n") >= least).select("lang", key.alias("key"), "n", "word"), "frequent")
     rows = materialize(id_rows(texts, Filter(frequent), salt), "ids")
-    pairs = materialize(counted(rows, range(2, 3), None, least), "pairs")
-    phrases = pairs
-    if longest > 2:
-        phrases = pairs.unionByName(materialize(counted(rows, range(3, longest + 1), Filter(pairs), least), "phrases"))
+    tokens = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    phrases = materialize(counted(rows, range(2, longest + 1), likely_pairs(rows, int(tokens), least), least), "phrases")
     parts = frequent.select("lang", "key", "n").unionByName(phrases)
     found = scored(phrases, parts, totals).join(covered(phrases, share), ["lang", "key"], "left_anti")
     place = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

@@ -52,7 +52,7 @@ def test_equals_brute_force(spark, seed, monkeypatch):
     if seed == 0:
         assert mined(spark, rows, least=8, top=3, share=60) == brute(rows, 8, top=3, share=60)
         assert mined(spark, rows, least=2, longest=2) == brute(rows, 2, longest=2)
-        for name in ("WORDS", "REMEMBERED", "ENTRIES"):
+        for name in ("WORDS", "REMEMBERED", "ENTRIES", "PART"):
             monkeypatch.setattr(collocations, name, 12)
         monkeypatch.setattr(bit_filter, "FILTER_BITS", 1 << 10)
         assert mined(spark, rows, least=8) == want
