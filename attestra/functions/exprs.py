@@ -24,6 +24,11 @@ DENOMINATOR, ROLE_MARKER = "_per_([a-z_]+)$", r"(?i)^(system|assistant|user)\s*:
 UNIT_SUFFIXES = {"crore": 1e7, "lakh": 1e5, "lac": 1e5, "thousand": 1e3, "inr": 1.0, "rs": 1.0, "percent": 1.0, "pct": 1.0, "count": 1.0}
 
 
+def named(column: str) -> Column:
+    """A top-level column by its name, whatever dots, spaces or backticks it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def unit_scale(unit: Column) -> Column:
     """Multiplier of a unit name; null for unknown units."""
     table = F.create_map(*[F.lit(x) for kv in UNIT_SCALES.items() for x in kv])

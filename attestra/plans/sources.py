@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attestra.plans.base import query, table
@@ -36,6 +40,28 @@ def src_tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_table(spark, path, schema=rows.schema)
 
 
+def csv_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as Python's csv module writes them, a header first in each part."""
+    for k, batch in enumerate(batches):
+        out = io.StringIO(newline="")
+        writer = csv.writer(out, lineterminator="\n")
+        if not k:
+            writer.writerow(batch.schema.names)
+        cells = [c.to_pylist() for c in batch.columns]
+        writer.writerows(zip(*cells))
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().removesuffix("\n")])], names=["value"])
+
+
+@query("""SELECT doc_id, text || chr(10) || 'said "' || lang || '"' AS body, '"' || source || '", ' || lang AS place, n_chars FROM documents""")
+def src_csv_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of documents, with line ends, quotes and separators in them, as another program's CSV."""
+    text = F.concat("text", F.lit('\nsaid "'), "lang", F.lit('"'))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("body"), F.concat(F.lit('"'), "source", F.lit('", '), "lang").alias("place"), "n_chars")
+    path = f"{scratch(spark)}/quoted-{uuid.uuid4().hex}.csv"
+    rows.repartition(4).mapInArrow(csv_rows, "value string").write.text(path)
+    return tables.read_table(spark, path, schema=rows.schema)
+
+
 @query("SELECT event_id, CAST(row_number() OVER (ORDER BY event_id) AS BIGINT) AS row_number FROM events")
 def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of stored rows, in the order in which events are stored."""

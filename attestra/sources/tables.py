@@ -8,6 +8,10 @@ import posixpath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from attestra.functions.exprs import named
+from attestra.session import materialize
+from attestra.sources import quoted
+
 # Formats by suffix with their media types.
 FORMATS = {".csv": "text/csv", ".tsv": "text/tab-separated-values", ".json": "application/json", ".jsonl": "application/x-ndjson", ".ndjson": "application/x-ndjson", ".parquet": "application/vnd.apache.parquet"}
 
@@ -45,20 +49,22 @@ def manifest(spark: SparkSession, path: str, config: dict | None = None) -> Data
 
 
 def read_csv(spark: SparkSession, path: str, sep: str, schema=None) -> DataFrame:
-    """CSV with a header: each file as UTF-8 if its lines are, else as Latin-1. Lines are looked at where they are read."""
-    lines = spark.read.text(path)
-    odd = [r[0] for r in lines.filter(~F.is_valid_utf8("value")).select("_metadata.file_path").distinct().collect()]  # names of files alone
-    even = [r[0] for r in lines.select("_metadata.file_path").distinct().filter(~F.col("file_path").isin(odd)).collect()] if odd else [path]
-    out = None
-    for files, encoding in ((even, "UTF-8"), (odd, "ISO-8859-1")):
-        if files:
-            reader = spark.read.schema(schema) if schema is not None else spark.read
-            part = reader.csv(files, header=True, sep=sep, encoding=encoding, inferSchema=schema is None)
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
-        out = (spark.read.schema(schema) if schema is not None else spark.read).csv(path, header=True, sep=sep)
+    """CSV with a header: fields may be quoted, a quote in a quoted field is doubled, and separators and line ends may stand in quotes. Files are read as
+    UTF-8, with or without a mark of it, or as Latin-1 if their bytes are none.
+
+    One pass over the lines, where they are read, tells which reader it takes: Spark's own where all is UTF-8 and every record is a line, else
+    ``quoted.read_records``, which splits files as well.
+    """
+    lines = quoted.lines_of(spark, path)
+    parts = materialize(quoted.parts_of(lines, sep.encode()), "parts")
+    plain = parts.agg(F.coalesce(F.max(F.col("over") | ~F.col("utf8")), F.lit(False)).alias("odd")).first()["odd"] is False
+    if plain:
+        reader = spark.read.schema(schema) if schema is not None else spark.read
+        out = reader.csv(path, header=True, sep=sep, quote='"', escape='"', inferSchema=schema is None)
+    else:
+        out = quoted.read_records(lines, parts, sep, schema)
     dates = [f.name for f in out.schema if f.dataType.typeName() == "date"] if schema is None else []
-    return out.withColumns({c: F.col(c).cast("string") for c in dates}) if dates else out
+    return out.withColumns({c: named(c).cast("string") for c in dates}) if dates else out
 
 
 def read_json(spark: SparkSession, path: str, schema=None, corrupt: str | None = None) -> DataFrame:
@@ -111,8 +117,8 @@ def numbered(df: DataFrame) -> DataFrame:
 
 def cells(df: DataFrame, row_number: str = "row_number") -> DataFrame:
     """(row_number, column, value as text): one row for each stored value that isn't null."""
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in df.columns if c != row_number]
-    return df.select(F.col(row_number).alias("row_number"), F.inline(F.array(*pairs))).filter("value IS NOT NULL")
+    pairs = [F.struct(F.lit(c).alias("column"), named(c).cast("string").alias("value")) for c in df.columns if c != row_number]
+    return df.select(named(row_number).alias("row_number"), F.inline(F.array(*pairs))).filter("value IS NOT NULL")
 
 
 def register_problems(register: DataFrame) -> DataFrame:

@@ -1,9 +1,13 @@
 """Readers, snapshots and streams on small files."""
 
+import csv
+import io
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.sources import tables
+from attestra.sources import quoted, tables
 from attestra.streaming import ingest
 
 
@@ -110,3 +114,61 @@ def test_windowed_counts(spark, tmp_path):
     q = ingest.windowed_counts(stream).writeStream.outputMode("complete").format("memory").queryName("windowed").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r["n"], r["total"]) for r in spark.table("windowed").collect()} == {(2, 3.0), (1, 4.0)}
+
+
+def odd_cells(rng, n):
+    bits = ["a", "b", '"', '""', ",", "\n", "\r\n", " ", "é", "5\" pipe", "'", "\t", ";"]
+    return [[str(i), "".join(rng.choice(bits) for _ in range(rng.randrange(12))), rng.choice(["x", "y,z", 'q"q', "long\nline " * 40])] for i in range(n)]
+
+
+@pytest.mark.parametrize("sep", [",", "\t"])
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "latin-1"])
+def test_quoted_records_equal_a_row_by_row_parser(spark, tmp_path, sep, encoding):
+    rows = odd_cells(random.Random(1), 300)
+    for k in range(2):
+        out = io.StringIO(newline="")
+        writer = csv.writer(out, delimiter=sep, lineterminator="\n")
+        writer.writerow(["id", "a.b", "line\n`end`"])
+        writer.writerows(rows[k::2])
+        (tmp_path / f"{k}.csv").write_bytes(out.getvalue().encode(encoding))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        df = tables.read_table(spark, str(tmp_path), ".csv" if sep == "," else ".tsv")
+        assert df.columns == ["id", "a.b", "line\n`end`"] and dict(df.dtypes)["id"] == "int"
+        got = sorted((str(r[0]), r[1] or "", r[2]) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted(map(tuple, rows))
+
+
+def test_fields_equal_a_parser(tmp_path):
+    rng = random.Random(2)
+    for _ in range(2000):
+        line = "".join(rng.choice('ab,"" \n') for _ in range(rng.randrange(14)))
+        want = next(csv.reader(io.StringIO(line, newline=""), strict=False), [])
+        lines = line.split("\n")
+        inside, n = False, 0
+        for n, part in enumerate(lines):
+            inside = quoted.open_after(part.encode(), inside, b",")
+            if not inside:
+                break
+        record = "\n".join(lines[: n + 1])
+        assert [(x or b"").decode() for x in quoted.fields_of(record.encode(), b",")] == (want or [""]), line
+
+
+def test_doubled_quotes_ragged_rows_and_empty_fields(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,say,n\n1,"say ""hi"", ok",2\n2,"",\n3\n\n4,x,5,6\n')
+    rows = [tuple(r) for r in tables.read_table(spark, str(tmp_path / "a.csv")).orderBy("id").collect()]
+    assert rows[0] == (1, 'say "hi", ok', 2) and rows[2] == (3, None, None) and rows[3] == (4, "x", 5)
+    (tmp_path / "b.csv").write_text('id,say,n\n1,"say ""hi"",\nok",2\n2,"",\n3\n\n4,x,5,6\n5,bad,x\n')
+    rows = [tuple(r) for r in tables.read_table(spark, str(tmp_path / "b.csv"), schema="id int, say string, n int").orderBy("id").collect()]
+    assert rows == [(1, 'say "hi",\nok', 2), (2, "", None), (3, None, None), (4, "x", 5), (5, "bad", None)]
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "a.csv").write_text('a,b\n1,"x\ny"\n')
+    (tmp_path / "two" / "b.csv").write_text('a,c\n1,"x\ny"\n')
+    with pytest.raises(ValueError, match="different"):
+        tables.read_table(spark, str(tmp_path / "two"), ".csv")
