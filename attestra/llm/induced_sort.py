@@ -147,9 +147,9 @@ def induce(text: np.ndarray, queue: np.ndarray, heads: np.ndarray, step: int, sm
         else:
             wanted = (symbol < own) | ((symbol == own) & small[block[some]])
         sources = some[wanted]
-        symbols = symbol[wanted].astype(np.int64)
-        order = np.argsort(symbols, kind="stable")
-        sources, symbols = sources[order], symbols[order]
+        symbols = symbol[wanted]
+        order = np.argsort(symbols, kind="stable")  # by digits, where symbols are small
+        sources, symbols = sources[order], symbols[order].astype(np.int64)
         if len(symbols):
             first = np.flatnonzero(np.concatenate(([True], symbols[1:] != symbols[:-1])))
             counts = np.diff(np.append(first, len(symbols)))
@@ -193,7 +193,7 @@ def sorted_suffixes(text: np.ndarray, bound: int = 0) -> tuple[np.ndarray, np.nd
         order = np.empty(len(seeds), np.int64)
         order[names] = np.arange(len(seeds))
     else:
-        order, _ = sorted_suffixes(names)
+        order, _ = sorted_suffixes(names.astype(np.uint16 if distinct < 1 << 16 else np.int32 if distinct < 1 << 31 else np.int64))
     ranked = seeds[order]
     symbols = int(text.max()) + 1
     large_counts = np.bincount(text[~small], minlength=symbols)

@@ -26,7 +26,7 @@ from attestra.llm.decontaminate import inner_names, outer
 from attestra.llm.induced_sort import sorted_suffixes
 from attestra.session import materialize
 
-WIDTH, GRAM = 400, 32
+WIDTH, GRAM = 400, 128
 #: Bins of grams, and how many times its share of all grams a bin holds if its grams are common.
 BINS, COMMON = 1 << 16, 4
 #: Windows looked at together, bytes of a shard, bytes of segments that a task remembers as sent.
@@ -46,8 +46,8 @@ NUMBERS = byte_numbers()
 
 
 def gram_size(width: int) -> int:
-    """The largest power of two up to GRAM and a twelfth of the window."""
-    return 1 << min(GRAM, max(1, width // 12)).bit_length() - 1
+    """The largest power of two up to GRAM and a third of the window. Larger grams leave fewer segments of one key that have no window in common."""
+    return 1 << min(GRAM, max(1, width // 3)).bit_length() - 1
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
