@@ -424,3 +424,46 @@ def test_prefix_guard_finds_every_position(spark):
     texts = [(i, "x" * i + label[:40] + "tail") for i in range(14)] + [(90, "x" + label[:39]), (91, None), (92, label[1:])]
     got = evaluation.prefix_guard(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(label,), ("short",), (None,)], "text string"), "id")
     assert {r["text_id"] for r in got.collect()} == set(range(14))
+
+
+def test_retrieval_finds_words_within_words_and_keeps_the_best(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    bits = ["pay", "ment", "pays", "ledger", "wheat", "_", " ", "rice", "Crop", "é"]
+    text = lambda n: "".join(rng.choice(bits) for _ in range(n))
+    asked = [(f"q{i}", text(8)) for i in range(60)] + [("p", "payment")]
+    found = [(f"f{i}", [f"a{i % 7}"], "drift", rng.choice(["high", "low", "critical"]), text(3), text(rng.choice([0, 5, 300]))) for i in range(90)] + [("x", [], "drift", "low", "Payments ledger", None)]
+    findings = spark.createDataFrame(found, "finding_id string, artifact_ids array<string>, kind string, severity string, title string, summary string").repartition(3)
+    none = spark.createDataFrame([], "artifact_id string, title string, source_id string, media_type string, byte_size long, sha256 string")
+    columns = spark.createDataFrame([], "artifact_id string, column string, dtype string, null_ratio double, unique_count long")
+    observed = spark.createDataFrame([], "artifact_id string, code string, severity string, column string")
+    cards = retrieval.evidence_cards(none, columns, observed, findings)
+    questions = spark.createDataFrame(asked, "question_id string, text string")
+    words = {r[0]: r[1] for r in questions.select("question_id", X.question_tokens(F.col("text"))).collect()}
+    want = {}
+    for q, _ in asked:
+        scores = []
+        for i, _, kind, severity, title, summary in found:
+            blob = " ".join(x for x in (title, summary, kind) if x is not None).lower()
+            n = sum(w in blob for w in words[q])
+            scores += [(-3.0 * n - 0.5 * (severity != "low"), f"finding:{i}")] if n else []
+        want |= {(q, rank + 1): (e, -s) for rank, (s, e) in enumerate(sorted(scores)[: retrieval.MOST])}
+    for name, size in (("PASS", 32_768), ("BLOCK", 16), ("CARDS", 7), ("PASS", 20)):
+        monkeypatch.setattr(retrieval, name, size)
+        assert {(r["question_id"], r["rank"]): (r["evidence_id"], r["score"]) for r in retrieval.retrieve(questions, cards).collect()} == want
+    assert want[("p", 1)][0].startswith("finding:") and "finding:x" in {e for (q, _), (e, _) in want.items() if q == "p"} | {e for e, _ in want.values()}
+    kept = retrieval.newest(findings.withColumn("created", F.length("finding_id")), "created", 3).select("finding_id").collect()
+    assert sorted(r[0] for r in kept) == ["f10", "f11", "f12"]
+
+
+def test_cards_tell_hints_and_descriptions(spark):
+    artifacts = spark.createDataFrame([("a", "T", "s", "text/csv", 10, "ab" * 32)], "artifact_id string, title string, source_id string, media_type string, byte_size long, sha256 string")
+    columns = spark.createDataFrame([("a", "mail", "string", 0.25, 9, "email"), ("b", "n", "int", 0.0, 1, None)], "artifact_id string, column string, dtype string, null_ratio double, unique_count long, hints string")
+    observed = spark.createDataFrame([("a", "DUPLICATE_ROWS", "low", None, "3 rows repeat")], "artifact_id string, code string, severity string, column string, description string")
+    found = spark.createDataFrame([], "finding_id string, artifact_ids array<string>, kind string, severity string, title string, summary string")
+    cards = retrieval.evidence_cards(artifacts, columns, observed, found)
+    said = {r["evidence_id"]: r["snippet"] for r in cards.collect()}
+    assert said["a#column=mail"].endswith("9 unique; PII hints: email") and said["b#column=n"].endswith("1 unique") and said["a#DUPLICATE_ROWS"] == "LOW DUPLICATE_ROWS: 3 rows repeat"
+    asked = spark.createDataFrame([("q", "rows that repeat")], "question_id string, text string")
+    assert retrieval.retrieve(asked, cards).first()["score"] == 5.0
