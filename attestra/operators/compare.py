@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from attestra.functions import exprs as X
+from attestra.functions.names import name_similarity
+from attestra.session import materialize
 
 THRESHOLD = 88.0
+#: The score down to which names look for a partner by longer grams before all others, and grams' lengths there and below.
+NEAR, LONG, SHORT = 98.0, 3, 2
 #: From this share of common words on, two definitions say the same in other words.
 REWORDED = 0.8
 
@@ -25,143 +28,147 @@ def key_overlap(left: DataFrame, right: DataFrame, left_col: str, right_col: str
     return counts.withColumn("state", F.when(F.col("total") == 0, "unknown").when(F.col("shared") == F.col("total"), "comparable").when(F.col("shared") > 0, "partial").otherwise("not_comparable"))
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence: one bit for each letter of a, all of them moved on at once for each letter of b."""
-    places: dict[str, int] = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << i
-    all_bits = (1 << len(a)) - 1
-    open_bits = all_bits
-    for y in b:
-        met = open_bits & places.get(y, 0)
-        open_bits = (open_bits + met | open_bits - met) & all_bits
-    return len(a) - open_bits.bit_count()
-
-
-def ratio(a: str, b: str) -> float:
-    n = len(a) + len(b)
-    return 200.0 * common_subsequence(a, b) / n if n else 100.0
-
-
-def name_similarity(a: str, b: str) -> float:
-    """The largest of three scores of two normalized names: letters in order, words as sets, letters without spaces."""
-    scores = [ratio(a, b), ratio(a.replace(" ", ""), b.replace(" ", ""))]
-    x, y = set(a.split()), set(b.split())
-    if x and y:
-        both = " ".join(sorted(x & y))
-        if both and (x <= y or y <= x):
-            return 100.0
-        da, db = " ".join(sorted(x - y)), " ".join(sorted(y - x))
-        sa, sb = len(both) + bool(both) + len(da), len(both) + bool(both) + len(db)
-        edits = len(da) + len(db) - 2 * common_subsequence(da, db)
-        scores.append(100.0 * (1 - edits / (sa + sb)))
-        if both:
-            scores += [200.0 * len(both) / (len(both) + s) for s in (sa, sb)]
-    return max(scores)
-
-
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([name_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
-
-
-def pairs_of_letters(names: DataFrame) -> DataFrame:
-    """names: norm. (norm, family, gram) of the letter pairs, word ends included, of the words, of the different words if any repeats, and of the
-    name without spaces as one word."""
+def grams_of(names: DataFrame, size: int) -> DataFrame:
+    """names: pair, norm. (pair, norm, family, gram) of the strings of ``size`` letters, word ends included, of the words, of the different words if any
+    repeats, and of the name without spaces as one word."""
     words = F.split("norm", " ")
     forms = F.array(
         F.struct(F.lit("words").alias("family"), words.alias("w"), F.lit(0).alias("form")),
         F.when(F.size(F.array_distinct(words)) < F.size(words), F.struct(F.lit("words").alias("family"), F.array_distinct(words).alias("w"), F.lit(1).alias("form"))),
         F.struct(F.lit("whole").alias("family"), F.array(F.replace("norm", F.lit(" "), F.lit(""))).alias("w"), F.lit(2).alias("form")),
     )
-    grams = F.flatten(F.transform("w", lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("^"), w, F.lit("$")), i, F.lit(2)))))
-    return names.select("norm", F.inline(F.filter(forms, lambda f: f.isNotNull()))).select("norm", "family", "form", F.explode(grams).alias("gram"))
+    grams = F.flatten(F.transform("w", lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + size - 1), lambda i: F.substr(F.concat(F.lit("^" * (size - 1)), w, F.lit("$" * (size - 1))), i, F.lit(size)))))
+    return names.select("pair", "norm", F.inline(F.filter(forms, lambda f: f.isNotNull()))).select("pair", "norm", "family", "form", F.explode(grams).alias("gram"))
 
 
-def rarest_pairs(names: DataFrame, grams: DataFrame, counts: DataFrame, share: float) -> DataFrame:
-    """(norm, key): of each name as many of its rarest letter pairs as two names within the allowed edits can't all differ in.
+def rarest_grams(grams: DataFrame, counts: DataFrame, share: float, size: int) -> DataFrame:
+    """(pair, norm, key): of each name as many of its rarest grams as two names within the allowed edits can't all differ in.
 
-    An edit (a letter in or out) changes two pairs at most, so names that are ``share`` of their joint length apart agree in one of these.
+    An edit (a letter in or out) changes ``size`` grams at most, so names that are ``share`` of their joint length apart agree in one of these.
     """
     edits = F.floor(share * (1 + (1 + share) / (1 - share)) * F.length("norm")).cast("int")
-    order = Window.partitionBy("norm", "form").orderBy("n", "gram")
-    rows = grams.join(counts, ["family", "gram"]).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= 2 * edits + 1)
-    return rows.select("norm", F.concat_ws(":", "family", "gram").alias("key")).distinct()
+    order = Window.partitionBy("pair", "norm", "form").orderBy("n", "gram")
+    rows = grams.join(counts, ["pair", "family", "gram"]).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= size * edits + 1)
+    return rows.select("pair", "norm", F.concat_ws(":", "family", "gram").alias("key")).distinct()
 
 
 def covering_words(words: DataFrame, share: float) -> DataFrame:
-    """words: (norm, word, n), n names having it. (norm, word): the rarest words of a name, until the rest is too short to be what it shares
-    with a name that scores by common words."""
-    order = Window.partitionBy("norm").orderBy("n", "word")
+    """words: (pair, norm, word, n), n names having it. (pair, norm, word): the rarest words of a name, until the rest is too short to be what it
+    shares with a name that scores by common words."""
+    order = Window.partitionBy("pair", "norm").orderBy("n", "word")
     left_out = F.coalesce(F.sum(F.length("word") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return words.withColumn("left_out", left_out).filter(F.col("left_out") <= share * (F.length("norm") + 1)).select("norm", "word")
+    return words.withColumn("left_out", left_out).filter(F.col("left_out") <= share * (F.length("norm") + 1)).select("pair", "norm", "word")
 
 
-def candidate_pairs(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """a, b: norm, each different. (la, rb) that can score ``threshold`` or more; all other pairs score less.
+def equal_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(pair, la, rb) of names that score 100: equal without spaces, or all words of one in the other, which then has its rarest word."""
+    sides = [df.select("pair", F.col("norm").alias(name), F.replace("norm", F.lit(" "), F.lit("")).alias("whole")) for df, name in ((a, "la"), (b, "rb"))]
+    whole = sides[0].join(sides[1], ["pair", "whole"]).select("pair", "la", "rb")
+    words = [df.select("pair", "norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("word")) for df in (a, b)]
+    common = words[0].unionByName(words[1]).groupBy("pair", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = [w.filter("word <> ''").join(common, ["pair", "word"]) for w in words]
+    named = lambda df, name: df.select("pair", "word", F.col("norm").alias(name))
+    rare = [w.groupBy("pair", "norm").agg(F.min(F.struct("n", "word"))["word"].alias("word")) for w in words]
+    both = named(rare[0], "la").join(named(words[1], "rb"), ["pair", "word"]).unionByName(named(words[0], "la").join(named(rare[1], "rb"), ["pair", "word"]))
+    less = lambda x, y: F.size(F.array_except(F.split(x, " "), F.split(y, " "))) == 0
+    return whole.unionByName(both.filter(less("la", "rb") | less("rb", "la")).select("pair", "la", "rb")).distinct()
 
-    Letters in order: names agree in one of their rarest letter pairs. Common words: the name that they make up has one of its rarest words
-    in common with the other, whose words all count. Frequent words and letter pairs are keys only for names that have no rarer ones.
+
+def candidate_pairs(a: DataFrame, b: DataFrame, threshold: float, size: int = SHORT) -> DataFrame:
+    """a, b: pair, norm, each different. (pair, la, rb) that can score ``threshold`` or more; all others of a pair score less.
+
+    Letters in order: names agree in one of their rarest grams. Common words: the name that they make up has one of its rarest words
+    in common with the other, whose words all count. Frequent words and grams are keys only for names that have no rarer ones.
     """
     share = 1 - threshold / 100
     sides = [(a, "la"), (b, "rb")]
-    grams = [pairs_of_letters(df) for df, _ in sides]
-    counts = grams[0].unionByName(grams[1]).groupBy("family", "gram").agg(F.count(F.lit(1)).alias("n"))
-    keys = [rarest_pairs(df, g, counts, share).withColumnRenamed("norm", name) for (df, name), g in zip(sides, grams)]
+    grams = [grams_of(df, size) for df, _ in sides]
+    counts = grams[0].unionByName(grams[1]).groupBy("pair", "family", "gram").agg(F.count(F.lit(1)).alias("n"))
+    keys = [rarest_grams(g, counts, share, size).withColumnRenamed("norm", name) for (_, name), g in zip(sides, grams)]
     lengths = [lambda c: F.length(c), lambda c: F.length(F.replace(c, F.lit(" "), F.lit(""))), lambda c: F.length(F.array_join(F.array_distinct(F.split(c, " ")), " "))]
     near = F.lit(False)
     for n in lengths:
         x, y = n(F.col("la")), n(F.col("rb"))
         near = near | (F.least(x, y) >= F.greatest(x, y) * (1 - share) / (1 + share) - 1e-9)
-    by_letters = keys[0].join(keys[1], "key").filter(near).select("la", "rb").distinct()
-    # What passes is held against all letter pairs: of a name's different ones two for each edit at most can be missing in the other.
-    for df, g, name in zip((a, b), grams, ("la", "rb")):
-        sets = g.groupBy("norm").agg(*[F.collect_set(F.when(F.col("family") == f, F.col("gram"))).alias(f"{name}_{f}") for f in ("words", "whole")])
-        by_letters = by_letters.join(sets.withColumnRenamed("norm", name), name)
+    by_letters = keys[0].join(keys[1], ["pair", "key"]).filter(near).select("pair", "la", "rb").distinct()
+    # What passes is held against all grams: of a name's different ones ``size`` for each edit at most can be missing in the other.
+    for (df, name), g in zip(sides, grams):
+        sets = g.groupBy("pair", "norm").agg(*[F.collect_set(F.when(F.col("family") == f, F.col("gram"))).alias(f"{name}_{f}") for f in ("words", "whole")])
+        by_letters = by_letters.join(sets.withColumnRenamed("norm", name), ["pair", name])
     edits = F.floor(share * (F.length("la") + F.length("rb")))
     missing = lambda f: F.greatest(*[F.size(F.array_except(f"{x}_{f}", f"{y}_{f}")) for x, y in (("la", "rb"), ("rb", "la"))])
-    by_letters = by_letters.filter((missing("words") <= 2 * edits) | (missing("whole") <= 2 * edits)).select("la", "rb")
-    words = [df.select("norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("word")) for df, _ in sides]
-    common = words[0].unionByName(words[1]).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    words = [w.join(common, "word") for w in words]
+    by_letters = by_letters.filter((missing("words") <= size * edits) | (missing("whole") <= size * edits)).select("pair", "la", "rb")
+    words = [df.select("pair", "norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("word")) for df, _ in sides]
+    common = words[0].unionByName(words[1]).groupBy("pair", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = [w.join(common, ["pair", "word"]) for w in words]
     uncovered = 2 * share / (1 + share)  # what a name may have beside the common words
     rare = [covering_words(w, uncovered) for w in words]
-    named = lambda df, name: df.select("word", F.col("norm").alias(name))
-    by_words = named(rare[0], "la").join(named(words[1], "rb"), "word").unionByName(named(words[0], "la").join(named(rare[1], "rb"), "word"))
-    return by_letters.unionByName(by_words.select("la", "rb")).distinct()
+    named = lambda df, name: df.select("pair", "word", F.col("norm").alias(name))
+    by_words = named(rare[0], "la").join(named(words[1], "rb"), ["pair", "word"]).unionByName(named(words[0], "la").join(named(rare[1], "rb"), ["pair", "word"]))
+    return by_letters.unionByName(by_words.select("pair", "la", "rb")).distinct()
 
 
-def match_entities(left: DataFrame, right: DataFrame, left_col: str, right_col: str, threshold: float = THRESHOLD) -> DataFrame:
-    """For each distinct left name the right name of the highest score at or above the threshold, the smallest of equals.
+def match_names(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """left: pair, left_name; right: pair, right_name. Within each pair, for each distinct left name the right name of the highest score at or above
+    the threshold, the smallest of equals.
 
-    Names that normalize alike are matched once. Only pairs that can reach the threshold are scored (``candidate_pairs``).
+    Names that normalize alike are matched once. Names look for partners of the highest scores first, and only those that have found none go on to the
+    next step: equal names by joins on what is equal, near ones by grams of three letters, the rest by letter pairs. So few candidates are scored where most names have a close partner. Whatever can reach a
+    step's score is scored in that step (``candidate_pairs``), so the best is never missed.
     """
-    name = lambda df, c, out: df.select(F.col(c).cast("string").alias(out)).filter(F.col(out).isNotNull()).distinct().withColumn("norm", X.entity_name(F.col(out)))
-    a, b = name(left, left_col, "left_name"), name(right, right_col, "right_name")
-    pairs = candidate_pairs(a.select("norm").distinct(), b.select("norm").distinct(), threshold)
-    scored = pairs.withColumn("score", similarity("la", "rb")).filter(F.col("score") >= threshold - 1e-9)
-    firsts = b.groupBy(F.col("norm").alias("rb")).agg(F.min("right_name").alias("right_name"))
-    best = scored.join(firsts, "rb").groupBy(F.col("la").alias("norm")).agg(F.min(F.struct((-F.col("score")).alias("s"), "right_name")).alias("best"))
-    return a.join(best, "norm").select("left_name", F.col("best.right_name").alias("right_name"), (-F.col("best.s")).alias("score"))
+    norm = lambda df, c: df.filter(F.col(c).isNotNull()).distinct().withColumn("norm", X.entity_name(F.col(c)))
+    a, b = materialize(norm(left, "left_name"), "left"), materialize(norm(right, "right_name"), "right")
+    firsts = b.groupBy("pair", F.col("norm").alias("rb")).agg(F.min("right_name").alias("right_name"))
+    open_names, others, found = a.select("pair", "norm").distinct(), b.select("pair", "norm").distinct(), None
+    for step, size in ((100.0, 0), (NEAR, LONG), (threshold, SHORT)):
+        if step < threshold:
+            continue
+        pairs = candidate_pairs(open_names, others, step, size) if size else equal_pairs(open_names, others)
+        pairs = pairs.withColumn("score", name_similarity("la", "rb")).filter(F.col("score") >= step - 1e-9)
+        best = pairs.join(firsts, ["pair", "rb"]).groupBy("pair", F.col("la").alias("norm")).agg(F.min(F.struct((-F.col("score")).alias("s"), "right_name")).alias("best"))
+        best = materialize(best, "matched")
+        found = best if found is None else found.unionByName(best)
+        open_names = materialize(open_names.join(best, ["pair", "norm"], "left_anti"), "open")
+        if open_names.isEmpty():
+            break
+    return a.join(found, ["pair", "norm"]).select("pair", "left_name", F.col("best.right_name").alias("right_name"), (-F.col("best.s")).alias("score"))
 
 
-def fuzzy_gate(left: DataFrame, right: DataFrame, left_col: str, right_col: str, threshold: float = THRESHOLD) -> DataFrame:
-    """One row: matched pairs, names left without a match on either side, the gate's state and the spelling variants among the first three pairs.
+def match_entities(left: DataFrame, right: DataFrame, left_col: str, right_col: str, threshold: float = THRESHOLD) -> DataFrame:
+    """``match_names`` of two columns: left_name, right_name, score."""
+    side = lambda df, c, out: df.select(F.lit(0).alias("pair"), X.named(c).cast("string").alias(out))
+    return match_names(side(left, left_col, "left_name"), side(right, right_col, "right_name"), threshold).drop("pair")
 
-    Names are trimmed and blank ones left out; a side without names gives the state unknown.
+
+def fuzzy_gates(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """left: pair, left_name; right: pair, right_name. One row for each pair: matched pairs of names, names left without a match on either side,
+    the gate's state and the spelling variants among the first three matches.
+
+    Names are trimmed and blank ones left out; a side without names gives the state unknown. All pairs are matched in the same jobs.
     """
-    names = lambda df, c, out: df.select(F.trim(F.col(c).cast("string")).alias(out)).filter(F.col(out) != "").distinct()
-    l, r = names(left, left_col, "left_name"), names(right, right_col, "right_name")  # noqa: E741
-    matches = match_entities(l, r, "left_name", "right_name", threshold)
-    side = lambda df, s: df.select(F.lit(s).alias("side"))
-    rows = side(matches, "m").unionByName(side(l, "a")).unionByName(side(r, "b")).unionByName(side(l.join(matches, "left_name", "left_anti"), "l")).unionByName(side(r.join(matches, "right_name", "left_anti"), "r"))
+    names = lambda df, c: df.select("pair", F.trim(F.col(c).cast("string")).alias(c)).filter(F.col(c) != "").distinct()
+    l, r = names(left, "left_name"), names(right, "right_name")  # noqa: E741
+    matches = materialize(match_names(l, r, threshold), "matches")
+    side = lambda df, s: df.select("pair", F.lit(s).alias("side"))
+    lost = [x.join(matches.select("pair", c), ["pair", c], "left_anti") for x, c in ((l, "left_name"), (r, "right_name"))]
+    every = left.select("pair").unionByName(right.select("pair")).distinct()
+    rows = side(matches, "m").unionByName(side(l, "a")).unionByName(side(r, "b")).unionByName(side(lost[0], "l")).unionByName(side(lost[1], "r")).unionByName(side(every, "p"))
     count = lambda s, out: F.count_if(F.col("side") == s).alias(out)
-    out = rows.agg(count("m", "matched"), count("l", "left_only"), count("r", "right_only"), count("a", "n_left"), count("b", "n_right"))
-    first = matches.select("left_name", "right_name").orderBy("left_name", "right_name").limit(3)
+    out = rows.groupBy("pair").agg(count("m", "matched"), count("l", "left_only"), count("r", "right_only"), count("a", "n_left"), count("b", "n_right"))
+    first = Window.partitionBy("pair").orderBy("left_name", "right_name")
+    few = matches.withColumn("rank", F.row_number().over(first)).filter("rank <= 3")
     variant = F.when(F.col("left_name") != F.col("right_name"), F.concat_ws(" ~ ", "left_name", "right_name"))
-    out = out.withColumn("variants", first.agg(F.array_join(F.array_sort(F.collect_list(variant)), "; ").alias("v")).scalar())
+    variants = few.groupBy("pair").agg(F.array_join(F.array_sort(F.collect_list(variant)), "; ").alias("variants"))
     state = F.when((F.col("n_left") == 0) | (F.col("n_right") == 0), "unknown").when(F.col("matched") == 0, "not_comparable").when((F.col("left_only") == 0) & (F.col("right_only") == 0), "comparable").otherwise("partial")
-    return out.select("matched", "left_only", "right_only", "variants", state.alias("state"))
+    return out.join(variants, "pair", "left").select("pair", "matched", "left_only", "right_only", F.coalesce("variants", F.lit("")).alias("variants"), state.alias("state"))
+
+
+def fuzzy_gate(left: DataFrame, right: DataFrame, left_col: str, right_col: str, threshold: float = THRESHOLD) -> DataFrame:
+    """``fuzzy_gates`` of two columns: one row, also where both are empty."""
+    side = lambda df, c, out: df.select(F.lit(0).alias("pair"), X.named(c).cast("string").alias(out))
+    l, r = side(left, left_col, "left_name"), side(right, right_col, "right_name")  # noqa: E741
+    nobody = left.sparkSession.createDataFrame([(0, None)], "pair int, left_name string")
+    return fuzzy_gates(l.unionByName(nobody), r, threshold).drop("pair")
 
 
 def period_gate(a: Column, b: Column) -> Column:
@@ -252,11 +259,12 @@ def infer_cards(columns: DataFrame) -> DataFrame:
         F.concat_ws("#column=", "artifact_id", "column").alias("span"), F.array_join(F.filter(flags, lambda f: f.isNotNull()), ",").alias("flags"), F.lit("proposed").alias("status"))
 
 
-def compare_pairs(pairs: DataFrame, totals: DataFrame, keys: DataFrame, releases: DataFrame) -> DataFrame:
+def compare_pairs(pairs: DataFrame, totals: DataFrame, keys: DataFrame, releases: DataFrame, fuzzy: bool = False) -> DataFrame:
     """pairs (pair_id, artifact_a, column_a, artifact_b, column_b), each with totals, the four gates, the verdict and its severity, in one job.
 
     totals: (artifact_id, column, n, total); a column that is not there, or has no value, is an error and named in ``error``. keys: (artifact_id,
-    key), the names of each artifact's places; they are counted, never gathered. releases: (artifact_id, fiscal_year).
+    key), the names of each artifact's places; they are counted, never gathered. releases: (artifact_id, fiscal_year). fuzzy: places are
+    held against each other by ``fuzzy_gates``, all pairs at once, in place of equal keys.
     """
     rows = pairs
     for x in "ab":
@@ -273,6 +281,11 @@ def compare_pairs(pairs: DataFrame, totals: DataFrame, keys: DataFrame, releases
     rows = rows.join(held, "pair_id", "left").fillna(0, ["keys_a", "keys_b", "keys_both"])
     both = F.col("keys_both")
     geography = F.when((F.col("keys_a") == 0) | (F.col("keys_b") == 0), "unknown").when(both == 0, "not_comparable").when((both == F.col("keys_a")) & (both == F.col("keys_b")), "comparable").otherwise("partial")
+    if fuzzy:
+        places = [pairs.select(F.col("pair_id").alias("pair"), F.col(f"artifact_{x}").alias("artifact_id")).join(keys, "artifact_id").select("pair", F.col("key").alias(name)) for x, name in (("a", "left_name"), ("b", "right_name"))]
+        gates_of = fuzzy_gates(*places).select(F.col("pair").alias("pair_id"), F.col("state").alias("_geography"))
+        rows = rows.join(gates_of, "pair_id", "left")
+        geography = F.coalesce("_geography", F.lit("unknown"))
     concept = [X.column_concept(F.col(f"column_{x}")) for x in "ab"]
     unit, base = [c["unit"] for c in concept], [X.definition_key(c["base"]) for c in concept]
     gates = {"geography": geography, "period": period_gate(F.col("year_a"), F.col("year_b")), "unit": unit_gate(*unit, *map(X.unit_scale, unit)), "definition": definition_gate(*base)}

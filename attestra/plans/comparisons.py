@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attestra.functions import exprs as X
+from attestra.functions.names import name_similarity
 from attestra.operators import compare, profile
 from attestra.plans.base import query, table
 
@@ -32,11 +33,15 @@ def geo_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Different names of parts with their type, and a spelling of each: a word more, no space, or a letter less."""
-    names = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("p_name")).distinct()
+    """Different names of parts with their type and brand, and of customers, and a spelling of each: a word more, no space, or a letter less."""
+    parts = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("p_name"))
+    names = parts.unionByName(table(spark, sf_dir, "customer").select(F.col("c_name").alias("p_name"))).distinct()
+    return names, names.select(variant().alias("v_name"))
+
+
+def variant():
     k = F.length("p_name") % 3
-    variant = F.when(k == 0, F.concat(F.upper("p_name"), F.lit(" District"))).when(k == 1, F.replace("p_name", F.lit(" "), F.lit(""))).otherwise(F.expr("substr(p_name, 1, length(p_name) - 1)"))
-    return names, names.select(variant.alias("v_name"))
+    return F.when(k == 0, F.concat(F.upper("p_name"), F.lit(" District"))).when(k == 1, F.replace("p_name", F.lit(" "), F.lit(""))).otherwise(F.expr("substr(p_name, 1, length(p_name) - 1)"))
 
 
 @query()
@@ -51,6 +56,38 @@ def geo_gate_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.fuzzy_gate(a, b, "p_name", "v_name")
 
 
+SQL_COMMON = """CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 ELSE length({a}) - bit_count(list_reduce(
+  list_transform(string_split({b}, ''), lambda y: list_sum(list_transform(range(length({a})), lambda i: CASE WHEN substr({a}, CAST(i AS INT) + 1, 1) = y THEN CAST(1 AS HUGEINT) << CAST(i AS INT) ELSE 0 END))::HUGEINT),
+  lambda v, m: (((v + (v & m)) | (v - (v & m))) & ((CAST(1 AS HUGEINT) << CAST(length({a}) AS INT)) - 1)), (CAST(1 AS HUGEINT) << CAST(length({a}) AS INT)) - 1)) END"""
+
+
+def sql_common(a: str, b: str) -> str:
+    return SQL_COMMON.format(a=a, b=b)
+
+
+def sql_ratio(a: str, b: str) -> str:
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 100.0 ELSE 200.0 * ({sql_common(a, b)}) / (length({a}) + length({b})) END"
+
+
+@query(f"""
+  WITH n AS (SELECT DISTINCT lower(concat_ws(' ', p_name, p_type)) AS a, lower(concat_ws(' ', p_type, p_name, p_brand)) AS b, p_partkey % 7 AS k FROM part),
+  p AS (SELECT a, CASE WHEN k < 3 THEN b WHEN k < 5 THEN substr(a, 3) || reverse(substr(b, 1, 4)) ELSE replace(reverse(b), ' ', '') END AS b FROM n),
+  w AS (SELECT DISTINCT a, b, list_distinct(list_filter(string_split(a, ' '), lambda x: x <> '')) AS x, list_distinct(list_filter(string_split(b, ' '), lambda x: x <> '')) AS y, replace(a, ' ', '') AS pa, replace(b, ' ', '') AS pb FROM p),
+  s AS (SELECT *, array_to_string(list_sort(list_filter(x, lambda v: list_contains(y, v))), ' ') AS c, array_to_string(list_sort(list_filter(x, lambda v: NOT list_contains(y, v))), ' ') AS da,
+    array_to_string(list_sort(list_filter(y, lambda v: NOT list_contains(x, v))), ' ') AS db FROM w),
+  t AS (SELECT *, length(c) + CASE WHEN c = '' THEN 0 ELSE 1 END + length(da) AS sa, length(c) + CASE WHEN c = '' THEN 0 ELSE 1 END + length(db) AS sb FROM s)
+  SELECT a AS left_name, b AS right_name, round(CASE WHEN c <> '' AND (da = '' OR db = '') THEN 100.0 ELSE greatest({sql_ratio("a", "b")}, {sql_ratio("pa", "pb")},
+    100.0 * (1.0 - CAST(length(da) + length(db) - 2 * ({sql_common("da", "db")}) AS DOUBLE) / (sa + sb)),
+    CASE WHEN c = '' THEN 0.0 ELSE greatest(200.0 * length(c) / (length(c) + sa), 200.0 * length(c) / (length(c) + sb)) END) END, 6) AS score FROM t""")
+def name_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How alike each part's names are to what is made of them: words in another order, letters lost, written backwards."""
+    k = F.col("p_partkey") % 7
+    names = table(spark, sf_dir, "part").select(F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("a"), F.lower(F.concat_ws(" ", "p_type", "p_name", "p_brand")).alias("b"), k.alias("k"))
+    other = F.when(F.col("k") < 3, F.col("b")).when(F.col("k") < 5, F.concat(F.expr("substr(a, 3)"), F.reverse(F.expr("substr(b, 1, 4)")))).otherwise(F.replace(F.reverse("b"), F.lit(" "), F.lit("")))
+    rows = names.select(F.col("a").alias("left_name"), other.alias("right_name")).distinct()
+    return rows.withColumn("score", F.round(name_similarity("left_name", "right_name"), 6))
+
+
 def nation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per nation of the customer: order totals from orders, and from lineitem, with labels of period, unit and definition by nation."""
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
