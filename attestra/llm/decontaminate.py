@@ -5,8 +5,9 @@ Words outside the benchmark's vocabulary, and places where two neighbouring word
 an occurrence: they become separators, and stretches shorter than the shortest phrase are left out of the index. What is left is indexed,
 phrases are found by backward search, occurrences by sampled suffix positions, and overlapping ones merge into removal spans.
 
-The benchmark travels to the tasks in blocks of at most ``block_chars`` characters, one pass over the documents a block; spans and items
-are merged from pass to pass in the row itself, so no shuffle is needed and documents are never grouped.
+The benchmark travels to the tasks in blocks of at most ``block_chars`` characters. A task's worker searches its rows for BLOCKS of them; a larger benchmark
+takes further passes, each on the written rows of the one before, so there is one worker a task whatever its size. Spans and items are merged in
+the row itself, so no shuffle is needed and documents are never grouped.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from attestra.llm.batches import bounded, free_name
 from attestra.llm.fm_index import FMIndex
+from attestra.llm.rows import inner_names, outer
+from attestra.session import materialize
 
 WIDTH = 10
 #: Words of text in a shard, and benchmark characters in a block: bounds on a task's memory.
-SHARD_WORDS, BLOCK_CHARS = 2_000_000, 1_000_000
+SHARD_WORDS, BLOCK_CHARS, BLOCKS = 2_000_000, 1_000_000, 4
 #: Bytes of words stay (A-Z as a-z), all others become spaces.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -118,12 +121,20 @@ def merge_spans(spans: list[list[int]]) -> list[list[int]]:
 FOUND = "_n_words long, _spans array<array<int>>, _items array<string>"
 
 
-def one_pass(docs: DataFrame, items: list[tuple[str, str]], text_at: int, width: int, shard_words: int) -> DataFrame:
-    """docs, whose last three columns are those of FOUND, with the occurrences of one block of items added to them."""
-    block = docs.sparkSession.sparkContext.broadcast(items)
+def search_blocks(docs: list[list[bytes]], blocks: list[Phrases]) -> list[tuple[list[list[int]], set[str]]]:
+    """``search_shard`` for several blocks, what they find merged."""
+    out = search_shard(docs, blocks[0])
+    for phrases in blocks[1:]:
+        out = [(merge_spans(a + b) if b else a, x | y) for (a, x), (b, y) in zip(out, search_shard(docs, phrases))]
+    return out
+
+
+def one_pass(docs: DataFrame, blocks: list[list[tuple[str, str]]], text_at: int, width: int, shard_words: int) -> DataFrame:
+    """docs, whose last three columns are those of FOUND, with the occurrences of some blocks of items added to them."""
+    sent = docs.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(block.value, width)
+        phrases = [Phrases(items, width) for items in sent.value]
         for batch in batches:
             texts = batch.column(text_at)
             counts: list[int] = []
@@ -136,7 +147,7 @@ def one_pass(docs: DataFrame, items: list[tuple[str, str]], text_at: int, width:
                 shard.append(words)
                 held += len(words)
                 if held >= shard_words or i == batch.num_rows - 1:
-                    found += search_shard(shard, phrases)
+                    found += search_blocks(shard, phrases)
                     shard, held = [], 0
             old_spans, old_items = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
             spans = [merge_spans((a or []) + b) if a else b for a, (b, _) in zip(old_spans, found)]
@@ -154,21 +165,12 @@ def searched(docs: DataFrame, benchmark: DataFrame, text_col: str, width: int =
     blocks = max(1, -(-int(total) // block_chars))
     names = inner_names(docs)
     out = docs.toDF(*names).selectExpr(*names, "0L AS _n_words", "CAST(NULL AS array<array<int>>) AS _spans", "CAST(NULL AS array<string>) AS _items")
-    for k in range(blocks):
-        block = [(r["item"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).toLocalIterator()]
-        out = one_pass(out, block, docs.columns.index(text_col), width, shard_words)
+    for first in range(0, blocks, BLOCKS):
+        own = [[(r["item"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).toLocalIterator()] for k in range(first, min(blocks, first + BLOCKS))]
+        out = one_pass(materialize(out, "searched", outside=True) if first else out, own, docs.columns.index(text_col), width, shard_words)
     return out
 
 
-def inner_names(docs: DataFrame) -> list[str]:
-    return [f"_c{i}" for i in range(len(docs.columns))]
-
-
-def outer(docs: DataFrame) -> list:
-    """The columns of docs, out of a frame with their inner names."""
-    return [F.col(n).alias(c) for n, c in zip(inner_names(docs), docs.columns)]
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """docs with a column ``_leaks``: struct of n_words, spans (merged [first, past last) word numbers) and items (sorted item ids). Where docs has a
     column of that name, the new one gets more underscores.

@@ -100,7 +100,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", runs: int = RUNS, fanin: int = FANIN) -> DataFrame:
     """docs with one row of each text, all its columns as they were. Rows that repeat identifier and text leave one row."""
-    with scratch_scope(docs.sparkSession):  # only the names of the rows that stay outlive it
+    with scratch_scope(docs.sparkSession):  # only the names of the rows that go outlive it
         tree = Tree(docs, id_col, text_col, keep, runs, fanin)
-        names = materialize(tree.levels[-1].select(F.col("best").alias("first")), "names", outside=True)
-        return keep_first(docs, tree.rows, names, id_col, text_col)
+        return keep_first(docs, tree.rows, tree.levels[-1].select(F.col("best").alias("first")), id_col, text_col)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from attestra.llm.batches import free_name
+from attestra.llm.rows import inner_names
 from attestra.session import materialize
 
 RATIO, PAGES = 0.05, 3
@@ -43,20 +44,21 @@ def drop_boilerplate(docs: DataFrame, host: Column, id_col: str = "doc_id", text
     Null hosts are one host. Null texts stay null. Blank lines are never dropped. Lines are compared without the spaces around them; a line
     repeated in one page counts once, and all its repeats go with it. Rows that repeat an id and text get the same answer.
     """
-    own = F.struct(*docs.columns).alias("_doc")
-    rows = docs.select(own, F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    hashes = F.filter(F.array_distinct(F.transform(lines_of(F.col("text")), hashed)), lambda x: x.isNotNull())
-    pages = materialize(rows.select("host", "id", "h", hashes.alias("lines")), "lines")
+    inner = inner_names(docs)
+    text, own_id = F.col(inner[docs.columns.index(text_col)]), F.col(inner[docs.columns.index(id_col)])
+    rows = docs.select("*", F.coalesce(host.cast("string"), F.lit("")).alias(free_name("_host", docs.columns))).toDF(*inner, "_host")
+    hashes = F.filter(F.array_distinct(F.transform(lines_of(text), hashed)), lambda x: x.isNotNull())
+    pages = materialize(rows.select(F.col("_host").alias("host"), own_id.alias("id"), F.xxhash64(text).alias("h"), hashes.alias("lines")), "lines")
     bad = materialize(boilerplate(pages, ratio, least), "boilerplate")
     hits = pages.select("host", "id", "h", F.explode("lines").alias("line")).join(bad, ["host", "line"])
-    hits = hits.groupBy("host", "id", "h").agg(F.collect_set("line").alias("bad")).withColumnsRenamed({"host": "_host", "id": "_id", "h": "_h"})
-    found = rows.join(hits, (rows["host"] == hits["_host"]) & rows["id"].eqNullSafe(hits["_id"]) & (rows["h"] == hits["_h"]), "left")
-    lines = lines_of(F.col("text"))
+    hits = hits.groupBy("host", "id", "h").agg(F.collect_set("line").alias("bad"))
+    found = rows.join(hits, (F.col("_host") == F.col("host")) & own_id.eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("h")), "left")
+    lines = lines_of(text)
     kept = F.when(F.col("bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("bad"), hashed(x)), F.lit(False))))
-    found = found.select("_doc", "text", F.size(lines).alias("n_lines"), kept.alias("kept"))
-    text = F.when(F.col("text").isNotNull(), F.array_join("kept", "\n")).alias(text_col)
-    counts = F.struct(F.col("n_lines").cast("long").alias("n_lines"), (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped")).alias(free_name("_lines", docs.columns))
-    return found.select(*[text if c == text_col else F.col("_doc").getField(c).alias(c) for c in docs.columns], counts)
+    found = found.select(*inner, F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
+    cut = F.when(text.isNotNull(), F.array_join("kept", "\n")).alias(text_col)
+    counts = F.struct("n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped")).alias(free_name("_lines", docs.columns))
+    return found.select(*[cut if c == text_col else F.col(n).alias(c) for n, c in zip(inner, docs.columns)], counts)
 
 
 def line_report(docs: DataFrame, host: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

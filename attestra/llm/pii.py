@@ -4,7 +4,7 @@ reliable each is, and the posterior labels train a final span classifier.
 Spans of the base patterns always stand. The method adds spans that the patterns miss: numbers written like phone or card numbers without
 passing the base rules, spelled-out addresses ("name [at] host [dot] org"), names after a title, and secrets (keys and tokens: long mixed
 strings, or what is assigned to a name such as password). No labeler knows whether a span is a base span. A candidate is added only
-if votes and classifier are sure (``ADD_FROM``). Votes are counted over all documents; the counts by kind and pattern of votes are a bounded table.
+if a list or the context speaks for it, and votes and classifier are sure (``ADD_FROM``); estimation cannot turn the sign of a labeler's votes. Votes are counted over all documents; the counts by kind and pattern of votes are a bounded table.
 """
 
 from __future__ import annotations
@@ -218,18 +218,19 @@ class SpanModel:
         self.labels = {}
         for kind in {r["kind"] for r in counted}:
             own = sorted((r["votes"], r["count"]) for r in counted if r["kind"] == kind)
-            self.labels[kind] = LabelModel([v for v, _ in own], [n for _, n in own], prior=0.3)
+            self.labels[kind] = LabelModel([v for v, _ in own], [n for _, n in own], prior=0.3, anchored=True)
         chosen = hashed_sample(spans, ["id", "kind", "b"], sum(r["count"] for r in counted), sample)
         rows = sorted(chosen.select("kind", "votes", "x").collect())
         target = np.array([float(self.labels[r["kind"]].posterior([r["votes"]])[0]) for r in rows])
         self.weights, self.bias = fit_linear(Rows([r["x"] for r in rows]), target, SIZE, l2=1e-3, rounds=300)
 
     def sure(self, spans: list[dict], add_from: float) -> list[bool]:
-        """Which spans stand: base ones, and those that both the votes' posterior and the classifier put at ``add_from`` or more."""
+        """Which spans stand: base ones, and those that a list or the context speaks for (form and shape alone make no personal data of a number in
+        running text) and that both the votes' posterior and the classifier put at ``add_from`` or more."""
         if not spans:
             return []
         score = sigmoid(Rows([s["x"] for s in spans]).dot(self.weights) + self.bias)
-        return [s["base"] or (p >= add_from and self.labels[s["kind"]].posterior([s["votes"]])[0] >= add_from) for s, p in zip(spans, score)]
+        return [s["base"] or ("+" in s["votes"][1:3] and p >= add_from and self.labels[s["kind"]].posterior([s["votes"]])[0] >= add_from) for s, p in zip(spans, score)]
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, add_from: float = ADD_FROM) -> DataFrame:

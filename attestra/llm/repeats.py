@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from attestra.llm.batches import bounded, free_name, slices
 from attestra.llm.bit_filter import Filter
-from attestra.llm.decontaminate import inner_names, outer
 from attestra.llm.induced_sort import sorted_suffixes
+from attestra.llm.rows import inner_names, outer
 from attestra.session import materialize
 
 WIDTH, GRAM = 400, 128

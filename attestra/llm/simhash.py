@@ -150,7 +150,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows link as in ``near_duplicates``, or, with ``similarity``, at that Jaccard similarity of their sets of ``size``-word shingles. Rows of
     equal (also null) ids and different texts are told apart; rows that repeat an id and text leave one row.
     """
-    with scratch_scope(docs.sparkSession):  # only the names of the rows that stay outlive it
+    with scratch_scope(docs.sparkSession):  # only the names of the rows that go outlive it
         found = Linked(docs, id_col, text_col, most, size) if similarity is None else Similar(docs, id_col, text_col, similarity, size)
-        names = materialize(found.names.select("first").distinct(), "stay", outside=True)
-        return keep_first(docs, found.rows, names, id_col, text_col)
+        return keep_first(docs, found.rows, found.names.select("first"), id_col, text_col)

@@ -25,10 +25,11 @@ def vote_matrix(patterns: list[str]) -> np.ndarray:
 class LabelModel:
     """How likely each labeller votes each way for rows of either class, and how common the classes are."""
 
-    def __init__(self, patterns: list[str], counts: list[int], rounds: int = 100, smooth: float = 1.0, prior: float = 0.5):
+    def __init__(self, patterns: list[str], counts: list[int], rounds: int = 100, smooth: float = 1.0, prior: float = 0.5, anchored: bool = False):
         """patterns: one string of votes for each distinct pattern; counts: rows of each.
 
-        Starts from the belief that a vote against outweighs the votes for; prior is the belief about rows without votes.
+        Starts from the belief that a vote against outweighs the votes for; prior is the belief about rows without votes. anchored: votes keep their
+        sign. Where the tables would have a vote for, or against, speak for the other class, it says nothing about either.
         """
         votes, weight = vote_matrix(patterns), np.array(counts, float)
         k = votes.shape[1] if len(patterns) else 0
@@ -40,6 +41,8 @@ class LabelModel:
                 w = weight * p
                 table = np.stack([[(w * (votes[:, j] == v)).sum() for v in range(3)] for j in range(k)]) + smooth
                 self.likely[c] = table / table.sum(1, keepdims=True)
+            if anchored:
+                self.anchor()
             self.prior = float(np.clip((weight * post).sum() / weight.sum(), 0.001, 0.999))
             new = self._posterior(votes)
             done = np.abs(new - post).max() < 1e-6
@@ -47,6 +50,12 @@ class LabelModel:
             if done:
                 break
 
+    def anchor(self) -> None:
+        """Votes of the wrong sign get the mean of both classes."""
+        against, for_ = self.likely[:, :, 0], self.likely[:, :, 1]
+        for cells, wrong in ((against, against[1] > against[0]), (for_, for_[1] < for_[0])):
+            cells[:, wrong] = cells[:, wrong].mean(axis=0)
+
     def _posterior(self, votes: np.ndarray) -> np.ndarray:
         j = np.arange(votes.shape[1])
         scores = [np.log(self.likely[c][j, votes]).sum(1) + np.log((1 - self.prior, self.prior)[c]) for c in (0, 1)]
