@@ -30,9 +30,11 @@ def find_column(columns: list[str], tokens: list[str]) -> str | None:
 
 
 def long_frame(df: DataFrame, metrics: list[str], row_id: Column, entity: Column | None = None, period: Column | None = None, artifact: Column | None = None) -> DataFrame:
-    """One row for each row and metric; values that aren't numbers become null. With ``artifact`` each artifact's values are judged by themselves."""
+    """One row for each row and metric; values that aren't finite numbers become null, so that none of them spoils the statistics of the others. With
+    ``artifact`` each artifact's values are judged by themselves."""
     none = F.lit(None).cast("string")
-    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).try_cast("double").alias("value")) for m in metrics])
+    number = lambda m: X.named(m).try_cast("double")
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.when(~F.isnan(number(m)) & (F.abs(number(m)) < F.lit(float("inf"))), number(m)).alias("value")) for m in metrics])
     own = [] if artifact is None else [artifact.alias("artifact")]
     return df.select(*own, row_id.alias("row_id"), (entity if entity is not None else none).alias("entity"), (period if period is not None else none).alias("period"), F.inline(values))
 
@@ -79,7 +81,13 @@ def quartiles(rows: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     past = F.col("before") + F.sum("k").over(Window.partitionBy(*keys, "bucket").orderBy("value"))
     inside = inside.withColumn("past", past).select(*keys, "n", "value", "past", "k", F.explode("ranks").alias("rank")).filter((F.col("rank") < F.col("past")) & (F.col("rank") >= F.col("past") - F.col("k")))
     at = lambda r: F.max(F.when(F.col("rank") == r, F.col("value")))
-    quartile = lambda q: at(F.floor((F.col("n") - 1) * q)) + (at(F.ceil((F.col("n") - 1) * q)) - at(F.floor((F.col("n") - 1) * q))) * F.first((F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q))
+
+    def quartile(q: float) -> Column:
+        """Between two neighbours by the sum that ``percentile`` takes, so that both ways give the same bits."""
+        place = F.max((F.col("n") - 1) * q)
+        a, b = at(F.floor((F.col("n") - 1) * q)), at(F.ceil((F.col("n") - 1) * q))
+        return F.when(a == b, a).otherwise((F.ceil(place) - place) * a + (place - F.floor(place)) * b)
+
     return inside.groupBy(*keys).agg(F.max("n").alias("n"), quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
 
 

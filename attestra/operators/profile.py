@@ -41,14 +41,24 @@ def is_numeric(kind: T.DataType) -> bool:
     return isinstance(kind, T.NumericType)
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, value, n) of all non-null values as strings: one unpivot and one aggregate for all columns."""
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in (columns or df.columns)]
-    return df.select(F.inline(F.array(*pairs))).filter("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+def finite(column: str) -> Column:
+    """A numeric column's values as doubles, null where they are no finite numbers."""
+    x = X.named(column).cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(math.inf)), x)
 
 
-def distinct_counts(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+def value_counts(df: DataFrame, columns: list[str] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(column, value, n) of all non-null values as strings: one unpivot and one aggregate for all columns.
+
+    Here and below, ``by`` are columns that say which of many tables a row belongs to, such as an artifact: all of them are profiled in the same jobs.
+    """
+    columns = columns or [c for c in df.columns if c not in by]
+    pairs = [F.struct(F.lit(c).alias("column"), X.named(c).cast("string").alias("value")) for c in columns]
+    return df.select(*by, F.inline(F.array(*pairs))).filter("value IS NOT NULL").groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def distinct_counts(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return counts.groupBy(*by, "column").agg(F.count(F.lit(1)).alias("unique_count"))
 
 
 def top_values(counts: DataFrame, most: int = 5) -> DataFrame:
@@ -69,9 +79,9 @@ def values_at(df: DataFrame, wanted: list[tuple[str, int]], buckets: int = 1024)
     different values of those buckets are ranked, each bucket in a task of its own, so no task holds a column.
     """
     columns = sorted({c for c, _ in wanted})
-    edges = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [k / buckets for k in range(1, buckets)], 8 * buckets).alias(c) for c in columns]).first()
-    cuts = df.sparkSession.createDataFrame([(c, sorted(set(edges[c]))) for c in columns if edges[c]], "column string, edges array<double>")
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
+    edges = df.agg(*[F.percentile_approx(finite(c), [k / buckets for k in range(1, buckets)], 8 * buckets).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    cuts = df.sparkSession.createDataFrame([(c, sorted(set(e))) for c, e in zip(columns, edges) if e], "column string, edges array<double>")
+    pairs = [F.struct(F.lit(c).alias("column"), finite(c).alias("value")) for c in columns]
     values = df.select(F.inline(F.array(*pairs))).filter("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     # How many edges a value has passed, by halving.
     middle = "CAST((s.lo + s.hi) div 2 AS int)"
@@ -98,9 +108,9 @@ def values_at(df: DataFrame, wanted: list[tuple[str, int]], buckets: int = 1024)
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], quantiles: tuple[float, ...] = QUANTILES, nearest: bool = False) -> dict[str, list[float | None]]:
-    """The quantiles of each column's non-null numbers: between two neighbouring values in proportion, or the value of the nearest rank, upper at
-    a tie. For tables of any size: see ``values_at``."""
-    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    """The quantiles of each column's finite numbers: between two neighbouring values in proportion, by the sum that Spark's ``percentile`` takes, or the value
+    of the nearest rank, upper at a tie. For tables of any size: see ``values_at``."""
+    counts = dict(zip(columns, df.agg(*[F.count(finite(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()))
     at = {c: [(counts[c] - 1) * q for q in quantiles] for c in columns if counts[c]}
     if nearest:
         at = {c: [float(math.floor(x + 0.5)) for x in xs] for c, xs in at.items()}
@@ -108,28 +118,29 @@ def exact_quantiles(df: DataFrame, columns: list[str], quantiles: tuple[float, .
 
     def between(c: str, x: float) -> float:
         a, b = found[c, math.floor(x)], found[c, math.ceil(x)]
-        return a + (b - a) * (x - math.floor(x))
+        return a if a == b else (math.ceil(x) - x) * a + (x - math.floor(x)) * b
 
     return {c: [between(c, x) for x in at[c]] if c in at else [None] * len(quantiles) for c in columns}
 
 
-def column_stats(df: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
-    """One row per column: nulls, and for numbers min, max, mean, stddev, skewness (population) and five quantiles. One pass over the rows; beyond
-    ``at_once`` of them the quantiles take passes of their own (``exact_quantiles``) with the same results."""
-    numbers = [f.name for f in df.schema if is_numeric(f.dataType)]
-    apart = exact_quantiles(df, numbers) if numbers and df.count() > at_once else None
+def column_stats(df: DataFrame, at_once: int = AT_ONCE, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per column: nulls, and for numbers min, max, mean, stddev, skewness (population) and five quantiles of the finite ones, and how many are not
+    finite. One pass over the rows; beyond ``at_once`` of them the quantiles take passes of their own (``exact_quantiles``) with the same results, bit by bit. Tables of ``by`` are such as one task can take the different values of a column of."""
+    fields = [f for f in df.schema if f.name not in by]
+    numbers = [f.name for f in fields if is_numeric(f.dataType)]
+    apart = exact_quantiles(df, numbers) if numbers and not by and df.count() > at_once else None
     aggregates: list[Column] = [F.count(F.lit(1)).alias("rows")]
-    for i, f in enumerate(df.schema):
-        aggregates.append(F.count(f.name).alias(f"n{i}"))
+    for i, f in enumerate(fields):
+        aggregates.append(F.count(X.named(f.name)).alias(f"n{i}"))
         if is_numeric(f.dataType):
-            x = F.col(f.name).cast("double")
+            x = finite(f.name)
             q = F.percentile(x, F.array(*map(F.lit, QUANTILES))) if apart is None else F.array(*[F.lit(v).cast("double") for v in apart[f.name]])
-            aggregates += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"sd{i}"), F.skewness(x).alias(f"sk{i}"), q.alias(f"q{i}")]
-    one = df.agg(*aggregates)
+            aggregates += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"sd{i}"), F.skewness(x).alias(f"sk{i}"), F.count(x).alias(f"fin{i}"), q.alias(f"q{i}")]
+    one = df.groupBy(*by).agg(*aggregates)
     none = F.lit(None).cast("double")
     metrics = metric_columns(df)
     rows = []
-    for i, f in enumerate(df.schema):
+    for i, f in enumerate(fields):
         numeric = is_numeric(f.dataType)
         get = lambda name, i=i, numeric=numeric: F.col(f"{name}{i}") if numeric else none
         quantiles = [(F.col(f"q{i}")[k] if numeric else none).alias(f"p{round(100 * p)}") for k, p in enumerate(QUANTILES)]
@@ -138,8 +149,9 @@ def column_stats(df: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
             F.lit(f.name).alias("column"), F.lit(i).alias("position"), F.lit(f.dataType.simpleString()).alias("dtype"), F.lit(numeric).alias("is_numeric"), F.lit(f.name in metrics).alias("is_metric"),
             F.col("rows").alias("row_count"), nulls.alias("null_count"), F.round(nulls / F.greatest("rows", F.lit(1)), 4).alias("null_ratio"),
             get("lo").alias("min"), get("hi").alias("max"), get("mean").alias("mean"), get("sd").alias("stddev"), get("sk").alias("skewness"), *quantiles,
+            (F.col(f"n{i}") - F.col(f"fin{i}") if numeric else F.lit(0)).cast("long").alias("nonfinite_count"),
         ))
-    return one.select(F.inline(F.array(*rows)))
+    return one.select(*by, F.inline(F.array(*rows)))
 
 
 def nearest_quantiles(df: DataFrame, columns: list[str], at_once: int = AT_ONCE) -> DataFrame:
@@ -150,15 +162,18 @@ def nearest_quantiles(df: DataFrame, columns: list[str], at_once: int = AT_ONCE)
         return df.sparkSession.createDataFrame([], schema)
     if df.count() > at_once:
         return df.sparkSession.createDataFrame([(c, *q) for c, q in exact_quantiles(df, columns, nearest=True).items()], schema)
-    n = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    n = dict(zip(columns, df.agg(*[F.count(finite(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()))
     at = lambda c, q: math.floor((n[c] - 1) * q + 0.5) / (n[c] - 1) if n[c] > 1 else 0.0
-    one = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(at(c, q)) for q in QUANTILES])).alias(c) for c in columns])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(c)[k].alias(name) for k, name in enumerate(names)]) for c in columns])))
+    one = df.agg(*[F.percentile(finite(c), F.array(*[F.lit(at(c, q)) for q in QUANTILES])).alias(f"c{i}") for i, c in enumerate(columns)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"c{i}")[k].alias(name) for k, name in enumerate(names)]) for i, c in enumerate(columns)])))
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: row_count, duplicate_rows (rows less distinct rows; nulls are equal)."""
-    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n_")).agg(F.coalesce(F.sum("n_"), F.lit(0)).alias("row_count"), F.coalesce(F.sum(F.col("n_") - 1), F.lit(0)).alias("duplicate_rows"))
+def duplicate_rows(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (or one for each table): row_count, duplicate_rows (rows less distinct rows; nulls are equal)."""
+    inner = [f"c{i}" for i in range(len(df.columns))]
+    groups = df.toDF(*inner).groupBy(*inner).agg(F.count(F.lit(1)).alias("n"))
+    keys = [F.col(f"c{df.columns.index(c)}").alias(c) for c in by]
+    return groups.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
 def candidate_keys(stats: DataFrame, distinct: DataFrame, most: int = 10) -> DataFrame:
@@ -167,47 +182,50 @@ def candidate_keys(stats: DataFrame, distinct: DataFrame, most: int = 10) -> Dat
     return keys.orderBy("position").limit(most).select("column", "row_count")
 
 
-def quality_observations(stats: DataFrame, distinct: DataFrame, duplicates: DataFrame) -> DataFrame:
+def quality_observations(stats: DataFrame, distinct: DataFrame, duplicates: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(code, severity, column): duplicate rows, all-null, mostly null and constant columns (without any null), zeros as the least of values that
-    go above it."""
-    full = stats.join(distinct, "column", "left").withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
+    go above it. Nulls are judged by their exact counts."""
+    full = stats.join(distinct, [*by, "column"], "left").withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
     told = lambda code, severity: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))
     rules = F.array(
-        F.when(F.col("null_ratio") == 1, told("COLUMN_ALL_NULL", "high")).when(F.col("null_ratio") > 0.5, told("COLUMN_HIGH_NULL_RATIO", "medium")),
+        F.when((F.col("null_count") == F.col("row_count")) & (F.col("row_count") > 0), told("COLUMN_ALL_NULL", "high")).when(F.col("null_count") * 2 > F.col("row_count"), told("COLUMN_HIGH_NULL_RATIO", "medium")),
         F.when((F.col("unique_count") == 1) & (F.col("null_count") == 0), told("COLUMN_CONSTANT", "low")),
         F.when(F.col("is_numeric") & (F.col("min") == 0) & (F.col("max") > 0), told("ZERO_MIN_NUMERIC", "info")),
     )
-    by_column = full.select("column", F.inline(F.filter(rules, lambda r: r.isNotNull()))).select("code", "severity", "column")
+    by_column = full.select(*by, "column", F.inline(F.filter(rules, lambda r: r.isNotNull()))).select(*by, "code", "severity", "column")
     severity = F.when(F.col("duplicate_rows") * 100 > F.col("row_count"), "medium").otherwise("low")
-    whole = duplicates.filter("duplicate_rows > 0").select(F.lit("DUPLICATE_ROWS").alias("code"), severity.alias("severity"), F.lit(None).cast("string").alias("column"))
+    whole = duplicates.filter("duplicate_rows > 0").select(*by, F.lit("DUPLICATE_ROWS").alias("code"), severity.alias("severity"), F.lit(None).cast("string").alias("column"))
     return by_column.unionByName(whole)
 
 
-def pii_hints(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+def pii_hints(df: DataFrame, counts: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(column, hint_type, matched_values, samples): columns whose name and values both speak for a kind of personal data."""
     signals = [(c, kind, PII_SHAPES[kind]) for c in df.columns if (kind := PII_NAMES.get(c.strip().lower().replace(" ", "_")))]
     if not signals:
-        return df.sparkSession.createDataFrame([], "column string, hint_type string, matched_values long, samples string")
-    counts = counts if counts is not None else value_counts(df, sorted({c for c, _, _ in signals}))
+        none = F.lit(None).cast("string")
+        return df.filter(F.lit(False)).select(*by, none.alias("column"), none.alias("hint_type"), F.lit(0).cast("long").alias("matched_values"), none.alias("samples"))
+    counts = counts if counts is not None else value_counts(df, sorted({c for c, _, _ in signals}), by)
     hit = F.array(*[F.when((F.col("column") == c) & F.col("value").rlike(shape), F.lit(kind)) for c, kind, shape in signals])
-    rows = counts.select("column", "value", "n", F.explode(F.filter(hit, lambda k: k.isNotNull())).alias("hint_type"))
-    totals = rows.groupBy("column", "hint_type").agg(F.sum("n").alias("matched_values"))
-    first = Window.partitionBy("column", "hint_type").orderBy("value")
+    rows = counts.select(*by, "column", "value", "n", F.explode(F.filter(hit, lambda k: k.isNotNull())).alias("hint_type"))
+    keys = [*by, "column", "hint_type"]
+    totals = rows.groupBy(*keys).agg(F.sum("n").alias("matched_values"))
+    first = Window.partitionBy(*keys).orderBy("value")
     few = rows.withColumn("rank", F.row_number().over(first)).filter("rank <= 3")  # each task ranks its own rows first
-    samples = few.groupBy("column", "hint_type").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("samples"))
-    return totals.join(samples, ["column", "hint_type"])
+    samples = few.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("samples"))
+    return totals.join(samples, keys)
 
 
 class Profile:
-    """The narrow tables of a table's profile, each computed once and written to the shared folder."""
+    """The narrow tables of a table's profile, or of the profiles of many tables (``by``), each computed once and written to the shared folder."""
 
-    def __init__(self, df: DataFrame):
-        self.columns = materialize(column_stats(df), "stats")
-        self.values = materialize(value_counts(df), "values")
-        self.distinct = materialize(distinct_counts(self.values), "distinct")
-        self.duplicates = materialize(duplicate_rows(df), "duplicates")
-        self.observations = quality_observations(self.columns, self.distinct, self.duplicates)
-        self.pii = pii_hints(df, self.values)
+    def __init__(self, df: DataFrame, by: tuple[str, ...] = ()):
+        self.by = by
+        self.columns = materialize(column_stats(df, by=by), "stats")
+        self.values = materialize(value_counts(df, by=by), "values")
+        self.distinct = materialize(distinct_counts(self.values, by), "distinct")
+        self.duplicates = materialize(duplicate_rows(df, by), "duplicates")
+        self.observations = quality_observations(self.columns, self.distinct, self.duplicates, by)
+        self.pii = pii_hints(df, self.values, by)
 
 
 def fitness(df: DataFrame) -> DataFrame:
@@ -220,22 +238,27 @@ def fitness(df: DataFrame) -> DataFrame:
 
 
 def fitness_of(profile: Profile) -> DataFrame:
+    by, each = profile.by, profile.duplicates.select(*profile.by)  # a row for each table, also for those without observations or hints
+    none = F.lit(None).cast("string")
     paid = lambda severities: F.greatest(F.lit(0.0), 100.0 - sum((F.count_if(F.col("severity") == s) * PENALTY[s] for s in severities), F.lit(0.0)))
-    rules = profile.observations.agg(paid(["high"]).alias("validity"), paid(["medium", "low"]).alias("consistency"))
+    observed = profile.observations.select(*by, "severity").unionByName(each.select(*by, none.alias("severity")))
+    rules = observed.groupBy(*by).agg(paid(["high"]).alias("validity"), paid(["medium", "low"]).alias("consistency"))
     flagged = F.count_if(F.col("is_metric") & ((F.col("stddev") == 0) | (F.abs("skewness") > 5)))
-    columns = profile.columns.agg(
+    columns = profile.columns.groupBy(*by).agg(
         F.greatest(F.lit(0.0), 100 * (1 - F.avg("null_ratio"))).alias("completeness"),
         F.when(F.count_if("is_metric") == 0, 80.0).otherwise(100.0 - 20.0 * F.try_divide(flagged, F.count_if("is_metric"))).alias("distribution_health"),
     )
-    exposed = profile.pii.agg(F.count_distinct("column").alias("k")).select(F.when(F.col("k") == 0, 100.0).otherwise(F.greatest(F.lit(40.0), 100.0 - 15.0 * F.col("k"))).alias("identifier_exposure"))
-    repeated = profile.duplicates.select((100 * (1 - F.least(5 * F.col("duplicate_rows") / F.greatest("row_count", F.lit(1)), F.lit(1.0)))).alias("duplication"))
+    hinted = profile.pii.select(*by, "column").unionByName(each.select(*by, none.alias("column"))).groupBy(*by).agg(F.count_distinct("column").alias("k"))
+    exposed = hinted.select(*by, F.when(F.col("k") == 0, 100.0).otherwise(F.greatest(F.lit(40.0), 100.0 - 15.0 * F.col("k"))).alias("identifier_exposure"))
+    repeated = profile.duplicates.select(*by, (100 * (1 - F.least(5 * F.col("duplicate_rows") / F.greatest("row_count", F.lit(1)), F.lit(1.0)))).alias("duplication"))
     parts = None
     for one in (columns, rules, exposed, repeated):
-        rows = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("component"), F.round(F.col(c).cast("double"), 2).alias("score"), F.lit(WEIGHTS[c]).alias("weight")) for c in one.columns])))
+        scores = [F.struct(F.lit(c).alias("component"), F.round(F.col(c).cast("double"), 2).alias("score"), F.lit(WEIGHTS[c]).alias("weight")) for c in one.columns if c not in by]
+        rows = one.select(*by, F.inline(F.array(*scores)))
         parts = rows if parts is None else parts.unionByName(rows)
     overall = F.round(F.sum(F.col("score") * F.col("weight")) / F.sum("weight"), 10)
-    whole = F.col("component").isNull()
-    out = parts.groupingSets([[F.col("component"), F.col("score"), F.col("weight")], []], F.col("component"), F.col("score"), F.col("weight")).agg(overall.alias("overall"))
+    whole, keys, own = F.col("component").isNull(), [F.col(c) for c in by], [F.col(c) for c in ("component", "score", "weight")]
+    out = parts.groupingSets([[*keys, *own], keys], *keys, *own).agg(overall.alias("overall"))
     return out.select(
-        F.coalesce("component", F.lit("overall")).alias("component"), F.round(F.when(whole, F.col("overall")).otherwise(F.col("score")), 2).alias("score"),
+        *by, F.coalesce("component", F.lit("overall")).alias("component"), F.round(F.when(whole, F.col("overall")).otherwise(F.col("score")), 2).alias("score"),
         F.coalesce("weight", F.lit(1.0)).alias("weight"), F.when(whole, X.grade(F.col("overall"))).alias("grade"))

@@ -85,10 +85,10 @@ def flawed(spark: SparkSession, sf_dir: str) -> DataFrame:
 FLAWED = """f AS (SELECT l_orderkey, l_discount, CAST(NULL AS INT) AS no_value, CASE WHEN l_linenumber = 1 THEN l_quantity END AS first_quantity, 'x' AS same,
     CASE WHEN l_linenumber > 1 THEN 'y' END AS partly, l_quantity * 0 AS nothing FROM lineitem),
   d AS (SELECT CAST(sum(n) AS DOUBLE) AS total, CAST(sum(n - 1) AS DOUBLE) AS dup FROM (SELECT count(*) AS n FROM f GROUP BY l_orderkey, l_discount, no_value, first_quantity, same, partly, nothing)),
-  c AS (""" + " UNION ALL ".join(f"""SELECT '{c}' AS col, {m} AS metric, count(*) - count({c}) AS nulls, round((count(*) - count({c})) / count(*), 4) AS share, count(DISTINCT {c}) AS different, {f"CAST(min({c}) AS DOUBLE)" if n else "NULL"} AS low, {f"CAST(max({c}) AS DOUBLE)" if n else "NULL"} AS high FROM f"""
+  c AS (""" + " UNION ALL ".join(f"""SELECT '{c}' AS col, {m} AS metric, count(*) - count({c}) AS nulls, count(*) AS n, round((count(*) - count({c})) / count(*), 4) AS share, count(DISTINCT {c}) AS different, {f"CAST(min({c}) AS DOUBLE)" if n else "NULL"} AS low, {f"CAST(max({c}) AS DOUBLE)" if n else "NULL"} AS high FROM f"""
     for c, n, m in (("l_orderkey", True, "true"), ("l_discount", True, "true"), ("no_value", True, "true"), ("first_quantity", True, "true"), ("same", False, "false"), ("partly", False, "false"), ("nothing", True, "true"))) + """),
   o AS (
-    SELECT 'COLUMN_ALL_NULL' AS code, 'high' AS severity, col FROM c WHERE share = 1 UNION ALL SELECT 'COLUMN_HIGH_NULL_RATIO', 'medium', col FROM c WHERE share > 0.5 AND share < 1
+    SELECT 'COLUMN_ALL_NULL' AS code, 'high' AS severity, col FROM c WHERE nulls = n UNION ALL SELECT 'COLUMN_HIGH_NULL_RATIO', 'medium', col FROM c WHERE 2 * nulls > n AND nulls < n
     UNION ALL SELECT 'COLUMN_CONSTANT', 'low', col FROM c WHERE different = 1 AND nulls = 0 UNION ALL SELECT 'ZERO_MIN_NUMERIC', 'info', col FROM c WHERE low = 0 AND high > 0
     UNION ALL SELECT 'DUPLICATE_ROWS', CASE WHEN dup > 0.01 * total THEN 'medium' ELSE 'low' END, NULL FROM d WHERE dup > 0)"""
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from attestra.operators import anomaly, ledger, profile
 
+FILE = "_artifact_file"
+
 
 def findings_of(batch: DataFrame, metrics: list[str], key: str) -> DataFrame:
     """Findings of rows with an ``artifact``, judged within their artifact, with ids that depend on artifact, row, method and metric alone."""
@@ -17,9 +19,18 @@ def findings_of(batch: DataFrame, metrics: list[str], key: str) -> DataFrame:
     return found.select(F.substring(identity, 1, 12).alias("finding_id"), "artifact", "method", "metric", "row_id", "observed", "severity")
 
 
+def below(spark: SparkSession, folder: str, path: Column) -> Column:
+    """A file's path below a folder; files elsewhere keep their whole path."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/") + "/"
+    plain = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/")
+    return F.when(F.startswith(plain, F.lit(root)), F.substr(plain, F.lit(len(root) + 1))).otherwise(plain)
+
+
 def start_ingest(spark: SparkSession, folder: str, schema: StructType, ledger_path: str, checkpoint: str, metrics: list[str], key: str, format: str = "parquet", profiles: str | None = None, files: int = 16) -> StreamingQuery:
-    """Take what is in the folder and not yet taken, ``files`` new files a batch, then stop. Each file is an artifact of its own: its values are judged
-    against its own statistics, whatever batch it comes in, and with ``profiles`` its column statistics and fitness are written there.
+    """Take what is in the folder and not yet taken, ``files`` new files a batch, then stop. Each file is an artifact of its own, named by its path below
+    the folder: its values are judged against its own statistics, whatever batch it comes in, and with ``profiles`` its column statistics,
+    observations and fitness are written there, those of all files of a batch in the same jobs.
 
     A batch that is run again adds nothing: the ledger is held against its ids, and a file's profile replaces itself. One writer at a time is
     assumed for a ledger.
@@ -27,18 +38,18 @@ def start_ingest(spark: SparkSession, folder: str, schema: StructType, ledger_pa
 
     def take(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
-        named = batch.withColumn("artifact", F.element_at(F.split(F.input_file_name(), "/"), -1))
+        named = batch.withColumnRenamed(FILE, "artifact")
         found = findings_of(named, metrics, key)
         session.createDataFrame([], found.schema).write.mode("append").parquet(ledger_path)
         old = session.read.schema(found.schema).parquet(ledger_path)
         ledger.new_findings(old, found).write.mode("append").parquet(ledger_path)
         if profiles:
-            for r in named.select("artifact").distinct().collect():  # ``files`` names at most
-                known = profile.Profile(named.filter(F.col("artifact") == r["artifact"]).drop("artifact"))
-                for table, rows in (("columns", known.columns), ("observations", known.observations), ("fitness", profile.fitness_of(known))):
-                    rows.write.mode("overwrite").parquet(f"{profiles.rstrip('/')}/{table}/artifact={r['artifact']}")
+            known = profile.Profile(named, by=("artifact",))
+            for table, rows in (("columns", known.columns), ("observations", known.observations), ("fitness", profile.fitness_of(known))):
+                rows.write.partitionBy("artifact").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{profiles.rstrip('/')}/{table}")
 
     stream = spark.readStream.schema(schema).format(format).option("maxFilesPerTrigger", files).load(folder)
+    stream = stream.select("*", below(spark, folder, F.col("_metadata.file_path")).alias(FILE))
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

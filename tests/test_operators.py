@@ -134,10 +134,48 @@ def test_quantiles_in_buckets_equal_those_at_once(spark, n):
     rows = [(rng.choice([1.0, 2.0, rng.random() * 100]), None if i % 3 == 0 else i) for i in range(n)] + [(None, None)]
     df = spark.createDataFrame(rows, "a double, b long")
     one, other = ({r["column"]: [r[f"p{p}"] for p in (5, 25, 50, 75, 95)] for r in profile.column_stats(df, at).collect()} for at in (10**9, 0))
-    assert all((x is None and y is None) or abs(x - y) < 1e-9 for c in one for x, y in zip(one[c], other[c]))
+    assert one == other
     long = longs(spark, [a for a, _ in rows])
     x, y = (anomaly.quartiles(long, at).first() for at in (10**9, 0))
-    assert (x["n"], round(x["q1"], 9), round(x["q3"], 9)) == (y["n"], round(y["q1"], 9), round(y["q3"], 9))
+    assert (x["n"], x["q1"], x["q3"]) == (y["n"], y["q1"], y["q3"])
+
+
+def test_values_that_are_not_finite_are_left_out(spark):
+    rows = [(float(i), "k") for i in range(50)] + [(float("nan"), "k"), (float("inf"), "k"), (None, "k"), (900.0, "k")]
+    df = spark.createDataFrame(rows, "v double, k string")
+    r = profile.column_stats(df.select("v")).first()
+    assert (r["min"], r["max"], r["nonfinite_count"], r["null_count"]) == (0.0, 900.0, 2, 1) and r["mean"] == pytest.approx((sum(range(50)) + 900) / 51)
+    long = anomaly.long_frame(df, ["v"], F.monotonically_increasing_id())
+    assert [x["observed"] for x in anomaly.detect_zscore(long).collect()] == [900.0]
+
+
+def test_dotted_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, 2.0, "x"), (1, 2.0, "x"), (3, None, None)], "`a.b` int, n double, n_ string").withColumnRenamed("n_", "c`d")
+    assert profile.duplicate_rows(df).first().asDict() == {"row_count": 3, "duplicate_rows": 1}
+    known = profile.Profile(df)
+    assert {r["column"]: r["unique_count"] for r in known.distinct.collect()} == {"a.b": 2, "n": 1, "c`d": 1}
+    assert {r["component"] for r in profile.fitness_of(known).collect()} == {*profile.WEIGHTS, "overall"}
+    assert profile.exact_quantiles(df, ["a.b"])["a.b"][2] == 1.0 and profile.nearest_quantiles(df, ["a.b"]).first()["p50"] == 1.0
+    assert anomaly.long_frame(df, ["a.b"], F.lit(1)).count() == 3
+
+
+def test_profiles_of_many_tables_equal_one_by_one(spark):
+    rng = random.Random(6)
+    rows = [(t, rng.choice([None, 1.0, 2.0, 0.0]), rng.choice(["a@b.org", None, "x"])) for t in "pqr" for _ in range(20)] + [("empty", None, None)] * 2
+    df = spark.createDataFrame(rows, "artifact string, v double, email string")
+    many = profile.Profile(df, by=("artifact",))
+    for t in ("p", "q", "r", "empty"):
+        one = profile.Profile(df.filter(F.col("artifact") == t).drop("artifact"))
+        of = lambda rows, t=t: sorted(map(str, rows.filter(F.col("artifact") == t).drop("artifact").collect()))
+        for name in ("columns", "distinct", "duplicates", "observations", "pii"):
+            assert of(getattr(many, name)) == sorted(map(str, getattr(one, name).collect())), name
+        assert of(profile.fitness_of(many)) == sorted(map(str, profile.fitness_of(one).collect()))
+
+
+def test_nearly_empty_columns_are_not_all_null(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") == 7, 1).alias("one"), F.lit(None).cast("int").alias("no"), F.when(F.col("id") % 2 == 0, 1).alias("half"))
+    got = {(r["code"], r["column"]) for r in profile.Profile(df).observations.collect()}
+    assert ("COLUMN_ALL_NULL", "no") in got and ("COLUMN_HIGH_NULL_RATIO", "one") in got and not any(c == "half" and "NULL" in k for k, c in got)
 
 
 def test_artifacts_are_judged_by_themselves(spark):

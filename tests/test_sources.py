@@ -107,6 +107,17 @@ def test_files_are_judged_by_themselves_and_profiled(spark, tmp_path):
     assert len({r["artifact"] for r in fitness}) == 3 and all(r["grade"] == "A" for r in fitness)
 
 
+def test_files_of_one_name_in_two_folders_are_two_artifacts(spark, tmp_path):
+    rows = lambda k: spark.createDataFrame([(i, 10.0**k * (100.0 + i % 5)) for i in range(40)] + [(99, 10.0**k * 900.0)], "id long, v double")
+    for k in range(2):
+        rows(k).coalesce(1).write.parquet(str(tmp_path / f"one{k}"))
+        (tmp_path / "in" / f"d={k}").mkdir(parents=True)
+        next((tmp_path / f"one{k}").glob("*.parquet")).rename(tmp_path / "in" / f"d={k}" / "a.parquet")
+    ingest.start_ingest(spark, str(tmp_path / "in"), rows(0).schema, str(tmp_path / "ledger"), str(tmp_path / "checkpoint"), ["v"], "id", profiles=str(tmp_path / "profiles")).awaitTermination()
+    assert {(r["artifact"], r["method"]) for r in spark.read.parquet(str(tmp_path / "ledger")).collect()} == {(f"d={k}/a.parquet", m) for k in range(2) for m in ("zscore", "iqr")}
+    assert {r["artifact"] for r in spark.read.parquet(str(tmp_path / "profiles" / "fitness")).collect()} == {"d=0/a.parquet", "d=1/a.parquet"}
+
+
 def test_windowed_counts(spark, tmp_path):
     rows = [("2024-01-01 00:01:00", "a", 1.0), ("2024-01-01 00:02:00", "a", 2.0), ("2024-01-01 00:12:00", "a", 4.0)]
     spark.createDataFrame(rows, "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "in"))
