@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from attestra.operators.bit_filter import BitFilter, passing
 from attestra.session import materialize
 
 # The decisions on a case.
@@ -91,14 +92,13 @@ def grams(df: DataFrame, id_col: str, text_col: str, size: int = 5, least_chars:
 def label_leaks(texts: DataFrame, labels: DataFrame, text_id: str, label_id: str, text_col: str = "text", size: int = 5) -> DataFrame:
     """(text_id, label_id, n_grams): texts that share word runs with restricted labels.
 
-    Runs of the texts are hashed in place and met with the labels' hashes, so a text's runs never become rows of strings; runs are compared as
-    text only for the texts that any hash hits. Spark broadcasts the labels' hashes where they are small and shuffles both sides by the hash
-    where they aren't.
+    Runs of the texts are hashed in place and held against a filter of the labels' hashes, which has a bounded size however many labels there are, so
+    only what it lets through leaves a task. These few meet the labels' hashes, and runs are compared as text only for the texts that any hits.
     """
     b = materialize(grams(labels, label_id, text_col, size).withColumnRenamed("id", "label_id"), "grams")
-    hashes = b.select(F.xxhash64(F.split("gram", " ")).alias("h")).distinct()
-    rows = texts.select(F.col(text_id).alias("text_id"), words_of(text_col).alias("w")).select("text_id", F.explode(runs_of("w", size, F.xxhash64)).alias("h"))
-    hit = materialize(rows.join(hashes, "h", "left_semi").select("text_id").distinct(), "hits")
+    hashes = materialize(b.select(F.xxhash64(F.split("gram", " ")).alias("h")).distinct(), "hashes")
+    rows = texts.select(F.col(text_id).alias("text_id"), words_of(text_col).alias("w")).select("text_id", runs_of("w", size, F.xxhash64).alias("h"))
+    hit = materialize(passing(rows, BitFilter(hashes)).join(hashes, "h", "left_semi").select("text_id").distinct(), "hits")
     a = grams(texts.join(hit, texts[text_id].eqNullSafe(hit["text_id"]), "left_semi"), text_id, text_col, size).withColumnRenamed("id", "text_id")
     return a.join(b, "gram").groupBy("text_id", "label_id").agg(F.count(F.lit(1)).alias("n_grams"))
 

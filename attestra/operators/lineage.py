@@ -34,23 +34,69 @@ def build(artifacts: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFra
     return nodes, edges.unionByName(edge(rules, name("profile"), rule, "executed_over")).unionByName(edge(found, rule, finding, "produced"))
 
 
+def tops(single: DataFrame) -> DataFrame:
+    """single: id and its only predecessor ``top``. (id, top, looped): the first of each node's predecessors that is not in ``single`` itself, or whether
+    there is none, as the chain goes round. Each round doubles the reach of all chains."""
+    at, nodes, reach = materialize(single, "chains"), single.count(), 1
+    while True:
+        ahead = at.select(F.col("id").alias("top"), F.col("top").alias("next"))
+        grown = materialize(at.join(ahead, "top", "left").select("id", F.coalesce("next", "top").alias("top"), F.col("next").isNotNull().alias("looped")), "chains")
+        reach *= 2
+        if reach > 2 * nodes or grown.filter("looped").isEmpty():
+            return grown
+        at = grown.select("id", "top")
+
+
+def on_or_below_cycles(edges: DataFrame) -> DataFrame:
+    """ids of nodes that are on a cycle or can be reached from one.
+
+    Chains of nodes with one predecessor are contracted to the node that they hang on, by doubling, and edges from nodes without a predecessor are
+    peeled off, in turns until nothing changes. So a chain takes as many rounds as its length has bits; only layers of nodes with several
+    predecessors take a turn each.
+    """
+    left, hung, found = materialize(edges.select("source", "target").distinct(), "edges"), [], None
+    size = left.count()
+    while size:
+        degree = left.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("top"))
+        single = materialize(degree.filter("n = 1").select(F.col("target").alias("id"), "top"), "single")
+        chains = tops(single)
+        hung.append(chains.filter("NOT looped").select("id", "top"))
+        round_ = chains.filter("looped").select("id")
+        found = round_ if found is None else found.unionByName(round_)
+        rest = left.join(single.select(F.col("id").alias("target")), "target", "left_anti")
+        lead = chains.select(F.col("id").alias("source"), "top", "looped")
+        rest = rest.join(lead, "source", "left").select(F.when(F.coalesce("looped", F.lit(False)), F.col("source")).otherwise(F.coalesce("top", "source")).alias("source"), "target", F.coalesce("looped", F.lit(False)).alias("below")).distinct()
+        rest = materialize(rest, "edges")
+        found = found.unionByName(rest.filter("below").select(F.col("target").alias("id")))
+        below = rest.filter("below").select("target").distinct()
+        open_edges = rest.join(below, "target", "left_anti")  # what is known to be below a cycle needs no more
+        targets = open_edges.select(F.col("target").alias("source")).distinct().unionByName(below.select(F.col("target").alias("source")))
+        left = materialize(open_edges.join(targets, "source", "left_semi").select("source", "target"), "edges")
+        marked = left.join(below.select(F.col("target").alias("source")), "source", "left_semi").select("target").distinct()
+        while not marked.isEmpty():  # below a node that is below
+            found = found.unionByName(marked.select(F.col("target").alias("id")))
+            left = materialize(left.join(marked, "target", "left_anti"), "edges")
+            marked = left.join(marked.select(F.col("target").alias("source")), "source", "left_semi").select("target").distinct()
+        n = left.count()
+        if n == size:
+            found = found.unionByName(left.select(F.col("target").alias("id")))
+            break
+        size = n
+    if found is None:
+        return edges.select(F.col("target").alias("id")).filter(F.lit(False))
+    found = materialize(found.distinct(), "cyclic")
+    for chains in reversed(hung):
+        found = materialize(found.unionByName(chains.join(found.select(F.col("id").alias("top")), "top", "left_semi").select("id")).distinct(), "cyclic")
+    return found
+
+
 def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(problem, id): repeated node ids, edges to or from nodes that don't exist, and nodes on or below a cycle (peeled from the sources on)."""
+    """(problem, id): repeated node ids, edges to or from nodes that don't exist, and nodes on or below a cycle (``on_or_below_cycles``)."""
     repeated = nodes.groupBy("id").count().filter("count > 1").select(F.lit("duplicate_node").alias("problem"), "id")
     ids = nodes.select("id").distinct()
     ends = edges.select(F.col("source").alias("id")).union(edges.select(F.col("target").alias("id"))).distinct()
     dangling = ends.join(ids, "id", "left_anti").select(F.lit("dangling_edge").alias("problem"), "id")
-    left = materialize(edges.select("source", "target").distinct(), "edges")
-    size = left.count()
-    while size:
-        sources = left.select("source").distinct().join(left.select(F.col("target").alias("source")).distinct(), "source", "left_anti")
-        rest = materialize(left.join(sources, "source", "left_anti"), "edges")
-        if (n := rest.count()) == size:
-            break
-        left, size = rest, n
-    cyclic = left.select(F.col("target").alias("id")).distinct().select(F.lit("cycle").alias("problem"), "id") if size else None
-    out = repeated.unionByName(dangling)
-    return out.unionByName(cyclic) if cyclic is not None else out
+    return repeated.unionByName(dangling).unionByName(on_or_below_cycles(edges).select(F.lit("cycle").alias("problem"), "id"))
 
 
 def paths_to_raw(edges: DataFrame) -> DataFrame:

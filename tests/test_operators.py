@@ -453,6 +453,29 @@ def test_lineage_problems_and_paths(spark):
     assert paths == {"b": "b < a", "c": "c < b < a", "lost": "lost < c < b < a"}
 
 
+def peeled(edges):
+    left = set(edges)
+    while True:
+        targets = {t for _, t in left}
+        rest = {(s, t) for s, t in left if s in targets}
+        if rest == left:
+            return {t for _, t in left}
+        left = rest
+
+
+def test_cycles_equal_peeling(spark, monkeypatch):
+    rng = random.Random(5)
+    for n, m in ((6, 6), (12, 14), (20, 19)):
+        edges = [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)] + [(f"c{i}", f"c{i + 1}") for i in range(7)]
+        got = lineage.on_or_below_cycles(spark.createDataFrame(edges, "source string, target string"))
+        assert {r["id"] for r in got.collect()} == peeled(edges)
+    rounds = []
+    plain = lineage.materialize
+    monkeypatch.setattr(lineage, "materialize", lambda df, name="t": rounds.append(name) or plain(df, name))
+    chain = spark.range(10_000).select(F.col("id").cast("string").alias("source"), (F.col("id") + 1).cast("string").alias("target"))
+    assert lineage.on_or_below_cycles(chain).isEmpty() and rounds.count("chains") < 20 and len(rounds) < 30
+
+
 def test_lineage_of_repeated_findings(spark):
     artifacts = spark.createDataFrame([("a", True, "sha256:ab"), ("b", False, None)], "artifact_id string, has_profile boolean, detail string")
     found = spark.createDataFrame([("f", "a", "iqr", "high"), ("f", "a", "zscore", "low"), ("g", "b", "iqr", "low")], "finding_id string, artifact_id string, rule string, severity string")
