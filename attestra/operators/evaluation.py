@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from attestra.operators.bit_filter import BitFilter, passing
 from attestra.session import materialize
+from attestra.sources.append_log import AppendLog
 
 # The decisions on a case.
 DECISIONS = ["detected", "partially_detected", "not_detected", "not_detectable"]
@@ -55,6 +56,13 @@ def rejects(decisions: DataFrame, run_findings: DataFrame) -> DataFrame:
     return unknown.unionByName(lost).unionByName(none).unionByName(foreign)
 
 
+def adjudicate(log: AppendLog, decisions: DataFrame, run_findings: DataFrame) -> tuple[int, DataFrame]:
+    """Append the decisions that stand (see ``rejects``) to a log of decisions, each id once, and say how many were new; and the reasons for which
+    the others don't. Several judges may append at once."""
+    refused = materialize(rejects(decisions, run_findings), "refused")
+    return log.append(decisions.join(refused.select("decision_id").distinct(), "decision_id", "left_anti")), refused
+
+
 def report(run_cases: DataFrame, decisions: DataFrame) -> DataFrame:
     """One row of counts and rates over the latest decision of each case; a rate without a denominator is null.
 

@@ -183,3 +183,40 @@ def test_doubled_quotes_ragged_rows_and_empty_fields(spark, tmp_path):
     (tmp_path / "two" / "b.csv").write_text('a,c\n1,"x\ny"\n')
     with pytest.raises(ValueError, match="different"):
         tables.read_table(spark, str(tmp_path / "two"), ".csv")
+
+
+def test_writers_at_once_lose_and_double_nothing(spark, tmp_path):
+    import threading
+
+    from attestra.sources.append_log import AppendLog
+
+    path, counts = str(tmp_path / "log"), []
+
+    def write(k):
+        log = AppendLog(spark, path, "id", "id string, v int", buckets=4)
+        counts.append(sum(log.append(spark.createDataFrame([(f"{i}", k) for i in range(5 * j, 5 * j + 12)] + [(None, 1)], "id string, v int")) for j in range(2)))
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    log = AppendLog(spark, path, "id", "id string, v int", buckets=4)
+    rows = log.read().collect()
+    assert sorted(int(r["id"]) for r in rows) == list(range(17)) and sum(counts) == 17 and len(counts) == 3
+    assert log.append(spark.createDataFrame([("3", 9), ("99", 9)], "id string, v int")) == 1 and log.read().count() == 18
+    (tmp_path / "log" / "data" / "left-over").mkdir()
+    assert log.read().count() == 18 and AppendLog(spark, str(tmp_path / "none"), "id", "id string").read().count() == 0
+
+
+def test_adjudication_appends_what_stands(spark, tmp_path):
+    from attestra.operators import evaluation
+    from attestra.sources.append_log import AppendLog
+
+    schema = "decision_id string, case_id string, decision string, finding_ids array<string>"
+    decisions = spark.createDataFrame([("d1", "c", "detected", ["f"]), ("d2", "c", "guessed", ["f"]), ("d3", "x", "missed", []), ("d4", "c", "detected", ["g"])], schema)
+    known = spark.createDataFrame([("c", "f")], "case_id string, finding_id string")
+    log = AppendLog(spark, str(tmp_path), "decision_id", schema)
+    n, refused = evaluation.adjudicate(log, decisions, known)
+    assert n == 1 and {("d2", "unknown_decision"), ("d3", "foreign_case"), ("d4", "foreign_finding")} <= {(r["decision_id"], r["reason"]) for r in refused.collect()}
+    assert evaluation.adjudicate(log, decisions, known)[0] == 0 and [r["decision_id"] for r in log.read().collect()] == ["d1"]
