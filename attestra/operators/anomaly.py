@@ -12,6 +12,15 @@ from attestra.functions import exprs as X
 from attestra.session import materialize
 
 CALENDAR = {"day", "month", "year", "fy"}
+# How sure a method's findings are, and what is to be kept in mind of each.
+CONFIDENCE = {"zscore": "high", "iqr": "high", "yoy": "moderate", "rolling": "moderate"}
+CAVEATS = {
+    "zscore": "value deviates from cohort distribution",
+    "iqr": "value outside robust IQR fence",
+    "yoy": "may be a definition, boundary or reporting-period change",
+    "rolling": "value deviates from trailing rolling-median baseline",
+}
+ZERO_BASELINE = "prior period baseline was zero, percentage change is undefined - flagged on new nonzero activity"
 MOST = 12
 
 
@@ -47,6 +56,13 @@ def findings(rows: DataFrame, method: str, expected: Column, score: Column, seve
     return rows.select(*keys_of(rows), "row_id", "entity", "period", F.lit(method).alias("method"), F.col("value").alias("observed"), expected.alias("expected"), score.alias("score"), severity.alias("severity"))
 
 
+def with_caveats(found: DataFrame) -> DataFrame:
+    """Findings of any method with ``confidence`` and ``caveats`` (a list). A change without a percentage rose from zero."""
+    table = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("method"))
+    said = F.when((F.col("method") == "yoy") & F.col("score").isNull(), ZERO_BASELINE).otherwise(table(CAVEATS))
+    return found.withColumns({"confidence": table(CONFIDENCE), "caveats": F.filter(F.array(said), lambda c: c.isNotNull())})
+
+
 def detect_zscore(rows: DataFrame, threshold: float = 3.0) -> DataFrame:
     """Values more than threshold standard deviations from the mean; silent below three values or without spread."""
     keys = keys_of(rows)

@@ -93,6 +93,15 @@ def anomaly_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_findings(spark, sf_dir).groupBy("method", "metric", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity").alias("entities"))
 
 
+@query(f"""
+  SELECT method, CASE method WHEN 'yoy' THEN 'moderate' ELSE 'high' END AS confidence, CASE method WHEN 'zscore' THEN '{anomaly.CAVEATS["zscore"]}' WHEN 'iqr' THEN '{anomaly.CAVEATS["iqr"]}'
+    ELSE CASE WHEN score IS NULL THEN '{anomaly.ZERO_BASELINE}' ELSE '{anomaly.CAVEATS["yoy"]}' END END AS caveats, count(*) AS n FROM {ALL} GROUP BY ALL""")
+def anomaly_caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How sure findings are, and what is said of them."""
+    found = anomaly.with_caveats(all_findings(spark, sf_dir))
+    return found.groupBy("method", "confidence", F.array_join("caveats", "; ").alias("caveats")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"""
   SELECT entity, row_id, round(score, 4) AS score, severity, rank, format('{{}}-{{}}-{{:03d}}', method, metric, rank - 1) AS finding_id FROM (
     SELECT *, CAST(row_number() OVER (PARTITION BY entity ORDER BY round(coalesce(abs(score), CAST('inf' AS DOUBLE)), 9) DESC, metric, method, row_id) AS INT) AS rank

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _scope: contextvars.ContextVar[str] = contextvars.ContextVar("scope", default="")
 _local: list[str] = []
+_marked: set[str] = set()
 
 
 def local_session(cores: int = 8, partitions: int = 8, app: str = "attestra", shared: str | None = None) -> SparkSession:
@@ -85,4 +86,8 @@ def materialize(df: DataFrame, name: str = "table", outside: bool = False) -> Da
     scope = "" if outside else _scope.get()
     path = "/".join(filter(None, [scratch(spark), scope, f"{name}-{uuid.uuid4().hex}"]))
     df.write.parquet(path)
+    if (root := scratch(spark)) not in _marked:  # goes with the application, whatever clears it before
+        _marked.add(root)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)

@@ -581,3 +581,9 @@ def test_cards_tell_hints_and_descriptions(spark):
     assert said["a#column=mail"].endswith("9 unique; PII hints: email") and said["b#column=n"].endswith("1 unique") and said["a#DUPLICATE_ROWS"] == "LOW DUPLICATE_ROWS: 3 rows repeat"
     asked = spark.createDataFrame([("q", "rows that repeat")], "question_id string, text string")
     assert retrieval.retrieve(asked, cards).first()["score"] == 5.0
+
+
+def test_findings_have_caveats(spark):
+    found = spark.createDataFrame([("zscore", 4.0), ("yoy", None), ("yoy", 300.0), ("rolling", None)], "method string, score double")
+    got = [(r["confidence"], r["caveats"]) for r in anomaly.with_caveats(found).collect()]
+    assert got == [("high", [anomaly.CAVEATS["zscore"]]), ("moderate", [anomaly.ZERO_BASELINE]), ("moderate", [anomaly.CAVEATS["yoy"]]), ("moderate", [anomaly.CAVEATS["rolling"]])]
