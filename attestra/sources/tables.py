@@ -52,12 +52,15 @@ def read_csv(spark: SparkSession, path: str, sep: str, schema=None) -> DataFrame
     """CSV with a header: fields may be quoted, a quote in a quoted field is doubled, and separators and line ends may stand in quotes. Files are read as
     UTF-8, with or without a mark of it, or as Latin-1 if their bytes are none.
 
-    One pass over the lines, where they are read, tells which reader it takes: Spark's own where all is UTF-8 and every record is a line, else
-    ``quoted.read_records``, which splits files as well.
+    Where no line has a quote and all are UTF-8, which Spark's own functions tell in a pass, or every record is a line, which takes a look at the quotes,
+    Spark's reader is taken; else ``quoted.read_records``, which splits files as well.
     """
-    lines = quoted.lines_of(spark, path)
-    parts = materialize(quoted.parts_of(lines, sep.encode()), "parts")
-    plain = parts.agg(F.coalesce(F.max(F.col("over") | ~F.col("utf8")), F.lit(False)).alias("odd")).first()["odd"] is False
+    odd = F.coalesce(F.max(F.contains("value", F.lit('"')) | ~F.is_valid_utf8("value")), F.lit(False))
+    plain, lines, parts = not spark.read.text(path).agg(odd.alias("odd")).first()["odd"], None, None
+    if not plain:
+        lines = quoted.lines_of(spark, path)
+        parts = materialize(quoted.parts_of(lines, sep.encode()), "parts")
+        plain = not parts.agg(F.coalesce(F.max(F.col("over") | ~F.col("utf8")), F.lit(False)).alias("odd")).first()["odd"]
     if plain:
         reader = spark.read.schema(schema) if schema is not None else spark.read
         out = reader.csv(path, header=True, sep=sep, quote='"', escape='"', inferSchema=schema is None)
