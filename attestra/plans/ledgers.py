@@ -344,9 +344,10 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT decision_id, 'foreign_case' FROM d WHERE case_id NOT IN (SELECT case_id FROM {CASES})
   UNION ALL SELECT decision_id, 'foreign_finding' FROM d WHERE decision_id % 2 = 0 AND (case_id, 'iqr-' || decision_id) NOT IN (SELECT (case_id, finding_id) FROM {FOUND})""")
 def adjudication_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = cases(spark, sf_dir)
-    found = evaluation.case_findings(run, artifacts(spark, sf_dir).select("artifact_id", "source_id"), findings(spark, sf_dir))
-    return evaluation.rejects(decisions(spark, sf_dir), run.select("case_id").join(found, "case_id", "left").select("case_id", "finding_id"))
+    run, made = cases(spark, sf_dir), decisions(spark, sf_dir)
+    named = made.select("case_id", F.explode("finding_ids").alias("finding_id"))
+    found = evaluation.case_findings(run, artifacts(spark, sf_dir).select("artifact_id", "source_id"), findings(spark, sf_dir), named)
+    return evaluation.rejects(made, run.select("case_id").join(found, "case_id", "left").select("case_id", "finding_id"))
 
 
 @query(f"""

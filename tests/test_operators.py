@@ -516,6 +516,23 @@ def test_rates_without_denominator_are_null(spark):
     assert r["coverage"] is None and r["detectability"] is None and r["evidence_completeness"] is None and r["n_cases"] == 0
 
 
+def test_results_of_cases_make_no_pairs_of_cases_and_findings(spark, monkeypatch):
+    cases = spark.range(2000).selectExpr("id AS case_id", "IF(id % 4 = 0, array(), IF(id % 4 = 1, array('a', 'b', 'a'), IF(id % 4 = 2, array('b', NULL), NULL))) AS linked_source_ids")
+    artifacts = spark.createDataFrame([("A", "a"), ("B", "b"), ("B2", "b"), ("C", "c")], "artifact_id string, source_id string")
+    rows = spark.range(1000).selectExpr("id AS finding_id", "IF(id % 2 = 0, array('A', 'B', 'B'), array('B2', 'C')) AS artifact_ids", "IF(id % 5 = 0, '', 'q') AS evidence_query")
+    rows = rows.unionByName(rows.filter("finding_id < 10").withColumn("artifact_ids", F.array(F.lit("A"))))  # comes again, on another artifact
+    made, plain = [], evaluation.materialize
+    monkeypatch.setattr(evaluation, "materialize", lambda df, name: made.append(plain(df, name)) or made[-1])
+    got = {r["case_id"]: (r["n_artifacts"], r["n_findings"], r["n_complete"]) for r in evaluation.case_results(cases, artifacts, rows).collect()}
+    assert got == {i: [(0, 0, 0), (3, 1000, 800), (2, 1000, 800), (0, 0, 0)][i % 4] for i in range(2000)}
+    assert made[1].count() == 3  # sets of artifacts, not findings
+    found = evaluation.case_findings(cases, artifacts, rows)
+    named = spark.createDataFrame([(1, 3), (1, 3), (2, 0), (0, 1), (1, 5000), (None, 1)], "case_id long, finding_id long")
+    asked = evaluation.case_findings(cases, artifacts, rows, named)
+    assert sorted(map(tuple, asked.collect())) == sorted(tuple(r) for r in found.join(named, ["case_id", "finding_id"], "left_semi").collect()) == [(1, 3, True), (2, 0, False)]
+    assert found.count() == 1_000_000
+
+
 def test_decisions_that_are_refused(spark):
     run = spark.createDataFrame([("c1", "f1"), ("c2", "f2"), ("c3", None)], "case_id string, finding_id string")
     rows = [(1, "c1", "detected", ["f1"]), (2, "c1", "detected", ["f2"]), (3, "c2", "partially_detected", []), (4, "c9", "not_detected", []), (5, "c3", "not_detectable", []), (6, "c1", "missed", []), (7, "c1", None, None)]
