@@ -167,7 +167,7 @@ def cards(spark: SparkSession, sf_dir: str, release: int) -> DataFrame:
 def sql_cards(release: int) -> str:
     unit = "[" + ", ".join("NULL" if u is None else f"'{u}'" for u in UNITS) + f"][p_partkey % {len(UNITS)} + 1]"
     return f"""(SELECT card_id, concept_id, CASE WHEN {release} = 1 THEN upper(d) ELSE d END AS definition, scope, denominator, unit FROM (
-      SELECT 'card-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS card_id, CAST(p_partkey // 2 AS VARCHAR) AS concept_id,
+      SELECT printf('card-%06d', p_partkey) AS card_id, CAST(p_partkey // 2 AS VARCHAR) AS concept_id,
       CASE WHEN (p_partkey // 2) % 4 = 0 THEN 'Parts of kind ' || (p_partkey // 2) || ' in stock at the end of the year' ELSE p_name || ' ' || p_type END || CASE WHEN p_partkey % 16 = 1 THEN ' or sold' ELSE '' END AS d,
       CASE WHEN p_partkey % 3 <> 0 THEN CASE WHEN (p_partkey // 2) % 4 = 0 THEN 'household ' || (p_partkey % 2) ELSE 'Household' END END AS scope, CASE WHEN p_partkey % 4 <> 0 THEN (p_size % 2) || ' ' END AS denominator,
       {unit} AS unit FROM part WHERE p_partkey % 2 = {release}))"""

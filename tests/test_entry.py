@@ -39,6 +39,21 @@ def test_query_equals_sql(spark, duck, name):
     assert got == rows_of(names, cursor.fetchall())
 
 
+@pytest.mark.parametrize("name", ["definition_drift", "drift_overall", "drift_pairs", "finding_text"])
+def test_query_equals_sql_beyond_six_digits(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    for t in TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{FOLDER}/{t}.parquet")
+    (tmp_path / "part.parquet").unlink()
+    db.execute(f"COPY (SELECT * REPLACE (CAST(p_partkey + 999900 AS BIGINT) AS p_partkey) FROM '{FOLDER}/part.parquet') TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    for t in TABLES:
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    cursor = db.execute(registry.ORACLE_SQL[name])
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([d[0] for d in cursor.description], cursor.fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_query_runs(spark, name):
     assert registry.QUERIES[name](spark, FOLDER).count() > 0
