@@ -15,10 +15,12 @@ def build(artifacts: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataFra
     Ids hold the artifact, so graphs of many artifacts stand side by side.
     """
     text = lambda df, c, other: F.coalesce(F.col(c).cast("string"), F.lit(other)) if c in df.columns else F.lit(other)
+    artifacts = materialize(artifacts, "artifacts")
     profiled = artifacts.filter("has_profile")
-    found = findings.join(profiled.select("artifact_id"), "artifact_id", "left_semi")
+    # Numbered before they meet the artifacts: rows that a join has put together by artifact would be sorted so, however many one artifact has.
     again = F.row_number().over(Window.partitionBy("artifact_id", "finding_id").orderBy("rule")) - 1
-    found = found.withColumn("again", again).withColumn("node", F.when(F.col("again") > 0, F.concat_ws("#", "finding_id", "again")).otherwise(F.col("finding_id")))
+    found = materialize(findings.withColumn("again", again), "found").join(profiled.select("artifact_id"), "artifact_id", "left_semi")
+    found = found.withColumn("node", F.when(F.col("again") > 0, F.concat_ws("#", "finding_id", "again")).otherwise(F.col("finding_id")))
     rules = found.select("artifact_id", "rule").distinct()
     name = lambda kind: F.concat(F.lit(kind + ":"), F.col("artifact_id"))
     rule = F.concat(F.lit("rule:"), F.col("artifact_id"), F.lit(":"), F.col("rule"))

@@ -1,6 +1,7 @@
 """Operators on small hand-made inputs."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -516,6 +517,16 @@ def test_rates_without_denominator_are_null(spark):
     assert r["coverage"] is None and r["detectability"] is None and r["evidence_completeness"] is None and r["n_cases"] == 0
 
 
+def test_findings_of_one_artifact_are_numbered_in_many_tasks(spark, monkeypatch):
+    artifacts = spark.range(3).selectExpr("CONCAT('a', id) AS artifact_id", "id < 2 AS has_profile")
+    found = spark.range(4000).selectExpr("CONCAT('f', id % 3000) AS finding_id", "IF(id < 3900, 'a0', 'a2') AS artifact_id", "CONCAT('r', id % 2) AS rule")
+    plans, plain = {}, lineage.materialize
+    monkeypatch.setattr(lineage, "materialize", lambda df, name: plans.setdefault(name, df) is None or plain(df, name))
+    nodes, _ = lineage.build(artifacts, found)
+    assert nodes.filter("kind = 'finding'").count() == 3900 and nodes.filter("id LIKE '%#1'").count() == 900
+    assert re.search(r"hashpartitioning\(artifact_id#\d+, finding_id#\d+", plans["found"]._jdf.queryExecution().executedPlan().toString())
+
+
 def test_results_of_cases_make_no_pairs_of_cases_and_findings(spark, monkeypatch):
     cases = spark.range(2000).selectExpr("id AS case_id", "IF(id % 4 = 0, array(), IF(id % 4 = 1, array('a', 'b', 'a'), IF(id % 4 = 2, array('b', NULL), NULL))) AS linked_source_ids")
     artifacts = spark.createDataFrame([("A", "a"), ("B", "b"), ("B2", "b"), ("C", "c")], "artifact_id string, source_id string")
