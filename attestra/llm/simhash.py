@@ -153,3 +153,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     with scratch_scope(docs.sparkSession):  # only the names of the rows that go outlive it
         found = Linked(docs, id_col, text_col, most, size) if similarity is None else Similar(docs, id_col, text_col, similarity, size)
         return keep_first(docs, found.rows, found.names.select("first"), id_col, text_col)
+
+
+def drop_alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4, size: int = 4, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """docs with one row of each component, as ``drop_near_duplicates`` keeps it, of links at that Jaccard similarity of sets of ``words``-word shingles.
+
+    Fingerprints (as in ``near_duplicates``) say which rows are held against each other first; an exact check of the sets follows. As few differing bits
+    are far stricter than a similarity of 0.8, min-hash bands find the links that are left between the groups so made.
+    """
+    with scratch_scope(docs.sparkSession):
+        prints = Linked(docs, id_col, text_col, most, size)
+        linked = prints.rows.join(prints.names, "fp").select("id", "h", F.xxhash64("first").alias("name"))
+        found = Similar(docs, id_col, text_col, similarity, words, linked)
+        return keep_first(docs, found.rows, found.names.select("first"), id_col, text_col)

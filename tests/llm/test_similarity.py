@@ -44,6 +44,18 @@ def test_stage_drops_what_is_similar(spark):
     assert {r["doc_id"]: r["component_id"] for r in similarity.similar(frame).collect()} == want
 
 
+def test_stage_links_by_fingerprints_and_checks_them(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    alone = [(10 + i, " ".join(word() for _ in range(80))) for i in range(5)]
+    text = [word() for _ in range(2000)]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join([*text[:-1], word()])), *alone, (20, None), (21, "")], "doc_id long, text string")
+    pairs, plain = [], similarity.Similar.stars
+    monkeypatch.setattr(similarity.Similar, "stars", lambda self, linked: pairs.append(plain(self, linked)) or pairs[-1])
+    left = {r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, "").collect()}
+    assert left == {1, *range(10, 15), 20} and len(pairs) == 1  # fingerprints were asked
+
+
 def test_a_large_group_and_a_common_passage(spark):
     rng = random.Random(12)
     vocabulary = ["w%d" % i for i in range(500)]
