@@ -26,7 +26,7 @@ from attestra.session import materialize
 
 WIDTH = 10
 #: Words of text in a shard, and benchmark characters in a block: bounds on a task's memory.
-SHARD_WORDS, BLOCK_CHARS, BLOCKS = 2_000_000, 1_000_000, 4
+SHARD_WORDS, BLOCK_CHARS, BLOCKS = 250_000, 1_000_000, 4
 #: Bytes of words stay (A-Z as a-z), all others become spaces.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
