@@ -58,7 +58,7 @@ def src_csv_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat("text", F.lit('\nsaid "'), "lang", F.lit('"'))
     rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("body"), F.concat(F.lit('"'), "source", F.lit('", '), "lang").alias("place"), "n_chars")
     path = f"{scratch(spark)}/quoted-{uuid.uuid4().hex}.csv"
-    rows.repartition(4).mapInArrow(csv_rows, "value string").write.text(path)
+    rows.mapInArrow(csv_rows, "value string").write.text(path)  # a file for each part that Spark reads, however large the table is
     return tables.read_table(spark, path, schema=rows.schema)
 
 

@@ -220,3 +220,19 @@ def test_adjudication_appends_what_stands(spark, tmp_path):
     n, refused = evaluation.adjudicate(log, decisions, known)
     assert n == 1 and {("d2", "unknown_decision"), ("d3", "foreign_case"), ("d4", "foreign_finding")} <= {(r["decision_id"], r["reason"]) for r in refused.collect()}
     assert evaluation.adjudicate(log, decisions, known)[0] == 0 and [r["decision_id"] for r in log.read().collect()] == ["d1"]
+
+
+def test_quoted_query_writes_a_file_for_each_part(spark, tmp_path, monkeypatch):
+    from attestra.plans import sources
+
+    rows = spark.range(60).selectExpr("id AS doc_id", "CONCAT('a, \"', id, '\"') AS text", "'en' AS lang", "'web' AS source", "5L AS n_chars")
+    rows.repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    paths, plain = [], sources.tables.read_table
+    monkeypatch.setattr(sources.tables, "read_table", lambda spark, path, **options: paths.append(path) or plain(spark, path, **options))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # a part for each file
+    try:
+        out = sources.src_csv_quoted(spark, str(tmp_path))
+        assert {(r["doc_id"], r["body"]) for r in out.collect()} == {(i, f'a, "{i}"\nsaid "en"') for i in range(60)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert spark.read.format("binaryFile").load(paths[0]).count() == 6
