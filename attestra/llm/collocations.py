@@ -4,7 +4,8 @@ A word of a language stands for a 64-bit id, a hash of it that is checked to be
 neighbouring pairs that do. What is frequent travels to the tasks as a filter of bounded size (two bits of a bit set for each entry); what it lets
 through wrongly is counted exactly as well and falls short of the least count.
 
-First pairs are counted by codes of a few bytes (see likely_pairs), which leaves out nearly all that are rare; what is left is counted exactly. Each task puts its sequences into a trie (see hat_trie), batch by batch, repeats of a batch as one. When it is full, whole subtrees leave it as
+First pairs, and then, size by size, sequences whose beginning and end may be frequent, are counted by codes of a few bytes (see likely), which leaves out
+nearly all that are rare; what is left is counted exactly. Each task puts its sequences into a trie (see hat_trie), batch by batch, repeats of a batch as one. When it is full, whole subtrees leave it as
 sorted runs, which Spark exchanges by language and prefix (the first two words) and merges. A hot phrase is one row of a run, and runs of a hot
 word are spread over its second words.
 """
@@ -112,10 +113,11 @@ def id_rows(docs: DataFrame, words: Filter, salt: str) -> DataFrame:
 
 
 class Hints:
-    """The codes of pairs that may be frequent. A code has the upper half of a pair's mixed number, and of the lower half the part that it was counted in."""
+    """The codes of sequences of a size that may be frequent. A code has the upper half of a sequence's mixed number, and of the lower half the part that it was
+    counted in."""
 
-    def __init__(self, pairs: DataFrame, parts: int):
-        self.parts, self.filter = parts, Filter(pairs)
+    def __init__(self, codes: DataFrame, parts: int):
+        self.parts, self.filter = parts, Filter(codes)
 
     @staticmethod
     def code(numbers: np.ndarray, parts: int) -> np.ndarray:
@@ -125,12 +127,29 @@ class Hints:
         return self.filter.has(self.code(numbers, self.parts))
 
 
-def likely_pairs(rows: DataFrame, tokens: int, least: int) -> Hints:
-    """Which pairs of neighbours may occur ``least`` times: a first count of their codes, packed, in as many parts as keep one small.
+def places(ids: np.ndarray, size: int, hints: list[Hints]) -> tuple[np.ndarray, np.ndarray]:
+    """Where sequences of a size begin whose shorter parts may all be frequent, and their mixed numbers. hints: of the sizes from 2 on, as far as they are known."""
+    start = np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0))
+    number = mixed(ids[start], ids[start + 1])
+    for longer, known in zip(range(3, size + 1), hints):
+        stays = known.has(number)
+        start, number = start[stays], number[stays]
+        both = np.flatnonzero(start[1:] == start[:-1] + 1)  # its end begins one further
+        start = start[both]
+        number = mixed(number[both], ids[start + longer - 1])
+    if len(hints) > size - 2:
+        stays = hints[size - 2].has(number)
+        start, number = start[stays], number[stays]
+    return start, number
 
-    Most pairs are rare, and as codes of four bytes with a saturated count they cost little to exchange; the exact count then has few pairs left.
+
+def likely(rows: DataFrame, tokens: int, least: int, size: int, hints: list[Hints]) -> Hints:
+    """Which sequences of a size may occur ``least`` times: a first count of their codes, packed, in as many parts as keep one small. hints: of the sizes below.
+
+    Most are rare, and as codes of four bytes with a saturated count they cost little to exchange; the exact count then has few left.
     """
     parts = 1 << max(4, (tokens // PART).bit_length())
+    sent = rows.sparkSession.sparkContext.broadcast(hints)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts, held = [], [], 0
@@ -146,8 +165,7 @@ def likely_pairs(rows: DataFrame, tokens: int, least: int) -> Hints:
 
         for batch in batches:
             ids = batch.column(1).flatten().to_numpy()  # rows begin and end with what is no word
-            linked = np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0))
-            own, n = np.unique(Hints.code(mixed(ids[linked], ids[linked + 1]), parts), return_counts=True)
+            own, n = np.unique(Hints.code(places(ids, size, sent.value)[1], parts), return_counts=True)
             codes, counts, held = [*codes, own], [*counts, n], held + len(own)
             if held > PART:
                 yield from out()
@@ -168,33 +186,29 @@ def likely_pairs(rows: DataFrame, tokens: int, least: int) -> Hints:
     return Hints(materialize(packed.groupBy("part").applyInArrow(frequent, "key binary"), "hints"), parts)
 
 
-def sequences(ids: np.ndarray, sizes: range, pairs: Hints) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(keys, counts) of the distinct sequences of each size, sorted by their first id. pairs: which neighbours a sequence may have."""
-    linked = (ids[:-1] != 0) & (ids[1:] != 0)
-    at = np.flatnonzero(linked)
-    linked[at] = pairs.has(mixed(ids[at], ids[at + 1]))
-    start = np.flatnonzero(linked)
-    touched = np.unique(np.concatenate((start, start + 1)))
-    own, codes = np.unique(ids[touched], return_inverse=True)
-    code = np.zeros(len(ids), np.int64)
-    code[touched] = codes
-    number = code.copy()
-    for size in range(2, sizes.stop):
-        if size > 2:
-            start = start[start + size - 1 < len(ids)]
-            start = start[linked[start + size - 2]]
+def likely_sequences(rows: DataFrame, tokens: int, least: int, longest: int) -> list[Hints]:
+    hints: list[Hints] = []
+    for size in range(2, longest + 1):
+        hints.append(likely(rows, tokens, least, size, hints))
+    return hints
+
+
+def sequences(ids: np.ndarray, sizes: range, hints: list[Hints]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, counts) of the distinct sequences of each size, sorted by their first id. hints: which sequences of each size may be frequent."""
+    for size in sizes:
+        start, _ = places(ids, size, hints)
         if not len(start):
             return
-        _, first, number_at, counts = np.unique(number[start] * len(own) + code[start + size - 1], return_index=True, return_inverse=True, return_counts=True)
-        where = start[first]
-        order = np.argsort(ids[where], kind="stable")
-        yield np.stack([ids[where[order] + j] for j in range(size)], axis=1), counts[order]
-        number[start] = number_at
+        words = np.stack([ids[start + j] for j in range(size)], axis=1)
+        order = np.lexsort(words.T[::-1])
+        words = words[order]
+        first = np.flatnonzero(np.concatenate(([True], (words[1:] != words[:-1]).any(axis=1))))
+        yield words[first], np.diff(np.append(first, len(words)))
 
 
-def counted(rows: DataFrame, sizes: range, pairs: Hints, least: int) -> DataFrame:
+def counted(rows: DataFrame, sizes: range, hints: list[Hints], least: int) -> DataFrame:
     """lang, key and n of all sequences of these sizes that occur ``least`` times or more."""
-    sent = rows.sparkSession.sparkContext.broadcast(pairs)
+    sent = rows.sparkSession.sparkContext.broadcast(hints)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, HatTrie] = {}
@@ -281,7 +295,7 @@ def collocations(
     frequent = materialize(words.filter(F.col("n") >= least).select("lang", key.alias("key"), "n", "word"), "frequent")
     rows = materialize(id_rows(texts, Filter(frequent), salt), "ids")
     tokens = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    phrases = materialize(counted(rows, range(2, longest + 1), likely_pairs(rows, int(tokens), least), least), "phrases")
+    phrases = materialize(counted(rows, range(2, longest + 1), likely_sequences(rows, int(tokens), least, longest), least), "phrases")
     parts = frequent.select("lang", "key", "n").unionByName(phrases)
     found = scored(phrases, parts, totals).join(covered(phrases, share), ["lang", "key"], "left_anti")
     place = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

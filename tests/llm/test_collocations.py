@@ -58,6 +58,20 @@ def test_equals_brute_force(spark, seed, monkeypatch):
         assert mined(spark, rows, least=8) == want
 
 
+def test_only_sequences_that_may_be_frequent_reach_the_tries(spark):
+    """Every pair of neighbours is frequent, of longer sequences only one."""
+    rng = random.Random(5)
+    rows = [(i, [rng.randrange(1, 9) for _ in range(60)] + [0] + [9, 10, 11, 12, 13] * 2 + [0]) for i in range(40)]
+    df = spark.createDataFrame([("en", ids) for _, ids in rows], "lang string, ids array<long>").coalesce(1)
+    hints = collocations.likely_sequences(df, 3000, 20, 5)
+    ids = np.concatenate([np.array(ids) for _, ids in rows])
+    sizes = {k: {tuple(key) for key in keys.tolist()} for k, (keys, _) in zip(range(2, 6), collocations.sequences(ids, range(2, 6), hints))}
+    counts = {k: Counter(tuple(ids[i : i + k].tolist()) for i in range(len(ids) - k + 1) if (ids[i : i + k] != 0).all()) for k in range(2, 6)}
+    for k in range(2, 6):
+        frequent = {key for key, n in counts[k].items() if n >= 20}
+        assert frequent <= sizes[k] and len(sizes[k]) <= len(frequent) + 3
+
+
 def test_odd_rows(spark, odd, empty):
     out = collocations.collocations(odd, "fp", least=2)
     assert [tuple(r)[1:4] for r in out.collect()] == [r[1:4] for r in brute([("x", t) for _, t in ODD], 2)]
