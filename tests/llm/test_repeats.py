@@ -98,3 +98,18 @@ def test_suffixes_and_common_prefixes(memory, block, monkeypatch):
         got, shared = induced_sort.sorted_suffixes(text, bound)
         assert got.tolist() == order and shared.tolist() == [0] + [same(a, b) for a, b in zip(order, order[1:])]
         assert induced_sort.sorted_suffixes(text)[0].tolist() == order
+
+
+@pytest.mark.parametrize("top, ramp", [(200, [10, 20, 30, 40, 30, 20, 10]), (100, [10, 20, 30, 40, 50, 40, 30, 20, 10]), (1 << 20, [10, 20, 10])])
+def test_seed_substrings_that_begin_longer_ones_and_end_with_a_word(top, ramp):
+    assert len(ramp) % (63 // (top + 1).bit_length()) == 0
+    rng = np.random.default_rng(top)
+    for _ in range(50):
+        text = [top]
+        for _ in range(12):
+            text += ramp + [[15], [4, 8], [5, 8]][int(rng.integers(3))]
+        plain = [*text, 0]
+        order = sorted(range(len(plain)), key=lambda i: plain[i:])
+        got, shared = induced_sort.sorted_suffixes(np.array(plain, np.int64), 30)
+        same = lambda a, b: next(k for k in range(31) if k == 30 or plain[a + k : a + k + 1] != plain[b + k : b + k + 1])
+        assert got.tolist() == order and shared.tolist() == [0] + [same(a, b) for a, b in zip(order, order[1:])]
