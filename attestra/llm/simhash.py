@@ -106,11 +106,13 @@ def blocks_for(n: int, most: int) -> int:
 
 
 def links(nodes: DataFrame, most: int = 4, blocks: int | None = None) -> DataFrame:
-    """nodes: (fp, grp). Links (a, b) at ``most`` or fewer differing bits between fingerprints of different grp, each at least once."""
+    """nodes: (fp, grp). Links (a, b) at ``most`` or fewer differing bits between fingerprints of different grp, each at least once.
+
+    Spark sizes the exploded cells like the nodes, a row each, so without the hint it would broadcast up to hundreds of times its bound."""
     masks = [m - 2**64 if m >= 2**63 else m for m in grid(blocks or blocks_for(nodes.count(), most), most)]
     cells = nodes.select("fp", "grp", F.posexplode(F.array(*map(F.lit, masks))).alias("choice", "mask"))
     cells = cells.select("choice", unary(F.col("fp")).bitwiseAND(F.col("mask")).alias("cell"), "fp", "grp")
-    a, b = (cells.select("choice", "cell", F.col("fp").alias(x), F.col("grp").alias(f"g{x}")) for x in "ab")
+    a, b = (cells.select("choice", "cell", F.col("fp").alias(x), F.col("grp").alias(f"g{x}")).hint("merge") for x in "ab")
     bound = F.bit_count(unary(F.col("a")).bitwiseXOR(unary(F.col("b")))) <= most
     near = F.expr("a < b AND ga <> gb") & bound & F.expr(f"bit_count(a ^ b) <= {most}")
     return a.join(b, ["choice", "cell"]).filter(near).select("a", "b")

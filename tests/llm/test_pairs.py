@@ -13,6 +13,7 @@ from attestra.llm import decontaminate, exact_dedup, simhash
 from attestra.llm.components import connected_components
 from attestra.llm.fm_index import FMIndex, suffix_array
 from attestra.llm.xxh64 import hash_ranges
+from attestra.session import materialize
 from tests.llm.conftest import ODD
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -113,6 +114,13 @@ def test_links_lose_nothing(spark, most, blocks):
     assert got == want
 
 
+def test_cells_are_not_broadcast(spark, capsys):
+    """A table of a few MB has hundreds of MB of cells, which Spark sizes like the table."""
+    simhash.links(materialize(spark.createDataFrame([(1, 1), (3, 3)], "fp long, grp long"), "nodes")).explain()
+    plan = capsys.readouterr().out
+    assert "posexplode" in plan and "Broadcast" not in plan
+
+
 def test_components(spark):
     rng = random.Random(7)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(40)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)] + [(5, 5)]
