@@ -56,6 +56,24 @@ def test_stage_links_by_fingerprints_and_checks_them(spark, monkeypatch):
     assert left == {1, *range(10, 15), 20} and len(pairs) == 1  # fingerprints were asked
 
 
+def test_stage_checks_all_that_fingerprints_link(spark, monkeypatch):
+    """Sets that share no band with another, and two of a fingerprint's sets that are unlike its smallest."""
+    keys = lambda hashes: np.arange(similarity.BANDS, dtype=np.int64) * 977 + similarity.name_of(hashes) % 2**61
+    monkeypatch.setattr(similarity, "band_keys", keys)
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    text = [word() for _ in range(2000)]
+    docs = [(1, " ".join(text)), (2, " ".join([*text[:-1], word()])), (3, " ".join(word() for _ in range(80)))]
+    assert {r["doc_id"] for r in corpus_pipeline.near_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()} == {1, 3}
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, size: 7)
+    vocabulary = ["w%d" % i for i in range(500)]
+    bases = [[rng.choice(vocabulary) for _ in range(60)] for _ in range(6)]
+    docs = [(10 * g + k, " ".join(edited(rng, vocabulary, base, k))) for g, base in enumerate(bases) for k in (0, 1)]
+    want = set(slow_components(docs).values())
+    assert len(want) == 6
+    assert {r["doc_id"] for r in corpus_pipeline.near_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()} == want
+
+
 def test_a_large_group_and_a_common_passage(spark):
     rng = random.Random(12)
     vocabulary = ["w%d" % i for i in range(500)]
