@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from attestra.llm import similarity, simhash
+from attestra.llm.rows import first_row
 from tests.llm.test_pairs import union
 
 
@@ -109,3 +111,14 @@ def test_similar_of_odd_rows(odd, empty):
     left = simhash.drop_near_duplicates(odd, similarity=0.8, size=5)
     assert left.columns == odd.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "2", "5", "None"]
     assert similarity.similar(empty).count() == 0 and simhash.drop_near_duplicates(empty, similarity=0.8).columns == empty.columns
+
+
+def test_texts_are_read_again_where_they_are(spark, capsys):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "h i j k l m n"), (None, None), (4, "a b c d e f g")], "doc_id long, text string")
+    nodes = similarity.summaries(docs, "doc_id", "text", 5).groupBy("fp").agg(F.min(first_row()).alias("least")).filter("least.id = 1 OR least.id IS NULL")
+    sets = similarity.whole_sets(docs, nodes, "doc_id", "text", 5)
+    sets.explain()
+    assert "Join" not in capsys.readouterr().out
+    found = {r["fp"]: r["shingles"] for r in sets.collect()}
+    texts = {similarity.name_of(s): s.view(np.int64).tolist() for s in map(similarity.shingles, ("a b c d e f g", "h i j k l m n", None))}
+    assert {r["fp"] for r in nodes.collect()} <= set(found) and all(texts[fp] == s for fp, s in found.items())
